@@ -147,9 +147,9 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with one of each group of near-duplicates left: the one with the smallest id.
 
-    Of repeated rows of that id all stay, as an id stands for one document. A group whose ids are all null goes whole,
-    as none of them can be told from the others.
+    Of repeated rows of that id all stay, as an id stands for one document. Rows without an id stay too: no decision can
+    name them.
     """
     found = near_duplicates(docs, id_col, text_col)
     gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
-    return keep_matching(docs.filter(F.col(id_col).isNotNull()), gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    return keep_matching(docs, gone, F.col(id_col) == F.col("gone_id"), "left_anti")

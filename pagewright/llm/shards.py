@@ -23,20 +23,15 @@ def _placed(rows: DataFrame, keys: list[str], order: list, place: str) -> DataFr
     """`rows` with `place`: the place from 0 in `order` within keys[:-1], where keys[-1] is a bucket that follows the order."""
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     if len(keys) > 1:
-        before = Window.partitionBy(*keys[:-1])
-        counts = counts.withColumn("_before", F.sum("_n").over(before.orderBy(keys[-1])) - F.col("_n"))
-    else:  # the whole order: at most 16**BUCKET_DIGITS rows, summed through one array
-        lists = counts.agg(F.sort_array(F.collect_list(F.struct(keys[-1], "_n"))).alias("l"))
-        sums = F.aggregate(
-            "l",
-            F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<b:long,before:long>>").alias("l")),
-            lambda a, x: F.struct(
-                (a["at"] + x["_n"]).alias("at"),
-                F.concat(a["l"], F.array(F.struct(x[keys[-1]].cast("long").alias("b"), a["at"].alias("before")))).alias("l"),
-            ),
-            lambda a: a["l"],
-        )
-        counts = lists.select(F.explode(sums).alias("x")).select(F.col("x.b").alias(keys[-1]), F.col("x.before").alias("_before"))
+        before = Window.partitionBy(*keys[:-1]).orderBy(keys[-1])
+        counts = counts.withColumn("_before", F.sum("_n").over(before) - F.col("_n"))
+    else:  # one order over all rows: first within 256 stretches of buckets, then over the 256 stretches
+        counts = counts.withColumn("_high", F.expr(f"{keys[0]} div {16 ** BUCKET_DIGITS // 256}"))
+        stretches = counts.groupBy("_high").agg(F.sum("_n").alias("_m"))
+        stretches = stretches.select("_high", (F.sum("_m").over(Window.orderBy("_high")) - F.col("_m")).alias("_earlier"))
+        inside = F.sum("_n").over(Window.partitionBy("_high").orderBy(keys[0])) - F.col("_n")
+        counts = counts.withColumn("_before", inside).join(stretches, "_high")
+        counts = counts.withColumn("_before", F.col("_before") + F.col("_earlier"))
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     joined = rows.withColumn(place, within).join(counts.select(*keys, "_before"), keys)
     return joined.withColumn(place, F.col(place) + F.col("_before")).drop("_before")
@@ -75,9 +70,7 @@ def shard(
     share = (F.col("rank") + 0.5) / F.col("source_rows")
     ranked = ranked.withColumn("share", share).withColumn("part", F.floor(F.col("share") * 16**BUCKET_DIGITS))
     placed = _placed(ranked, ["part"], [F.col("share"), F.col("source"), *order], "at")
-    cut = F.floor(F.col("at") * shards / F.lit(max(total, 1)))
-    whole = F.expr(f"(at * {shards}L) div {max(total, 1)}L")
-    placed = placed.withColumn("shard", whole if total else cut)
+    placed = placed.withColumn("shard", F.expr(f"(at * {shards}L) div {max(total, 1)}L"))
     start = F.expr(f"(shard * {total}L + {shards - 1}L) div {shards}L")
     return placed.select(
         "doc_id",
