@@ -24,7 +24,7 @@ TREES = 16
 DEPTH = 7
 #: Vectors that the trees are fitted on, at most about: 5 MB of 64 floats each on the driver.
 SAMPLE = 20_000
-#: A query opens leaves until they hold this share of all vectors, counting a vector once for each tree.
+#: A query opens leaves until they hold this share of all vectors, counting a vector once for each tree; k + 1 at least.
 SEARCH_SHARE = 1.3
 #: Vectors, and queries, in a block.
 BLOCK = 4096
@@ -163,7 +163,8 @@ def nearest(
     sizes = np.zeros(trees * 2**depth, np.int64)
     for r in cells:
         sizes[r.cell] = r.n
-    wanted, sizes = spark.sparkContext.broadcast(search_share * n), spark.sparkContext.broadcast(sizes.reshape(trees, -1))
+    # Counted once for each tree, k + 1 vectors are sure to be among (k + 1) * trees.
+    wanted, sizes = spark.sparkContext.broadcast(max(search_share * n, (k + 1) * trees)), spark.sparkContext.broadcast(sizes.reshape(trees, -1))
 
     def opened_by(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

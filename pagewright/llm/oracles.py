@@ -13,7 +13,7 @@ CONTAMINATED = f"""
 SELECT doc_id, item_id, item_shingles, shared, shared / item_shingles AS containment
 FROM (
     SELECT d.doc_id, i.item_id, i.n AS item_shingles, count(*) AS shared
-    FROM (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS.format("text")} AS w FROM {{docs}})) d
+    FROM (SELECT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents)) d
     JOIN (SELECT item_id, len(l) AS n, unnest(l) AS s FROM (SELECT item_id, {_SHINGLES} AS l FROM (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark))) i USING (s)
     GROUP BY ALL)
 WHERE shared / item_shingles >= 0.8 - 1e-9
@@ -51,25 +51,33 @@ FROM s{len(licences.RULES)}
 """
 
 
+def crc_table() -> list[int]:
+    """What four bits do to a CRC-32, by its polynomial."""
+    out = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
 #: The checksum is taken four bits at a time over the text's hex digits, the low half of each byte first.
-SHARDS = """
-WITH RECURSIVE digits AS (
+SHARDS = f"""
+WITH digits AS (
     SELECT doc_id, coalesce(source, '') AS source, coalesce(text, '') AS text,
         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS key
-    FROM {docs}),
-crc_table AS (
-    SELECT n, CAST(list_reduce([CAST(n AS UBIGINT), 0::UBIGINT, 0::UBIGINT, 0::UBIGINT, 0::UBIGINT], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS UBIGINT) AS v FROM range(16) t(n)),
-tab AS (SELECT list(v ORDER BY n) AS t FROM crc_table),
-sums AS (
-    SELECT text, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(list_transform(string_split(hex(encode(text)), ''), lambda x, i: string_split(hex(encode(text)), '')[xor(i - 1, 1) + 1]), lambda x: CAST(instr('0123456789ABCDEF', x) - 1 AS UBIGINT))),
-        lambda c, d: xor(c >> 4, t[CAST(xor(c, d) & 15 AS BIGINT) + 1])), 4294967295::UBIGINT) AS crc
-    FROM (SELECT DISTINCT text FROM digits) x, tab),
+    FROM documents),
+halves AS (
+    SELECT text, instr('0123456789ABCDEF', unnest(string_split(hex(encode(text)), ''))) - 1 AS half, xor(unnest(range(2 * strlen(text))), 1) AS k
+    FROM (SELECT DISTINCT text FROM digits) x WHERE text <> ''),
+lists AS (SELECT text, list_prepend(4294967295, list(half ORDER BY k)) AS l FROM halves GROUP BY text),
+sums AS (SELECT text, xor(list_reduce(l, lambda c, d: xor(c >> 4, {crc_table()}[(xor(c, d) & 15) + 1])), 4294967295) AS crc FROM lists),
 ranked AS (
     SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id) AS r, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM digits),
-placed AS (SELECT *, row_number() OVER (ORDER BY (r - 1 + 0.5::DOUBLE) / n, source, key, doc_id) - 1 AS place FROM ranked)
-SELECT doc_id, CAST(strlen(text) AS BIGINT) + 16 AS size, CAST(CASE WHEN text = '' THEN 0 ELSE crc END AS BIGINT) AS text_crc32, 'rows' AS law,
+placed AS (SELECT *, row_number() OVER (ORDER BY (r - 1 + CAST('0x' || substr(md5(source), 1, 8) AS UBIGINT) / 4294967296.0::DOUBLE) / n, source, key, doc_id) - 1 AS place FROM ranked)
+SELECT doc_id, CAST(strlen(text) AS BIGINT) + 16 AS size, CAST(coalesce(crc, 0) AS BIGINT) AS text_crc32, 'rows' AS law,
     CAST(place * 40 // total AS INTEGER) AS shard, place - ((place * 40 // total) * total + 39) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard, source
-FROM placed JOIN sums USING (text)
+FROM placed LEFT JOIN sums USING (text)
 """
 
 
@@ -121,9 +129,9 @@ FROM sizes GROUP BY conv_id
 
 
 ORACLES = {
-    "op1_decontaminate": CONTAMINATED.replace("{docs}", "documents"),
+    "op1_decontaminate": CONTAMINATED,
     "op2_licences": licence_sql(),
-    "op7_shards": SHARDS.replace("{docs}", "documents"),
+    "op7_shards": SHARDS,
     "op9_urls": urls_sql(),
     "op10_chats": chats_sql(),
 }

@@ -1,7 +1,7 @@
 """Operator 7: shards by proportional stratified interleaving, in DataFrame functions only.
 
 Within each source the rows are shuffled by a seeded hash and ranked; the rank as a fraction of the source's rows is the
-row's place in the whole. Sorted by that fraction, every stretch of rows holds the sources in their shares, so cutting
+row's place in the whole (with a phase of the source's own). Sorted by that fraction, every stretch of rows holds the sources in their shares, so cutting
 the order into stretches gives shards that match the mixture and whose row counts differ by one at most.
 
 Ranks and places are taken without sorting any source, or the whole, in one task: rows are put in buckets that follow
@@ -67,7 +67,9 @@ def shard(
     total = int(of_source.agg(F.sum("source_rows")).first()[0] or 0)
     ranked = _placed(rows.withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)), ["source", "bucket"], order, "rank")
     ranked = ranked.join(of_source, "source").drop("bucket")
-    share = (F.col("rank") + 0.5) / F.col("source_rows")
+    # Each source has its own phase, or sources of like size would meet at the same shares.
+    phase = F.conv(F.substring(F.md5("source"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    share = (F.col("rank") + phase) / F.col("source_rows")
     ranked = ranked.withColumn("share", share).withColumn("part", F.floor(F.col("share") * 16**BUCKET_DIGITS))
     placed = _placed(ranked, ["part"], [F.col("share"), F.col("source"), *order], "at")
     placed = placed.withColumn("shard", F.expr(f"(at * {shards}L) div {max(total, 1)}L"))
