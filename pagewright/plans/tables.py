@@ -150,8 +150,8 @@ def size_rows(tables: DataFrame, cells: DataFrame) -> DataFrame:
     """(page_id, html): even column widths, and row heights in percent from the cells that are dealt to the rows by their tags."""
     rows = html_rows(tables)
     own = rows.filter("not last").select("page_id", "row", F.size("tags").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("page_id").orderBy("row"))
-    dealt = own.select("page_id", "row", "n", F.explode_outer(F.when(F.col("n") > 0, F.sequence(upto - F.col("n"), upto - 1))).alias("cell_id"))
+    own = own.withColumn("upto", F.sum("n").over(Window.partitionBy("page_id").orderBy("row")).cast("int"))
+    dealt = own.select("page_id", "row", F.explode_outer(F.when(F.col("n") > 0, F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1))).alias("cell_id"))
     sized = dealt.join(cells.select("page_id", "cell_id", "y1", "y2"), ["page_id", "cell_id"], "left")
     heights = sized.groupBy("page_id", "row").agg(F.coalesce(F.max("y2") - F.min("y1"), F.lit(0)).alias("h"))
     share = F.col("h") / F.sum("h").over(Window.partitionBy("page_id")) * 100.0

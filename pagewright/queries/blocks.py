@@ -82,8 +82,8 @@ def _win10(spark, sf_dir):
 
 
 _WIN10 = PB + f""", b AS (SELECT doc_id, page, (t - 50) // 28 AS row_id, l, r, min(l) OVER (PARTITION BY doc_id) - 1 AS pl, max(r) OVER (PARTITION BY doc_id) + 1 AS pr FROM (SELECT *, {AABB_SQL} FROM page_blocks)),
-f AS (SELECT *, greatest(coalesce(max(r) OVER (PARTITION BY doc_id, row_id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), pl), pl) AS at FROM b)
-SELECT doc_id, page, row_id, at AS l, l AS r FROM f WHERE l > at UNION ALL SELECT doc_id, page, row_id, max(r), max(pr) FROM f GROUP BY ALL"""
+f AS (SELECT *, greatest(coalesce(max(r) OVER (PARTITION BY doc_id, row_id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), pl), pl) AS pos FROM b)
+SELECT doc_id, page, row_id, pos AS l, l AS r FROM f WHERE l > pos UNION ALL SELECT doc_id, page, row_id, max(r), max(pr) FROM f GROUP BY ALL"""
 
 
 def _win11(spark, sf_dir):
@@ -134,8 +134,8 @@ def _hits_sql(q: str, n: str, loc: str) -> str:
     return f"""
 SELECT doc_id, page, block_id, CAST({x} AS INTEGER) AS x, CAST({y} AS INTEGER) AS y FROM (
     SELECT *, {_CORNERS}, {ratio_sql('text', 'st')} AS s, {ratio_sql('text', f'(st + {len(q)})')} AS e FROM (
-        SELECT *, instr({low}, '{q.lower()}') - 1 AS st, row_number() OVER (PARTITION BY doc_id, page ORDER BY block_id) AS at FROM page_blocks WHERE contains({low}, '{q.lower()}'))
-    WHERE at = {n})"""
+        SELECT *, instr({low}, '{q.lower()}') - 1 AS st, row_number() OVER (PARTITION BY doc_id, page ORDER BY block_id) AS pos FROM page_blocks WHERE contains({low}, '{q.lower()}'))
+    WHERE pos = {n})"""
 
 
 _FND03 = PB + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT {i} AS query_id, * FROM ({_hits_sql(q, n, loc)})" for i, q, n, loc in ((1, "the", 1, "center"), (2, "der", 2, "topleft"), (3, "zzz", 1, "center"), (4, "LA", 1, "bottomright"))) + ")"
@@ -164,12 +164,11 @@ def _jon13(spark, sf_dir):
     return J.gap_intersection(_gaps(spark, sf_dir, 0), _gaps(spark, sf_dir, 1), ("doc_id",))
 
 
-_JON13 = _WIN10.replace("\nSELECT doc_id, page, row_id, at AS l", "\n, g AS (SELECT doc_id, page, row_id, at AS l", 1) + """),
+_JON13 = _WIN10.replace("\nSELECT doc_id, page, row_id, pos AS l", "\n, g AS (SELECT doc_id, page, row_id, pos AS l", 1) + """),
 a AS (SELECT * FROM g WHERE row_id = 0), b AS (SELECT * FROM g WHERE row_id = 1)
 SELECT a.doc_id, 'kept' AS kind, greatest(a.l, b.l) AS l, least(a.r, b.r) AS r FROM a JOIN b ON a.doc_id = b.doc_id AND greatest(a.l, b.l) <= least(a.r, b.r)
 UNION ALL SELECT doc_id, 'new', l, r FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.doc_id AND greatest(a.l, b.l) <= least(a.r, b.r))
 UNION ALL SELECT doc_id, 'removed', l, r FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND greatest(a.l, b.l) <= least(a.r, b.r))"""
-_JON13 = _JON13.replace(")SELECT doc_id, page, row_id, at", ") SELECT doc_id, page, row_id, at")
 
 
 def _agg07(spark, sf_dir):

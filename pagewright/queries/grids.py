@@ -30,7 +30,7 @@ def _pag18(spark, sf_dir):
     return both.unionByName(heights.select("page_id", F.lit("row").alias("kind"), F.col("row").alias("at"), F.round("height", 6).alias("size")))
 
 
-_PAG18 = _RAW + """ SELECT page_id, 'col' AS kind, CAST(k AS INTEGER) AS at, 20.0::DOUBLE AS size FROM (SELECT DISTINCT page_id FROM raw), range(4) t(k)
+_PAG18 = _RAW + """ SELECT page_id, 'col' AS kind, CAST(k AS INTEGER) AS "at", 20.0::DOUBLE AS size FROM (SELECT DISTINCT page_id FROM raw), range(4) t(k)
 UNION ALL SELECT page_id, 'row', CAST(k AS INTEGER), 16.0 FROM (SELECT DISTINCT page_id, n FROM raw), range(13) t(k) WHERE k < n"""
 
 

@@ -195,9 +195,8 @@ def _agg19(spark, sf_dir):
     return both.unionByName(cols.select(*TABLE, F.lit("col").alias("kind"), "at", F.round("pct", 6).alias("pct")))
 
 
-_AGG19 = _SLOTS + """ SELECT DISTINCT page_id, 0 AS table_id, 'row' AS kind, "row" AS at, round(100.0 / n, 6) AS pct FROM slots
-UNION ALL SELECT page_id, 0, 'col', at, pct FROM (SELECT DISTINCT page_id, n FROM slots), (VALUES (0, 25.0), (1, 25.0), (2, 25.0), (3, 25.0)) t(at, pct) WHERE NOT (page_id % 5 = 0 AND n = 1)
-UNION ALL SELECT page_id, 0, 'col', at, 25.0 FROM (SELECT DISTINCT page_id, n FROM slots), range(4) t(at) WHERE page_id % 5 = 0 AND n = 1"""
+_AGG19 = _SLOTS + """ SELECT DISTINCT page_id, 0 AS table_id, 'row' AS kind, "row" AS "at", round(100.0 / n, 6) AS pct FROM slots
+UNION ALL SELECT page_id, 0, 'col', CAST(k AS INTEGER), 25.0 FROM (SELECT DISTINCT page_id FROM slots), range(4) t(k)"""
 
 
 def _raw(spark, sf_dir):

@@ -168,7 +168,7 @@ SELECT page_id, t, token, (t % 10) / 10.0::DOUBLE AS score, x1, y1, x2, y2 FROM
                 CASE WHEN m THEN ['<tr>', '<td></td>', '<td', ' colspan="2"', '>', '</td>', '<td></td>', '</tr>'] ELSE ['<tr>', '<td></td>', '<td></td>', '<td></td>', '<td></td>', '</tr>'] END AS l,
                 CASE WHEN m THEN [-1, 0, 1, -1, -1, -1, 3, -1] ELSE [-1, 0, 1, 2, 3, -1] END AS cs,
                 CASE WHEN m THEN [1, 1, 2, 1, 1, 1, 1, 1] ELSE [1, 1, 1, 1, 1, 1] END AS ws
-            FROM (SELECT *, page_id % 5 = 0 AND n >= 2 AND r = 0 AS m FROM order_rows)))))"""
+            FROM (SELECT *, page_id % 5 = 0 AND n >= 2 AND r = 0 AS m FROM order_rows))))"""
 
 
 def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
