@@ -165,10 +165,10 @@ def _jon13(spark, sf_dir):
 
 
 _JON13 = _WIN10.replace("\nSELECT doc_id, page, row_id, pos AS l", "\n, g AS (SELECT doc_id, page, row_id, pos AS l", 1) + """),
-a AS (SELECT * FROM g WHERE row_id = 0), b AS (SELECT * FROM g WHERE row_id = 1)
-SELECT a.doc_id, 'kept' AS kind, greatest(a.l, b.l) AS l, least(a.r, b.r) AS r FROM a JOIN b ON a.doc_id = b.doc_id AND greatest(a.l, b.l) <= least(a.r, b.r)
-UNION ALL SELECT doc_id, 'new', l, r FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.doc_id AND greatest(a.l, b.l) <= least(a.r, b.r))
-UNION ALL SELECT doc_id, 'removed', l, r FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND greatest(a.l, b.l) <= least(a.r, b.r))"""
+upper AS (SELECT * FROM g WHERE row_id = 0), lower AS (SELECT * FROM g WHERE row_id = 1)
+SELECT u.doc_id, 'kept' AS kind, greatest(u.l, v.l) AS l, least(u.r, v.r) AS r FROM upper u JOIN lower v ON u.doc_id = v.doc_id AND greatest(u.l, v.l) <= least(u.r, v.r)
+UNION ALL SELECT doc_id, 'new', l, r FROM lower v WHERE NOT EXISTS (SELECT 1 FROM upper u WHERE u.doc_id = v.doc_id AND greatest(u.l, v.l) <= least(u.r, v.r))
+UNION ALL SELECT doc_id, 'removed', l, r FROM upper u WHERE NOT EXISTS (SELECT 1 FROM lower v WHERE u.doc_id = v.doc_id AND greatest(u.l, v.l) <= least(u.r, v.r))"""
 
 
 def _agg07(spark, sf_dir):

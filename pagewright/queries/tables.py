@@ -313,7 +313,7 @@ SELECT page_id, '<table style=''table-layout:fixed;width:100%''>' || chr(10) ||
 
 
 def _pag15(spark, sf_dir):
-    """A page with one short row has 33.33 % columns only if it has one row; all orders of this table have a full first row."""
+    """The first row of every order is full, so there are always four columns."""
     return TB.size_rows(TB.pad_rows(_short(spark, sf_dir)), D.grid_cells(spark, sf_dir))
 
 
@@ -346,7 +346,7 @@ QUERIES = {
     "jon_04_dividers": Query(_dividers, _DIV + " SELECT page_id, x1, x2, y1, y2, x FROM div"),
     "jon_05_adjacent_cells": Query(lambda s, d: J.adjacent_cells(D.grid_cells(s, d, far=True)), FAR + _JON05.format(t="far_cells") + " SELECT page_id, a, b FROM pairs"),
     "jon_06_nearest_delimiter": Query(_jon06, _JON06),
-    "jon_07_slot_cells": Query(_jon07, _SLOTS + ' SELECT page_id, table_id, "row", CASE WHEN page_id % 5 = 0 AND n = 1 THEN "col" ELSE "col" END AS "col", x1, y1, x2, y2 FROM slots'),
+    "jon_07_slot_cells": Query(_jon07, _SLOTS + ' SELECT page_id, table_id, "row", "col", x1, y1, x2, y2 FROM slots'),
     "jon_08_area_hit_ratio": Query(_jon08, _JON08),
     "jon_09_close_components": Query(_close, _CLOSE),
     "jon_10_attach_discarded": Query(_jon10, _JON10),
@@ -377,7 +377,7 @@ QUERIES = {
     "pag_12_table_html": Query(_pag12, _BORDERED.format(where="")),
     "pag_13_fill_placeholders": Query(_filled, _PAG13),
     "pag_14_pad_rows": Query(lambda s, d: TB.pad_rows(_short(s, d)), _PADDED.format(open="'<tr>'", head="'<table>'")),
-    "pag_15_size_rows": Query(_pag15, None),
+    "pag_15_size_rows": Query(_pag15, _SIZED),
     "tab_01_bordered_tables": Query(_tab01, _BORDERED.format(where="WHERE n >= 2")),
     "tab_02_structured_tables": Query(_tab02, _TAB02),
     "tab_04_page_metrics": Query(_tab04, None),
