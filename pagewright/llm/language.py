@@ -32,9 +32,9 @@ FAMILIES = {
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
 #: Hash buckets of the trigrams.
-BUCKETS = 1 << 13
+BUCKETS = 1 << 12
 #: Labelled texts that are taken for fitting, about, of each language.
-SAMPLE_PER_LANG = 1500
+SAMPLE_PER_LANG = 600
 UNKNOWN = "und"
 
 
@@ -145,7 +145,7 @@ def fit_sample(rows: list[tuple[str, np.ndarray]]) -> Model:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
     """Fit on about `per_lang` distinct texts of each language (all, if there are fewer), chosen by a hash of the text.
 
-    The bound: the driver gets languages * per_lang count vectors of BUCKETS half-precision numbers (16 KB each), and no
+    The bound: the driver gets languages * per_lang count vectors of BUCKETS half-precision numbers (8 KB each), and no
     text. Rows with a null language, a null text or no letter aren't used. Copies of a text count once.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
