@@ -8,6 +8,7 @@ against its gradient and is projected back onto 0 to `max_rate`. Only sums over
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -41,25 +42,37 @@ def n_tokens(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), r"\s+"), lambda w: w != "")).cast("long")
 
 
-def label_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, domain) of the documents in `labels`: toxic, else poor where the quality is 0, else good; null labels are none."""
+def label_domains(labels: DataFrame) -> DataFrame:
+    """(label_id, domain) of each labelled id: toxic, else poor where the quality is 0, else good; null labels are none.
+
+    An id that is labelled twice has the domain that comes last in the alphabet.
+    """
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good")
-    named = labels.select(F.col("doc_id").alias("label_id"), domain.alias("domain")).dropna().dropDuplicates(["label_id"])
-    return docs.select("doc_id", "text").join(named, F.col("doc_id") == F.col("label_id")).select("text", "domain")
+    named = labels.select(F.col("doc_id").cast("long").alias("label_id"), domain.alias("domain")).dropna()
+    return named.groupBy("label_id").agg(F.max("domain").alias("domain"))
 
 
-def fit_classifier(labelled: DataFrame, domains: list[str], buckets: int = BUCKETS, per_domain: int = SAMPLE_PER_DOMAIN) -> Model:
+def sample_labels(labelled: DataFrame, domains: list[str], per_domain: int = SAMPLE_PER_DOMAIN) -> tuple[DataFrame, dict[str, int]]:
+    """About `per_domain` rows of each domain of (label_id, domain), by a hash of the id; and the domains' whole row counts."""
+    rows = labelled.filter(F.col("domain").isin(domains))
+    sizes = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
+    share = F.create_map(*[F.lit(v) for d in domains for v in (d, min(1.0, per_domain / max(1, sizes.get(d, 0))))])
+    taken = F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < F.element_at(share, F.col("domain")) * 1_000_000
+    return materialise(rows.filter(taken)), sizes
+
+
+def fit_classifier(docs: DataFrame, labelled: DataFrame, domains: list[str], buckets: int = BUCKETS, per_domain: int = SAMPLE_PER_DOMAIN) -> Model:
     """For each domain the log odds of the buckets that tell it from the others; key -1 holds the log prior.
 
-    Fitted on about `per_domain` labelled rows of each domain, chosen by a hash of the text. The driver gets the telling
-    buckets only, at most `buckets` numbers a domain, and a few numbers for each row of one half of the sample, on which the
+    Fitted on the texts of about `per_domain` labelled ids of each domain, chosen by a hash of the id. The sample of ids is
+    broadcast (its bound is domains x per_domain), so no text is shuffled. The driver gets the telling buckets only, at most `buckets` numbers a domain, and a few numbers for each row of one half of the sample, on which the
     weights of the sums are fitted (key -1: a weight for each domain's sum, then the constant), so that a posterior
     is worth what it says; the other half gives the odds. A domain without rows gets a posterior of nearly 0.
     """
-    rows = labelled.filter(F.col("domain").isin(domains) & F.col("text").isNotNull())
-    sizes = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
-    share = F.create_map(*[F.lit(v) for d in domains for v in (d, min(1.0, per_domain / max(1, sizes.get(d, 0))))])
-    rows = materialise(rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.element_at(share, F.col("domain")) * 1_000_000))
+    sample, sizes = sample_labels(labelled, domains, per_domain)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).dropna()
+    rows = texts.join(F.broadcast(sample), texts.doc_id == sample.label_id).select("text", "domain")
+    rows = materialise(rows)
     bucket, half = F.pmod(F.xxhash64("token"), F.lit(buckets)), F.pmod(F.xxhash64(F.lit(7), "text"), F.lit(2)) == 0
     # Once for each text: a long text would otherwise outweigh the rest.
     each = rows.filter(half).select("domain", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).select("domain", bucket.alias("bucket"))
@@ -126,24 +139,26 @@ def sums_of(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     return rows.select(*keep, *[s.alias(f"s_{d}") for d, s in zip(model, sums, strict=True)])
 
 
-def memberships(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def memberships(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep_row: bool = False) -> DataFrame:
     """(doc_id, row_key, tokens, p_<domain>...): the posteriors of every row; row_key is a hash of id and text.
 
     A posterior is the softmax of the weighed sums of log odds, each bounded by LIMIT. A text without telling tokens has what
-    such texts have in the labelled table.
+    such texts have in the labelled table. With `keep_row` the whole row comes along, in the struct `row`.
     """
     names = list(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "_text").alias("row_key"), n_tokens(F.col("_text")).alias("tokens"), "_text")
-    rows = sums_of(rows, model, ["doc_id", "row_key", "tokens"])
+    row = [F.struct(*docs.columns).alias("row")] if keep_row else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("_text"), *row)
+    kept = ["doc_id", "row_key", "tokens", *(["row"] if keep_row else [])]
+    rows = rows.withColumn("row_key", F.xxhash64("doc_id", "_text")).withColumn("tokens", n_tokens(F.col("_text")))
+    rows = sums_of(rows.select(*kept, "_text"), model, kept)
     sums = [F.least(F.greatest(F.col(f"s_{d}"), F.lit(-LIMIT)), F.lit(LIMIT)) for d in names]
     powers = []
     for d in names:
         *weights, constant = model[d][-1]
         powers.append(F.exp(sum((F.lit(w) * c for w, c in zip(weights, sums, strict=True)), F.lit(constant))))
-    rows = rows.select("doc_id", "row_key", "tokens", *[p.alias(f"e_{d}") for d, p in zip(names, powers, strict=True)])
+    rows = rows.select(*kept, *[p.alias(f"e_{d}") for d, p in zip(names, powers, strict=True)])
     whole = sum((F.col(f"e_{d}") for d in names[1:]), F.col(f"e_{names[0]}"))
-    return rows.select("doc_id", "row_key", "tokens", *[(F.col(f"e_{d}") / whole).alias(f"p_{d}") for d in names])
+    return rows.select(*kept, *[(F.col(f"e_{d}") / whole).alias(f"p_{d}") for d in names])
 
 
 def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -160,27 +175,41 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [rows[i][n] / rows[i][i] if rows[i][i] else 0.0 for i in range(n)]
 
 
+def rate_of(steps: list[list[float]], p: list[Column], max_rate: float) -> Column:
+    """The rate after some steps from 1: each is taken along the posteriors, and projected back onto 0 to max_rate."""
+    if not steps:
+        return F.lit(1.0)
+    taken = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
+
+    def moved(rate: Column, step: Column) -> Column:
+        way = sum((F.get(step, F.lit(i)) * c for i, c in enumerate(p[1:], 1)), F.get(step, F.lit(0)) * p[0])
+        return F.least(F.greatest(rate - way, F.lit(0.0)), F.lit(max_rate))
+
+    return F.aggregate(taken, F.lit(1.0), moved)
+
+
 def fit_rates(members: DataFrame, targets: dict[str, float], total_tokens: float | None = None, max_rate: float = 4.0, rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
     """`members` with `rate`, from 0 to max_rate, such that expected domain tokens are as near the targets as can be.
 
     `targets` are weights, of `total_tokens` (those of all members, unless given). The gradient of a rate is tokens x (posterior . residual);
     it is scaled by the documents' tokens and by the inverse second moments of the posteriors of the rates that are still
-    free, so a few rounds do. Each round is one aggregate over numbers; rates are computed in the scan, and written
-    every tenth round to keep the expression short. It ends when the domains are off by `tolerance` of the total, or a
-    round gains nothing more, as where the targets can't be met.
+    free, so a few rounds do. Each round is one aggregate over numbers; a rate is computed from the steps so far, so it isn't
+    stored. It ends when the domains are off by `tolerance` of the total, or a round gains nothing more, as where the
+    targets can't be met. `members` is written once, and each round reads its numbers only.
     """
     domains = list(targets)
     weight = sum(targets.values()) or 1.0
-    rows = materialise(members.withColumn("rate", F.lit(1.0)))
-    rate = F.col("rate")
+    rows = materialise(members)
     p = [F.col(f"p_{d}") for d in domains]
     t = F.col("tokens").cast("double")
-    total, before = total_tokens, math.inf
-    for k in range(rounds):
-        free = F.when((rate > 0) & (rate < max_rate), t).otherwise(t * 1e-3)
-        sums = rows.agg(
-            F.sum(t).alias("t"),
-            *[F.sum(rate * t * p[i]).alias(f"a{i}") for i in range(len(p))],
+    total, before, steps = total_tokens, math.inf, []
+    for _ in range(rounds):
+        numbers = rows.select(t.alias("t"), *p, rate_of(steps, p, max_rate).alias("rate"))
+        rate, n = F.col("rate"), F.col("t")
+        free = F.when((rate > 0) & (rate < max_rate), n).otherwise(n * 1e-3)
+        sums = numbers.agg(
+            F.sum(n).alias("t"),
+            *[F.sum(rate * n * p[i]).alias(f"a{i}") for i in range(len(p))],
             *[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(len(p)) for j in range(i, len(p))],
         ).first()
         if not sums.t:
@@ -191,30 +220,23 @@ def fit_rates(members: DataFrame, targets: dict[str, float], total_tokens: float
             break
         before = now
         moments = [[sums[f"m{min(i, j)}_{max(i, j)}"] / total for j in range(len(p))] for i in range(len(p))]
-        step = _solve(moments, off)
-        moved = rate - sum((F.lit(s) * c for s, c in zip(step[1:], p[1:], strict=True)), F.lit(step[0]) * p[0])
-        rate = F.least(F.greatest(moved, F.lit(0.0)), F.lit(max_rate))
-        if k % 10 == 9:
-            rows, rate = materialise(rows.withColumn("rate", rate)), F.col("rate")
-    return rows.withColumn("rate", rate)
+        steps.append(_solve(moments, off))
+    return rows.withColumn("rate", rate_of(steps, p, max_rate))
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, **params) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep_row: bool = False, **params) -> DataFrame:
     """(doc_id, row_key, tokens, p_<domain>..., rate) of every row of `docs`: fit the classifier on `labels`, then the rates.
 
     Null and empty texts have no tokens and the prior posterior; their rates follow from it. Equal rows get equal rates.
-    With no labels every posterior is even; with no rows or no tokens the rates stay 1. Nothing wider than numbers is shuffled,
-    but the labelled texts' join. Other columns play no part.
+    With no labels every posterior is even; with no rows or no tokens the rates stay 1. Nothing wider than numbers is shuffled.
+    Other columns play no part.
     """
-    model = fit_classifier(label_domains(docs, labels), list(targets))
-    return fit_rates(memberships(docs, model), targets, **params)
-
-
-def apply_rates(docs: DataFrame, rated: DataFrame, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with each row repeated floor(rate) times, and once more with the chance of the remainder, by a seeded hash of the row."""
-    rates = rated.groupBy("row_key").agg(F.max("rate").alias("_rate"))
-    key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    luck = F.pmod(F.xxhash64(F.lit(seed), F.col("_key")), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor("_rate") + F.when(luck < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key")).join(rates.withColumnRenamed("row_key", "_key"), "_key")
-    return rows.select("_row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("_row.*")
+    model = fit_classifier(docs, label_domains(labels), list(targets))
+    return fit_rates(memberships(docs, model, keep_row=keep_row), targets, **params)
+
+
+def apply_rates(rated: DataFrame, seed: int = 42) -> DataFrame:
+    """The rows in `row`, each repeated floor(rate) times, and once more with the chance of the remainder, by a seeded hash of the row."""
+    luck = F.pmod(F.xxhash64(F.lit(seed), F.col("row_key")), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return rated.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")
