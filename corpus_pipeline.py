@@ -32,7 +32,7 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.apply_rates(docs, materialise(mixing.mix(docs, table(spark, sf_dir, "labels"))))
+    return mixing.apply_rates(mixing.mix(docs, table(spark, sf_dir, "labels"), keep_row=True))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
