@@ -54,7 +54,7 @@ def preprocess(blocks: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     moved = tilted & ((F.col("_x") < 0) | (F.col("_y") < 0))
     shift = {"l": "_x", "r": "_x", "t": "_y", "b": "_y"}
     rows = rows.withColumns(page_min).withColumns({c: F.when(moved, F.col(c) - F.col(s)).otherwise(F.col(c)) for c, s in shift.items()})
-    order = Window.partitionBy(*keys).orderBy("t", "block_id")
+    order = Window.partitionBy(*keys).orderBy(F.round("t", 6), "block_id")  # what turning adds in the last digits is no order
     return rows.withColumn("seq", F.row_number().over(order) - 1).drop("_angle", "_turn", "_x", "_y")
 
 

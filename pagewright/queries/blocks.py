@@ -115,7 +115,7 @@ pre AS (SELECT doc_id, page, block_id, text, CASE WHEN tilted AND (x < 0 OR y <
 
 
 _PAG01 = SKEW + ", " + _pre_sql("skew_blocks") + """
-SELECT doc_id, page, block_id, round(l, 5) AS l, round(t, 5) AS t, round(r, 5) AS r, round(b, 5) AS b, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY round(t, 7), block_id) - 1 AS INTEGER) AS seq FROM pre"""
+SELECT doc_id, page, block_id, round(l, 5) AS l, round(t, 5) AS t, round(r, 5) AS r, round(b, 5) AS b, CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY round(t, 6), block_id) - 1 AS INTEGER) AS seq FROM pre"""
 
 
 def _queries_table(spark):
