@@ -22,18 +22,19 @@ BUCKET_DIGITS = 4
 def _placed(rows: DataFrame, keys: list[str], order: list, place: str) -> DataFrame:
     """`rows` with `place`: the place from 0 in `order` within keys[:-1], where keys[-1] is a bucket that follows the order."""
     counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    if len(keys) > 1:
-        before = Window.partitionBy(*keys[:-1]).orderBy(keys[-1])
-        counts = counts.withColumn("_before", F.sum("_n").over(before) - F.col("_n"))
-    else:  # one order over all rows: first within 256 stretches of buckets, then over the 256 stretches
-        counts = counts.withColumn("_high", F.expr(f"{keys[0]} div {16 ** BUCKET_DIGITS // 256}"))
-        stretches = counts.groupBy("_high").agg(F.sum("_n").alias("_m"))
-        stretches = stretches.select("_high", (F.sum("_m").over(Window.orderBy("_high")) - F.col("_m")).alias("_earlier"))
-        inside = F.sum("_n").over(Window.partitionBy("_high").orderBy(keys[0])) - F.col("_n")
-        counts = counts.withColumn("_before", inside).join(stretches, "_high")
-        counts = counts.withColumn("_before", F.col("_before") + F.col("_earlier"))
+    # The rows before a bucket: those in earlier stretches of buckets, and those in earlier buckets of its stretch. There
+    # are 256 stretches, each of at most 16**BUCKET_DIGITS / 256 buckets, so no window is larger than that.
+    *outer, bucket = keys
+    number = F.conv(bucket, 16, 10).cast("long") if rows.schema[bucket].dataType.simpleString() == "string" else F.col(bucket)
+    counts = counts.withColumn("_stretch", F.floor(number / (16**BUCKET_DIGITS // 256)))
+    inside = F.sum("_n").over(Window.partitionBy(*outer, "_stretch").orderBy(bucket)) - F.col("_n")
+    stretches = counts.groupBy(*outer, "_stretch").agg(F.sum("_n").alias("_m"))
+    earlier = F.sum("_m").over(Window.partitionBy(*outer).orderBy("_stretch")) - F.col("_m")
+    stretches = stretches.select(*outer, "_stretch", earlier.alias("_earlier"))
+    counts = counts.withColumn("_inside", inside).join(stretches, [*outer, "_stretch"])
+    counts = counts.select(*keys, (F.col("_inside") + F.col("_earlier")).alias("_before"))
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    joined = rows.withColumn(place, within).join(counts.select(*keys, "_before"), keys)
+    joined = rows.withColumn(place, within).join(counts, keys)
     return joined.withColumn(place, F.col(place) + F.col("_before")).drop("_before")
 
 
