@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.geometry import block_angle
 from pagewright.functions.params import char_length_choice
 from pagewright.operators.filters import PAGE
+from pagewright.operators.pages import by_group
 from pagewright.operators.windows import band_by_gap
 
 
@@ -121,21 +122,26 @@ def shared_table(df: DataFrame) -> DataFrame:
 def table_clusters(cells: DataFrame, pairs: DataFrame, key: str = "page_id") -> DataFrame:
     """Cells (page_id, cell_id, ...) with `table_id`: the least cell_id that adjacency (page_id, a, b) reaches.
 
-    Each round takes the least label among the neighbours, then the label of that label; rounds grow with the logarithm of
-    the longest chain. Every round's labels are written to the shared folder.
+    Adjacency never leaves a page, so one shuffle by page and a union of each page's own pairs do; no rounds over all pages.
     """
-    edges = shared_table(pairs.select(key, "a", "b").unionByName(pairs.select(key, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = shared_table(cells.select(key, F.col("cell_id").alias("a"), F.col("cell_id").alias("label")).distinct())
-    while True:
-        heard = edges.join(labels.select(key, F.col("a").alias("b"), "label"), [key, "b"]).groupBy(key, "a").agg(F.min("label").alias("_heard"))
-        best = labels.join(heard, [key, "a"], "left").select(key, "a", "label", F.least("label", F.coalesce("_heard", "label")).alias("_new"))
-        roots = best.select(key, F.col("a").alias("_new"), F.col("_new").alias("_root"))
-        now = shared_table(best.join(roots, [key, "_new"], "left").select(key, "a", F.col("label").alias("_old"), F.least("_new", F.coalesce("_root", "_new")).alias("label")))
-        done = now.filter("label <> _old").isEmpty()
-        labels = now.drop("_old")
-        if done:
-            break
-    return cells.join(labels.select(key, F.col("a").alias("cell_id"), F.col("label").alias("table_id")), [key, "cell_id"])
+
+    def rule(items: list[list[int]]) -> list[tuple]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for a, b in items:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+        return [(x, root(x)) for x in list(parent)]
+
+    groups = pairs.groupBy(key).agg(F.collect_list(F.array(F.col("a").cast("int"), F.col("b").cast("int"))).alias("items"))
+    labels = by_group(groups, rule, (key,), "cell_id int, table_id int")
+    joined = cells.join(labels, [key, "cell_id"], "left")
+    return joined.withColumn("table_id", F.coalesce("table_id", F.col("cell_id").cast("int")))
 
 
 def component_boxes(rows: DataFrame, keys: tuple[str, ...] = ("page_id", "label")) -> DataFrame:
