@@ -25,7 +25,7 @@ DEPTH = 7
 #: Vectors that the trees are fitted on, at most about: 5 MB of 64 floats each on the driver.
 SAMPLE = 20_000
 #: A query opens leaves until they hold this share of all vectors, counting a vector once for each tree; k + 1 at least.
-SEARCH_SHARE = 1.3
+SEARCH_SHARE = 1.5
 #: Vectors, and queries, in a block.
 BLOCK = 4096
 QUERY_BLOCK = 512
