@@ -1,0 +1,156 @@
+"""Near-duplicates by Jaccard similarity of word shingles: banded MinHash finds pairs, exact similarity verifies them.
+
+The pipeline's rule: two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of at
+least 0.8. A signature of 96 minima is cut into 24 bands of 4; texts that share a band are candidates. A pair at 0.8
+shares none with probability (1 - 0.8**4)**24 = 3e-6, one at 0.9 with 1e-11. Equal sets are one node throughout.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pagewright.llm.common import BROADCAST_ROWS, connected_components, keep_matching, materialise
+
+SHINGLE = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 24, 4
+
+_WORD = re.compile(r"[^\W_]+")
+_RANDOM = np.random.default_rng(42)
+_XOR = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
+_MULTIPLY = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+_PLACE = _RANDOM.integers(0, 1 << 64, ROWS, np.uint64) | np.uint64(1)
+_BAND = _RANDOM.integers(0, 1 << 64, BANDS, np.uint64)
+_FOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _FOLD
+    return x ^ (x >> np.uint64(29))
+
+
+def shingle_set(text: str | None, n: int = SHINGLE) -> np.ndarray:
+    """The distinct 64-bit hashes of a whole text's shingles, sorted.
+
+    Words are lower-cased runs of letters and digits. Fewer than n words are one shingle, the whole sequence; without words
+    there is none.
+    """
+    words = _WORD.findall((text or "").lower())
+    if not words:
+        return np.empty(0, np.uint64)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    runs = max(1, len(words) - n + 1)
+    out = np.full(runs, min(n, len(words)), np.uint64)
+    for k in range(min(n, len(words))):
+        out = _mixed(out ^ hashes[k : k + runs])
+    return np.unique(out)
+
+
+def key_of(shingles: np.ndarray) -> int:
+    """What stands for a set of shingles: a hash of all of it, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes())).view(np.int64))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A hash for each band of the MinHash signature, as signed longs; none for an empty set."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), 2048):
+        least = np.minimum(least, ((shingles[at : at + 2048, None] ^ _XOR) * _MULTIPLY).min(axis=0))
+    parts = (_mixed(least).reshape(BANDS, ROWS) * _PLACE).sum(axis=1, dtype=np.uint64)
+    return _mixed(parts ^ _BAND).view(np.int64)
+
+
+def _arrays(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    values = np.concatenate(rows) if rows else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in (batch.slice(at, 256) for at in range(0, len(batch), 256)):
+            sets = [shingle_set(t.as_py()) for t in part.column(1)]
+            keys = pa.array([key_of(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), keys, _arrays([bands(s) for s in sets])], ["doc_id", "key", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in (batch.slice(at, 256) for at in range(0, len(batch), 256)):
+            sets = [shingle_set(t.as_py()) for t in part.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.int64()), _arrays(sets)], ["key", "shingles"])
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of keys whose sets have at least that Jaccard similarity."""
+    one = sets.select(F.col("key").alias("a"), F.col("shingles").alias("shingles_a"))
+    other = sets.select(F.col("key").alias("b"), F.col("shingles").alias("shingles_b"))
+    both = pairs.join(one, "a").join(other, "b")
+    shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    either = F.size("shingles_a") + F.size("shingles_b") - shared
+    return both.filter(shared >= similarity * either - 1e-9).select("a", "b")
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per input row: doc_id and component_id, the smallest doc_id that links of near copies reach, itself included.
+
+    In a band that many texts share each is first compared with the band's two outermost keys; only texts that this leaves
+    in different components are then compared pair by pair, so that a large group of near copies costs what its size is.
+    Pairs left out are within one component already. Texts without words are equal to each other.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    prints = materialise(rows.mapInArrow(_signed, "doc_id long, key long, bands array<long>"))
+    nodes = prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
+    spread = materialise(nodes.select("key", "doc_id", F.explode("bands").alias("band")))
+    shared = spread.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
+    shared = materialise(shared)
+    side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    members = materialise(spread.join(side, "band"))
+    ids = materialise(members.select(F.col("doc_id").alias("member_id")).distinct())
+    wanted = keep_matching(rows, ids, F.col("doc_id").eqNullSafe(F.col("member_id")), "left_semi")
+    sets = materialise(wanted.select("text").mapInArrow(_sets, "key long, shingles array<long>").dropDuplicates(["key"]))
+
+    ends = members.select(*_pair("key", "low")).unionByName(members.select(*_pair("key", "high")))
+    first = materialise(ends.filter("a <> b").distinct())
+    links = materialise(_verified(first, sets, similarity))
+    linked = materialise(connected_components(links))
+    placed = members.join(linked, members.key == linked.node, "left").select("band", "key", F.coalesce("component", "key").alias("part"))
+    placed = materialise(placed)
+    mixed = placed.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("band")
+    open_ = materialise(placed.join(mixed, "band"))
+    left = open_.select("band", F.col("key").alias("x"), F.col("part").alias("part_x"))
+    right = open_.select("band", F.col("key").alias("y"), F.col("part").alias("part_y"))
+    rest = left.join(right, (left.band == right.band) & (F.col("part_x") < F.col("part_y"))).select(*_pair("x", "y")).distinct()
+    rest = materialise(rest.join(first, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        linked = materialise(connected_components(links.unionByName(_verified(rest, sets, similarity))))
+
+    heads = prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
+    heads = heads.join(linked, heads.key == linked.node, "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    heads = materialise(heads)
+    least = heads.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return prints.select("doc_id", "key").join(heads.join(least, "component").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The documents with one of each group of near copies left: the one with the smallest id.
+
+    Of repeated rows of that id all stay, as an id stands for one document. Rows without an id stay too: no decision can
+    name them.
+    """
+    found = similar_texts(docs, id_col, text_col, similarity)
+    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    return keep_matching(docs, gone, F.col(id_col) == F.col("gone_id"), "left_anti")
