@@ -146,12 +146,13 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     """Fit on about `per_lang` distinct texts of each language (all, if there are fewer), chosen by a hash of the text.
 
     The bound: the driver gets languages * per_lang count vectors of BUCKETS half-precision numbers (8 KB each), and no
-    text. Rows with a null language, a null text or no letter aren't used. Copies of a text count once.
+    text. Rows with a null language, a null text or no letter aren't used. Copies of a text count once, in the share taken too.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash")
     )
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    lettered = rows.filter(F.col("text").rlike(r"\p{L}")).select("lang", "hash").distinct()
+    sizes = {r.lang: r["count"] for r in lettered.groupBy("lang").count().collect()}
     if not sizes:
         return fit_sample([])
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, per_lang / n))])

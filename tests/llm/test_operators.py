@@ -140,6 +140,15 @@ def test_language_without_or_with_one_label(spark):
     assert {r.lang_pred for r in language.identify(docs, one).collect()} == {"und", "de"}
 
 
+def test_language_of_copies_and_letterless_texts_is_learned_whole(spark, monkeypatch):
+    few = [(f"satz nummer {k * k} von {chr(97 + k)}", "de") for k in range(20)] + [(f"sentence number {k * k} of {chr(97 + k)}", "en") for k in range(20)]
+    copies = spark.range(20_000).select(F.lit("immer der gleiche satz").alias("text"), F.lit("de").alias("lang"))
+    signs = spark.range(20_000).select(F.concat(F.col("id"), F.lit(" !")).alias("text"), F.lit("en").alias("lang"))
+    monkeypatch.setattr(language, "fit_sample", lambda rows: sorted(lang for lang, _ in rows))
+    got = language.fit(spark.createDataFrame(few, "text string, lang string").unionByName(copies).unionByName(signs), per_lang=60)
+    assert got == ["de"] * 21 + ["en"] * 20
+
+
 def test_language_slices_of_long_texts():
     text = "über das Maß hinaus " * 70_000
     whole = language.counts(text)
