@@ -46,6 +46,14 @@ CANONICAL = [
 REFRESH = [r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""]
 
 
+#: The same redirect with its content first. Apart, as the given SQL is made of the patterns above.
+REFRESH_FIRST = [
+    r"""(?is)<meta\b[^>]*\bcontent\s*=\s*"[^">]*?\burl\s*=\s*'?([^"'\s>]+)[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
+    r"""(?is)<meta\b[^>]*\bcontent\s*=\s*'[^'>]*?\burl\s*=\s*"?([^"'\s>]+)[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
+    r"""(?is)<meta\b[^>]*\bcontent\s*=\s*[^"'\s>]*?\burl\s*=\s*([^"'\s>]+)[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
+]
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -80,21 +88,44 @@ def node_of(url: Column) -> Column:
 
 
 def absolute(base: Column, target: Column) -> Column:
-    """`target` as an absolute URL: as it is, with the base's scheme (`//host`), or on the base's host (`/path`); else null."""
+    """`target` as an absolute URL, as RFC 3986 resolves it against `base`; null if it is relative and the base has no host.
+
+    With a scheme as it is; else with the base's scheme (`//host`), host (`/path`), path (`?query`, `#fragment`) or folder
+    (`name`). `.` and `..` segments of paths are worked off; absolute targets stay as they are.
+    """
     scheme = F.regexp_extract(base, r"(?s)^(.*?):/", 1)
     root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    path, query = path_of(base), F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_extract(path, r"(?s)^(.*/)", 1))
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)", 1)
+    joined = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    whole = F.when((own == "") & rest.startswith("?"), F.concat(root, path, rest)).when(own == "", F.concat(root, path, query, rest))
     return (
-        F.when(target.contains("://"), target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
         .when(target.startswith("//") & (scheme != ""), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/") & (root != ""), F.concat(root, target))
+        .when(root != "", whole.otherwise(F.concat(root, without_dots(joined), rest)))
     )
 
 
+def without_dots(path: Column) -> Column:
+    """A path that begins with `/`, with its `.` and `..` segments worked off."""
+    parts = F.split(F.substring(path, 2, F.length(path)), "/", -1)
+    none = F.array().cast("array<string>")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.when(F.size(done) > 0, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    done = F.aggregate(parts, none, step)
+    end = F.when(F.element_at(parts, -1).isin(".", "..") & (F.size(done) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(F.concat(F.lit("/"), path, F.lit("/")).rlike(r"/\.\.?/"), F.concat(F.lit("/"), F.array_join(done, "/"), end)).otherwise(path)
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, target): canonical links and immediate redirects that the pages' HTML names. Relative paths aren't resolved."""
+    """(url, target): all canonical links and redirects that the pages' HTML names, relative ones resolved against the page's URL."""
     html = F.regexp_replace(F.col(html_col), "&amp;", "&")
     wanted = F.col(html_col).rlike(r"(?i)canonical|http-equiv")
-    targets = F.array(*[F.regexp_extract(html, p, 1) for p in [*CANONICAL, *REFRESH]])
+    targets = F.flatten(F.array(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in [*CANONICAL, *REFRESH, *REFRESH_FIRST]]))
     rows = pages.filter(wanted & F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), F.explode(targets).alias("target"))
     return rows.filter("target <> ''").select("url", absolute(F.col("url"), F.col("target")).alias("target")).dropna()
 

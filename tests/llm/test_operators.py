@@ -367,6 +367,24 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0 and urls.judge(df, html_col=None).count() == len(pages)
 
 
+def test_urls_follow_every_form_of_alias(spark):
+    base = "http://a.net/x/y/p.html?q=1#f"
+    wanted = {"de/9.html": "/x/y/de/9.html", "../z": "/x/z", "../../../z": "/z", "./": "/x/y/", "..": "/x/", "?p=1": "/x/y/p.html?p=1", "#g": "/x/y/p.html?q=1#g", "/k/../m?u=../n": "/m?u=../n"}
+    df = spark.createDataFrame([*((base, t, f"http://a.net{w}") for t, w in wanted.items()), ("http://a.net", "b", "http://a.net/b"), (base, "//b.net/c", "http://b.net/c"), (base, "HTTP://b.net/c", "HTTP://b.net/c"), ("no host", "b", None), (base, "go?to=http://b.net/", "http://a.net/x/y/go?to=http://b.net/")], "base string, target string, want string")
+    rows = df.select("target", "want", urls.absolute(F.col("base"), F.col("target")).alias("got")).collect()
+    assert [(r.target, r.got) for r in rows] == [(r.target, r.want) for r in rows]
+    refresh = "<meta content={} http-equiv={}>"
+    pages = [
+        (1, "http://shop.com/x/1", refresh.format('"0; url=../de/9.html"', '"refresh"')),
+        (2, "http://y.net/b", refresh.format("'0;URL=http://shop.com/de/1'", "refresh")),
+        (3, "http://z.net/c", refresh.format("0;url=http://shop.com/de/1", "'Refresh'")),
+        (4, "http://v.net/d", '<link rel="canonical" href="http://v.net/e"><link rel="canonical" href="http://shop.com/de/2">'),
+        (5, "http://u.net/d", '<meta content="url=http://shop.com/de/3" name="x"><meta http-equiv="refresh" content="5">'),
+    ]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 # ---- 10 ----
 
 
