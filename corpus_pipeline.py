@@ -1,7 +1,8 @@
 """From documents to training shards in five stages, each written as Parquet and read by the next.
 
 1. Language: documents without a known language (no text, or no letter) go.
-2. Near-duplicates: texts whose five-word shingles have a Jaccard similarity of 0.8 or more; the smallest id of each group stays.
+2. Near-duplicates: texts within 14 bits of one another's SimHash whose five-word shingles have a Jaccard similarity of 0.8 or more; the
+   smallest id of each group stays.
 3. Decontamination: documents that hold 80 % of a benchmark item's five-word shingles go.
 4. Mixing: rows are repeated or left out by rates that bring the expected tokens of the label domains to their targets.
 5. Sharding: 40 shards of equal row counts, each with all sources in their shares.
@@ -15,7 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import decontaminate, language, mixing, shards, similar
+from pagewright.llm import decontaminate, language, mixing, neardup, shards
 from pagewright.llm.common import materialise, table
 
 
@@ -24,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.keep_one(docs)
+    return neardup.keep_one(docs)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pagewright.llm import mixing
 from pagewright.llm.decontaminate import contaminated
+from pagewright.llm.neardup import RADIUS
 from pagewright.llm.oracles import ORACLES
 from pagewright.llm.queries import QUERIES
 from tests.llm.test_operators import brute_components, brute_nearest, brute_secrets, naive_simhash
+from tests.llm.test_similar import brute_heads
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -102,7 +104,7 @@ def test_pipeline_stages(spark, sf_dir):
     assert kept.columns == docs.columns
     assert rows == {r.doc_id: r for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
 
-    _, heads = heads_of({d: r.text for d, r in rows.items()})
+    heads = brute_heads({d: r.text for d, r in rows.items()}, RADIUS)
     kept = stages["near_duplicates"](spark, kept, sf_dir)
     left = {d: rows[d] for d, h in heads.items() if d == h}
     assert kept.columns == docs.columns and {r.doc_id: r for r in kept.collect()} == left

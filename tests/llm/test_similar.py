@@ -5,38 +5,51 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
-from pagewright.llm import similar
+from pagewright.llm import neardup
 from tests.llm.test_operators import documents
 
 
-def brute_heads(rows):
-    """doc_id -> smallest doc_id that links of Jaccard similarity 0.8 reach."""
+def word_sets(rows):
+    """doc_id -> the set of its five-word shingles."""
     sets = {}
     for d, text in rows.items():
         w = re.findall(r"[^\W_]+", (text or "").lower())
         sets[d] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-    head = {d: d for d in rows}
-    changed = True
+    return sets
+
+
+def brute_heads(rows, radius=64, similarity=0.8):
+    """doc_id -> smallest doc_id that links reach: of that Jaccard similarity, and with fingerprints at most `radius` bits apart."""
+    sets = word_sets(rows)
+    fps = {d: neardup.majority(neardup.shingle_set(t)) for d, t in rows.items()}
+    links = [(a, b) for a, s in sets.items() for b, t in sets.items() if a < b and (s == t or (len(s & t) >= similarity * len(s | t) and bin(fps[a] ^ fps[b]).count("1") <= radius))]
+    head, changed = {d: d for d in rows}, True
     while changed:
         changed = False
-        for a, s in sets.items():
-            for b, t in sets.items():
-                if head[b] < head[a] and (s == t or len(s & t) >= 0.8 * len(s | t)):
-                    head[a], changed = head[b], True
+        for a, b in links:
+            if head[a] != head[b]:
+                head[a] = head[b] = min(head[a], head[b])
+                changed = True
     return head
 
 
 def test_stage_drops_near_copies_of_the_tables(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    heads = brute_heads({r.doc_id: r.text for r in docs.collect()})
+    rows = {r.doc_id: r.text for r in docs.collect()}
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, h in heads.items() if d == h}
-    assert heads[177] == 1 and heads[185] == 106, "similarities 0.836 and 0.805, 11 and 5 bits of SimHash apart"
+    got = {r.doc_id for r in kept.collect()}
+    heads = brute_heads(rows, neardup.RADIUS)
+    assert kept.columns == docs.columns and got == {d for d, h in heads.items() if d == h}
+    near = {d for d, h in brute_heads(rows).items() if d != h}
+    assert not (set(rows) - got) - near, "no clean document goes"
+    assert near and len(near & got) <= 0.1 * len(near), "the radius misses few"
 
 
-def test_stage_follows_chains_and_keeps_what_is_below(spark):
+@pytest.mark.parametrize("tile", [4, 4096])
+def test_stage_follows_chains_and_keeps_what_is_below(spark, tile):
     rng = np.random.default_rng(1)
     words = [f"w{k}" for k in rng.integers(0, 10**6, 300)]
     rows = {1: " ".join(words)}
@@ -47,9 +60,30 @@ def test_stage_follows_chains_and_keeps_what_is_below(spark):
     far = list(words)
     far[::12] = ["other"] * len(far[::12])
     rows |= {50: " ".join(far), 51: "two words", 52: "Two  words!", 53: "two other", 54: None, 55: "", 56: "?"}
-    docs = documents(spark, [*((d, t, "en", "a") for d, t in rows.items()), (None, rows[1], "en", "a"), (1, rows[1], "en", "a")])
-    heads = brute_heads(rows)
-    got = [r.doc_id for r in similar.keep_one(docs).collect()]
-    assert heads[29] == 1 and heads[50] == 50
-    assert sorted(got, key=str) == sorted([None, 1, *(d for d, h in heads.items() if d == h)], key=str)
-    assert similar.keep_one(documents(spark, [])).count() == 0
+    clash = " ".join(f"v{k}" for k in range(40))
+    docs = documents(spark, [*((d, t, "en", "a") for d, t in rows.items()), (None, rows[1], "en", "a"), (1, rows[1], "en", "a"), (2, clash, "en", "a")])
+    heads = brute_heads(rows, neardup.RADIUS)
+    kept = neardup.keep_one(docs, tile=tile)
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns and heads[29] == 1 and heads[50] == 50
+    want = [(None, rows[1]), (1, rows[1]), (2, clash), *((d, rows[d]) for d, h in heads.items() if d == h)]
+    assert got == sorted(want, key=str), "a row is judged by its own text, also where its id repeats"
+    assert neardup.keep_one(documents(spark, [])).count() == 0
+
+
+def test_large_groups_around_the_similarity(spark):
+    """Copies with a tenth of their words changed: near the original, of which some are near one another and some aren't."""
+    rng = np.random.default_rng(2)
+    rows, at = {}, 0
+    for group in range(3):
+        words = [f"g{group}w{k}" for k in range(200)]
+        for _ in range(60):
+            own = list(words)
+            for k in rng.integers(0, 200, int(rng.integers(2, 9))):
+                own[k] = f"n{rng.integers(10**9)}"
+            rows[at] = " ".join(own)
+            at += 1
+    heads = brute_heads(rows, neardup.RADIUS)
+    found = neardup.near_copies(documents(spark, [(d, t, "en", "a") for d, t in rows.items()]), tile=16).collect()
+    assert {r.doc_id: r.component_id for r in found} == heads
+    assert len(set(heads.values())) > 3, "some are apart from their group"
