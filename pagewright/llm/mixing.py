@@ -3,13 +3,14 @@
 A classifier fitted on a labelled table gives each document a posterior over domains. Each document gets a rate, how
 often it is to be used; a domain's expected tokens are the sum over documents of rate x tokens x posterior. Rates start at
 1 and are fitted by projected gradient descent on the squared difference from the target tokens: a step moves each rate
-against its gradient and is projected back onto 0 to `max_rate`. Only sums over domains reach the driver.
+against its gradient and is projected back onto 0 to `max_rate`, and only steps that lessen the difference are kept, so
+the rates end at the least squares also where the targets are out of reach. Only sums over domains reach the driver.
 """
 
 from __future__ import annotations
 
 import json
-import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -175,53 +176,105 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [rows[i][n] / rows[i][i] if rows[i][i] else 0.0 for i in range(n)]
 
 
-def rate_of(steps: list[list[float]], p: list[Column], max_rate: float) -> Column:
-    """The rate after some steps from 1: each is taken along the posteriors, and projected back onto 0 to max_rate."""
+@dataclass(frozen=True)
+class Step:
+    """A rate moves by minus `along` . posteriors. One at a bound that `push` . posteriors, its gradient, drives outward stays there."""
+
+    along: list[float]
+    push: list[float]
+
+
+@dataclass(frozen=True)
+class Fit:
+    """The steps from rates of 1; what the domains' shares of the total tokens are to be and have become; the sum of squared differences."""
+
+    steps: list[Step]
+    wanted: list[float]
+    reached: list[float]
+    error: float
+
+
+def _dot(weights: list[Column], p: list[Column]) -> Column:
+    return sum((w * c for w, c in zip(weights[1:], p[1:], strict=True)), weights[0] * p[0])
+
+
+def moved(rate: Column, along: Column, push: Column, max_rate: float) -> Column:
+    """The rate after one step, projected back onto 0 to max_rate."""
+    held = ((rate <= 0) & (push > 0)) | ((rate >= max_rate) & (push < 0))
+    return F.when(held, rate).otherwise(F.least(F.greatest(rate - along, F.lit(0.0)), F.lit(max_rate)))
+
+
+def rate_of(steps: list[Step], p: list[Column], max_rate: float) -> Column:
+    """The rate after some steps from 1."""
     if not steps:
         return F.lit(1.0)
-    taken = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
+    taken = F.from_json(F.lit(json.dumps([s.along + s.push for s in steps])), "array<array<double>>")
+    k = len(p)
+
+    def step(rate: Column, s: Column) -> Column:
+        along, push = ([F.get(s, F.lit(i)) for i in range(at, at + k)] for at in (0, k))
+        return moved(rate, _dot(along, p), _dot(push, p), max_rate)
+
+    return F.aggregate(taken, F.lit(1.0), step)
 
-    def moved(rate: Column, step: Column) -> Column:
-        way = sum((F.get(step, F.lit(i)) * c for i, c in enumerate(p[1:], 1)), F.get(step, F.lit(0)) * p[0])
-        return F.least(F.greatest(rate - way, F.lit(0.0)), F.lit(max_rate))
 
-    return F.aggregate(taken, F.lit(1.0), moved)
+#: Lengths that are tried of a step to the least squares of the free rates, and of one along the gradient.
+LENGTHS = ((1.0, 0.5, 0.25, 0.1, 0.03, 0.01), (8.0, 2.0, 0.5, 0.1, 0.01, 0.001))
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], total_tokens: float | None = None, max_rate: float = 4.0, rounds: int = 40, tolerance: float = 1e-4) -> DataFrame:
-    """`members` with `rate`, from 0 to max_rate, such that expected domain tokens are as near the targets as can be.
+def solve_rates(rows: DataFrame, targets: dict[str, float], total_tokens: float | None = None, max_rate: float = 4.0, rounds: int = 40, tolerance: float = 1e-3) -> Fit:
+    """Projected gradient steps on the rates of `rows` (tokens, p_<domain>...) to the least squares of the domains' shares.
 
-    `targets` are weights, of `total_tokens` (those of all members, unless given). The gradient of a rate is tokens x (posterior . residual);
-    it is scaled by the documents' tokens and by the inverse second moments of the posteriors of the rates that are still
-    free, so a few rounds do. Each round is one aggregate over numbers; a rate is computed from the steps so far, so it isn't
-    stored. It ends when the domains are off by `tolerance` of the total, or a round gains nothing more, as where the
-    targets can't be met. `members` is written once, and each round reads its numbers only.
+    The gradient of a rate is its tokens times posterior . difference; per token it is the same for all rows of like
+    posteriors, so a rate is a function of the steps and its posteriors and isn't stored. A round takes two aggregates of
+    numbers: the second moments of the posteriors of the free rates, which give the step that would meet the targets if no rate met a
+    bound; then the differences after that step, and after the plain gradient's, at several lengths. The
+    best of them is taken if it is better than standing still, so the error never grows. It ends when the difference is
+    within `tolerance` of the total tokens, or two rounds running gain less than a ten-thousandth of it.
     """
     domains = list(targets)
-    weight = sum(targets.values()) or 1.0
-    rows = materialise(members)
+    weight, k = sum(targets.values()) or 1.0, len(domains)
+    wanted = [targets[d] / weight for d in domains]
     p = [F.col(f"p_{d}") for d in domains]
-    t = F.col("tokens").cast("double")
-    total, before, steps = total_tokens, math.inf, []
+    t, rate = F.col("tokens").cast("double").alias("t"), F.col("rate")
+    first = rows.select(t, *p).agg(F.sum("t").alias("t"), *[F.sum(F.col("t") * c).alias(f"a{i}") for i, c in enumerate(p)]).first()
+    if not first.t:
+        return Fit([], wanted, [0.0] * k, sum(w * w for w in wanted))
+    total, steps, small = total_tokens or first.t, [], 0
+    reached = [first[f"a{i}"] / total for i in range(k)]
+    error = sum((a - w) ** 2 for a, w in zip(reached, wanted, strict=True))
     for _ in range(rounds):
-        numbers = rows.select(t.alias("t"), *p, rate_of(steps, p, max_rate).alias("rate"))
-        rate, n = F.col("rate"), F.col("t")
-        free = F.when((rate > 0) & (rate < max_rate), n).otherwise(n * 1e-3)
-        sums = numbers.agg(
-            F.sum(n).alias("t"),
-            *[F.sum(rate * n * p[i]).alias(f"a{i}") for i in range(len(p))],
-            *[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(len(p)) for j in range(i, len(p))],
-        ).first()
-        if not sums.t:
+        if error <= tolerance**2 or small == 2:
             break
-        total = total or sums.t
-        off = [sums[f"a{i}"] / total - targets[d] / weight for i, d in enumerate(domains)]
-        if (now := sum(x * x for x in off)) <= tolerance**2 or before - now < 1e-4 * before:
+        off = [a - w for a, w in zip(reached, wanted, strict=True)]
+        numbers = rows.select(t, *p, rate_of(steps, p, max_rate).alias("rate"))
+        push = _dot([F.lit(x) for x in off], p)
+        free = F.when(((rate > 0) | (push < 0)) & ((rate < max_rate) | (push > 0)), F.col("t")).otherwise(0.0)
+        sums = numbers.agg(*[F.sum(free * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        moments = [[sums[f"m{min(i, j)}_{max(i, j)}"] / total for j in range(k)] for i in range(k)]
+        ways = [_solve(moments, off), [x / max(1e-9, sum(moments[i][i] for i in range(k))) for x in off]]
+        trials = [Step([c * x for x in way], off) for way, lengths in zip(ways, LENGTHS, strict=True) for c in lengths]
+        after = [moved(rate, _dot([F.lit(x) for x in s.along], p), push, max_rate).alias(f"r{n}") for n, s in enumerate(trials)]
+        sums = numbers.select("t", *p, *after).agg(*[F.sum(F.col(f"r{n}") * F.col("t") * p[i]).alias(f"a{n}_{i}") for n in range(len(trials)) for i in range(k)]).first()
+        got = [[sums[f"a{n}_{i}"] / total for i in range(k)] for n in range(len(trials))]
+        errors = [sum((a - w) ** 2 for a, w in zip(g, wanted, strict=True)) for g in got]
+        best = min(range(len(trials)), key=errors.__getitem__)
+        if errors[best] >= error:
             break
-        before = now
-        moments = [[sums[f"m{min(i, j)}_{max(i, j)}"] / total for j in range(len(p))] for i in range(len(p))]
-        steps.append(_solve(moments, off))
-    return rows.withColumn("rate", rate_of(steps, p, max_rate))
+        small = small + 1 if error - errors[best] < 1e-4 * error else 0
+        steps, reached, error = [*steps, trials[best]], got[best], errors[best]
+    return Fit(steps, wanted, reached, error)
+
+
+def fit_rates(members: DataFrame, targets: dict[str, float], max_rate: float = 4.0, **params) -> DataFrame:
+    """`members` with `rate`, from 0 to max_rate: the least squares of the differences from the targets (solve_rates, which tells how near they are).
+
+    `targets` are weights, of `total_tokens` (those of all members, unless given). `members` is written once, and each round
+    reads its numbers only.
+    """
+    rows = materialise(members)
+    fit = solve_rates(rows, targets, max_rate=max_rate, **params)
+    return rows.withColumn("rate", rate_of(fit.steps, [F.col(f"p_{d}") for d in targets], max_rate))
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep_row: bool = False, **params) -> DataFrame:

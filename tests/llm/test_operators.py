@@ -219,6 +219,41 @@ def test_mixing_reaches_targets(spark):
     assert sum(r.p_toxic > 0.5 for r in sure) == len(sure)
 
 
+def dense_error(tokens, p, wanted, max_rate=4.0, rounds=20_000):
+    """The least squared difference of the shares, by accelerated projected gradients over all rates in double precision."""
+    a = (tokens[:, None] * p / tokens.sum()).T
+    scaled = a / np.sqrt(np.maximum(tokens, 1e-12) / tokens.sum())  # rates in units in which all weigh alike
+    unit = np.sqrt(np.maximum(tokens, 1e-12) / tokens.sum())
+    step = 1 / np.linalg.norm(scaled, 2) ** 2
+    x = y = unit.copy()
+    speed, least = 1.0, np.inf
+    for _ in range(rounds):
+        new = np.clip(y - step * scaled.T @ (scaled @ y - wanted), 0, max_rate * unit)
+        faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
+        y = new + (speed - 1) / faster * (new - x)
+        x, speed = new, faster
+        least = min(least, float(((scaled @ x - wanted) ** 2).sum()))
+    return least
+
+
+@pytest.mark.parametrize("targets,sure", [((0.8, 0.15, 0.05), 0.3), ((0.02, 0.03, 0.95), 0.3), ((1.0, 0.0, 0.0), 0.3), ((0.34, 0.33, 0.33), 3.0)])
+def test_rates_are_least_squares(spark, targets, sure):
+    """Within 1 %, or a thousandth of the tokens, also where the targets are out of reach; a step that worsens is never kept."""
+    rng = np.random.default_rng(7)
+    tokens = np.floor(np.exp(rng.normal(5, 1.5, 400)))
+    tokens[:5] = 0
+    p = rng.dirichlet(np.array([0.8, 0.15, 0.05]) * sure, 400).clip(1e-6)
+    p /= p.sum(axis=1, keepdims=True)
+    rows = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(tokens, p, strict=True)], "tokens long, p_a double, p_b double, p_c double")
+    fit = mixing.solve_rates(rows, dict(zip("abc", targets, strict=True)))
+    want = dense_error(tokens, p, np.array(targets))
+    assert fit.error <= 1.01 * want + 1e-6
+    got = rows.withColumn("rate", mixing.rate_of(fit.steps, [F.col(f"p_{d}") for d in "abc"], 4.0)).toPandas()
+    assert got.rate.between(0, 4).all()
+    reached = [(got.rate * got.tokens * got[f"p_{d}"]).sum() / tokens.sum() for d in "abc"]
+    assert np.allclose(reached, fit.reached, atol=1e-9) and abs(sum((a - b) ** 2 for a, b in zip(reached, targets, strict=True)) - fit.error) < 1e-9
+
+
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int")
     docs = documents(spark, ODD)

@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from pagewright.llm.decontaminate import contaminated
 from pagewright.llm.neardup import RADIUS
 from pagewright.llm.oracles import ORACLES
 from pagewright.llm.queries import QUERIES
-from tests.llm.test_operators import brute_components, brute_nearest, brute_secrets, naive_simhash
+from tests.llm.test_operators import brute_components, brute_nearest, brute_secrets, dense_error, naive_simhash
 from tests.llm.test_similar import brute_heads
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -71,6 +72,14 @@ def test_op5(spark, sf_dir, texts):
     assert sorted(r.doc_id for r in got) == sorted(texts) and all(r.tokens == len(texts[r.doc_id].split()) for r in got)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_op5_is_least_squares(spark, sf):
+    got = QUERIES["op5_mixing"](spark, f"/root/testdata/{sf}").toPandas()
+    p, wanted = got[[f"p_{d}" for d in mixing.TARGETS]].to_numpy(), np.array(list(mixing.TARGETS.values()))
+    reached = (got.rate.to_numpy()[:, None] * got.tokens.to_numpy()[:, None] * p).sum(axis=0) / got.tokens.sum()
+    assert ((reached - wanted) ** 2).sum() <= 1.01 * dense_error(got.tokens.to_numpy(float), p, wanted, rounds=5000) + 1e-6
+
+
 def test_op6(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
     want = brute_nearest([(r.vec_id, r.embedding) for r in rows])
