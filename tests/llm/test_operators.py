@@ -278,10 +278,10 @@ def brute_nearest(rows, k=10, every=100):
     sizes = [len(v) for _, v in own]
     own = [(i, v) for i, v in own if len(v) == max(set(sizes), key=lambda n: (sizes.count(n), n))]
     out = {}
-    for q, v in own:
-        if q % every == 0:
-            near = sorted({(float(np.sqrt(((w - v) ** 2).sum())), i) for i, w in own if i != q})[:k]
-            out[q] = [(i, round(s, 9)) for s, i in near]
+    for q in {i for i, _ in own if i % every == 0}:
+        mine = np.array([v for i, v in own if i == q])
+        near = sorted({(float(np.sqrt(((mine - w) ** 2).sum(axis=1)).min()), i) for i, w in own if i != q})[:k]
+        out[q] = [(i, round(s, 9)) for s, i in near]
     return out
 
 
@@ -302,6 +302,27 @@ def test_neighbours_edges(spark):
     assert [(r.query_id, r.rank, r.vec_id) for r in neighbours.nearest(few).collect()] == [(0, 1, 1)]
 
 
+@pytest.mark.parametrize("sizes", [{}, {"leaf": 4, "leaf_queries": 1, "trees": 3}])
+def test_neighbours_of_ids_that_repeat(spark, sizes):
+    """Fifteen vectors under the id of a query, more than k: none of them is its neighbour, and its ten others are found."""
+    rng = np.random.default_rng(4)
+    rows = [(100, rng.normal(size=3).tolist()) for _ in range(15)] + [(i, (5 + rng.normal(size=3)).tolist()) for i in range(1, 60)]
+    rows += [(200, rows[20][1]), (300, rows[20][1]), (7, rows[3][1])]
+    got = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), search_share=1e9, **sizes).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    assert got == brute_nearest(rows) and all(len(v) == 10 for v in got.values())
+
+
+def test_neighbours_in_clusters_need_few_leaves(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, (centre + rng.normal(size=32) * 0.3).astype(np.float32).tolist()) for i, centre in enumerate(np.repeat(rng.normal(size=(100, 32)), 60, axis=0))]
+    want, got = brute_nearest(rows), {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), leaf=64, search_share=0.2).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & {i for i, _ in near}) for q, near in want.items()) >= 0.9 * 10 * len(want)
+
+
 def test_neighbours_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
     want = brute_nearest([(r.vec_id, r.embedding) for r in rows.collect()])
