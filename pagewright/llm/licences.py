@@ -7,33 +7,88 @@ rule that matches takes its sentences out of the sequence, so that a later, more
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Normalised sentences (letters, digits and spaces only) -> identifier. Versions are words of their own.
-SENTENCES = {
-    "licensed under the apache license version 2 0": "ApacheLic2",
-    "you may not use this file except in compliance with the license": "ApacheUse",
-    "you may obtain a copy of the license at": "ApacheCopy",
-    "released under the mit license": "MITName",
-    "this software is released under the mit license": "MITName",
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MITGrant",
-    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MITNotice",
-    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MITWarranty",
-    "this work is licensed under the gnu general public license version 3": "GPLv3",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "GPLv3+",
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "GPLv2+",
-    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "BSDGrant",
-    "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "BSDSource",
-    "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "BSDBinary",
-    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "BSDEndorse",
-    "licensed under cc by nc 4 0": "CCBYNC4",
-    "licensed under cc by 4 0": "CCBY4",
-    "licensed under cc by sa 4 0": "CCBYSA4",
-    "this work is dedicated to the public domain under cc0 1 0": "CC0",
-}
+#: Licence sentences -> identifier. They are compared in normalised form (`plain`), so case, signs and line breaks don't matter.
+TEXTS = (
+    ("Licensed under the Apache License, Version 2.0", "ApacheLic2"),
+    ("Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License", "ApacheLic2Use"),
+    ("You may not use this file except in compliance with the License", "ApacheUse"),
+    ("You may obtain a copy of the License at", "ApacheCopy"),
+    ("You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "ApacheCopy"),
+    ("You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0", "ApacheCopy"),
+    ("http://www.apache.org/licenses/LICENSE-2.0", "ApacheAddress"),
+    ("https://www.apache.org/licenses/LICENSE-2.0", "ApacheAddress"),
+    ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied", "ApacheAsIs"),
+    ("See the License for the specific language governing permissions and limitations under the License", "ApacheSee"),
+    ("Released under the MIT License", "MITName"),
+    ("Licensed under the MIT License", "MITName"),
+    ("This software is released under the MIT License", "MITName"),
+    ("This project is licensed under the MIT License", "MITName"),
+    ("SPDX-License-Identifier: MIT", "MITName"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", "MITGrant"),
+    ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", "MITNotice"),
+    ("THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT", "MITWarranty"),
+    ("IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE", "MITLiability"),
+    ("This work is licensed under the GNU General Public License, version 3", "GPLv3"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "GPLv3+"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version", "GPLv2+"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "GPLv2"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation", "GPLv3"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version", "LGPLv2.1+"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "LGPLv3+"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "AGPLv3+"),
+    ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE", "GNUWarranty"),
+    ("See the GNU General Public License for more details", "GNUSee"),
+    ("See the GNU Lesser General Public License for more details", "GNUSee"),
+    ("See the GNU Affero General Public License for more details", "GNUSee"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPLv2"),
+    ("SPDX-License-Identifier: GPL-2.0", "GPLv2"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPLv2+"),
+    ("SPDX-License-Identifier: GPL-3.0-only", "GPLv3"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "GPLv3+"),
+    ("SPDX-License-Identifier: Apache-2.0", "ApacheLic2"),
+    ("SPDX-License-Identifier: MPL-2.0", "MPLv2"),
+    ("SPDX-License-Identifier: BSD-2-Clause", "BSD2Name"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "BSD3Name"),
+    ("SPDX-License-Identifier: ISC", "ISCName"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "BSDGrant"),
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "BSDSource"),
+    ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "BSDBinary"),
+    ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "BSDEndorse"),
+    ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED", "BSDWarranty"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v 2.0", "MPLv2"),
+    ("If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "MPLCopy"),
+    ("If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/", "MPLCopy"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "ISCGrant"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "ISCGrant"),
+    ("THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS", "ISCWarranty"),
+    ("Licensed under CC BY-NC 4.0", "CCBYNC4"),
+    ("Licensed under CC BY 4.0", "CCBY4"),
+    ("Licensed under CC BY-SA 4.0", "CCBYSA4"),
+    ("This work is dedicated to the public domain under CC0 1.0", "CC0"),
+    ("This is free and unencumbered software released into the public domain", "Unlicense"),
+)
+
+#: What may vary in a normalised sentence -> how it stands in the table.
+FIELDS = (
+    ("\\bthis (library|software|file|package|module) is (free software|distributed in the hope)", "this program is $2"),
+    ("conditions are met [0-9a]$", "conditions are met"),
+    ("neither the names? of .{1,120}? nor the names of (its|their|any|the) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    ("this software is provided by .{1,120}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+)
+
+
+def plain(sentence: str) -> str:
+    """A sentence in normalised form: lower-cased ASCII letters and digits, every run of anything else one space."""
+    return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip()
+
+
+SENTENCES = {plain(s): i for s, i in TEXTS}
 
 
 @dataclass(frozen=True)
@@ -46,42 +101,106 @@ class LicenceRule:
 
 #: The rules in the order in which they are tried, longer ones before the ones they contain.
 RULES = (
+    LicenceRule("Apache-2.0", ("ApacheLic2Use", "ApacheCopy", "ApacheAddress", "ApacheAsIs", "ApacheSee")),
+    LicenceRule("Apache-2.0", ("ApacheLic2Use", "ApacheCopy", "ApacheAsIs", "ApacheSee")),
+    LicenceRule("Apache-2.0", ("ApacheLic2Use", "ApacheCopy")),
+    LicenceRule("Apache-2.0", ("ApacheLic2Use",)),
     LicenceRule("Apache-2.0", ("ApacheLic2", "ApacheUse", "ApacheCopy")),
+    LicenceRule("MIT", ("MITGrant", "MITNotice", "MITWarranty", "MITLiability")),
     LicenceRule("MIT", ("MITGrant", "MITNotice", "MITWarranty")),
+    LicenceRule("BSD-3-Clause", ("BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse", "BSDWarranty")),
     LicenceRule("BSD-3-Clause", ("BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse")),
+    LicenceRule("BSD-2-Clause", ("BSDGrant", "BSDSource", "BSDBinary", "BSDWarranty")),
     LicenceRule("BSD-2-Clause", ("BSDGrant", "BSDSource", "BSDBinary")),
+    LicenceRule("AGPL-3.0-or-later", ("AGPLv3+", "GNUWarranty", "GNUSee")),
+    LicenceRule("AGPL-3.0-or-later", ("AGPLv3+",)),
+    LicenceRule("LGPL-3.0-or-later", ("LGPLv3+", "GNUWarranty", "GNUSee")),
+    LicenceRule("LGPL-3.0-or-later", ("LGPLv3+",)),
+    LicenceRule("LGPL-2.1-or-later", ("LGPLv2.1+", "GNUWarranty", "GNUSee")),
+    LicenceRule("LGPL-2.1-or-later", ("LGPLv2.1+",)),
+    LicenceRule("GPL-3.0-or-later", ("GPLv3+", "GNUWarranty", "GNUSee")),
     LicenceRule("GPL-3.0-or-later", ("GPLv3+",)),
+    LicenceRule("GPL-2.0-or-later", ("GPLv2+", "GNUWarranty", "GNUSee")),
     LicenceRule("GPL-2.0-or-later", ("GPLv2+",)),
+    LicenceRule("GPL-2.0-only", ("GPLv2", "GNUWarranty", "GNUSee")),
+    LicenceRule("GPL-2.0-only", ("GPLv2",)),
+    LicenceRule("GPL-3.0-only", ("GPLv3", "GNUWarranty", "GNUSee")),
     LicenceRule("GPL-3.0-only", ("GPLv3",)),
+    LicenceRule("MPL-2.0", ("MPLv2", "MPLCopy")),
+    LicenceRule("MPL-2.0", ("MPLv2",)),
+    LicenceRule("ISC", ("ISCGrant", "ISCWarranty")),
+    LicenceRule("ISC", ("ISCGrant",)),
+    LicenceRule("ISC", ("ISCName",)),
     LicenceRule("Apache-2.0", ("ApacheLic2",)),
     LicenceRule("MIT", ("MITName",)),
+    LicenceRule("BSD-2-Clause", ("BSD2Name",)),
+    LicenceRule("BSD-3-Clause", ("BSD3Name",)),
     LicenceRule("CC-BY-NC-4.0", ("CCBYNC4",)),
     LicenceRule("CC-BY-SA-4.0", ("CCBYSA4",)),
     LicenceRule("CC-BY-4.0", ("CCBY4",)),
     LicenceRule("CC0-1.0", ("CC0",)),
+    LicenceRule("Unlicense", ("Unlicense",)),
 )
 
-#: Fixed value: the words of which every known sentence has one, so that other sentences needn't be normalised.
-ANCHOR = "(?i)licen|permi|copyright|warrant|redistribut|public domain"
+#: Fixed value: words of which every sentence of TEXTS has one, so that other sentences needn't be normalised.
+ANCHOR = r"(?i)licen|permi|copyright|warrant|redistribut|public\s+domain|no\s+event|mozilla"
+#: Fixed values: `v. 2` is no sentence end; a sentence ends at `.`, `!` or `?` before white space, or at a line without letters and digits.
+ABBREVIATED = r"(?i)\bv\.[ \t]+([0-9])"
+SENTENCE_END = r"[.!?]+[\"')\]]*(?:\s+|$)|\n[ \t\r\n/*#;%!<>|-]*\n"
+
 
+def openings(known: dict[str, str] = SENTENCES, words: int = 10) -> list[str]:
+    """How the long known sentences begin, in as few words (4 at least) as stand within no other known sentence.
 
-def sentences(text: Column) -> Column:
-    """The pieces of a text between sentence ends: a line break, or one of `.!?;` followed by white space or the end."""
-    return F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\r\n]+|[.!?;]+(?:\s+|$)")
+    A sentence begins there too: titles and list items without a sign between are cut off from it.
+    """
+    out = set()
+    for s in known:
+        own = s.split(" ")
+        if len(own) >= words:
+            for n in range(4, len(own) + 1):
+                head = " ".join(own[:n])
+                if not any(f" {head} " in f"{other} " for other in known):
+                    out.add(head)
+                    break
+    return sorted(out, key=lambda h: (-len(h), h))
 
 
 def normalised(sentence: Column) -> Column:
-    """Lower-cased ASCII letters and digits, every run of anything else one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    """Lower-cased ASCII letters and digits, every run of anything else one space, none at the ends; then FIELDS."""
+    out = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+    for pattern, instead in FIELDS:
+        out = F.regexp_replace(out, pattern, instead)
+    return out
 
 
-def identifiers(text: Column, known: dict[str, str] = SENTENCES) -> Column:
-    """The identifiers of the text's known sentences, in order. A sentence must stand whole between two sentence ends."""
-    names = F.array(*[F.lit(s) for s in known])
-    ids = F.array(*[F.lit(i) for i in known.values()])
-    near = F.transform(F.filter(sentences(text), lambda s: s.rlike(ANCHOR)), normalised)
-    places = F.filter(F.transform(near, lambda s: F.array_position(names, s)), lambda p: p > 0)
-    return F.transform(places, lambda p: F.element_at(ids, p.cast("int")))
+def identifiers(text: Column, known: dict[str, str] = SENTENCES, anchor: str | None = None) -> Column:
+    """The identifiers of the text's known sentences, in order. A sentence must stand whole.
+
+    Line breaks and comment signs in a sentence don't matter. Where none of what lies between two sentence ends is known, its lines
+    are looked up one by one, as of titles and tags without a full stop. Pieces without `anchor` are left out; by default
+    that of the own table, and with another table of sentences none are.
+    """
+    anchor = anchor if anchor is not None else ANCHOR if known is SENTENCES else ""
+    names, ids = F.array(*[F.lit(s) for s in known]), F.array(*[F.lit(i) for i in known.values()])
+    opening = " (" + "|".join(openings(known)) + r")\b"
+
+    def found(sentences: Column) -> Column:
+        places = F.filter(F.transform(sentences, lambda s: F.array_position(names, s)), lambda p: p > 0)
+        return F.transform(places, lambda p: F.element_at(ids, p.cast("int")))
+
+    def cut(piece: Column) -> Column:
+        whole = normalised(piece)
+        return F.split(F.regexp_replace(whole, opening, "\n$1"), "\n") if openings(known) else F.array(whole)
+
+    def told(piece: Column) -> Column:
+        own = found(cut(piece))
+        lines = F.filter(F.split(piece, "\n"), lambda line: line.rlike(anchor))
+        return F.when(F.size(own) > 0, own).otherwise(found(F.transform(lines, normalised)))
+
+    body = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), ABBREVIATED, "v $1")
+    pieces = F.filter(F.split(body, SENTENCE_END), lambda p: p.rlike(anchor))
+    return F.flatten(F.transform(pieces, told))
 
 
 def apply_rules(sequence: str, rules: tuple[LicenceRule, ...] = RULES) -> Column:

@@ -34,15 +34,27 @@ def licence_sql() -> str:
     for licence, marks in seen.items():  # a licence stands where its first matching rule stands
         order = "CASE " + " ".join(f"WHEN {m} THEN {int(m[1:])}" for m in marks) + " END"
         firsts.append(f"{{'o': {order}, 'l': '{licence}'}}")
+    end = licences.SENTENCE_END.replace("'", "''")
+    body = f"regexp_replace(coalesce(text, ''), '{licences.ABBREVIATED}', 'v \\1', 'g')"
+    sentence = "trim(regexp_replace(lower(@), '[^a-z0-9]+', ' ', 'g'))"
+    for pattern, instead in licences.FIELDS:
+        sentence = f"regexp_replace({sentence}, '{pattern}', '{instead.replace('$', chr(92))}', 'g')"
+    heads = "|".join(licences.openings())
     return f"""
 WITH known(s, i) AS (VALUES {known}),
 pieces AS (
     SELECT doc_id, unnest(l) AS p, unnest(range(len(l))) AS k
-    FROM (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '[\\r\\n]+|[.!?;]+(?:\\s+|$)') AS l FROM documents)),
-hits AS (
-    SELECT doc_id, k, i FROM (SELECT doc_id, k, trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')) AS s FROM pieces) JOIN known USING (s)),
+    FROM (SELECT doc_id, regexp_split_to_array({body}, '{end}') AS l FROM documents)),
+wholes AS (
+    SELECT doc_id, k, unnest(l) AS s, unnest(range(len(l))) AS k2
+    FROM (SELECT doc_id, k, string_split(regexp_replace({sentence.replace("@", "p")}, ' ({heads})\\b', chr(10) || '\\1', 'g'), chr(10)) AS l FROM pieces)),
+own AS (SELECT doc_id, k, k2, i FROM wholes JOIN known USING (s)),
+lines AS (
+    SELECT doc_id, k, {sentence.replace("@", "line")} AS s, k2
+    FROM (SELECT doc_id, k, unnest(l) AS line, unnest(range(len(l))) AS k2 FROM (SELECT doc_id, k, string_split(p, chr(10)) AS l FROM pieces ANTI JOIN own USING (doc_id, k)))),
+hits AS (SELECT doc_id, k, k2, i FROM own UNION ALL SELECT doc_id, k, k2, i FROM lines JOIN known USING (s)),
 s0 AS (
-    SELECT doc_id, count(i) AS n_sentences, coalesce(string_agg(i, ',' ORDER BY k), '') AS sequence, coalesce(string_agg(',' || i || ',', '' ORDER BY k), '') AS l0
+    SELECT doc_id, count(i) AS n_sentences, coalesce(string_agg(i, ',' ORDER BY k, k2), '') AS sequence, coalesce(string_agg(',' || i || ',', '' ORDER BY k, k2), '') AS l0
     FROM documents LEFT JOIN hits USING (doc_id) GROUP BY doc_id){steps}
 SELECT doc_id, n_sentences, sequence,
     array_to_string(list_transform(list_sort(list_filter([{", ".join(firsts)}], lambda x: x.o IS NOT NULL)), lambda x: x.l), ',') AS licences,

@@ -114,6 +114,110 @@ def test_licences(spark):
     assert licences.scan_licences(documents(spark, [])).count() == 0
 
 
+#: Licence texts and notices as they are published, with and without what stands around them.
+PUBLISHED = {
+    "Apache-2.0": """Copyright 2020 A. Person
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "MIT": """MIT License
+
+Copyright (c) 2020 A Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "BSD-3-Clause": """Copyright (c) 2020, A University
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of A University nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY A UNIVERSITY "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.""",
+}
+PUBLISHED["BSD-2-Clause"] = re.sub(r"3\. Neither.*?permission\.\n", "", PUBLISHED["BSD-3-Clause"], flags=re.S)
+
+
+def test_published_licences_in_every_dress(spark):
+    dresses = {
+        "as it is": lambda s: s,
+        "one line": lambda s: " ".join(s.split()),
+        "after a title": lambda s: f"A Title Without An End {' '.join(s.split())} And more text",
+        "slashes": lambda s: "\n".join(f"// {line}" for line in s.split("\n")) + "\n#include <x>",
+        "stars": lambda s: "/*\n" + "\n".join(f" * {line}" for line in s.split("\n")) + "\n */\nint x;",
+        "windows": lambda s: s.replace("\n", "\r\n"),
+    }
+    cases = [(k, name, dress, turn(text)) for k, (name, dress, turn, text) in enumerate((n, d, f, t) for n, t in PUBLISHED.items() for d, f in dresses.items())]
+    got = {r.doc_id: r.licences for r in licences.scan_licences(documents(spark, [(k, text, "en", "a") for k, *_, text in cases])).collect()}
+    assert [(name, dress, got[k]) for k, name, dress, _ in cases if got[k] != name] == []
+    more = {"// SPDX-License-Identifier: MIT\n#include <x>": "MIT", "It is not released under the MIT License.": "", "no title\nReleased under the MIT License.\nnext": "MIT", "A licence and a warranty": ""}
+    got = {r.doc_id: r.licences for r in licences.scan_licences(documents(spark, [(k, t, "en", "a") for k, t in enumerate(more)])).collect()}
+    assert list(more.values()) == [got[k] for k in range(len(more))]
+    own = {"you may do as you like": "Free"}
+    assert spark.createDataFrame([("Hello. You may do, as you like!",)], "t string").select(licences.identifiers(F.col("t"), own)).first()[0] == ["Free"]
+
+
 # ---- 3 ----
 
 
