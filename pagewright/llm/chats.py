@@ -8,6 +8,8 @@ data, no calls but the named filters, and no loops but over given lists, so they
     {% if e %}...{% elif e %}...{% else %}...{% endif %}
     {% generation %}...{% endgeneration %}    what a model is to learn
     {{ e }}    text, numbers, names, a.b, a + b, a == b, a != b, not a, a and b, a or b, a | filter, (a)
+
+A minus inside a tag ({%- -%}, {{- -}}) strips the white space of the text on that side.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ FILTERS: dict[str, Callable[[Any], Any]] = {"escape": escape, "trim": str.strip,
 
 
 class TemplateError(ValueError):
-    """The template isn't well-formed, or names what it may not use."""
+    """The template isn't well-formed, names what it may not use or what isn't there, or computes what can't be."""
 
 
 class Node(NamedTuple):
@@ -52,7 +54,7 @@ class Node(NamedTuple):
     parts: tuple
 
 
-_TAG = re.compile(r"\{%-?\s*(.*?)\s*-?%\}|\{\{-?\s*(.*?)\s*-?\}\}", re.S)
+_TAG = re.compile(r"\{%(-?)\s*(.*?)\s*(-?)%\}|\{\{(-?)\s*(.*?)\s*(-?)\}\}", re.S)
 _TOKEN = re.compile(r"""\s*(?:(\d+)|'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)"|([A-Za-z_]\w*)|(==|!=|[+|.()]))""", re.S)
 
 
@@ -135,11 +137,14 @@ def _expression(source: str) -> Node:
 
 def parse(template: str) -> list[Node]:
     """The syntax tree of a template: a list of text, out, for, if and generation nodes."""
-    pieces, at = [], 0
+    pieces, at, stripped = [], 0, False
     for m in _TAG.finditer(template):
-        pieces += [("text", template[at : m.start()]), ("tag", m[1]) if m[1] is not None else ("out", m[2])]
-        at = m.end()
-    pieces.append(("text", template[at:]))
+        left, tag, right, out_left, out, out_right = m.groups()
+        text = template[at : m.start()]
+        text = text.lstrip() if stripped else text
+        pieces += [("text", text.rstrip() if left or out_left else text), ("tag", tag) if tag is not None else ("out", out)]
+        at, stripped = m.end(), bool(right or out_right)
+    pieces.append(("text", template[at:].lstrip() if stripped else template[at:]))
 
     def block(*ends: str) -> tuple[list[Node], str]:
         nodes = []
@@ -180,7 +185,10 @@ def fold(nodes: list[Node]) -> list[Node]:
             return e
         e = Node(e.kind, tuple(folded(p) if isinstance(p, Node) else p for p in e.parts))
         if all(p.kind == "value" for p in e.parts if isinstance(p, Node)) and e.kind != "field":
-            return Node("value", (_compiled(e)({}),))
+            try:
+                return Node("value", (_compiled(e)({}),))
+            except (TypeError, AttributeError) as error:
+                raise TemplateError(f"can't compute {e.kind} of {[p.parts[0] for p in e.parts if isinstance(p, Node)]}: {error}") from error
         return e
 
     out: list[Node] = []
@@ -213,17 +221,23 @@ def fold(nodes: list[Node]) -> list[Node]:
     return out
 
 
+def _looked_up(values: Any, name: str) -> Any:
+    if not isinstance(values, dict) or name not in values:
+        raise TemplateError(f"there is no {name!r}")
+    return values[name]
+
+
 def _compiled(e: Node) -> Callable[[dict], Any]:
     """The closure of an expression."""
     if e.kind == "value":
         return lambda scope, v=e.parts[0]: v
     if e.kind == "name":
-        return lambda scope, n=e.parts[0]: scope[n]
+        return lambda scope, n=e.parts[0]: _looked_up(scope, n)
     f = _compiled(e.parts[0])
     if e.kind == "filter":
         return lambda scope, g=FILTERS[e.parts[1]]: g(f(scope))
     if e.kind == "field":
-        return lambda scope, n=e.parts[1]: f(scope)[n]
+        return lambda scope, n=e.parts[1]: _looked_up(f(scope), n)
     if e.kind == "not":
         return lambda scope: not f(scope)
     g = _compiled(e.parts[1])

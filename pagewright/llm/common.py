@@ -36,13 +36,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def keep_matching(rows: DataFrame, keys: DataFrame, on: Column, how: str, n_keys: int | None = None) -> DataFrame:
+def keep_matching(rows: DataFrame, keys: DataFrame, on: Column, how: str, n_keys: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """left_semi or left_anti join of wide `rows` with narrow, materialised `keys`.
 
-    The keys are broadcast if they are counted to be few; else both sides are shuffled, and the wide side isn't sorted.
+    The keys are broadcast if they are counted to be at most `broadcast_rows`; else both sides are shuffled, and the wide side isn't sorted.
     """
     n = keys.count() if n_keys is None else n_keys
-    return rows.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys.hint("shuffle_hash"), on, how)
+    return rows.join(F.broadcast(keys) if n <= broadcast_rows else keys.hint("shuffle_hash"), on, how)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from pagewright.llm.common import BROADCAST_ROWS, keep_matching, materialise
 
 SHINGLE = 5
 CONTAINMENT = 0.8
+#: Over so many tasks one shingle hash is spread where the sketches are too many to broadcast.
+SALTS = 32
 
 
 def words(text: Column) -> Column:
@@ -62,6 +64,33 @@ def item_sketches(items: DataFrame, containment: float = CONTAINMENT, n: int = S
     return rows.select("item_id", F.explode("hashes").alias("hash")).distinct()
 
 
+def _contained(docs: DataFrame, items: DataFrame, containment: float, n: int, id_col: str, text_col: str, item_id_col: str, item_text_col: str, broadcast_rows: int) -> DataFrame:
+    """(doc_id, row_key, item_id, item_shingles, shared, containment): a row is told by its id and by row_key, a hash of its text."""
+    item_rows = materialise(
+        items.select(F.col(item_id_col).cast("long").alias("item_id"), words(F.col(item_text_col)).alias("tokens")).filter(F.size("tokens") > 0)
+    )
+    sketches = materialise(item_sketches(item_rows, containment, n))
+    n_sketch, top = sketches.agg(F.count("*"), F.max("hash")).first()
+    text = F.col(text_col).cast("string")
+    doc_rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row_key"), text.alias("text"))
+    probes = _hashed(doc_rows.select("doc_id", "row_key", words(F.col("text")).alias("tokens")), n).filter(F.col("hash") <= F.lit(top))
+    if n_sketch <= broadcast_rows:
+        found = probes.join(F.broadcast(sketches), "hash")
+    else:  # a passage that many documents share is spread by salt
+        salted = sketches.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = probes.withColumn("salt", F.pmod(F.xxhash64("row_key", "doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
+    found = materialise(found.select("doc_id", "row_key", "item_id").distinct())
+    ids = materialise(found.select(F.col("doc_id").alias("found_id"), F.col("row_key").alias("found_key")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("row_key") == F.col("found_key"))
+    suspects = keep_matching(doc_rows, ids, same, "left_semi", broadcast_rows=broadcast_rows).dropDuplicates(["doc_id", "row_key"])
+    suspects = suspects.select("doc_id", "row_key", words(F.col("text")).alias("tokens")).select("doc_id", "row_key", shingles("tokens", n).alias("doc_shingles"))
+    pieces = item_rows.select("item_id", shingles("tokens", n).alias("item_shingles"))
+    pairs = found.select(F.col("doc_id").alias("found_id"), F.col("row_key").alias("found_key"), "item_id").join(pieces, "item_id")
+    shared = F.size(F.array_intersect("item_shingles", "doc_shingles"))
+    rows = suspects.join(pairs, same).select("doc_id", "row_key", "item_id", F.size("item_shingles").cast("long").alias("item_shingles"), shared.cast("long").alias("shared"))
+    return rows.withColumn("containment", F.col("shared") / F.col("item_shingles")).filter(F.col("containment") >= containment - 1e-9)
+
+
 def contaminated(
     docs: DataFrame,
     items: DataFrame,
@@ -71,38 +100,34 @@ def contaminated(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(doc_id, item_id, item_shingles, shared, containment): every document and item with at least that containment.
 
     Words are lower-cased runs of letters and digits. A text of fewer than n words is one shingle, the whole sequence; one
     without words (null, empty, signs only) has none, and takes no part. Rows of the same id are judged each by its own
-    text, and the pair is returned once, with the largest figures; rows without an id are one document of id null. Other
-    columns play no part. Either table may be empty. The sketches are broadcast if they are counted to be few; else
-    both sides are shuffled by the hash.
+    text, and the pair is returned once, with the largest figures; so are rows without an id, under the id null. Other
+    columns play no part. Either table may be empty. Sketches, and what names the suspects, are broadcast if they are
+    counted to be at most `broadcast_rows`; else both sides are shuffled.
     """
-    item_rows = materialise(
-        items.select(F.col(item_id_col).cast("long").alias("item_id"), words(F.col(item_text_col)).alias("tokens")).filter(F.size("tokens") > 0)
-    )
-    sketches = materialise(item_sketches(item_rows, containment, n))
-    n_sketch, top = sketches.agg(F.count("*"), F.max("hash")).first()
-    doc_rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    probes = _hashed(doc_rows.select("doc_id", words(F.col("text")).alias("tokens")), n).filter(F.col("hash") <= F.lit(top))
-    side = F.broadcast(sketches) if n_sketch <= BROADCAST_ROWS else sketches
-    found = materialise(probes.join(side, "hash").select("doc_id", "item_id").distinct())
-    ids = materialise(found.select(F.col("doc_id").alias("found_id")).distinct())
-    suspects = keep_matching(doc_rows, ids, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_semi")
-    suspects = suspects.select("doc_id", words(F.col("text")).alias("tokens")).select("doc_id", shingles("tokens", n).alias("doc_shingles"))
-    pieces = item_rows.select("item_id", shingles("tokens", n).alias("item_shingles"))
-    pairs = found.select(F.col("doc_id").alias("pair_id"), "item_id").join(pieces, "item_id")
-    pairs = suspects.join(pairs, F.col("doc_id").eqNullSafe(F.col("pair_id")))
-    shared = F.size(F.array_intersect("item_shingles", "doc_shingles"))
-    rows = pairs.select("doc_id", "item_id", F.size("item_shingles").cast("long").alias("item_shingles"), shared.cast("long").alias("shared"))
-    rows = rows.withColumn("containment", F.col("shared") / F.col("item_shingles")).filter(F.col("containment") >= containment - 1e-9)
+    rows = _contained(docs, items, containment, n, id_col, text_col, item_id_col, item_text_col, broadcast_rows)
     best = F.max(F.struct("containment", "shared", "item_shingles")).alias("b")
     return rows.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.item_shingles", "b.shared", "b.containment")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
-    """The rows of `docs`, whole and as they are, whose text holds no item; rows without an id go if any of them holds one."""
-    bad = materialise(contaminated(docs, items, id_col=id_col, text_col=text_col, **params).select(F.col("doc_id").alias("bad_id")).distinct())
-    return keep_matching(docs, bad, F.col(id_col).cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    containment: float = CONTAINMENT,
+    n: int = SHINGLE,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """The rows of `docs`, whole and as they are, whose own text holds no item: a clean row stays, whichever id it has or shares."""
+    rows = _contained(docs, items, containment, n, id_col, text_col, item_id_col, item_text_col, broadcast_rows)
+    bad = materialise(rows.select(F.col("doc_id").alias("bad_id"), F.col("row_key").alias("bad_key")).distinct())
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("bad_key"))
+    return keep_matching(docs, bad, same, "left_anti", broadcast_rows=broadcast_rows)

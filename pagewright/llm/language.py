@@ -35,6 +35,8 @@ _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 BUCKETS = 1 << 12
 #: Labelled texts that are taken for fitting, about, of each language.
 SAMPLE_PER_LANG = 600
+#: Texts that are taken in all, about, however many languages there are: 48 MB of counts on the driver.
+SAMPLE_TEXTS = 6_000
 UNKNOWN = "und"
 
 
@@ -142,11 +144,11 @@ def fit_sample(rows: list[tuple[str, np.ndarray]]) -> Model:
     return Model(langs, families, fit_softmax(x, group[y], len(families)), pairs, planes)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG, most: int = SAMPLE_TEXTS) -> Model:
     """Fit on about `per_lang` distinct texts of each language (all, if there are fewer), chosen by a hash of the text.
 
-    The bound: the driver gets languages * per_lang count vectors of BUCKETS half-precision numbers (8 KB each), and no
-    text. Rows with a null language, a null text or no letter aren't used. Copies of a text count once, in the share taken too.
+    The bound: the driver gets languages * per_lang, but at most about `most`, count vectors of BUCKETS half-precision numbers (8 KB each), and no
+    text. Of more than most / per_lang languages each has an equal part of `most`; of more than `most` / 4 nothing can be learned, and an error is raised. Rows with a null language, a null text or no letter aren't used. Copies of a text count once, in the share taken too.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("hash")
@@ -155,6 +157,9 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     sizes = {r.lang: r["count"] for r in lettered.groupBy("lang").count().collect()}
     if not sizes:
         return fit_sample([])
+    if len(sizes) > most / 4:
+        raise ValueError(f"{len(sizes)} languages are too many for a sample of {most} texts")
+    per_lang = min(per_lang, most // len(sizes))
     share = F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, per_lang / n))])
     taken = F.pmod(F.col("hash"), F.lit(1_000_000)) < F.element_at(share, F.col("lang")) * 1_000_000
 

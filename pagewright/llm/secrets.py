@@ -71,12 +71,12 @@ def scan(texts: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     return texts.select("sha", "text").mapInArrow(run, LEDGER)
 
 
-def update_ledger(versions: DataFrame, ledger_path: str, path_col: str = "path", text_col: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
+def update_ledger(versions: DataFrame, ledger_path: str, path_col: str = "path", text_col: str = "text", rule_version: str = RULE_VERSION, scan_rows: int = 20_000, skip_rows: int = 500_000) -> DataFrame:
     """Scan what the ledger lacks, append it, and return (path, sha, n_assign, n_access, n_hex, spans) of every row.
 
     Rows are kept as they come: repeated rows, null paths and extra columns of any name don't matter. A null or empty
     text is the empty blob, without findings. Texts are read where they lie; only ids and hashes are shuffled as long as
-    either the blobs to scan or the rows to skip are few enough to broadcast; otherwise the texts are shuffled once.
+    either the blobs to scan (`scan_rows`) or the rows to skip (`skip_rows`) are few enough to broadcast; otherwise the texts are shuffled once.
     A run that is lost before its append leaves the ledger as it was; one that ran twice leaves equal rows, read once.
     """
     spark = versions.sparkSession
@@ -88,13 +88,14 @@ def update_ledger(versions: DataFrame, ledger_path: str, path_col: str = "path",
     rows = versions.select(F.col(path_col).cast("string").alias("path"), text.alias("text")).withColumn("sha", F.sha2("text", 256))
     wanted = (F.col("sha") == F.col("todo_sha")) & F.col("path").eqNullSafe(F.col("todo_path"))
     n_todo = todo.count()
-    if n_todo <= 20_000:
+    if n_todo <= scan_rows:
         rows = keep_matching(rows, todo, wanted, "left_semi", n_todo)
     else:
-        skip = materialise(addressed.join(todo, wanted, "left_anti").select(F.xxhash64("path", "sha").alias("skip")).distinct())
+        marks = [F.xxhash64("path", "sha"), F.xxhash64(F.lit(1), "path", "sha")]  # 128 bits, so that no blob is skipped for another
+        skip = materialise(addressed.join(todo, wanted, "left_anti").select(marks[0].alias("skip"), marks[1].alias("skip_too")).distinct())
         n_skip = skip.count()
-        if n_skip <= 500_000:
-            rows = keep_matching(rows, skip, F.xxhash64("path", "sha") == F.col("skip"), "left_anti", n_skip)
+        if n_skip <= skip_rows:
+            rows = keep_matching(rows, skip, (marks[0] == F.col("skip")) & (marks[1] == F.col("skip_too")), "left_anti", n_skip)
         else:
             rows = rows.join(todo.hint("shuffle_hash"), wanted, "left_semi")
     if n_todo:

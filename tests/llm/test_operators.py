@@ -78,6 +78,11 @@ def test_decontamination_edges(spark):
     kept = decontaminate.decontaminate(documents(spark, rows), items)
     assert kept.columns == documents(spark, rows).columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 5, 6, 7, 14]
+    for bound in (10**6, 0):  # the second shuffles both sides of each join
+        shared = documents(spark, [*rows, (10, "a clean text", "en", "a"), (None, f"x {text}", "en", "a"), (10, f"before, {text} after", "en", "a")])
+        assert {(r.doc_id, r.item_id): r.shared for r in decontaminate.contaminated(shared, items, broadcast_rows=bound).collect()} == {k: v[1] for k, v in got.items()} | {(None, 1): 36, (None, 5): 8}
+        kept = decontaminate.decontaminate(shared, items, broadcast_rows=bound).collect()
+        assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 3, 4, 5, 5, 6, 7, 10, 14], "a clean row stays, also under the id of another"
     assert decontaminate.contaminated(documents(spark, []), items).count() == 0
     assert decontaminate.contaminated(documents(spark, rows), items.limit(0)).count() == 0
 
@@ -253,6 +258,60 @@ def test_language_of_copies_and_letterless_texts_is_learned_whole(spark, monkeyp
     assert got == ["de"] * 21 + ["en"] * 20
 
 
+def plain_counts(text, buckets):
+    """language.counts, one character at a time; None without a letter."""
+    line, mask = [0], (1 << 64) - 1
+    for c in text.lower():
+        letter = ord(c) if ("a" <= c <= "z" or (ord(c) > 127 and c.isalpha())) else 0
+        if letter or line[-1]:
+            line.append(letter)
+    if line[-1]:
+        line.append(0)
+    if len(line) == 1:
+        return None
+    found = [0] * buckets
+    for a, b, c in zip(line, line[1:], line[2:], strict=False):
+        mixed = ((a * 0x9E3779B1 & mask) ^ (b * 0x85EBCA77 & mask) ^ (c * 0xC2B2AE3D & mask)) * 0x27D4EB2F165667C5 & mask
+        found[(mixed >> 40) % buckets] += 1
+    length = sum(found) ** 0.5
+    return [n**0.5 / length for n in found]
+
+
+def test_language_against_a_plain_version(spark, sf_dir):
+    """Families by the largest logit, and in a family every pair's vote, worked out term by term."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang")
+    model = language.fit(docs)
+    texts = [r.text for r in docs.limit(40).collect()] + [t for _, t, _, _ in ODD if t != LONG]
+    got = language.identify(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string"), model, keep=["k"]).collect()
+    for r in got:
+        x = plain_counts(texts[r.k] or "", language.BUCKETS)
+        if x is None:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        where = [(i, v) for i, v in enumerate(x) if v]
+        logits = [sum(float(w[i]) * v for i, v in where) + float(w[-1]) for w in model.family_weights]
+        best = max(range(len(logits)), key=logits.__getitem__)
+        mine = [i for i, lang in enumerate(model.langs) if language.family_of(lang) == model.families[best]]
+        wins, sums = dict.fromkeys(mine, 0), dict.fromkeys(mine, 0.0)
+        for (i, j), w in zip(model.pairs, model.pair_weights, strict=True):
+            if i in wins:
+                sure = 1 / (1 + np.exp(-4 * (sum(float(w[b]) * v for b, v in where) + float(w[-1]))))
+                wins[i if sure >= 0.5 else j] += 1
+                sums[i], sums[j] = sums[i] + sure, sums[j] + 1 - sure
+        first = max(mine, key=lambda i: (wins[i], sums[i], -i))
+        share = sums[first] / (len(mine) - 1) if len(mine) > 1 else 1.0
+        odds = np.exp(np.array(logits) - max(logits))
+        assert r.lang_pred == model.langs[first] and abs(r.score - odds[best] / odds.sum() * share) < 1e-3
+
+
+def test_language_bounds_its_sample(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"text {chr(97 + k % 26)}{k}", f"l{k % 10}") for k in range(600)], "text string, lang string")
+    monkeypatch.setattr(language, "fit_sample", lambda rows: len(rows))
+    assert language.fit(rows, most=10**6) == 600 and language.fit(rows, most=100) < 200
+    with pytest.raises(ValueError, match="too many"):
+        language.fit(rows, most=20)
+
+
 def test_language_slices_of_long_texts():
     text = "über das Maß hinaus " * 70_000
     whole = language.counts(text)
@@ -489,6 +548,11 @@ def test_secrets_and_ledger(spark, tmp_path):
     assert again.count() == len(more) and secrets.read_ledger(spark, ledger).count() == scanned + 1
     assert secrets.update_ledger(documents(spark, rows), ledger, "doc_id", rule_version="other").count() == len(rows)
     assert secrets.read_ledger(spark, ledger).filter("rule_version = 'other'").count() == scanned
+    for k, bounds in enumerate(((0, 10**6), (0, 0))):  # the rows to skip are broadcast; all is shuffled
+        other = str(tmp_path / f"ledger{k}")
+        got = secrets.update_ledger(documents(spark, rows), other, "doc_id", scan_rows=bounds[0], skip_rows=bounds[1])
+        assert sorted((r.path or "", r.spans) for r in got.collect()) == want
+        assert secrets.read_ledger(spark, other).count() == scanned
     assert secrets.update_ledger(documents(spark, []), str(tmp_path / "none"), "doc_id").count() == 0
 
 
@@ -553,7 +617,11 @@ def test_chat_template_language():
     assert render([{"role": "user", "text": "x"}, {"role": "bot", "text": " hi "}, {"role": "user", "text": "y"}]) == ("abHIU", [(2, 4)])
     folded = chats.fold(chats.parse("a{{ 'b' + 'c' }}{% if 1 == 2 %}no{% else %}d{% endif %}{{ x }}"))
     assert [n.kind for n in folded] == ["text", "out"] and folded[0].parts == ("abcd",)
-    for bad in ("{% if x %}", "{{ x.__class__ }}", "{{ x | nofilter }}", "{{ x( }}", "{% import os %}", "{{ }}"):
+    assert chats.compile_template("a {%- if 1 == 1 -%} b {%- endif %} c {{- 'd' -}} e")([]) == ("ab cde", [])
+    for unknown in ("{{ nothing }}", "{% for m in messages %}{{ m.other }}{% endfor %}"):
+        with pytest.raises(chats.TemplateError):
+            chats.compile_template(unknown)([{"role": "user", "text": "x"}])
+    for bad in ("{{ 1 + 'a' }}", "{% if x %}", "{{ x.__class__ }}", "{{ x | nofilter }}", "{{ x( }}", "{% import os %}", "{{ }}"):
         with pytest.raises(chats.TemplateError):
             chats.compile_template(bad)
 
