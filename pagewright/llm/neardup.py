@@ -33,6 +33,8 @@ TILE = 2048
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 14
 #: Sets in a tile of near_copies, about.
 SET_TILE = 4096
+#: Words of 64 bits in the outline of a set: it has the bit of each of its hashes.
+OUTLINE = 16
 
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -201,6 +203,19 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes())).view(np.int64))
 
 
+def outline(shingles: np.ndarray) -> bytes:
+    """OUTLINE * 64 bits, of which those are set that hashes of the set fall on."""
+    bits = np.zeros(OUTLINE * 64, np.uint8)
+    bits[shingles % np.uint64(OUTLINE * 64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of outlines leave room for the similarity: a bit that one alone has is at least one hash of its own. None is lost."""
+    shared = np.minimum(n_a - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), n_b - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+    return shared >= similarity * (n_a + n_b - shared) - 1e-9
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield from (batch.slice(at, 256) for at in range(0, len(batch), 256))
@@ -237,7 +252,7 @@ def _picked(i: np.ndarray, j: np.ndarray, apart: np.ndarray, most: int) -> np.nd
 def candidates(one: dict[str, np.ndarray], other: dict[str, np.ndarray], radius: int, similarity: float, most: int | None) -> np.ndarray:
     """Pairs of keys, smaller first, of two tiles (key, fp, n, label): within the radius, of like size, of different labels.
 
-    All of them, or with `most` those that _picked takes for either side, strip by strip: some for each node that has any.
+    With `bits`, the outlines, such whose outlines leave room for the similarity. All of them, or with `most` those that _picked takes for either side, strip by strip: some for each node that has any.
     """
     found = [np.empty((2, 0), np.int64)]
     for at in range(0, len(one["fp"]), 512):
@@ -249,6 +264,9 @@ def candidates(one: dict[str, np.ndarray], other: dict[str, np.ndarray], radius:
         if most is None and one is other:
             good &= i + at < j
         i, j = i[good], j[good]
+        if "bits" in one and len(i):
+            good = np.concatenate([may_reach(strip["bits"][i[k : k + 65536]], other["bits"][j[k : k + 65536]], strip["n"][i[k : k + 65536]], other["n"][j[k : k + 65536]], similarity) for k in range(0, len(i), 65536)])
+            i, j = i[good], j[good]
         if most is not None and len(i):
             bits = apart[i, j]
             good = _picked(i, j, bits, most) | _picked(j, i, bits, most)
@@ -259,20 +277,21 @@ def candidates(one: dict[str, np.ndarray], other: dict[str, np.ndarray], radius:
 
 
 def candidate_pairs(nodes: DataFrame, radius: int, similarity: float, most: int | None, tile: int = SET_TILE) -> DataFrame:
-    """(a, b): the candidates among the rows (key, fp, n, label) of `nodes`, each pair once.
+    """(a, b): the candidates among the rows (key, fp, n, label, and maybe bits) of `nodes`, each pair once.
 
     Tiles are cut by the size of the set (four bands to the factor 1 / similarity) and in a band by population count; pairs of tiles
     whose bands or counts are too far apart are skipped. All others meet, each in a group of its own of two tiles, so the
     work is that of the square of the texts of like size, spread evenly.
     """
     step, reach = math.log(1 / similarity) / 4, 4
-    keyed = nodes.select("key", "fp", "n", "label", F.floor(F.log("n") / step).cast("int").alias("band"), F.bit_count("fp").alias("pop"))
+    carried = [c for c in ("key", "fp", "n", "label", "bits") if c in nodes.columns]
+    keyed = nodes.select(*carried, F.floor(F.log("n") / step).cast("int").alias("band"), F.bit_count("fp").alias("pop"))
     counts = keyed.groupBy("band", "pop").agg(F.count("*").alias("c"))  # at most 65 rows a band
     before = F.sum("c").over(Window.partitionBy("band").orderBy("pop")) - F.col("c")
     counts = counts.select("band", "pop", F.floor(before / tile).alias("part"), F.ceil(F.col("c") / tile).alias("subs"))
     where = keyed.join(counts, ["band", "pop"]).withColumn("sub", F.pmod(F.xxhash64("key"), "subs"))
     name = F.struct("band", "part", "sub")
-    where = materialise(where.select("key", "fp", "n", "label", "pop", name.alias("tile")))
+    where = materialise(where.select(*carried, "pop", name.alias("tile")))
     tiles = materialise(where.groupBy("tile").agg(F.min("pop").alias("low"), F.max("pop").alias("high")))
     a = tiles.select(F.col("tile").alias("x"), F.col("low").alias("low_x"), F.col("high").alias("high_x"), F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("up"))
     a = a.withColumn("band", F.col("x.band") + F.col("up"))
@@ -285,13 +304,15 @@ def candidate_pairs(nodes: DataFrame, radius: int, similarity: float, most: int
     def run(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
         columns = {c: group.column(c).to_numpy() for c in ("key", "fp", "n", "label")}
-        columns["fp"] = columns["fp"].view(np.uint64)
+        columns["fp"], columns["n"] = columns["fp"].view(np.uint64), columns["n"].astype(np.int64)
+        if "bits" in carried:
+            columns["bits"] = np.frombuffer(b"".join(group.column("bits").to_pylist()), "<u8").reshape(-1, OUTLINE)
         one = {c: v[side == 0] for c, v in columns.items()}
         other = {c: v[side == 1] for c, v in columns.items()} if (side == 1).any() else one
         pairs = candidates(one, other, radius, similarity, most)
         return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
-    return dealt.select("x", "y", "key", "fp", "n", "label", "side").groupBy("x", "y").applyInArrow(run, "a long, b long").distinct()
+    return dealt.select("x", "y", *carried, "side").groupBy("x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -312,14 +333,14 @@ def near_copies(
     most `radius` bits. Equal sets (of the 64-bit hash: n * n / 2**65 false ones are to be expected among n) are one
     node, so copies cost nothing; texts without words are equal to each other. Components are those of all such pairs,
     though in large groups not all are looked at: each node is first compared with some of its candidates, then those that are left
-    in different components with some more, and last with all that are still in different components. Only the
-    last step has no bound but its pairs: those of a group of many texts that are near the similarity, but don't reach it.
+    in different components with some more, and last with all that are still in different components. Of the later
+    candidates those are left out whose outlines (the bits that their shingles' hashes fall on) prove them too far apart.
     Repeated rows stay repeated; a null id is no smallest id (null, if all of a component are). Other columns play no part.
     """
     prints = materialise(set_prints(docs, id_col, text_col, shingle))
     nodes = materialise(prints.filter("n > 0").groupBy("key", "fp", "n").agg(F.min(F.struct("doc_id", "row_key")).alias("at")))
     plain = nodes.select("key", "fp", "n", F.col("key").alias("label"))
-    tried = materialise(candidate_pairs(plain, radius, similarity, 2, tile))
+    tried = materialise(candidate_pairs(plain, radius, similarity, 1, tile))
     open_keys = materialise(tried.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     open_nodes = materialise(nodes.join(open_keys, "key", "left_semi"))
     wanted = materialise(open_nodes.select(F.col("at.doc_id").alias("its_id"), F.col("at.row_key").alias("its_key")).distinct())
@@ -331,14 +352,16 @@ def near_copies(
             found = [shingle_set(t.as_py(), shingle) for t in part.column(0)]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in found]))).astype(np.int32)
             cells = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), cells], ["key", "shingles"])
+            bits = pa.array([outline(s) for s in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in found], pa.int64()), cells, bits], ["key", "shingles", "bits"])
 
-    sets = materialise(texts.select("text").mapInArrow(run, "key long, shingles array<long>").dropDuplicates(["key"]))
+    sets = materialise(texts.select("text").mapInArrow(run, "key long, shingles array<long>, bits binary").dropDuplicates(["key"]))
+    open_nodes = materialise(open_nodes.select("key", "fp", "n").join(sets.select("key", "bits"), "key"))
     links = materialise(_verified(tried, sets, similarity))
     for most in (8, None):
         linked = materialise(connected_components(links))
         label = F.coalesce("component", "key").alias("label")
-        labelled = open_nodes.join(linked, open_nodes.key == linked.node, "left").select("key", "fp", "n", label)
+        labelled = open_nodes.join(linked, open_nodes.key == linked.node, "left").select("key", "fp", "n", label, "bits")
         more = materialise(candidate_pairs(labelled, radius, similarity, most, tile).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break

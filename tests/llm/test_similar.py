@@ -87,3 +87,21 @@ def test_large_groups_around_the_similarity(spark):
     found = neardup.near_copies(documents(spark, [(d, t, "en", "a") for d, t in rows.items()]), tile=16).collect()
     assert {r.doc_id: r.component_id for r in found} == heads
     assert len(set(heads.values())) > 3, "some are apart from their group"
+
+
+def test_outlines_lose_no_pair():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 60, 400, 3000):
+        base = rng.integers(0, 2**63, n, dtype=np.uint64)
+        for share in (0.0, 0.05, 0.11, 0.12, 0.3, 1.0):
+            other = base.copy()
+            changed = rng.permutation(n)[: round(share * n)]
+            other[changed] = rng.integers(0, 2**63, len(changed), dtype=np.uint64)
+            a, b = np.unique(base), np.unique(other)
+            rows = [np.frombuffer(neardup.outline(x), "<u8").reshape(1, -1) for x in (a, b)]
+            shared = len(np.intersect1d(a, b))
+            near = shared >= 0.8 * (len(a) + len(b) - shared)
+            may = bool(neardup.may_reach(*rows, np.array([len(a)]), np.array([len(b)]), 0.8)[0])
+            assert may or not near
+            if n == 60 and share == 0.3:
+                assert not may
