@@ -108,13 +108,18 @@ def closeness(a: Rect, b: Rect) -> tuple[Column, Column, Column]:
     return F.when(columns > 0, b.top - a.bottom).otherwise(b.left - a.right), columns, rows
 
 
-def spacing_match(a: Rect, b: Rect, within: float = 0.15) -> Column:
-    """Heights alike within 15 %, and base lines (a tenth above the bottom) about 1.2 heights apart."""
+def spacing_match(a: Rect, b: Rect, within: float = 0.15):
+    """Heights alike within 15 %, and base lines (a tenth above the bottom) about 1.2 heights apart.
+
+    In plain arithmetic, so that columns and arrays of numbers do alike.
+    """
     ha, hb = a.bottom - a.top, b.bottom - b.top
-    mean = (ha + hb) / 2
+    slack = (ha + hb) / 2 * within
     base_a, base_b = a.bottom - ha * 0.1, b.bottom - hb * 0.1
-    off = F.abs(F.abs(base_b - base_a) - ha * 1.2) > mean * within
-    return (ha > 0) & (hb > 0) & (F.abs(ha - hb) <= mean * within) & ~((base_a > 0) & (base_b > 0) & off)
+    apart, most, least = base_b - base_a, ha * 1.2 + slack, ha * 1.2 - slack
+    spaced = (apart <= most) & (apart >= -most) & ((apart >= least) | (apart <= -least))
+    unsure = (base_a <= 0) | (base_b <= 0)
+    return (ha > 0) & (hb > 0) & (ha - hb <= slack) & (hb - ha <= slack) & (unsure | spaced)
 
 
 #: Names of places in a box; any other name is the centre.

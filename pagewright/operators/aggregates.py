@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,20 +103,6 @@ def dotted_line_areas(components: DataFrame, key: str = "page_id") -> DataFrame:
     return out[0].unionByName(out[1])
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """Written once to the folder that executors share (spark.checkpoint.dir), and read back: cuts the lineage."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="pagewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/pagewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table_clusters(cells: DataFrame, pairs: DataFrame, key: str = "page_id") -> DataFrame:
     """Cells (page_id, cell_id, ...) with `table_id`: the least cell_id that adjacency (page_id, a, b) reaches.
 

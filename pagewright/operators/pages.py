@@ -1,8 +1,9 @@
 """Page operators: rules that depend on the order within one page or one table.
 
 Each takes the page's own list and is spread over pages by Spark. `preprocess` and the columns before it stay in the
-JVM; the functions below work on small lists in Arrow batches and give one record per block, or an error record for a
-page that fails, so that one page never stops the others.
+JVM; the functions below work on small lists in Arrow batches. Those of blocks (`by_page`) give one record per block, or
+an error record for a page that fails, so that one page never stops the others; those of cells (`by_group`) take numbers
+that Spark has made and have no error records.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.geometry import UPRIGHT_DEG, aabb, block_angle, rotate_box, rotate_box_ccw90
+from pagewright.functions.geometry import UPRIGHT_DEG, Rect, aabb, block_angle, rotate_box, rotate_box_ccw90, spacing_match
 from pagewright.functions.text import separator_of
 from pagewright.operators.filters import PAGE, non_empty
 
@@ -363,103 +365,117 @@ def regions(blocks: list[Block]) -> list[list[Block]]:
 ROUNDS = (("below", -1.0, 1.0), ("below", 0.0, 1.0), ("right", 0.0, 0.98), ("below", 0.25, 0.75), ("right", 0.25, 0.75), ("below", 0.5, 0.5), ("right", 0.5, 0.5))
 
 
-def comes_before(a: Block, b: Block) -> float:
-    """Below zero if a is read before b: by x where they overlap in height, by y where they overlap in width, else by the sum."""
-    if b.b > a.t and b.t < a.b:
-        return a.l - b.l
-    if b.r > a.l and b.l < a.r:
-        return a.t - b.t
-    return (a.l + a.t) - (b.l + b.t)
+#: Gaps that differ by no more count as equal, and so much of a side's length may stick out of what faces it.
+EQUAL_GAPS, INSET = 0.1, 0.2
+
+
+def earliest(boxes: Rect, among: np.ndarray) -> int:
+    """Which of the blocks is read first, each compared with the first so far.
+
+    Two blocks are weighed by x if they share a row, by y if they share a column only, and by both if neither; the
+    weights differ from pair to pair, so there is no order of all blocks to sort by.
+    """
+    left, top, right, bottom = boxes
+
+    def earlier(at: int, other: int) -> int:
+        row = bottom[other] > top[at] and top[other] < bottom[at]
+        column = right[other] > left[at] and left[other] < right[at]
+        ahead = (row or not column) * (left[other] - left[at]) + (not row) * (top[other] - top[at])
+        return other if ahead < 0 else at
+
+    return reduce(earlier, among.tolist())
+
+
+class Chains:
+    """Blocks that are read one after another, and for each chain which blocks lie on its sides."""
+
+    def __init__(self, boxes: Rect) -> None:
+        self.boxes = boxes
+        n = len(boxes.left)
+        self.after: dict[int, int] = {}
+        self.free = np.ones(n, bool)  # nothing leads to them yet
+        self.chain = np.arange(n)  # named by one of its blocks
+        self._sides: dict[int, np.ndarray] = {}
+
+    def sides(self, chain: int) -> np.ndarray:
+        """Four rows: which blocks lie above, left, right and below of any block of the chain, facing most of its side."""
+        if chain not in self._sides:
+            l, t, r, b = self.boxes  # noqa: E741
+            dx, dy = (r[chain] - l[chain]) * INSET, (b[chain] - t[chain]) * INSET
+            facing_x = np.minimum(r, r[chain] - dx) >= np.maximum(l, l[chain] + dx)
+            facing_y = np.minimum(b, b[chain] - dy) >= np.maximum(t, t[chain] + dy)
+            self._sides[chain] = np.stack([(b <= t[chain]) & facing_x, (r <= l[chain]) & facing_y, (l >= r[chain]) & facing_y, (t >= b[chain]) & facing_x])
+        return self._sides[chain]
+
+    def follower(self, i: int, below: bool) -> tuple[int, float, float] | None:
+        """The nearest free block below or to the right of block i, its alignment with it and its gap; of equal gaps the leftmost."""
+        l, t, r, b = self.boxes  # noqa: E741
+        columns, rows = aligned(l[i], r[i], l, r), aligned(t[i], b[i], t, b)
+        gap, along = np.where(columns > 0, t - b[i], l - r[i]), columns if below else rows
+        fit = np.flatnonzero(self.free & (gap >= 0) & (along > 0) & (np.arange(len(l)) != i))
+        if not len(fit):
+            return None
+        near = fit[gap[fit] <= gap[fit].min() + EQUAL_GAPS]
+        j = int(near[l[near].argmin()])
+        return j, float(along[j]), float(gap[j])
+
+    def join(self, i: int, j: int) -> None:
+        """Let j follow i, unless they are of one chain or the two chains together shut a free block in."""
+        one, other = int(self.chain[i]), int(self.chain[j])
+        if one == other:
+            return
+        both = self.sides(one) | self.sides(other)
+        above, left, right, below = both[:, self.free & (self.chain != one) & (self.chain != other)]
+        if not ((above & (left | right)) | (left & below)).any():
+            self.after[i], self.free[j] = j, False
+            self.chain[self.chain == other] = one
+            self._sides[one] = both
+            self._sides.pop(other, None)
+
+
+def aligned(a0, a1, b0, b1) -> np.ndarray:
+    """`alignment` of intervals, over arrays."""
+    return (np.minimum(a1, b1) - np.maximum(a0, b0)) / np.maximum(np.maximum(a1 - a0, b1 - b0), 0.01)
 
 
 def fine_sort(region: list[Block]) -> list[Block]:
     """A region's blocks in reading order: chained below and to the right in seven rounds, then chain after chain by position.
 
-    A link is taken back if its chain then shuts a free block in between: above and left, above and right, or left and
+    A link isn't made if its chain then shuts a free block in: between above and left, above and right, or left and
     below of it. Each chain keeps, for all blocks, on which of its sides they lie, so a link costs one pass over the region.
-    A link never closes a ring.
     """
     n = len(region)
     if n < 2:
         return list(region)
-    x1, y1, x2, y2 = (np.array([getattr(b, c) for b in region]) for c in "ltrb")
-    high, wide = y2 - y1, x2 - x1
+    boxes = Rect(*(np.array([getattr(b, c) for b in region], float) for c in "ltrb"))
+    high, wide = boxes.bottom - boxes.top, boxes.right - boxes.left
     size = np.array([len(b.text.encode()) for b in region])
-    font = float(high[high > 0].mean()) if (high > 0).any() else 0.15
     written = (wide > 0) & (size > 0)
-    char = float((wide[written] / size[written]).mean()) if written.any() else 0.1
-    base = y2 - high * 0.1
-    near = 0.1
-    nxt, prv = np.full(n, -1), np.full(n, -1)
-    start = 0
-    for i in range(1, n):
-        if comes_before(region[i], region[start]) < 0:
-            start = i
-    prv[start] = n  # taken, by no block
-    chain = np.arange(n)  # the chain of each block, named by one of its blocks
-    inset = 0.2
-    sides: dict[int, np.ndarray] = {}
-
-    def sides_of(i: int) -> np.ndarray:
-        """Bits of where each block lies seen from i: 1 above, 2 left, 4 right, 8 below."""
-        across = (x2 >= x1[i] + wide[i] * inset) & (x1 <= x2[i] - wide[i] * inset)
-        along = (y1 <= y2[i] - high[i] * inset) & (y2 >= y1[i] + high[i] * inset)
-        return (1 * ((y2 <= y1[i]) & across) | 8 * ((y1 >= y2[i]) & across) | 2 * ((x2 <= x1[i]) & along) | 4 * ((x1 >= x2[i]) & along)).astype(np.uint8)
-
-    def aligned(a0, a1, b0, b1):
-        return (np.minimum(a1, b1) - np.maximum(a0, b0)) / np.maximum(np.maximum(a1 - a0, b1 - b0), 0.01)
-
-    def closest(i: int, below: bool) -> tuple[int, float, float]:
-        columns, rows = aligned(x1[i], x2[i], x1, x2), aligned(y1[i], y2[i], y1, y2)
-        gap = np.where(columns > 0, y1 - y2[i], x1 - x2[i])
-        align = columns if below else rows
-        best, best_gap = -1, 99.0
-        for j in np.flatnonzero((prv < 0) & (gap >= 0) & (align > 0)):
-            if best < 0 or gap[j] < best_gap - near or (abs(gap[j] - best_gap) <= near and x1[best] > x1[j]):
-                best, best_gap = int(j), float(gap[j])
-        return best, float(align[best]) if best >= 0 else -1.0, best_gap
-
-    def spaced(i: int, j: int) -> bool:
-        mean = (high[i] + high[j]) / 2
-        if not (high[i] > 0 and high[j] > 0) or abs(high[i] - high[j]) > mean * 0.15:
-            return False
-        return not (base[i] > 0 and base[j] > 0) or abs(abs(base[j] - base[i]) - high[i] * 1.2) <= mean * 0.15
-
-    for way, gap_limit, align_limit in ROUNDS:
+    usual = {"below": 0.1 * (high[high > 0].mean() if (high > 0).any() else 0.15), "right": 10 * ((wide[written] / size[written]).mean() if written.any() else 0.1)}
+    chains, start = Chains(boxes), earliest(boxes, np.arange(n))
+    chains.free[start] = False
+    for way, limit, alignment in ROUNDS:
         below = way == "below"
-        limit = gap_limit or (font * 0.1 if below else char * 10.0)
-        wanted = align_limit * (0.7 if below else 1.0)
         for i in range(n):
-            if nxt[i] >= 0:
+            if i in chains.after or not (found := chains.follower(i, below)):
                 continue
-            j, align, gap = closest(i, below)
-            if j < 0 or chain[j] == chain[i] or align < wanted or not (gap <= limit or (below and limit < 0 and spaced(i, j))):
-                continue
-            a, b = chain[i], chain[j]
-            seen = sides.setdefault(a, sides_of(i)) | sides.setdefault(b, sides_of(j))
-            free = (prv < 0) & (chain != a) & (chain != b)
-            shut = seen[free]
-            if any(((shut & m) == m).any() for m in (3, 5, 10)):
-                continue
-            nxt[i], prv[j] = j, i
-            chain[chain == b] = a
-            sides[a] = seen
-            sides.pop(b, None)
-    order, at = [start], start
-    left = set(range(n)) - {start}
-    while left:
-        if nxt[at] >= 0 and int(nxt[at]) in left:
-            at = int(nxt[at])
-        else:
-            heads = [j for j in sorted(left) if prv[j] < 0] or sorted(left)
-            at = heads[0]
-            for j in heads[1:]:
-                if comes_before(region[j], region[at]) < 0:
-                    at = j
-            prv[at] = n
+            j, along, gap = found
+            if limit < 0:
+                close = bool(spacing_match(*(Rect(*(side[k] for side in boxes)) for k in (i, j))))
+            else:
+                close = gap <= (limit or usual[way])
+            if close and along >= alignment * (0.7 if below else 1.0):
+                chains.join(i, j)
+    order, at, waiting = [], start, np.ones(n, bool)
+    while True:
         order.append(at)
-        left.discard(at)
-    return [region[i] for i in order]
+        waiting[at] = False
+        if not waiting.any():
+            return [region[i] for i in order]
+        at = chains.after.get(at, -1)
+        if at < 0 or not waiting[at]:
+            heads = np.flatnonzero(waiting & chains.free)
+            at = earliest(boxes, heads if len(heads) else np.flatnonzero(waiting))
 
 
 # ---- vertical text ----

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.operators import aggregates as A
 from pagewright.operators import filters as FL
 from pagewright.operators import joins as J
+from pagewright.sources.shared import shared_table
 
 
 def without_dotted_lines(components: DataFrame) -> DataFrame:
@@ -23,18 +24,18 @@ def merged_boxes(components: DataFrame, blockers: DataFrame) -> DataFrame:
     return A.component_boxes(labelled.withColumnRenamed("table_id", "label"))
 
 
-def page_metrics(components: DataFrame) -> DataFrame:
+def page_metrics(components: DataFrame, blockers: DataFrame | None = None) -> DataFrame:
     """(page_id, char_length, line_sep, boxes): pages without components of usual shape and size have no row.
 
-    line_sep is 0 if no box has another below it. Nothing blocks the space between components: rectangles have no pixels.
+    line_sep is 0 if no box has another below it. `blockers` (page_id, l, t, r, b) may block the space between components.
     """
-    sized = A.shared_table(FL.component_size(FL.component_shape(without_dotted_lines(components))))
+    sized = shared_table(FL.component_size(FL.component_shape(without_dotted_lines(components))))
     kept, left = sized.filter("kept"), sized.filter("not kept")
     chars = A.page_char_length(kept)
     kept = kept.join(chars, "page_id")
     back = J.attach_discarded(kept, left, F.col("char_length")).join(chars, "page_id")
-    both = A.shared_table(kept.unionByName(back))
-    boxes = A.shared_table(merged_boxes(both, both.select("page_id", *"ltrb").filter("false")))
+    both = shared_table(kept.unionByName(back))
+    boxes = shared_table(merged_boxes(both, blockers if blockers is not None else both.select("page_id", *"ltrb").filter("false")))
     seps = J.row_separation(boxes.join(chars, "page_id"), F.col("char_length"), "label")
     counted = boxes.groupBy("page_id").agg(F.count("*").alias("boxes"))
     return chars.join(A.mode_row_separation(seps), "page_id", "left").join(counted, "page_id").select("page_id", "char_length", F.coalesce("line_sep", F.lit(0)).alias("line_sep"), "boxes")

@@ -10,8 +10,10 @@ from pagewright.functions.text import ascii_lower, weighted_char_ratio
 from pagewright.operators.aggregates import ordered_concat
 from pagewright.operators.filters import PAGE, matches_text
 
-#: Query tables of at most so many rows are broadcast; larger ones are joined by a shuffle on their first letter pairs.
+#: Query tables of at most so many rows are broadcast; larger ones are joined by a shuffle on their first characters.
 BROADCAST_QUERIES = 10_000
+#: So many of them; a shorter query is joined on all it has.
+GRAM = 3
 
 
 def list_blocks(blocks: DataFrame) -> DataFrame:
@@ -55,7 +57,20 @@ def _located(hits: DataFrame, query: Column, loc: Column, segments: DataFrame |
     return hits.withColumn("x", F.when(seen, sx).otherwise(x)).withColumn("y", F.when(seen, sy).otherwise(y)).drop("_start", "_last", "_mids")
 
 
-def find_text_many(blocks: DataFrame, queries: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+def _holding(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each block with each query that it holds, by an equi join of the distinct pieces of the text and the beginning of the query."""
+
+    def pieces(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.char_length("_low") - (n - 1)), lambda i: F.substring(F.col("_low"), i, F.lit(n)))
+
+    none = F.array().cast("array<string>")
+    grams = F.array_distinct(F.concat(*[F.when(F.char_length("_low") >= n, pieces(n)).otherwise(none) for n in range(1, GRAM + 1)]))
+    own = blocks.withColumn("_low", ascii_lower(F.col("text"))).withColumn("_gram", F.explode(grams)).drop("_low")
+    beginning = F.substring(ascii_lower(F.col("q")), 1, GRAM)
+    return own.join(asked.withColumn("_gram", beginning), "_gram").filter(matches_text(F.col("text"), F.col("q"))).drop("_gram")
+
+
+def find_text_many(blocks: DataFrame, queries: DataFrame, segments: DataFrame | None = None, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
     """(query_id, doc_id, page, block_id, x, y): each page's place of each query (query_id, q, n, loc).
 
     The n-th block of the page that holds the text counts (a block once, case of ASCII letters not counting), and in it the
@@ -63,8 +78,8 @@ def find_text_many(blocks: DataFrame, queries: DataFrame, segments: DataFrame |
     located by them, others by the widths of characters. Empty queries find nothing.
     """
     asked = queries.filter("q <> ''")
-    side = F.broadcast(asked) if asked.count() <= BROADCAST_QUERIES else asked
-    hits = blocks.join(side, matches_text(F.col("text"), F.col("q")))
+    few = asked.count() <= broadcast_queries
+    hits = blocks.join(F.broadcast(asked), matches_text(F.col("text"), F.col("q"))) if few else _holding(blocks, asked)
     at = F.row_number().over(Window.partitionBy("query_id", *PAGE).orderBy("block_id"))
     hits = hits.withColumn("_at", at).filter(F.col("_at") == F.greatest("n", F.lit(1))).drop("_at")
     return _located(hits, F.col("q"), F.col("loc"), segments).select("query_id", *PAGE, "block_id", "x", "y")

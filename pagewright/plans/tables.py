@@ -12,6 +12,7 @@ from pagewright.operators import filters as FL
 from pagewright.operators import joins as J
 from pagewright.operators import pages as P
 from pagewright.operators import windows as W
+from pagewright.sources.shared import shared_table
 
 TABLE = ("page_id", "table_id")
 STYLE = "<table style='table-layout:fixed;width:100%'>"
@@ -60,10 +61,10 @@ def table_html(slots: DataFrame, keys: tuple[str, ...] = TABLE) -> DataFrame:
 
 def bordered_slots(lines: DataFrame, blocks: DataFrame, char_length: float = 8.0) -> DataFrame:
     """(page_id, table_id, row, col, x1, y1, x2, y2, content) of every valid table between ruled lines."""
-    cells = A.shared_table(cells_from_lines(lines))
+    cells = shared_table(cells_from_lines(lines))
     clustered = FL.cluster_size(A.table_clusters(cells, J.adjacent_cells(cells)))
-    slots = FL.valid_tables(A.shared_table(J.slot_cells(normalised(A.shared_table(clustered), char_length))))
-    return A.shared_table(J.backfill_merged(J.match_cells_to_block(slots, blocks)))
+    slots = FL.valid_tables(shared_table(J.slot_cells(normalised(shared_table(clustered), char_length))))
+    return shared_table(J.backfill_merged(J.match_cells_to_block(slots, blocks)))
 
 
 def bordered_tables(lines: DataFrame, blocks: DataFrame, char_length: float = 8.0) -> DataFrame:
@@ -171,11 +172,11 @@ def structured_tables(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
     Blocks above the table are left out, each other goes to its best cell. Pages without cells or without blocks keep
     their bare structure.
     """
-    structures, cells = A.shared_table(decode_structure(tokens)), A.shared_table(structure_cells(tokens))
+    structures, cells = shared_table(decode_structure(tokens)), shared_table(structure_cells(tokens))
     texts = A.cell_texts(J.match_blocks_to_cells(FL.below_table_top(blocks, cells), cells))
     full = cells.select("page_id").distinct().join(blocks.select("page_id").distinct(), "page_id", "left_semi")
     filled = fill_placeholders(structures.join(full, "page_id", "left_semi"), cells, texts)
-    sized = size_rows(A.shared_table(pad_rows(filled)), cells)
+    sized = size_rows(shared_table(pad_rows(filled)), cells)
     out = structures.join(sized.withColumnRenamed("html", "_full"), "page_id", "left")
     return out.select("page_id", F.coalesce("_full", "html").alias("html"), "structure_score")
 

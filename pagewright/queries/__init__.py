@@ -14,10 +14,10 @@ class Query(NamedTuple):
 
 
 def all_queries() -> dict[str, Query]:
-    from pagewright.queries import blocks, grids, layouts, scalars, signals, tables
+    from pagewright.queries import blocks, grids, layouts, scalars, signals, storage, tables
 
     found: dict[str, Query] = {}
-    for module in (scalars, blocks, layouts, signals, tables, grids):
+    for module in (scalars, blocks, layouts, signals, tables, grids, storage):
         assert not found.keys() & module.QUERIES.keys()
         found |= module.QUERIES
     return found

@@ -59,7 +59,14 @@ _RESULTS = """WITH results AS (SELECT doc_id, 0 AS page, CASE WHEN doc_id % 50 =
 def _snk01(spark, sf_dir):
     pages = R.collect_pages(D.page_blocks(spark, sf_dir))
     texts = A.assemble_text(D.page_blocks(spark, sf_dir), order="block_id")
-    return K.to_records(pages.join(texts, ["doc_id", "page"]))
+    records = K.to_records(pages.join(texts, ["doc_id", "page"]))
+    said = F.from_json("record", "doc_id long, page int, code int, text string, blockCount int, blocks array<struct<text: string, score: double, box: array<int>, angle: int, angleScore: double, `end`: string>>")
+    rows = records.select(said.alias("r")).select("r.*").withColumn("last", F.element_at("blocks", -1))
+    return rows.select("doc_id", "page", "code", "text", F.col("blockCount").alias("block_count"), F.col("last.text").alias("last_text"), F.col("last.score").alias("last_score"), F.array_join("last.box", ",").alias("last_box"))
+
+
+_SNK01 = PB + """ SELECT doc_id, page, 0 AS code, string_agg(text || "end", '' ORDER BY block_id) AS text, CAST(count(*) AS INTEGER) AS block_count,
+    arg_max(text, block_id) AS last_text, round(arg_max(score, block_id), 4) AS last_score, array_to_string(arg_max(box, block_id), ',') AS last_box FROM page_blocks GROUP BY doc_id, page"""
 
 
 def _snk06(spark, sf_dir):
@@ -181,7 +188,7 @@ QUERIES = {
     "src_03_explode_blocks": Query(_src03, PB + " SELECT doc_id, page, CAST(block_id AS INTEGER) AS seq, CAST(block_id AS INTEGER) AS block_id, text, round(score, 9) AS score FROM page_blocks"),
     "src_04_collect_pages": Query(_src04, PB + " SELECT doc_id, page, count(*) AS n, string_agg(text, '|' ORDER BY block_id) AS texts FROM page_blocks GROUP BY doc_id, page"),
     "src_05_select_pages": Query(_src05, _SRC05),
-    "snk_01_records": Query(_snk01, None),
+    "snk_01_records": Query(_snk01, _SNK01),
     "snk_02_error_records": Query(lambda s, d: K.error_records(_results(s, d), "doc_id", "page"), _RESULTS + r""" SELECT doc_id, page, '{"doc_id":' || doc_id || ',"page":0,"code":1,"msg":"can''t read \"page\""}' AS record FROM results WHERE code <> 0"""),
     "snk_06_text_layer": Query(_snk06, _SNK06),
     "flt_01_non_empty": Query(lambda s, d: FL.non_empty(D.page_blocks(s, d)).select(*IDS, "text"), PB + " SELECT doc_id, page, block_id, text FROM page_blocks WHERE text <> ''"),

@@ -66,7 +66,12 @@ def _stream(spark, sf_dir):
     row = F.struct("block_id", "text", "score", "box", "angle", "angle_score", "end")
     pages = blocks.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("block_id", row.alias("b")))).alias("l"))
     pages = pages.select("doc_id", "page", F.lit(0).alias("code"), F.lit(None).cast("string").alias("msg"), F.transform("l", lambda x: x["b"]).alias("blocks"), F.lit(None).cast("string").alias("_corrupt_record"))
-    return layout_records(pages, "single_line")
+    said = F.from_json("record", "doc_id long, page int, code int, text string, blockCount int")
+    return layout_records(pages, "single_line").select(said.alias("r")).select("r.doc_id", "r.page", "r.code", "r.text", F.col("r.blockCount").alias("block_count"))
+
+
+_STREAM = _NEXT + f""", e AS (SELECT doc_id, page, seq, text || {_SINGLE} AS said FROM n), l AS (SELECT doc_id, page, string_agg(said, '' ORDER BY seq) AS text, count(*) AS k FROM e GROUP BY doc_id, page)
+SELECT doc_id, page, 0 AS code, coalesce(text, '') AS text, CAST(coalesce(k, 0) AS INTEGER) AS block_count FROM (SELECT DISTINCT doc_id, page FROM page_blocks) LEFT JOIN l USING (doc_id, page)"""
 
 
 def _para(strategy: str):
@@ -86,7 +91,7 @@ def _fine(spark, sf_dir):
 
 
 QUERIES = {
-    "pag_02_regions": Query(_regions, None),
+    "pag_02_regions": Query(_regions, _BY_COLUMN.replace("row_number() OVER w - 1 AS seq", "row_number() OVER w - 1 AS seq, dense_rank() OVER (PARTITION BY doc_id, page ORDER BY col) - 1 AS region_id") + " SELECT doc_id, page, CAST(seq AS INTEGER) AS seq, CAST(region_id AS INTEGER) AS region_id, CAST(block_id AS INTEGER) AS block_id, 0 AS code FROM n"),
     "pag_03_fine_sort": Query(_fine, None),
     "pag_04_text_lines": Query(_lines, _LINES),
     "pag_05_paragraphs": Query(_para("single_para"), None),
@@ -101,5 +106,5 @@ QUERIES = {
     "lay_07_multi_para": Query(_layout("multi_para"), None),
     "lay_08_multi_none": Query(_layout("multi_none"), _BY_COLUMN + _select(f"CASE WHEN nt IS NULL THEN chr(10) ELSE {text_separator_sql('text', 'nt')} END")),
     "lay_09_none": Query(_layout("none"), PB + ' SELECT doc_id, page, CAST(block_id AS INTEGER) AS seq, CAST(block_id AS INTEGER) AS block_id, text, "end", 0 AS code FROM page_blocks'),
-    "str_01_layout_records": Query(_stream, None),
+    "str_01_layout_records": Query(_stream, _STREAM),
 }

@@ -289,17 +289,17 @@ def _scl14():
 
 def _scl15(spark, sf_dir):
     """Blocks of a page against those one, two and three rows further down, heights stretched by their inset."""
-    rows = D.grid_blocks(spark, sf_dir).filter("block_id % 4 = 0")
+    rows = D.grid_blocks(spark, sf_dir)
     a = rows.select("page_id", F.col("block_id").alias("a"), *[F.col(c).alias(f"c_{c}") for c in "ltrb"])
     b = rows.select("page_id", F.col("block_id").alias("b"), *[F.col(c).alias(f"k_{c}") for c in "ltrb"])
-    pairs = a.join(b, "page_id").filter("a < b and b <= a + 12")
+    pairs = a.withColumn("b", F.explode(F.array(*[F.col("a") + 4 * k for k in (1, 2, 3)]))).join(b, ["page_id", "b"])
     return pairs.select("page_id", "a", "b", G.spacing_match(*_rects()).alias("same"))
 
 
 _SCL15 = GC + f"""
 SELECT page_id, a, b, {_SPACING} AS same FROM (
     SELECT x.page_id, x.block_id AS a, y.block_id AS b, x.l AS c_l, x.t AS c_t, x.r AS c_r, x.b AS c_b, y.l AS k_l, y.t AS k_t, y.r AS k_r, y.b AS k_b
-    FROM grid_blocks x JOIN grid_blocks y ON x.page_id = y.page_id AND x.block_id % 4 = 0 AND y.block_id % 4 = 0 AND x.block_id < y.block_id AND y.block_id <= x.block_id + 12)"""
+    FROM grid_blocks x JOIN grid_blocks y ON x.page_id = y.page_id AND y.block_id IN (x.block_id + 4, x.block_id + 8, x.block_id + 12))"""
 
 _PAGE = "doc_id, block_id"
 QUERIES = {

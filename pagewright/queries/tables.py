@@ -125,13 +125,16 @@ _JON08 = _DOTTED + """ SELECT page_id, comp_id FROM components c WHERE coalesce(
 
 
 def _close(spark, sf_dir):
+    """On every fourth page everything is blocked, on the next ones hardly anything."""
     comps = D.components(spark, sf_dir)
-    return J.close_components(comps, comps.filter("false"), F.lit(30))
+    side = F.when(F.col("page_id") % 4 == 0, 100_000).otherwise(1)
+    blockers = comps.filter("page_id % 4 < 2").select("page_id").distinct().select("page_id", F.lit(0).alias("l"), F.lit(0).alias("t"), side.alias("r"), side.alias("b"))
+    return J.close_components(comps, blockers, F.lit(30))
 
 
 _CLOSE = COMPS + """, p AS (SELECT a.page_id, a.comp_id AS a, b.comp_id AS b, least(a.r, b.r) - greatest(a.l, b.l) AS xo, least(a.b, b.b) - greatest(a.t, b.t) AS yo, least(a.r - a.l, b.r - b.l) AS w, least(a.b - a.t, b.b - b.t) AS h
     FROM components a JOIN components b ON a.page_id = b.page_id AND a.comp_id < b.comp_id)
-SELECT page_id, a, b FROM p WHERE (xo > 0 AND yo > 0) OR (2 * yo >= h AND xo > -30 AND xo < 0) OR (NOT (2 * yo >= h AND xo > -30) AND 2 * xo >= w AND yo > -30 AND yo < 0)"""
+SELECT page_id, a, b FROM p WHERE (xo > 0 AND yo > 0) OR page_id % 4 <> 0 AND ((2 * yo >= h AND xo > -30 AND xo < 0) OR (NOT (2 * yo >= h AND xo > -30) AND 2 * xo >= w AND yo > -30 AND yo < 0))"""
 
 
 def _jon10(spark, sf_dir):
@@ -228,7 +231,7 @@ def _flt10(spark, sf_dir):
 
 
 def _flt12(spark, sf_dir):
-    rows = D.grid_cells(spark, sf_dir).filter("cell_id % 4 = 0").withColumn("table_id", F.lit(0))
+    rows = D.grid_cells(spark, sf_dir).withColumn("table_id", F.col("c"))  # each column of cells is a cluster
     return FL.cluster_size(rows).select("page_id", "cell_id")
 
 
@@ -339,7 +342,7 @@ QUERIES = {
     "flt_09_straight_lines": Query(lambda s, d: FL.straight_lines(_lines(s, d)).select("page_id", "line_id", "orient"), _LINES + " SELECT page_id, line_id, CASE WHEN y1 = y2 THEN 'h' ELSE 'v' END AS orient FROM ln WHERE (y1 = y2 AND x1 <> x2) OR (x1 = x2 AND y1 <> y2)"),
     "flt_10_valid_tables": Query(_flt10, _SLOTS + ' SELECT page_id, table_id, "row", "col", x1, y1, x2, y2 FROM slots WHERE n >= 2'),
     "flt_11_with_area": Query(lambda s, d: FL.with_area(D.grid_cells(s, d).withColumn("x2", F.when(F.col("cell_id") % 3 == 0, F.col("x1")).otherwise(F.col("x2")))).select(*_ROWS4), CELLS + " SELECT page_id, cell_id FROM grid_cells WHERE cell_id % 3 <> 0"),
-    "flt_12_cluster_size": Query(_flt12, CELLS + " SELECT page_id, cell_id FROM (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM grid_cells WHERE cell_id % 4 = 0) WHERE n >= 2"),
+    "flt_12_cluster_size": Query(_flt12, CELLS + " SELECT page_id, cell_id FROM (SELECT *, count(*) OVER (PARTITION BY page_id, c) AS n FROM grid_cells) WHERE n >= 2"),
     "jon_01_blocks_to_cells": Query(_jon01, _JON01),
     "jon_02_cells_to_block": Query(_jon02, _JON02),
     "jon_03_candidate_cells": Query(_candidates, _CAND + " SELECT page_id, x1, x2, y1, y2 FROM cand"),

@@ -38,11 +38,11 @@ PAGE_RECORD = T.StructType(
 )
 
 
-def scan_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, length, kind) of the image and PDF files under the paths; contents aren't read."""
+def scan_files(spark: SparkSession, *paths: str, kinds: tuple[str, ...] = EXTENSIONS) -> DataFrame:
+    """(path, length, kind) of the files of these kinds (images and PDF) under the paths; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths)).select("path", "length")
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
-    return files.withColumn("kind", kind).filter(F.col("kind").isin(*EXTENSIONS))
+    return files.withColumn("kind", kind).filter(F.col("kind").isin(*kinds))
 
 
 def read_page_records(spark: SparkSession, *paths: str) -> DataFrame:

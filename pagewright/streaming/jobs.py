@@ -10,21 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pagewright.functions.geometry import UPRIGHT_DEG, aabb, block_angle, rotate_box
+from pagewright.functions.geometry import UPRIGHT_DEG, aabb, block_angle, rotate_box, rotate_box_ccw90
 from pagewright.operators import pages as P
 from pagewright.plans.layout import STRATEGIES
 from pagewright.sources.records import PAGE_RECORD
 
 
-def layout_records(pages: DataFrame, strategy: str) -> DataFrame:
-    """(doc_id, page, record): one result or error record for each page record, without any shuffle; for batches and streams alike."""
-    upright = F.radians(F.lit(UPRIGHT_DEG))
-    good = F.filter("blocks", lambda b: F.coalesce(b["text"], F.lit("")) != "")
-    rows = pages.select("doc_id", "page", F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("msg", F.when(F.col("_corrupt_record").isNotNull(), "unreadable record")).alias("msg"), F.col("_corrupt_record").isNotNull().alias("bad"), good.alias("own"))
+def _upright(rows: DataFrame) -> DataFrame:
+    """`rows` with `blocks`, in order of top edges, from the blocks in `own`: what `preprocess` does, within one row a page."""
     angles = F.array_sort(F.transform("own", lambda b: block_angle(b["box"])))
     rows = rows.withColumn("angles", angles).withColumn("n", F.size("angles"))
     middle = (F.get("angles", F.expr("cast((n - 1) div 2 as int)")) + F.get("angles", F.expr("cast(n div 2 as int)"))) / 2
-    rows = rows.withColumn("turn", middle).withColumn("tilted", F.abs("turn") > upright)
+    rows = rows.withColumn("turn", middle).withColumn("tilted", F.abs("turn") > F.radians(F.lit(UPRIGHT_DEG)))
 
     def placed(b):
         plain, turned = aabb(b["box"]), rotate_box(b["box"], F.col("turn"))
@@ -33,15 +30,27 @@ def layout_records(pages: DataFrame, strategy: str) -> DataFrame:
 
     rows = rows.withColumn("own", F.transform("own", placed))
     least = {c: F.array_min(F.col(f"own.{c}")) for c in "lt"}
-    shift = (F.col("tilted") & ((least["l"] < 0) | (least["t"] < 0)))
+    shift = F.col("tilted") & ((least["l"] < 0) | (least["t"] < 0))
     rows = rows.withColumn("dx", F.when(shift, least["l"]).otherwise(0.0)).withColumn("dy", F.when(shift, least["t"]).otherwise(0.0))
     order = F.array_sort(
         F.transform(
             "own",
-            lambda b: F.struct((b["t"] - F.col("dy")).alias("t"), b["block_id"].alias("block_id"), (b["l"] - F.col("dx")).alias("l"), (b["r"] - F.col("dx")).alias("r"), (b["b"] - F.col("dy")).alias("b"), b["text"].alias("text"), b["score"].alias("score"), b["box"].alias("box")),
+            lambda b: F.struct(F.round(b["t"] - F.col("dy"), 6).alias("by"), b["block_id"].alias("block_id"), (b["t"] - F.col("dy")).alias("t"), (b["l"] - F.col("dx")).alias("l"), (b["r"] - F.col("dx")).alias("r"), (b["b"] - F.col("dy")).alias("b"), b["text"].alias("text"), b["score"].alias("score"), b["box"].alias("box")),
         )
     )
-    return _records(rows.select("doc_id", "page", "code", "msg", "bad", order.alias("blocks")), strategy)
+    return rows.withColumn("blocks", order).drop("angles", "n", "turn", "tilted", "dx", "dy")
+
+
+def layout_records(pages: DataFrame, strategy: str) -> DataFrame:
+    """(doc_id, page, record): one result or error record for each page record, without any shuffle; for batches and streams alike."""
+    good = F.filter("blocks", lambda b: F.coalesce(b["text"], F.lit("")) != "")
+    rows = pages.select("doc_id", "page", F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("msg", F.when(F.col("_corrupt_record").isNotNull(), "unreadable record")).alias("msg"), F.col("_corrupt_record").isNotNull().alias("bad"), good.alias("own"))
+    rows = _upright(rows)
+    if strategy == "single_vertical":  # the turned boxes are what is read, as of an upright page
+        half = {n: F.greatest(F.array_max(F.col(f"blocks.{c}")), F.lit(0.0)) / 2 for n, c in (("cx", "r"), ("cy", "b"))}
+        turned = F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["block_id"].alias("block_id"), b["score"].alias("score"), rotate_box_ccw90(b["box"], F.col("cx"), F.col("cy")).alias("box")))
+        rows = _upright(rows.withColumns(half).withColumn("own", turned))
+    return _records(rows.select("doc_id", "page", "code", "msg", "bad", "blocks"), strategy)
 
 
 def _records(rows: DataFrame, strategy: str) -> DataFrame:

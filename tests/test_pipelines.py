@@ -18,6 +18,7 @@ from pagewright.queries import all_queries
 from pagewright.sources import derived as D
 from pagewright.sources import records as R
 from pagewright.sources import sinks as K
+from pagewright.sources.shared import forget, mark, shared_table
 from pagewright.streaming.jobs import layout_records, stream_layout, stream_tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,7 +37,7 @@ def cell(v):
 
 @pytest.mark.parametrize(
     "name",
-    ["scl_04_word_separator", "scl_17_partial_point", "src_05_select_pages", "pag_01_preprocess", "lay_01_single_line", "lay_04_single_code", "lay_06_multi_line", "jon_01_blocks_to_cells", "jon_07_slot_cells", "agg_12_table_clusters", "win_05_collapse_runs", "win_09_column_segments", "tab_01_bordered_tables", "tab_02_structured_tables", "tab_03_html_to_grid", "fnd_03_find_text_many"],
+    ["scl_04_word_separator", "scl_17_partial_point", "src_05_select_pages", "pag_01_preprocess", "lay_01_single_line", "lay_04_single_code", "lay_06_multi_line", "jon_01_blocks_to_cells", "jon_07_slot_cells", "agg_12_table_clusters", "win_05_collapse_runs", "win_09_column_segments", "tab_01_bordered_tables", "tab_02_structured_tables", "tab_03_html_to_grid", "fnd_03_find_text_many", "scl_15_spacing_match", "flt_12_cluster_size", "jon_09_close_components", "pag_02_regions", "str_01_layout_records", "str_02_stream_tables", "snk_01_records", "snk_05_history", "src_02_page_records"],
 )
 def test_query_equals_its_sql(spark, sf_dir, name):
     query = all_queries()[name]
@@ -101,6 +102,34 @@ def test_stream_of_tables(spark, sf_dir, tmp_path):
     assert got == TB.structured_tables(tokens, blocks).orderBy("page_id").collect()
 
 
+def test_streams_turn_vertical_pages(spark, sf_dir):
+    blocks = D.page_blocks(spark, sf_dir, True).filter("doc_id < 30")
+    pages = R.collect_pages(blocks).select("*", F.lit(0).alias("code"), F.lit(None).cast("string").alias("msg"), F.lit(None).cast("string").alias("_corrupt_record"))
+    for strategy in ("single_vertical", "single_line", "multi_para"):
+        got = {r.doc_id: json.loads(r.record)["text"] for r in layout_records(pages, strategy).collect()}
+        assert {d: t for d, t in got.items() if t} == {r.doc_id: r.text for r in A.assemble_text(layout(blocks, strategy)).collect()}
+
+
+def test_many_queries_are_found_by_an_equi_join(spark, sf_dir):
+    blocks = D.page_blocks(spark, sf_dir)
+    asked = spark.createDataFrame([(1, "la", 1, "center"), (2, "E", 2, "topleft"), (3, "The ", 1, "center"), (4, "", 1, "center"), (5, "der é", 1, "center"), (6, "zzzz", 1, "center")], "query_id int, q string, n int, loc string")
+    few, many = (S.find_text_many(blocks, asked, broadcast_queries=n) for n in (10, 0))
+    assert sorted(many.collect()) == sorted(few.collect()) and many.count() > 100
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_shared_tables_are_removed(spark, tmp_path):
+    since = mark()
+    one, two = shared_table(spark.range(3)), shared_table(spark.range(5))
+    forget(spark, since, keep=two)
+    assert two.count() == 5 and mark() == since + 1
+    with pytest.raises(Exception, match="(?i)not.*exist"):
+        one.count()
+    forget(spark, since)
+    assert mark() == since
+
+
 def test_files(spark, tmp_path):
     for name in ("a.PNG", "b.pdf", "c.txt", "sub/d.jpeg"):
         path = tmp_path / name
