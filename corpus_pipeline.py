@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import decontaminate, language, mixing, neardup, shards
 from pagewright.llm.common import materialise, table
+from pagewright.sources.shared import forget, mark
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, over the documents of a folder of tables."""
+    """All stages, one after another, over the documents of a folder of tables. The stages' results stay in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
+        since = mark()
         docs = materialise(stage(spark, docs, sf_dir))
+        forget(spark, since, keep=docs)  # what the stage wrote on its way
     return docs

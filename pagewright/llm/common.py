@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.sources.shared import shared_folder as shared_folder
+from pagewright.sources.shared import shared_table as materialise
+
 #: A side of at most so many narrow rows (a few numbers or a hash each) is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -17,25 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset (local tests), a folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="pagewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/pagewright-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def keep_matching(rows: DataFrame, keys: DataFrame, on: Column, how: str, n_keys: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """left_semi or left_anti join of wide `rows` with narrow, materialised `keys`.
 
