@@ -103,10 +103,9 @@ class Model:
 
 
 def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 200) -> np.ndarray:
-    """Weights (classes, features + 1) by full-batch gradient steps with momentum; the classes weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights (classes, features) by full-batch gradient steps with momentum; the last feature is 1; the classes weigh the same."""
     w, speed = np.zeros((classes, x.shape[1]), np.float32), 0.0
-    weight = (1 / np.bincount(y, minlength=classes).clip(1))[y][:, None] / classes
+    weight = ((1 / np.bincount(y, minlength=classes).clip(1))[y][:, None] / classes).astype(np.float32)  # a wider type would copy x in each round
     for _ in range(rounds if classes > 1 else 0):
         z = x @ w.T
         p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -118,10 +117,9 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 200) -
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """A plane (features + 1) of least squared hinge loss with a quadratic penalty; y is 1 or -1; the sides weigh the same."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """A plane (features) of least squared hinge loss with a quadratic penalty; the last feature is 1; y is 1 or -1; the sides weigh the same."""
     w, speed = np.zeros(x.shape[1], np.float32), 0.0
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     for _ in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ w))
         speed = 0.9 * speed - 1.0 * (-(weight * slack * y) @ x + 1e-4 * w)
@@ -135,12 +133,14 @@ def fit_sample(rows: list[tuple[str, np.ndarray]]) -> Model:
     families = sorted({family_of(lang) for lang in langs})
     if not rows:
         return Model([], [], np.zeros((0, BUCKETS + 1), np.float32), [], np.zeros((0, BUCKETS + 1), np.float32))
-    x = np.stack([v for _, v in rows])
+    x = np.ones((len(rows), len(rows[0][1]) + 1), np.float32)
+    for k, (_, v) in enumerate(rows):
+        x[k, :-1] = v
     y = np.array([langs.index(lang) for lang, _ in rows])
     group = np.array([families.index(family_of(lang)) for lang in langs])
     pairs = [(i, j) for i, j in combinations(range(len(langs)), 2) if group[i] == group[j]]
     planes = [fit_svm(x[(y == i) | (y == j)], np.where(y[(y == i) | (y == j)] == i, 1.0, -1.0).astype(np.float32)) for i, j in pairs]
-    planes = np.stack(planes) if planes else np.zeros((0, x.shape[1] + 1), np.float32)
+    planes = np.stack(planes) if planes else np.zeros((0, x.shape[1]), np.float32)
     return Model(langs, families, fit_softmax(x, group[y], len(families)), pairs, planes)
 
 
@@ -171,8 +171,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
             yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(kept, pa.int64())), batch.column("hash").take(pa.array(kept, pa.int64())), pa.array(cells, pa.binary())], ["lang", "hash", "v"])
 
     vectors = rows.filter(taken).mapInArrow(run, "lang string, hash long, v binary").groupBy("lang", "hash").agg(F.first("v").alias("v"))
-    got = sorted((r.lang, r.hash, bytes(r.v)) for r in vectors.collect())
-    return fit_sample([(lang, np.frombuffer(v, np.float16).astype(np.float32)) for lang, _, v in got])
+    got = vectors.toArrow().sort_by([("lang", "ascending"), ("hash", "ascending")])
+    return fit_sample([(lang, np.frombuffer(v.as_buffer(), np.float16)) for lang, v in zip(got.column("lang").to_pylist(), got.column("v"), strict=True)])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[Column | str] | None = None) -> DataFrame:

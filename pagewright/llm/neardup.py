@@ -358,16 +358,20 @@ def near_copies(
     sets = materialise(texts.select("text").mapInArrow(run, "key long, shingles array<long>, bits binary").dropDuplicates(["key"]))
     open_nodes = materialise(open_nodes.select("key", "fp", "n").join(sets.select("key", "bits"), "key"))
     links = materialise(_verified(tried, sets, similarity))
+    linked = None
     for most in (8, None):
-        linked = materialise(connected_components(links))
+        linked = linked if linked is not None else materialise(connected_components(links))
         label = F.coalesce("component", "key").alias("label")
         labelled = open_nodes.join(linked, open_nodes.key == linked.node, "left").select("key", "fp", "n", label, "bits")
         more = materialise(candidate_pairs(labelled, radius, similarity, most, tile).join(tried, ["a", "b"], "left_anti"))
         if more.isEmpty():
             break
-        links = materialise(links.unionByName(_verified(more, sets, similarity)))
+        found = materialise(_verified(more, sets, similarity))
         tried = materialise(tried.unionByName(more))
-    linked = materialise(connected_components(links))
+        if not found.isEmpty():
+            links = materialise(links.unionByName(found))
+            linked = None
+    linked = linked if linked is not None else materialise(connected_components(links))
     heads = prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     heads = heads.join(linked, heads.key == linked.node, "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
     heads = materialise(heads)
