@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import separator_of
+from pagewright.operators import lines as N
 from pagewright.operators import pages as P
 from pagewright.operators.filters import PAGE
 from pagewright.operators.pages import Block, Placed
@@ -59,7 +60,8 @@ def _multi_none(blocks: list[Block]) -> list[Placed]:
     return [(b, k, separator_of(b.text, out[i + 1][0].text) if i + 1 < len(out) else "\n") for i, (b, k, _) in enumerate(out)]
 
 
-#: Every strategy by its name. `none` isn't here: it passes blocks through.
+#: Every strategy by its name, as a rule over one page's list. `none` isn't here: it passes blocks through. Those that IN_COLUMNS
+#: has too run there; their lists here are the plain second version that tests hold the columns against.
 STRATEGIES: dict[str, Callable[[list[Block]], list[Placed]]] = {
     "single_line": _single_line,
     "single_para": _single_para,
@@ -71,6 +73,24 @@ STRATEGIES: dict[str, Callable[[list[Block]], list[Placed]]] = {
     "multi_none": _multi_none,
 }
 
+#: The strategies of one column that are column expressions over a page's array of blocks.
+IN_COLUMNS: dict[str, Callable[[Column], Column]] = {
+    "single_line": N.single_line,
+    "single_none": N.single_none,
+    "single_code": N.single_code,
+    "single_vertical": N.single_line,
+}
+
+
+def laid_out(pages: DataFrame, strategy: str, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """The keys and LAID_OUT of pages with `blocks`, by column expressions; a page with a block without a place is an error record."""
+    bad = N.unplaced(F.col("blocks"))
+    rows = pages.select(*keys, F.when(~bad, IN_COLUMNS[strategy](F.col("blocks"))).alias("_laid"))
+    rows = rows.select(*keys, F.posexplode_outer("_laid").alias("_at", "_row"))
+    failed = F.col("_row").isNull()
+    said = [F.col(f"_row.{c}").alias(c) for c in ("region_id", "block_id", "text", "score", "box", "end")]
+    return rows.select(*keys, F.coalesce("_at", F.lit(0)).alias("seq"), *said, failed.cast("int").alias("code"), F.when(failed, "a block has no place").alias("msg"))
+
 
 def layout(blocks: DataFrame, strategy: str, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """The keys, seq, region_id, block_id, text, score, box, end, code, msg: blocks in reading order.
@@ -88,4 +108,5 @@ def layout(blocks: DataFrame, strategy: str, keys: tuple[str, ...] = PAGE) -> Da
     ready = P.preprocess(blocks, keys)
     if strategy == "single_vertical":  # the turned boxes are what is read, as of an upright page
         ready = P.preprocess(P.turn_pages(ready, keys).drop("l", "t", "r", "b", "seq"), keys)
-    return P.by_page(P.page_lists(ready, keys), STRATEGIES[strategy], keys)
+    pages = P.page_lists(ready, keys)
+    return laid_out(pages, strategy, keys) if strategy in IN_COLUMNS else P.by_page(pages, STRATEGIES[strategy], keys)

@@ -12,7 +12,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.functions.geometry import UPRIGHT_DEG, aabb, block_angle, rotate_box, rotate_box_ccw90
 from pagewright.operators import pages as P
-from pagewright.plans.layout import STRATEGIES
+from pagewright.operators.lines import unplaced
+from pagewright.plans.layout import IN_COLUMNS, STRATEGIES
 from pagewright.sources.records import PAGE_RECORD
 
 
@@ -50,7 +51,19 @@ def layout_records(pages: DataFrame, strategy: str) -> DataFrame:
         half = {n: F.greatest(F.array_max(F.col(f"blocks.{c}")), F.lit(0.0)) / 2 for n, c in (("cx", "r"), ("cy", "b"))}
         turned = F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["block_id"].alias("block_id"), b["score"].alias("score"), rotate_box_ccw90(b["box"], F.col("cx"), F.col("cy")).alias("box")))
         rows = _upright(rows.withColumns(half).withColumn("own", turned))
-    return _records(rows.select("doc_id", "page", "code", "msg", "bad", "blocks"), strategy)
+    rows = rows.select("doc_id", "page", "code", "msg", "bad", "blocks")
+    return _records_in_columns(rows, strategy) if strategy in IN_COLUMNS else _records(rows, strategy)
+
+
+def _records_in_columns(rows: DataFrame, strategy: str) -> DataFrame:
+    none = F.array().cast(rows.schema["blocks"].dataType)
+    told, lost = F.col("bad") | (F.col("code") != 0), unplaced(F.col("blocks"))
+    rows = rows.select("doc_id", "page", F.when(told, F.coalesce("msg", F.lit("failed page"))).when(lost, "a block has no place").alias("msg"), F.coalesce("blocks", none).alias("blocks"))
+    rows = rows.withColumn("laid", F.when(F.col("msg").isNull(), IN_COLUMNS[strategy](F.col("blocks"))))
+    text = F.array_join(F.transform("laid", lambda x: F.concat(x["text"], x["end"])), "")
+    count = F.when(F.col("laid").isNotNull(), F.size("laid"))
+    said = F.struct("doc_id", "page", F.col("msg").isNotNull().cast("int").alias("code"), text.alias("text"), count.alias("blockCount"), "msg")
+    return rows.select("doc_id", "page", F.to_json(said).alias("record"))
 
 
 def _records(rows: DataFrame, strategy: str) -> DataFrame:
