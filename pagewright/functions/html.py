@@ -29,10 +29,8 @@ def html_unescape(text: Column) -> Column:
 
 def html_attr(tag: Column, name: str) -> Column:
     """The value of an attribute, quoted or not, name in either case; empty if it isn't there."""
-    quoted = F.regexp_extract(tag, rf"""(?is){name}[ =]*(?:'([^']*)|"([^"]*)|([^\s'">][^\s>]*))""", 1)
-    double = F.regexp_extract(tag, rf"""(?is){name}[ =]*(?:'([^']*)|"([^"]*)|([^\s'">][^\s>]*))""", 2)
-    bare = F.regexp_extract(tag, rf"""(?is){name}[ =]*(?:'([^']*)|"([^"]*)|([^\s'">][^\s>]*))""", 3)
-    return F.concat(quoted, double, bare)
+    value = F.regexp_extract(tag, rf"""(?is){name}[ =]*('[^']*|"[^"]*|[^\s'">][^\s>]*)""", 1)
+    return F.regexp_replace(value, "^['\"]", "")
 
 
 def int_attr(tag: Column, name: str, default: int) -> Column:

@@ -12,6 +12,7 @@ from pagewright.operators import filters as FL
 from pagewright.operators import joins as J
 from pagewright.operators import pages as P
 from pagewright.operators import windows as W
+from pagewright.operators.lines import let
 from pagewright.sources.shared import shared_table
 
 TABLE = ("page_id", "table_id")
@@ -124,46 +125,68 @@ def fill_placeholders(structures: DataFrame, cells: DataFrame, texts: DataFrame)
     return rows.select("page_id", F.array_join(glued, "").alias("html"))
 
 
-def html_rows(tables: DataFrame) -> DataFrame:
-    """(page_id, row, piece, tags): what stands before each `</tr>`, and the `<td ...>` tags in it; the last piece has no row end."""
-    rows = tables.select("page_id", F.posexplode(F.split("html", "</tr>")).alias("row", "piece"), F.size(F.split("html", "</tr>")).alias("_n"))
-    tags = F.regexp_extract_all("piece", F.lit(r"(<td[^>]*>)"), F.lit(1))
-    return rows.withColumn("tags", tags).withColumn("last", F.col("row") == F.col("_n") - 1).drop("_n")
+def _cells_by_row(html: Column) -> Column:
+    """The (colspan, rowspan) of the `<td ...>` tags before each `</tr>`; what follows the last row end is no row."""
+    pieces = F.split(html, "</tr>")
+    rows = F.slice(pieces, 1, F.size(pieces) - 1)
+    tags = lambda piece: F.regexp_extract_all(piece, F.lit(r"(<td[^>]*>)"), F.lit(1))
+    span = lambda tag, name: F.when(tag == "<td>", 1).otherwise(H.int_attr(tag, name, 1))  # noqa: E731  (most cells have no attributes to search)
+    return F.transform(rows, lambda p: F.transform(tags(p), lambda tag: F.struct(span(tag, "colspan").alias("wide"), span(tag, "rowspan").alias("tall"))))
 
 
-def raw_spans(rows: DataFrame) -> DataFrame:
-    """(page_id, row, idx, colspan, rowspan) of html_rows."""
-    cells = rows.filter("not last").select("page_id", "row", F.posexplode("tags").alias("idx", "tag"))
-    return cells.select("page_id", "row", "idx", H.int_attr(F.col("tag"), "colspan", 1).alias("colspan"), H.int_attr(F.col("tag"), "rowspan", 1).alias("rowspan"))
+def _total(items: Column, value) -> Column:
+    return F.aggregate(items, F.lit(0), lambda s, x: s + value(x))
+
+
+def _each_row(html: Column, change) -> Column:
+    """`html` with `change(piece, i)` in place of each row i; what follows the last row end stays."""
+    return let(F.split(html, "</tr>"), lambda p: F.array_join(F.transform(p, lambda piece, i: F.when(i == F.size(p) - 1, piece).otherwise(F.concat(change(piece, i), F.lit("</tr>")))), ""))
 
 
 def pad_rows(tables: DataFrame) -> DataFrame:
-    """(page_id, html): short rows filled with empty cells up to the table's columns; spans from above count."""
-    rows = html_rows(tables)
-    counted = A.max_effective_columns(raw_spans(rows)).select("page_id", "row", (F.col("columns") - F.col("own") - F.col("before")).cast("int").alias("_missing"))
-    joined = rows.join(counted, ["page_id", "row"], "left")
-    pad = F.repeat(F.lit("<td>&nbsp;</td>"), F.coalesce("_missing", F.lit(0)))
-    piece = F.concat("piece", F.when(F.col("last"), "").otherwise(F.concat(pad, F.lit("</tr>"))))
-    return joined.groupBy("page_id").agg(A.ordered_concat("row", piece).alias("html"))
+    """(page_id, html): short rows filled with empty cells up to the table's columns; spans from above count, rows without cells stay.
+
+    Each table is changed within its own row: nothing is shuffled.
+    """
+
+    def missing(rows: Column) -> Column:
+        tall = F.flatten(F.transform(rows, lambda row, r: F.transform(F.filter(row, lambda c: c["tall"] > 1), lambda c: F.struct(r.alias("row"), c["wide"].alias("wide"), c["tall"].alias("tall")))))
+
+        def short(spans: Column) -> Column:
+            above = lambda i: _total(F.filter(spans, lambda c: (c["row"] < i) & (i < c["row"] + c["tall"])), lambda c: c["wide"])
+            totals = F.transform(rows, lambda row, i: F.when(F.size(row) > 0, _total(row, lambda c: c["wide"]) + above(i)))
+            return let(totals, lambda t: let(F.array_max(t), lambda most: F.transform(t, lambda n: F.coalesce(most - n, F.lit(0)))))
+
+        return let(tall, short)
+
+    pad = lambda m, i: F.repeat(F.lit("<td>&nbsp;</td>"), F.get(m, i))
+    html = let(let(_cells_by_row(F.col("html")), missing), lambda m: _each_row(F.col("html"), lambda piece, i: F.concat(piece, pad(m, i))))
+    return tables.select("page_id", html.alias("html"))
 
 
 def size_rows(tables: DataFrame, cells: DataFrame) -> DataFrame:
-    """(page_id, html): even column widths, and row heights in percent from the cells that are dealt to the rows by their tags."""
-    rows = html_rows(tables)
-    own = rows.filter("not last").select("page_id", "row", F.size("tags").alias("n"))
-    own = own.withColumn("upto", F.sum("n").over(Window.partitionBy("page_id").orderBy("row")).cast("int"))
-    dealt = own.select("page_id", "row", F.explode_outer(F.when(F.col("n") > 0, F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1))).alias("cell_id"))
-    sized = dealt.join(cells.select("page_id", "cell_id", "y1", "y2"), ["page_id", "cell_id"], "left")
-    heights = sized.groupBy("page_id", "row").agg(F.coalesce(F.max("y2") - F.min("y1"), F.lit(0)).alias("h"))
-    share = F.col("h") / F.sum("h").over(Window.partitionBy("page_id")) * 100.0
-    heights = heights.select("page_id", "row", F.coalesce(share, F.lit(0.0)).alias("pct"))
-    columns = raw_spans(rows).groupBy("page_id", "row").agg(F.sum("colspan").alias("n")).groupBy("page_id").agg(F.max("n").alias("columns"))
-    joined = rows.join(heights, ["page_id", "row"], "left")
-    tall = F.when(F.col("pct").isNotNull(), F.regexp_replace("piece", F.lit("<tr>"), F.format_string("<tr style='height:%.2f%%'>", "pct"))).otherwise(F.col("piece"))
-    body = joined.groupBy("page_id").agg(A.ordered_concat("row", F.concat(tall, F.when(F.col("last"), "").otherwise("</tr>"))).alias("html"))
-    col = F.format_string("    <col style='width:%.2f%%'>\n", F.lit(100.0) / F.col("columns"))
-    head = F.concat(F.lit(STYLE + "\n  <colgroup>\n"), F.repeat(col, F.col("columns").cast("int")), F.lit("  </colgroup>\n"))
-    return body.join(columns, "page_id").select("page_id", F.concat(head, F.substring("html", len("<table>") + 1, 1 << 30)).alias("html"))
+    """(page_id, html): even column widths, and row heights in percent from the cells that are dealt to the rows by their tags.
+
+    A table without any cell tag gets a null. One grouping of the cells by page; the rest is within each table's row.
+    """
+    lists = cells.groupBy("page_id").agg(F.collect_list(F.struct("cell_id", "y1", "y2")).alias("_cells"))
+    rows = tables.join(lists, "page_id", "left").withColumn("_rows", _cells_by_row(F.col("html")))
+    columns = F.array_max(F.transform("_rows", lambda row: F.when(F.size(row) > 0, _total(row, lambda c: c["wide"]))))
+    rows = rows.select("page_id", "html", "_cells", F.transform("_rows", lambda row: F.size(row)).alias("_n"), columns.alias("_columns"))
+
+    def height(first: Column, n: Column) -> Column:
+        dealt = F.filter("_cells", lambda c: (c["cell_id"] >= first) & (c["cell_id"] < first + n))
+        return let(dealt, lambda own: F.coalesce(F.array_max(F.transform(own, lambda c: c["y2"])) - F.array_min(F.transform(own, lambda c: c["y1"])), F.lit(0)).cast("double"))
+
+    def shares(heights: Column) -> Column:
+        return let(F.nullif(F.aggregate(heights, F.lit(0.0), lambda s, h: s + h), F.lit(0.0)), lambda whole: F.transform(heights, lambda h: F.coalesce(h / whole * 100.0, F.lit(0.0))))
+
+    heights = let(F.col("_n"), lambda counts: F.transform(counts, lambda n, i: let(_total(F.slice(counts, 1, i), lambda k: k), lambda first: height(first, n))))
+    style = lambda pct, i: F.format_string("<tr style='height:%.2f%%'>", F.get(pct, i))
+    body = let(let(heights, shares), lambda pct: _each_row(F.col("html"), lambda piece, i: F.replace(piece, F.lit("<tr>"), style(pct, i))))
+    col = F.format_string("    <col style='width:%.2f%%'>\n", F.lit(100.0) / F.col("_columns"))
+    head = F.concat(F.lit(STYLE + "\n  <colgroup>\n"), F.repeat(col, F.col("_columns")), F.lit("  </colgroup>\n"))
+    return rows.select("page_id", F.concat(head, F.substring(body, len("<table>") + 1, 1 << 30)).alias("html"))
 
 
 def structured_tables(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -176,7 +199,7 @@ def structured_tables(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
     texts = A.cell_texts(J.match_blocks_to_cells(FL.below_table_top(blocks, cells), cells))
     full = cells.select("page_id").distinct().join(blocks.select("page_id").distinct(), "page_id", "left_semi")
     filled = fill_placeholders(structures.join(full, "page_id", "left_semi"), cells, texts)
-    sized = size_rows(shared_table(pad_rows(filled)), cells)
+    sized = size_rows(pad_rows(filled), cells)
     out = structures.join(sized.withColumnRenamed("html", "_full"), "page_id", "left")
     return out.select("page_id", F.coalesce("_full", "html").alias("html"), "structure_score")
 
@@ -245,8 +268,8 @@ def grid_sizes(raw: DataFrame, placed: DataFrame, tables: DataFrame, key: str =
 
 def html_to_grid(tables: DataFrame, key: str = "page_id") -> DataFrame:
     """(page_id, row, col, rowspan, colspan, text, width, height): the placed cells of each table's grid."""
-    raw = parse_html_table(tables, key)
-    placed = P.place_grid(raw, key)
+    raw = shared_table(parse_html_table(tables, key))
+    placed = shared_table(P.place_grid(raw, key))
     widths, heights = grid_sizes(raw, placed, tables, key)
     cells = raw.join(placed, [key, "row", "idx"]).join(widths, [key, "col"]).join(heights, [key, "row"])
     return cells.select(key, "row", "col", "rowspan", "colspan", "text", "width", "height")
