@@ -1,4 +1,8 @@
-"""Joins between blocks, cells, lines and components. All are equi joins on the page; the rest of the condition filters."""
+"""Joins between blocks, cells, lines and components.
+
+Theta joins are equi joins on the page and on bands of height or width, so that a huge page is compared in parts; the rest of the
+condition filters.
+"""
 
 from __future__ import annotations
 
@@ -27,6 +31,16 @@ def _bands(low: Column, high: Column, width: int) -> Column:
     return F.sequence(F.floor(low / width).cast("int"), F.floor(high / width).cast("int"))
 
 
+def _dealt(rows: DataFrame, low: Column, high: Column, width: int) -> DataFrame:
+    """`rows` once for each band (`_band`) that the interval touches."""
+    return rows.withColumn("_band", F.explode(_bands(low, high, width)))
+
+
+def _first_band(low: Column, other_low: Column, width: int) -> Column:
+    """Whether the band is the first that two intervals have in common: there a pair counts, and in no other."""
+    return F.col("_band") == F.floor(F.greatest(low, other_low) / width)
+
+
 def match_blocks_to_cells(blocks: DataFrame, cells: DataFrame, key: str = "page_id", band: int = 64) -> DataFrame:
     """(page_id, block_id, text, cell_id, iou): for each block its cell of the largest IoU; ties by corner distance, then the first cell.
 
@@ -53,8 +67,11 @@ def match_cells_to_block(cells: DataFrame, blocks: DataFrame, least: float = 0.1
     return cells.join(best, [key, *CELL], "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
-def candidate_cells(hlines: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page_id, x1, x2, y1, y2): pairs of horizontal lines, one above the other, whose ends correspond (2 % of the width) or contain one another's."""
+def candidate_cells(hlines: DataFrame, key: str = "page_id", band: int = 256) -> DataFrame:
+    """(page_id, x1, x2, y1, y2): pairs of horizontal lines, one above the other, whose ends correspond (2 % of the width) or contain one another's.
+
+    Dealt by bands of x. Lines of the same stretch all pair with one another, as that is what the operator returns.
+    """
     a = hlines.select(key, *[F.col(c).alias(f"a_{c}") for c in ("x1", "x2", "y1")])
     b = hlines.select(key, *[F.col(c).alias(f"b_{c}") for c in ("x1", "x2", "y1")])
     w = F.when(F.col("a_x2") == F.col("a_x1"), 1.0).otherwise((F.col("a_x2") - F.col("a_x1")).cast("double"))
@@ -66,19 +83,24 @@ def candidate_cells(hlines: DataFrame, key: str = "page_id") -> DataFrame:
         x, y = F.col(f"a_{c}"), F.col(f"b_{c}")
         return (F.abs((x - y) / w) <= 0.02) | inside(y, "a_x1", "a_x2") | inside(x, "b_x1", "b_x2")
 
-    pairs = a.join(b, key).filter((F.col("a_y1") < F.col("b_y1")) & ends_meet("x1") & ends_meet("x2"))
+    # Ends that meet leave no more than 2 % of the upper line's width between the lines.
+    slack = F.abs(w) * 0.02
+    a, b = _dealt(a, F.col("a_x1") - slack, F.col("a_x2") + slack, band), _dealt(b, F.col("b_x1"), F.col("b_x2"), band)
+    pairs = a.join(b, [key, "_band"]).filter(_first_band(F.col("a_x1") - slack, F.col("b_x1"), band) & (F.col("a_y1") < F.col("b_y1")) & ends_meet("x1") & ends_meet("x2"))
     return pairs.select(key, F.greatest("a_x1", "b_x1").alias("x1"), F.least("a_x2", "b_x2").alias("x2"), F.col("a_y1").alias("y1"), F.col("b_y1").alias("y2"))
 
 
-def dividers(candidates: DataFrame, vlines: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page_id, x1, x2, y1, y2, x): vertical lines near a candidate, in x, that miss hardly any of its height."""
+def dividers(candidates: DataFrame, vlines: DataFrame, key: str = "page_id", band: int = 256) -> DataFrame:
+    """(page_id, x1, x2, y1, y2, x): vertical lines near a candidate, in x, that miss hardly any of its height. Dealt by bands of x, in one of which a line lies."""
     v = vlines.select(key, F.col("x1").alias("x"), F.col("y1").alias("v1"), F.col("y2").alias("v2"))
     margin = F.greatest(F.lit(5), ((F.col("x2") - F.col("x1")) * 0.025).cast("int"))
     high = F.col("y2") - F.col("y1")
     allowed = F.greatest(F.lit(5), F.least(F.lit(10), (high * 0.1).cast("int")))
     missing = high - (F.least("y2", "v2") - F.greatest("y1", "v1"))
     near = (F.col("x1") - margin <= F.col("x")) & (F.col("x") <= F.col("x2") + margin)
-    return candidates.join(v, key).filter(near & (missing <= allowed)).select(key, "x1", "x2", "y1", "y2", "x")
+    c = _dealt(candidates, F.col("x1") - margin, F.col("x2") + margin, band)
+    v = v.withColumn("_band", F.floor(F.col("x") / band).cast("int"))
+    return c.join(v, [key, "_band"]).filter(near & (missing <= allowed)).select(key, "x1", "x2", "y1", "y2", "x")
 
 
 def adjacent_cells(cells: DataFrame, key: str = "page_id", band: int = 256) -> DataFrame:
@@ -127,17 +149,20 @@ def slots_of(cells: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id"))
     return out[0].join(out[1], list(keys))
 
 
-def slot_cells(cells: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id")) -> DataFrame:
+def slot_cells(cells: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id"), band: int = 1024) -> DataFrame:
     """(keys, row, col, x1, y1, x2, y2): for each slot of the table's grid the cell in it.
 
-    A row has the cells that cover 90 % of its band. A slot has the smallest of them that shares 90 % of the smaller of
+    A row has the cells that cover 90 % of its height; they are found by bands of `band` units of height, so that a table of very
+    many rows isn't compared in whole. A slot has the smallest of them that shares 90 % of the smaller of
     the two areas; else, where the row has cells, a filler without width at the edge nearest to the slot; else the slot itself.
     """
     slots = slots_of(cells, keys)
     own = cells.select(*keys, *CELL).distinct()
     high = F.col("s_y2") - F.col("s_y1")
-    rows = slots.select(*keys, "row", "s_y1", "s_y2").distinct().join(own, list(keys)).filter(F.least("y2", "s_y2") - F.greatest("y1", "s_y1") >= high * 0.9)
-    slot = Rect(*(F.col(f"s_{c}") for c in CELL))
+    rows = _dealt(slots.select(*keys, "row", "s_y1", "s_y2").distinct(), F.col("s_y1"), F.col("s_y2"), band)
+    rows = rows.join(_dealt(own, F.col("y1"), F.col("y2"), band), [*keys, "_band"]).filter(_first_band(F.col("s_y1"), F.col("y1"), band))
+    rows = rows.filter(F.least("y2", "s_y2") - F.greatest("y1", "s_y1") >= high * 0.9).drop("_band")
+    slot =Rect(*(F.col(f"s_{c}") for c in CELL))
     pairs = slots.join(rows.drop("s_y1", "s_y2"), [*keys, "row"], "left")
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     common = overlap_area(slot, cell_rect())
@@ -151,10 +176,11 @@ def slot_cells(cells: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id")
     return best.select(*keys, "row", "col", *[F.when(F.col("own").isNotNull(), F.col(f"own.{c}")).when(F.col("near").isNotNull(), F.col(filler[c])).otherwise(F.col(f"s_{c}")).alias(c) for c in CELL])
 
 
-def area_hit_ratio(components: DataFrame, areas: DataFrame, limit: float = 0.25, key: str = "page_id") -> DataFrame:
-    """Components of whose rectangle less than a quarter lies in areas; areas count each."""
+def area_hit_ratio(components: DataFrame, areas: DataFrame, limit: float = 0.25, key: str = "page_id", band: int = 256) -> DataFrame:
+    """Components of whose rectangle less than a quarter lies in areas; areas count each. Dealt by bands of height."""
     a = areas.select(key, *[F.col(c).alias(f"a_{c}") for c in "ltrb"])
-    hit = components.join(a, key).groupBy(key, "comp_id").agg(F.sum(overlap_area(block_rect(), block_rect("a_"))).alias("_hit"))
+    pairs = _dealt(components, F.col("t"), F.col("b"), band).join(_dealt(a, F.col("a_t"), F.col("a_b"), band), [key, "_band"])
+    hit = pairs.filter(_first_band(F.col("t"), F.col("a_t"), band)).groupBy(key, "comp_id").agg(F.sum(overlap_area(block_rect(), block_rect("a_"))).alias("_hit"))
     size = (F.col("r") - F.col("l")) * (F.col("b") - F.col("t"))
     return components.join(hit, [key, "comp_id"], "left").filter(F.coalesce(F.col("_hit"), F.lit(0)) / size < limit).drop("_hit")
 
@@ -184,20 +210,22 @@ def close_components(components: DataFrame, blockers: DataFrame, char_length: Co
     pairs = pairs.select(key, "a", "b", "kind", *[c.alias(f"g_{n}") for n, c in zip("ltrb", between, strict=True)])
     o = blockers.select(key, *[F.col(c).alias(f"o_{c}") for c in "ltrb"])
     gaps = pairs.filter("kind <> 'over' and g_l < g_r and g_t < g_b")
-    blocked = gaps.join(o, key).groupBy(key, "a", "b").agg(F.sum(overlap_area(block_rect("g_"), block_rect("o_"))).alias("_blocked"))
+    dealt = _dealt(gaps, F.col("g_l"), F.col("g_r"), band).join(_dealt(o, F.col("o_l"), F.col("o_r"), band), [key, "_band"])
+    blocked = dealt.filter(_first_band(F.col("g_l"), F.col("o_l"), band)).groupBy(key, "a", "b").agg(F.sum(overlap_area(block_rect("g_"), block_rect("o_"))).alias("_blocked"))
     free = gaps.join(blocked, [key, "a", "b"], "left").filter(F.coalesce("_blocked", F.lit(0)) * 10 < (F.col("g_r") - F.col("g_l")) * (F.col("g_b") - F.col("g_t")))
     return pairs.filter("kind = 'over'").select(key, "a", "b").unionByName(free.select(key, "a", "b"))
 
 
-def attach_discarded(kept: DataFrame, discarded: DataFrame, char_length: Column, key: str = "page_id") -> DataFrame:
-    """Discarded components near a kept one: edges within a character in x, half the lower height shared, at most three times as large."""
+def attach_discarded(kept: DataFrame, discarded: DataFrame, char_length: Column, key: str = "page_id", band: int = 64) -> DataFrame:
+    """Discarded components near a kept one: edges within a character in x, half the lower height shared, at most three times as large. Dealt by bands of height."""
     k = kept.withColumn("_c", char_length).select(key, "_c", *[F.col(c).alias(f"k_{c}") for c in "ltrb"])
     d = discarded
+    sides = _dealt(d, F.col("t"), F.col("b"), band), _dealt(k, F.col("k_t"), F.col("k_b"), band)
     high, k_high = F.col("b") - F.col("t"), F.col("k_b") - F.col("k_t")
     shared = F.least("b", "k_b") - F.greatest("t", "k_t")
     apart = F.least(*[F.abs(F.col(p) - F.col(q)) for p in ("l", "r") for q in ("k_l", "k_r")])
     near = (shared >= F.least(high, k_high) * 0.5) & (shared > 0) & (apart <= F.col("_c")) & (F.greatest(high, F.col("r") - F.col("l")) <= 3 * F.greatest(k_high, F.col("k_r") - F.col("k_l")))
-    ids = d.join(k, key).filter(near).select(key, "comp_id").distinct()
+    ids = sides[0].join(sides[1], [key, "_band"]).filter(near).select(key, "comp_id").distinct()
     return d.join(ids, [key, "comp_id"], "left_semi")
 
 
