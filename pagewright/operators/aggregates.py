@@ -122,10 +122,11 @@ def table_clusters(cells: DataFrame, pairs: DataFrame, key: str = "page_id") ->
             parent[high] = low
         return [(x, root(x)) for x in list(parent)]
 
-    groups = pairs.groupBy(key).agg(F.collect_list(F.array(F.col("a").cast("int"), F.col("b").cast("int"))).alias("items"))
-    labels = by_group(groups, rule, (key,), "cell_id int, table_id int")
+    kind = cells.schema["cell_id"].dataType.simpleString()
+    groups = pairs.groupBy(key).agg(F.collect_list(F.array(F.col("a").cast(kind), F.col("b").cast(kind))).alias("items"))
+    labels = by_group(groups, rule, (key,), f"cell_id {kind}, table_id {kind}")
     joined = cells.join(labels, [key, "cell_id"], "left")
-    return joined.withColumn("table_id", F.coalesce("table_id", F.col("cell_id").cast("int")))
+    return joined.withColumn("table_id", F.coalesce("table_id", "cell_id"))
 
 
 def component_boxes(rows: DataFrame, keys: tuple[str, ...] = ("page_id", "label")) -> DataFrame:

@@ -558,7 +558,7 @@ def by_group(groups: DataFrame, rule: Callable[[Any], list[tuple]], keys: tuple[
             out = [(*(row[k] for k in keys), *x) for row in batch.to_pylist() for x in rule(row["items"])]
             names = [*keys, *(c.strip().split(" ")[0] for c in schema.split(","))]
             kinds = [*(batch.schema.field(k).type for k in keys), *([None] * n)]
-            ints = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64()}
+            ints = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
             kinds = [k or ints[c.strip().split(" ")[1]] for k, c in zip(kinds, [*([""] * len(keys)), *schema.split(",")], strict=True)]
             columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)

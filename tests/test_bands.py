@@ -55,3 +55,13 @@ def test_null_boxes_and_empty_tables(spark, boxes):
         assert run(16).filter("true").count() >= want.count(), name
     for run in cases(boxes.limit(0)).values():
         assert run(16).count() == 0
+
+
+def test_clusters_keep_ids_beyond_32_bits(spark):
+    from pagewright.operators.aggregates import table_clusters
+
+    far = 1 << 40
+    cells = spark.createDataFrame([(0, far + i) for i in range(4)], "page_id long, cell_id long")
+    pairs = spark.createDataFrame([(0, far + 1, far + 2), (0, far + 2, far + 3)], "page_id long, a long, b long")
+    got = {r.cell_id - far: r.table_id - far for r in table_clusters(cells, pairs).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 1}
