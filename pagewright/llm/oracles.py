@@ -140,10 +140,64 @@ FROM sizes GROUP BY conv_id
 """
 
 
+#: A line's key by a pattern of its own; documents of a key are counted as such.
+LINES = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+    SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x09-\x0D\x20]+', ''), '[\x09-\x0D\x20]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+shared AS (SELECT k, min(doc_id) AS first FROM keyed WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT keyed.*, coalesce(doc_id <> first, false) AS gone FROM keyed LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def trie_sql() -> str:
+    """Rebuilt conversations as lists of turns, and nodes as their beginnings; subtrees by comparing beginnings."""
+    return f"""
+WITH own AS (
+    SELECT conv_id, list({{'r': coalesce(role, ''), 's': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+    SELECT conv_id, l, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda c, b: xor(xor(c, b) >> 8, {byte_table()}[(xor(c, b) & 255) + 1])), 4294967295) % 9 AS h FROM own),
+built AS (
+    SELECT a.conv_id, list_concat(coalesce(b.l, [])[1:a.h], a.l[a.h + 1:]) AS l
+    FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+ways AS (SELECT conv_id, len(l) AS n, l, unnest(range(len(l) + 1)) AS depth FROM built),
+nodes AS (
+    SELECT CAST(depth AS BIGINT) AS depth, l[1:depth] AS way, min(conv_id) AS conv_id, count(*) AS n_convs,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+    FROM ways GROUP BY depth, l[1:depth]),
+below AS (
+    SELECT a.conv_id, a.depth, count(*) FILTER (b.depth = a.depth + 1) AS n_children,
+        sum(CASE WHEN b.depth > 0 THEN (b.n_convs - 1) * strlen(b.way[b.depth].s) ELSE 0 END) AS saved_tokens,
+        count(*) FILTER (NOT EXISTS (SELECT 1 FROM nodes c WHERE c.depth = b.depth + 1 AND c.way[1:b.depth] = b.way)) AS n_leaves
+    FROM nodes a JOIN nodes b ON b.depth >= a.depth AND b.way[1:a.depth] = a.way GROUP BY a.conv_id, a.depth)
+SELECT a.conv_id, a.depth, p.conv_id AS parent_conv_id, a.n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM nodes a JOIN below USING (conv_id, depth) LEFT JOIN nodes p ON p.depth = a.depth - 1 AND a.way[1:a.depth - 1] = p.way
+"""
+
+
+def byte_table() -> list[int]:
+    """What a byte does to a CRC-32, by its polynomial."""
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
 ORACLES = {
     "op1_decontaminate": CONTAMINATED,
     "op2_licences": licence_sql(),
     "op7_shards": SHARDS,
     "op9_urls": urls_sql(),
     "op10_chats": chats_sql(),
+    "op12_lines": LINES,
+    "op13_prefix_trie": trie_sql(),
 }

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: (spark, sf_dir) -> DataFrame, over whole tables with production parameters."""
+"""The registered queries of the operators: (spark, sf_dir) -> DataFrame, over whole tables with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import chats, decontaminate, language, licences, mixing, neardup, neighbours, secrets, shards, urls
+from pagewright.llm import chats, decontaminate, language, licences, mixing, neardup, neighbours, prefix_trie, repeated_lines, secrets, shards, spelling, urls
 from pagewright.llm.common import shared_folder, table
 
 
@@ -65,7 +65,20 @@ def op10_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.digests(chats.format_chats(turns))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_forms(table(spark, sf_dir, "documents"))
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = repeated_lines.drop_shared_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_licences, op3_language, op4_neardup, op5_mixing, op6_neighbours, op7_shards, op8_secrets, op9_urls, op10_chats)
+    for f in (op1_decontaminate, op2_licences, op3_language, op4_neardup, op5_mixing, op6_neighbours, op7_shards, op8_secrets, op9_urls, op10_chats, op11_spelling, op12_lines, op13_prefix_trie)
 }
