@@ -55,11 +55,12 @@ _SNK05 = PB + """ SELECT doc_id, page, string_agg(text || "end", '' ORDER BY blo
 
 
 def _str02(spark, sf_dir):
-    """Tables from a stream of structure tokens."""
+    """Tables from a stream of structure tokens whose pages come in three parts, each in a file, and so a batch, of its own."""
     tokens, blocks = D.tokens(spark, sf_dir), D.grid_blocks(spark, sf_dir)
-    tokens.write.parquet(path_in := new_path(spark))
+    ends = tokens.groupBy("page_id").agg((F.max("t") + 1).alias("t")).withColumns({"token": F.lit("eos"), "score": F.lit(1.0), **{c: F.lit(None).cast("int") for c in ("x1", "y1", "x2", "y2")}})
+    tokens.unionByName(ends).repartition(3, F.col("t") % 3).write.parquet(path_in := new_path(spark))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema)
-    stream_tables(spark, path_in, path_out := new_path(spark), lambda t: TB.structured_tables(t, blocks), schema, new_path(spark)).awaitTermination()
+    stream_tables(spark, path_in, path_out := new_path(spark), lambda t: TB.structured_tables(t, blocks), schema, new_path(spark), files_per_batch=1).awaitTermination()
     return spark.read.parquet(path_out).select("page_id", "html", F.round("structure_score", 9).alias("structure_score"))
 
 

@@ -1,8 +1,10 @@
-"""Streams of page records: layout and tables as they come in. Pages don't depend on one another, so layout keeps no state."""
+"""Streams of page records and tokens: layout and tables as they come in. Pages don't depend on one another, so layout keeps no state; a page whose
+tokens come in parts is kept until it is whole."""
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pagewright.operators import pages as P
 from pagewright.operators.lines import unplaced
 from pagewright.plans.layout import IN_COLUMNS, STRATEGIES
 from pagewright.sources.records import PAGE_RECORD
+from pagewright.sources.shared import intermediate, remove
 
 
 def _upright(rows: DataFrame) -> DataFrame:
@@ -96,11 +99,75 @@ def stream_layout(spark: SparkSession, path_in: str, path_out: str, strategy: st
     return records.writeStream.format("text").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path_out)
 
 
-def stream_tables(spark: SparkSession, path_in: str, path_out: str, tables: Callable[[DataFrame], DataFrame], schema: str, checkpoint: str) -> StreamingQuery:
-    """Parquet rows in, tables out: each micro-batch runs `tables`, a batch plan with joins and loops, and is written once per batch number."""
+#: What a page is in a batch: its end token and all before it are there; it is waited for; it was waited for too long.
+WHOLE, OPEN, LATE = "whole", "open", "late"
 
-    def write(batch: DataFrame, number: int) -> None:
-        tables(batch).write.mode("overwrite").parquet(f"{path_out}/batch={number}")
 
-    rows = spark.readStream.schema(schema).parquet(path_in)
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def page_states(tokens: DataFrame, now: float, timeout: float, end: str = "eos") -> DataFrame:
+    """(page_id, state) of tokens (page_id, t, token, ...) with `_seen`, the second at which each came in.
+
+    A page is whole once its first end token after the first place, and every place before that, has come, in whatever order; late if it isn't
+    and its last token came more than `timeout` seconds ago.
+    """
+    end_at = F.min(F.when((F.col("token") == end) & (F.col("t") > 0), F.col("t")))
+    pages = tokens.groupBy("page_id").agg(end_at.alias("end_at"), F.collect_set("t").alias("places"), F.max("_seen").alias("last"))
+    there = F.size(F.filter("places", lambda t: (t >= 0) & (t <= F.col("end_at")))) == F.col("end_at") + 1
+    whole = F.col("end_at").isNotNull() & there
+    return pages.select("page_id", F.when(whole, WHOLE).when(F.col("last") < now - timeout, LATE).otherwise(OPEN).alias("state"))
+
+
+def stream_tables(
+    spark: SparkSession,
+    path_in: str,
+    path_out: str,
+    tables: Callable[[DataFrame], DataFrame],
+    schema: str,
+    checkpoint: str,
+    timeout: float = 3600.0,
+    end: str = "eos",
+    files_per_batch: int | None = None,
+    clock: Callable[[], float] = time.time,
+) -> StreamingQuery:
+    """Parquet rows of tokens (page_id, t, token, ...) in, tables out, with `code` and `msg`; takes what is there and ends, and goes on from there when run again.
+
+    A page's tokens are kept until all of them up to the end token have come, however they are dealt over files, batches and runs; then
+    `tables`, a batch plan with joins and loops, makes its rows, with code 0. A page whose next token doesn't come within `timeout` seconds gives one
+    row with code 1. Tokens of a page that has been told already are dropped for as long as the time-out, then they are a new page's.
+
+    What is kept lies as Parquet beside the query's own checkpoint, under the number of the batch: a batch reads what the one before it left, and
+    writes its own, and its tables, over what a failed attempt may have left. So every page is told once, whatever is lost and run again.
+    """
+
+    def at(number: int, part: str) -> str:
+        return f"{checkpoint}/pages/batch={number}/{part}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        session, now = batch.sparkSession, clock()
+        came = batch.withColumn("_seen", F.lit(now))
+        kind = came.schema
+        told = session.createDataFrame([], "page_id long, told_at double")
+        if number > 0:
+            told = session.read.schema(told.schema).parquet(at(number - 1, "told")).filter(F.col("told_at") >= now - timeout)
+            came = came.join(told, "page_id", "left_anti").select(*kind.names).unionByName(session.read.schema(kind).parquet(at(number - 1, "tokens")))
+        came.write.mode("overwrite").parquet(at(number, "came"))
+        came = session.read.schema(kind).parquet(at(number, "came"))
+        page_states(came, now, timeout, end).write.mode("overwrite").parquet(at(number, "states"))
+        states = session.read.parquet(at(number, "states"))
+        own = lambda state: states.filter(F.col("state") == state).select("page_id")
+        came.join(own(OPEN), "page_id", "left_semi").write.mode("overwrite").parquet(at(number, "tokens"))
+        done = states.filter(F.col("state") != OPEN).select(F.col("page_id").cast("long").alias("page_id"), F.lit(now).alias("told_at"))
+        told.unionByName(done).write.mode("overwrite").parquet(at(number, "told"))
+        if number == 0 or not done.isEmpty():
+            with intermediate(session):
+                found = tables(came.join(own(WHOLE), "page_id", "left_semi").select(*batch.columns)).withColumns({"code": F.lit(0), "msg": F.lit(None).cast("string")})
+                lost = own(LATE).withColumns({"code": F.lit(1), "msg": F.lit(f"the page's end didn't come within {timeout:g} seconds")})
+                found.unionByName(lost, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path_out}/batch={number}")
+        for part in ("came", "states"):
+            remove(session, at(number, part))
+        if number > 1:
+            remove(session, f"{checkpoint}/pages/batch={number - 2}")
+
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path_in).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -18,7 +20,7 @@ from pagewright.queries import all_queries
 from pagewright.sources import derived as D
 from pagewright.sources import records as R
 from pagewright.sources import sinks as K
-from pagewright.sources.shared import forget, mark, shared_table
+from pagewright.sources.shared import forget, intermediate, mark, shared_table
 from pagewright.streaming.jobs import layout_records, stream_layout, stream_tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -92,14 +94,96 @@ def test_records_round_trip_and_streams(spark, sf_dir, tmp_path):
     assert {p["doc_id"]: p["text"] for p in parsed if p["code"] == 0 and p["text"]} == batch
 
 
-def test_stream_of_tables(spark, sf_dir, tmp_path):
-    tokens = D.tokens(spark, sf_dir).filter("page_id < 200")
-    blocks = D.grid_blocks(spark, sf_dir).filter("page_id < 200")
-    tokens.write.parquet(str(tmp_path / "tokens"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema)
-    stream_tables(spark, str(tmp_path / "tokens"), str(tmp_path / "out"), lambda t: TB.structured_tables(t, blocks), schema, str(tmp_path / "cp")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).drop("batch").orderBy("page_id").collect()
-    assert got == TB.structured_tables(tokens, blocks).orderBy("page_id").collect()
+def with_ends(tokens):
+    ends = tokens.groupBy("page_id").agg((F.max("t") + 1).alias("t")).withColumns({"token": F.lit("eos"), "score": F.lit(1.0)})
+    return tokens.unionByName(ends, allowMissingColumns=True)
+
+
+class Stream:
+    """Files of tokens put in one after another, and runs of the stream between them."""
+
+    def __init__(self, spark, folder, blocks, schema):
+        self.spark, self.folder, self.blocks, self.schema, self.now, self.n = spark, folder, blocks, schema, 0.0, 0
+
+    def put(self, tokens):
+        self.n += 1
+        tokens.coalesce(1).write.mode("append").parquet(str(self.folder / "tokens"))
+
+    def run(self, files_per_batch=1):
+        stream_tables(self.spark, str(self.folder / "tokens"), str(self.folder / "out"), lambda t: TB.structured_tables(t, self.blocks), self.schema, str(self.folder / "cp"), 100.0, files_per_batch=files_per_batch, clock=lambda: self.now).awaitTermination()
+        return self.spark.read.parquet(str(self.folder / "out")).drop("batch").orderBy("page_id").collect()
+
+
+@pytest.fixture
+def stream(spark, sf_dir, tmp_path):
+    tokens = D.tokens(spark, sf_dir).filter("page_id < 60")
+    blocks = D.grid_blocks(spark, sf_dir).filter("page_id < 60")
+    return Stream(spark, tmp_path, shared_table(blocks), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema)), shared_table(with_ends(tokens))
+
+
+def as_batch(stream, tokens):
+    return TB.structured_tables(tokens, stream.blocks).withColumns({"code": F.lit(0), "msg": F.lit(None).cast("string")}).orderBy("page_id").collect()
+
+
+def test_stream_of_tables(stream):
+    stream, tokens = stream
+    stream.put(tokens)
+    assert stream.run(None) == as_batch(stream, tokens)
+
+
+def test_stream_of_tables_in_parts_and_runs(stream):
+    stream, tokens = stream
+    part = F.pmod(F.xxhash64("page_id", "t"), F.lit(4))  # ends come before, between and after the rest
+    stream.put(tokens.filter(part == 0))
+    assert stream.run() == as_batch(stream, tokens.filter("false"))
+    stream.put(tokens.filter(part == 1))
+    stream.put(tokens.filter(part == 2))
+    stream.run()
+    stream.put(tokens.filter(part == 3))
+    assert stream.run() == as_batch(stream, tokens)
+    left = [p.name for p in (stream.folder / "cp" / "pages").iterdir()]
+    assert len(left) == 2  # what the last batch left, and what it could be run again from
+
+
+def test_pages_that_never_end_are_told_once(stream):
+    stream, tokens = stream
+    cut = tokens.filter("page_id <> 7 or token <> 'eos'").filter("page_id <> 33 or t <> 2").filter("page_id <> 2")
+    stream.put(cut)
+    stream.run()
+    stream.now = 99.0
+    stream.put(tokens.filter("page_id = 33 and t = 2"))  # in time
+    assert [r.page_id for r in stream.run() if r.code] == []
+    stream.now = 101.0
+    stream.put(tokens.filter("page_id = 2"))
+    got = stream.run()
+    assert [(r.page_id, r.html) for r in got if r.code] == [(7, None)] and "100 seconds" in next(r.msg for r in got if r.code)
+    stream.now = 150.0
+    stream.put(tokens.filter("page_id = 7 and token = 'eos'"))  # too late, and no page of its own
+    stream.run()
+    stream.now = 260.0
+    stream.put(tokens.filter("page_id = 3").withColumn("page_id", F.lit(1_000).cast("long")))
+    got = stream.run()
+    assert [r.page_id for r in got if r.code] == [7] and got[-1].page_id == 1_000
+    assert [r for r in got if r.code == 0 and r.page_id < 1_000] == as_batch(stream, tokens.filter("page_id <> 7"))
+
+
+def test_runs_forget_only_their_own_tables(spark):
+    with intermediate(spark):
+        mine = shared_table(spark.range(3))
+        with ThreadPoolExecutor(1) as pool:
+
+            def other():
+                with intermediate(spark):
+                    shared_table(spark.range(4))
+                return shared_table(spark.range(5))
+
+            theirs = pool.submit(other).result()
+        assert mine.count() == 3
+        with intermediate(spark):
+            inner = shared_table(spark.range(6)).inputFiles()[0]
+        assert not os.path.exists(inner.removeprefix("file://")) and mine.count() == 3
+        files = mine.inputFiles()
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files) and theirs.count() == 5
 
 
 def test_streams_turn_vertical_pages(spark, sf_dir):
