@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.geometry import Rect, aabb, corner, overlap_area
+from pagewright.functions.geometry import aabb, corner
 from pagewright.functions.text import ascii_lower
+from pagewright.operators.strips import area_by_depth
 
 PAGE = ("doc_id", "page")
 
@@ -96,20 +97,16 @@ def cluster_size(cells: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id
     return cells.withColumn("_n", n).filter(F.col("_n") >= least).drop("_n")
 
 
-def pair_overlap(cells: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id")) -> DataFrame:
-    """(keys, overlap): the common areas of all pairs of a table's distinct cells, summed; 0 for tables without overlap.
+def pair_overlap(cells: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id"), band: int = 256, bands: int = 1024) -> DataFrame:
+    """(keys, overlap): the common areas of all pairs of a table's distinct cells (whole coordinates), summed; 0 for tables without overlap.
 
-    Pairs are met by a sweep: cells that begin before another ends share one of its grid columns.
+    No pair is made: where d cells lie over one another, d * (d - 1) / 2 pairs share the place, so the sum is an area by depth. Bands are `band`
+    units wide, or wider where a table would have more than `bands` of them: a cell is cut in as many pieces at most.
     """
-    own = cells.select(*keys, "x1", "y1", "x2", "y2").distinct()
-    a, b = own.select(*keys, *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")]), own
-    first = F.struct(*[F.col(f"a_{c}") for c in ("x1", "y1", "x2", "y2")]) < F.struct("x1", "y1", "x2", "y2")
-    meet = (F.col("a_x1") < F.col("x2")) & (F.col("x1") < F.col("a_x2")) & (F.col("a_y1") < F.col("y2")) & (F.col("y1") < F.col("a_y2"))
-    pairs = a.join(b, list(keys)).filter(first & meet)
-    ra = Rect(*(F.col(f"a_{c}").cast("long") for c in ("x1", "y1", "x2", "y2")))
-    rb = Rect(*(F.col(c).cast("long") for c in ("x1", "y1", "x2", "y2")))
-    sums = pairs.groupBy(*keys).agg(F.sum(overlap_area(ra, rb)).alias("overlap"))
-    return own.select(*keys).distinct().join(sums, list(keys), "left").select(*keys, F.coalesce("overlap", F.lit(0)).alias("overlap"))
+    own = cells.select(*keys, *[F.col(c).cast("long").alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), "ltrb", strict=True)]).distinct()
+    tables = own.groupBy(*keys).agg(F.greatest(F.lit(band), F.ceil((F.max("r") - F.min("l")) / bands)).alias("_wide"))
+    sums = area_by_depth(own.join(tables, list(keys)), keys, lambda depth: F.shiftright(depth * (depth - 1), 1), "overlap", F.col("_wide"))
+    return tables.select(*keys).join(sums, list(keys), "left").select(*keys, F.coalesce("overlap", F.lit(0)).alias("overlap"))
 
 
 def valid_tables(slots: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id")) -> DataFrame:

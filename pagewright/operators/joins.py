@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import Rect, corner_distance, iou, overlap_area
 from pagewright.operators.filters import PAGE
+from pagewright.operators.strips import covered_area
 from pagewright.operators.windows import cluster_values
 
 CELL = ("x1", "y1", "x2", "y2")
@@ -188,7 +189,7 @@ def area_hit_ratio(components: DataFrame, areas: DataFrame, limit: float = 0.25,
 def close_components(components: DataFrame, blockers: DataFrame, char_length: Column, key: str = "page_id", band: int = 256) -> DataFrame:
     """(page_id, a, b), a < b: components whose rectangles overlap, or lie within a character of one another and half beside or below.
 
-    Less than a tenth of the stretch between them may be covered by blockers. `components` has the columns that
+    Less than a tenth of the stretch between them may be covered by blockers, which count once where they overlap. `components` has the columns that
     `char_length` needs. Dealt by bands of x.
     """
     rows = components.withColumn("_c", char_length).withColumn("_band", F.explode(_bands(F.col("l") - F.col("_c"), F.col("r") + F.col("_c"), band)))
@@ -207,13 +208,11 @@ def close_components(components: DataFrame, blockers: DataFrame, char_length: Co
         F.when(F.col("kind") == "beside", F.least("a_b", "b_b")).otherwise(F.greatest("a_t", "b_t")),
     )
     pairs = pairs.withColumn("kind", kind).filter("kind is not null").dropDuplicates([key, "a", "b"])
-    pairs = pairs.select(key, "a", "b", "kind", *[c.alias(f"g_{n}") for n, c in zip("ltrb", between, strict=True)])
-    o = blockers.select(key, *[F.col(c).alias(f"o_{c}") for c in "ltrb"])
-    gaps = pairs.filter("kind <> 'over' and g_l < g_r and g_t < g_b")
-    dealt = _dealt(gaps, F.col("g_l"), F.col("g_r"), band).join(_dealt(o, F.col("o_l"), F.col("o_r"), band), [key, "_band"])
-    blocked = dealt.filter(_first_band(F.col("g_l"), F.col("o_l"), band)).groupBy(key, "a", "b").agg(F.sum(overlap_area(block_rect("g_"), block_rect("o_"))).alias("_blocked"))
-    free = gaps.join(blocked, [key, "a", "b"], "left").filter(F.coalesce("_blocked", F.lit(0)) * 10 < (F.col("g_r") - F.col("g_l")) * (F.col("g_b") - F.col("g_t")))
-    return pairs.filter("kind = 'over'").select(key, "a", "b").unionByName(free.select(key, "a", "b"))
+    pairs = pairs.select(key, "a", F.col("b").alias("b_id"), "kind", *[c.alias(n) for n, c in zip("ltrb", between, strict=True)])
+    gaps = pairs.filter("kind <> 'over' and l < r and t < b")
+    blocked = covered_area(gaps, blockers, key, ("a", "b_id"), "_blocked", band)
+    free = gaps.join(blocked, [key, "a", "b_id"], "left").filter(F.coalesce("_blocked", F.lit(0)) * 10 < (F.col("r") - F.col("l")) * (F.col("b") - F.col("t")))
+    return pairs.filter("kind = 'over'").unionByName(free.select(*pairs.columns)).select(key, "a", F.col("b_id").alias("b"))
 
 
 def attach_discarded(kept: DataFrame, discarded: DataFrame, char_length: Column, key: str = "page_id", band: int = 64) -> DataFrame:

@@ -124,17 +124,38 @@ def _jon08(spark, sf_dir):
 _JON08 = _DOTTED + """ SELECT page_id, comp_id FROM components c WHERE coalesce((SELECT sum(greatest(least(c.r, a.r) - greatest(c.l, a.l), 0) * greatest(least(c.b, a.b) - greatest(c.t, a.t), 0)) FROM areas a WHERE a.page_id = c.page_id), 0) / ((c.r - c.l) * (c.b - c.t)) < 0.25"""
 
 
+def _beside_blockers(spark, sf_dir):
+    """On every fourth page everything is blocked, on the next a point. On the others there are blockers right of each component that lie over one
+    another: three equal ones a point wide, or one over the height and one over half of it that share half their width."""
+    comps, kind = D.components(spark, sf_dir), F.col("page_id") % 4
+    side = F.when(kind == 0, 100_000).otherwise(1)
+    whole = comps.filter("page_id % 4 < 2").select("page_id", F.lit(0).alias("l"), F.lit(0).alias("t"), side.alias("r"), side.alias("b")).distinct()
+
+    def right(of, x1, x2, low=F.col("b")):
+        return of.select("page_id", (F.col("r") + x1).alias("l"), "t", (F.col("r") + x2).alias("r"), low.alias("b"))
+
+    own = comps.filter("comp_id < 100000")
+    third, fourth = own.filter("page_id % 4 = 2"), own.filter("page_id % 4 = 3")
+    return ST.union_all(whole, *[right(third, 1, 2)] * 3, right(fourth, 1, 3), right(fourth, 2, 4, F.expr("cast((t + b) div 2 as int)")))
+
+
 def _close(spark, sf_dir):
-    """On every fourth page everything is blocked, on the next ones hardly anything."""
-    comps = D.components(spark, sf_dir)
-    side = F.when(F.col("page_id") % 4 == 0, 100_000).otherwise(1)
-    blockers = comps.filter("page_id % 4 < 2").select("page_id").distinct().select("page_id", F.lit(0).alias("l"), F.lit(0).alias("t"), side.alias("r"), side.alias("b"))
-    return J.close_components(comps, blockers, F.lit(30))
+    return J.close_components(D.components(spark, sf_dir), _beside_blockers(spark, sf_dir), F.lit(30))
 
 
-_CLOSE = COMPS + """, p AS (SELECT a.page_id, a.comp_id AS a, b.comp_id AS b, least(a.r, b.r) - greatest(a.l, b.l) AS xo, least(a.b, b.b) - greatest(a.t, b.t) AS yo, least(a.r - a.l, b.r - b.l) AS w, least(a.b - a.t, b.b - b.t) AS h
-    FROM components a JOIN components b ON a.page_id = b.page_id AND a.comp_id < b.comp_id)
-SELECT page_id, a, b FROM p WHERE (xo > 0 AND yo > 0) OR page_id % 4 <> 0 AND ((2 * yo >= h AND xo > -30 AND xo < 0) OR (NOT (2 * yo >= h AND xo > -30) AND 2 * xo >= w AND yo > -30 AND yo < 0))"""
+_COMMON = "greatest(least({r}, gr) - greatest({l}, gl), 0) * greatest(least({b}, gb) - greatest({t}, gt), 0)"
+_WIDE, _HALF, _BOTH = (_COMMON.format(l=x, r=y, t="k.t", b=z) for x, y, z in (("k.r + 1", "k.r + CASE WHEN k.page_id % 4 = 2 THEN 2 ELSE 3 END", "k.b"), ("k.r + 2", "k.r + 4", "(k.t + k.b) // 2"), ("k.r + 2", "k.r + 3", "(k.t + k.b) // 2")))
+#: Pairs meet by page and row of height 30, the one below included; of two blockers that overlap the common part counts once.
+_CLOSE = COMPS + f""", c AS (SELECT *, t // 30 AS y FROM components), near AS (SELECT *, unnest([y - 1, y, y + 1]) AS at FROM c),
+p AS (SELECT a.page_id, least(a.comp_id, b.comp_id) AS a, greatest(a.comp_id, b.comp_id) AS b, least(a.r, b.r) - greatest(a.l, b.l) AS xo, least(a.b, b.b) - greatest(a.t, b.t) AS yo, least(a.r - a.l, b.r - b.l) AS w, least(a.b - a.t, b.b - b.t) AS h,
+    least(a.r, b.r) AS x1, greatest(a.l, b.l) AS x2, greatest(a.t, b.t) AS y1, least(a.b, b.b) AS y2
+    FROM near a JOIN c b ON a.page_id = b.page_id AND a.at = b.y AND a.comp_id < b.comp_id),
+k AS (SELECT *, CASE WHEN xo > 0 AND yo > 0 THEN 'over' WHEN 2 * yo >= h AND xo > -30 THEN 'beside' WHEN 2 * xo >= w AND yo > -30 THEN 'below' END AS kind FROM p),
+g AS (SELECT page_id, a, b, kind, CASE WHEN kind = 'beside' THEN x1 ELSE x2 END AS gl, CASE WHEN kind = 'beside' THEN x2 ELSE x1 END AS gr, CASE WHEN kind = 'beside' THEN y1 ELSE y2 END AS gt, CASE WHEN kind = 'beside' THEN y2 ELSE y1 END AS gb FROM k WHERE kind IS NOT NULL),
+blocked AS (SELECT g.page_id, g.a, g.b, sum({_WIDE} + CASE WHEN k.page_id % 4 = 3 THEN {_HALF} - {_BOTH} ELSE 0 END) AS n
+    FROM g JOIN c k ON g.page_id = k.page_id AND k.comp_id < 100000 AND g.page_id % 4 >= 2 AND kind <> 'over' GROUP BY ALL)
+SELECT page_id, a, b FROM g LEFT JOIN blocked USING (page_id, a, b)
+WHERE kind = 'over' OR page_id % 4 <> 0 AND gl < gr AND gt < gb AND coalesce(n, 0) * 10 < (gr - gl) * (gb - gt)"""
 
 
 def _jon10(spark, sf_dir):
@@ -320,9 +341,28 @@ def _pag15(spark, sf_dir):
     return TB.size_rows(TB.pad_rows(_short(spark, sf_dir)), D.grid_cells(spark, sf_dir))
 
 
+def _between_rows(spark, sf_dir):
+    """On every third page two bars that overlap lie across below each row; on the next ones two equal slips, of 6 % of a block's width, below each block."""
+    blocks = D.grid_blocks(spark, sf_dir)
+
+    def below(of, x1, x2):
+        return of.select("page_id", F.lit(x1).alias("l") if isinstance(x1, int) else x1.alias("l"), F.col("b").alias("t"), F.lit(x2).alias("r") if isinstance(x2, int) else x2.alias("r"), (F.col("b") + 8).alias("b"))
+
+    bars, slips = blocks.filter("page_id % 3 = 0 and block_id % 4 = 0"), blocks.filter("page_id % 3 = 1")
+    return ST.union_all(below(bars, 0, 400), below(bars, 200, 600), *[below(slips, F.col("r") - 50, F.col("r") - 44)] * 2)
+
+
 def _tab04(spark, sf_dir):
-    out = M.page_metrics(D.components(spark, sf_dir))
-    return out.select("page_id", F.round("char_length", 6).alias("char_length"), "line_sep", "boxes")
+    out = M.page_metrics(D.components(spark, sf_dir), _between_rows(spark, sf_dir))
+    return out.select("page_id", F.round("char_length", 6).alias("char_length"), F.col("line_sep").cast("long").alias("line_sep"), "boxes")
+
+
+#: Dots go as parts of a dotted line; all else is close to its neighbours, but for rows that bars part, which are 30 units apart.
+_TAB04 = COMPS + """, own AS (SELECT * FROM components WHERE comp_id < 100000),
+k AS (SELECT page_id, w FROM (SELECT page_id, r - l AS w, count(*) AS n FROM own GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC, w) = 1),
+m AS (SELECT page_id, avg(r - l) AS mean, count(DISTINCT t) AS n FROM own GROUP BY page_id)
+SELECT page_id, round(CASE WHEN w * 1.5 <= mean THEN mean ELSE w END, 6) AS char_length, CAST(CASE WHEN page_id % 3 = 0 AND n > 1 THEN 31 ELSE 0 END AS BIGINT) AS line_sep, CAST(CASE WHEN page_id % 3 = 0 THEN n ELSE 1 END AS BIGINT) AS boxes
+FROM k JOIN m USING (page_id)"""
 
 
 def _boxes(spark, sf_dir):
@@ -383,5 +423,5 @@ QUERIES = {
     "pag_15_size_rows": Query(_pag15, _SIZED),
     "tab_01_bordered_tables": Query(_tab01, _BORDERED.format(where="WHERE n >= 2")),
     "tab_02_structured_tables": Query(_tab02, _TAB02),
-    "tab_04_page_metrics": Query(_tab04, None),
+    "tab_04_page_metrics": Query(_tab04, _TAB04),
 }
