@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.geometry import Rect, corner_distance, iou, overlap_area
 from pagewright.operators.filters import PAGE
 from pagewright.operators.strips import covered_area
-from pagewright.operators.windows import cluster_values
+from pagewright.operators.windows import cluster_values, dedupe_adjacent
 
 CELL = ("x1", "y1", "x2", "y2")
 
@@ -68,13 +68,8 @@ def match_cells_to_block(cells: DataFrame, blocks: DataFrame, least: float = 0.1
     return cells.join(best, [key, *CELL], "left").withColumn("content", F.coalesce("content", F.lit("")))
 
 
-def candidate_cells(hlines: DataFrame, key: str = "page_id", band: int = 256) -> DataFrame:
-    """(page_id, x1, x2, y1, y2): pairs of horizontal lines, one above the other, whose ends correspond (2 % of the width) or contain one another's.
-
-    Dealt by bands of x. Lines of the same stretch all pair with one another, as that is what the operator returns.
-    """
-    a = hlines.select(key, *[F.col(c).alias(f"a_{c}") for c in ("x1", "x2", "y1")])
-    b = hlines.select(key, *[F.col(c).alias(f"b_{c}") for c in ("x1", "x2", "y1")])
+def _meeting(a: DataFrame, b: DataFrame, key: str, band: int) -> DataFrame:
+    """Pairs of an upper (a_x1, a_x2) and a lower stretch (b_x1, b_x2) whose ends correspond (2 % of the upper's width) or contain one another's, by bands of x."""
     w = F.when(F.col("a_x2") == F.col("a_x1"), 1.0).otherwise((F.col("a_x2") - F.col("a_x1")).cast("double"))
 
     def inside(x: Column, low: str, high: str) -> Column:
@@ -87,10 +82,39 @@ def candidate_cells(hlines: DataFrame, key: str = "page_id", band: int = 256) ->
     # Ends that meet leave no more than 2 % of the upper line's width between the lines.
     slack = F.abs(w) * 0.02
     a, b = _dealt(a, F.col("a_x1") - slack, F.col("a_x2") + slack, band), _dealt(b, F.col("b_x1"), F.col("b_x2"), band)
-    pairs = a.join(b, [key, "_band"]).filter(_first_band(F.col("a_x1") - slack, F.col("b_x1"), band) & (F.col("a_y1") < F.col("b_y1")) & ends_meet("x1") & ends_meet("x2"))
+    return a.join(b, [key, "_band"]).filter(_first_band(F.col("a_x1") - slack, F.col("b_x1"), band) & ends_meet("x1") & ends_meet("x2")).drop("_band")
+
+
+def candidate_cells(hlines: DataFrame, key: str = "page_id", band: int = 256) -> DataFrame:
+    """(page_id, x1, x2, y1, y2): pairs of horizontal lines, one above the other, whose ends correspond (2 % of the width) or contain one another's.
+
+    Lines of the same stretch all pair with one another, as that is what the operator returns; `next_candidates` has those that a table needs.
+    """
+    a = hlines.select(key, *[F.col(c).alias(f"a_{c}") for c in ("x1", "x2", "y1")])
+    b = hlines.select(key, *[F.col(c).alias(f"b_{c}") for c in ("x1", "x2", "y1")])
+    pairs = _meeting(a, b, key, band).filter("a_y1 < b_y1")
     return pairs.select(key, F.greatest("a_x1", "b_x1").alias("x1"), F.least("a_x2", "b_x2").alias("x2"), F.col("a_y1").alias("y1"), F.col("b_y1").alias("y2"))
 
 
+def next_candidates(hlines: DataFrame, key: str = "page_id", band: int = 256) -> DataFrame:
+    """(page_id, x1, x2, y1, y2): what `dedupe_adjacent` keeps of `candidate_cells`, without making the others.
+
+    Lines are grouped by their ends. Only the distinct stretches of a page are paired; for two that meet, the lines of both are put in one order
+    from below, and each upper line has the last lower line passed: its next one. Lines of one stretch give as many candidates as there are lines.
+    """
+    lines = hlines.select(key, "x1", "x2", F.col("y1").alias("y")).distinct()
+    stretches = lines.select(key, "x1", "x2").distinct()
+    pairs = _meeting(*(stretches.select(key, *[F.col(c).alias(f"{side}_{c}") for c in ("x1", "x2")]) for side in "ab"), key, band)
+    ends = ["a_x1", "a_x2", "b_x1", "b_x2"]
+    sides = []
+    for side, low in (("a", None), ("b", F.col("y"))):
+        own = lines.select(key, F.col("x1").alias(f"{side}_x1"), F.col("x2").alias(f"{side}_x2"), "y")
+        sides.append(pairs.join(own, [key, f"{side}_x1", f"{side}_x2"]).select(key, *ends, "y", F.lit(side).alias("side"), (F.lit(None).cast(lines.schema["y"].dataType) if low is None else low).alias("low")))
+    order = Window.partitionBy(key, *ends).orderBy(F.desc("y"), "side").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sides[0].unionByName(sides[1]).withColumn("y2", F.last("low", ignorenulls=True).over(order)).filter("side = 'a' and y2 is not null")
+    return dedupe_adjacent(rows.select(key, F.greatest("a_x1", "b_x1").alias("x1"), F.least("a_x2", "b_x2").alias("x2"), F.col("y").alias("y1"), "y2"), key)
+
+
 def dividers(candidates: DataFrame, vlines: DataFrame, key: str = "page_id", band: int = 256) -> DataFrame:
     """(page_id, x1, x2, y1, y2, x): vertical lines near a candidate, in x, that miss hardly any of its height. Dealt by bands of x, in one of which a line lies."""
     v = vlines.select(key, F.col("x1").alias("x"), F.col("y1").alias("v1"), F.col("y2").alias("v2"))
@@ -128,9 +152,18 @@ def adjacent_cells(cells: DataFrame, key: str = "page_id", band: int = 256) -> D
 
 
 def nearest_delimiter(values: DataFrame, delims: DataFrame, keys: tuple[str, ...], value: str = "v", delim: str = "d") -> DataFrame:
-    """(keys, v, d): for each distinct value its nearest delimiter, the smaller of two."""
-    pairs = values.select(*keys, value).distinct().join(delims.select(*keys, delim), list(keys))
-    return pairs.groupBy(*keys, value).agg(F.min_by(delim, F.struct(F.abs(F.col(value) - F.col(delim)), F.col(delim))).alias(delim))
+    """(keys, v, d): for each distinct value its nearest delimiter, the smaller of two. Values of keys without delimiters go.
+
+    Values and delimiters are put in one order; a value's delimiters are the last before it and the first after it, so none is
+    compared with a value that it isn't next to.
+    """
+    own = values.select(*keys, F.col(value).alias("_at")).filter("_at is not null").distinct().withColumn("_d", F.lit(None).cast(delims.schema[delim].dataType))
+    both = own.unionByName(delims.select(*keys, F.col(delim).alias("_at"), F.col(delim).alias("_d")).filter("_d is not null"))
+    up, down = (Window.partitionBy(*keys).orderBy(order, F.col("_d").isNull()).rowsBetween(Window.unboundedPreceding, 0) for order in (F.asc("_at"), F.desc("_at")))
+    both = both.withColumn("_before", F.last("_d", ignorenulls=True).over(up)).withColumn("_after", F.last("_d", ignorenulls=True).over(down))
+    nearer = F.when(F.col("_after").isNull() | (F.col("_at") - F.col("_before") <= F.col("_after") - F.col("_at")), F.col("_before")).otherwise(F.col("_after"))
+    rows = both.filter(F.col("_d").isNull() & (F.col("_before").isNotNull() | F.col("_after").isNotNull()))
+    return rows.select(*keys, F.col("_at").alias(value), nearer.alias(delim))
 
 
 def axis_delimiters(cells: DataFrame, axis: str, min_gap: float, keys: tuple[str, ...] = ("page_id", "table_id")) -> DataFrame:

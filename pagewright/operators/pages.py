@@ -8,7 +8,7 @@ that Spark has made and have no error records.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -493,17 +493,54 @@ def turn_pages(blocks: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
 CellBox = tuple[int, int, int, int]
 
 
+class Covered:
+    """What is covered of a strip: intervals that don't touch, in order."""
+
+    __slots__ = ("ends", "starts")
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, low: int, high: int) -> int:
+        """The length within [low, high) that isn't covered."""
+        first, last = bisect_right(self.ends, low), bisect_left(self.starts, high)
+        return high - low - sum(min(high, self.ends[k]) - max(low, self.starts[k]) for k in range(first, last))
+
+    def add(self, low: int, high: int) -> None:
+        first, last = bisect_left(self.ends, low), bisect_right(self.starts, high)
+        if first < last:
+            low, high = min(low, self.starts[first]), max(high, self.ends[last - 1])
+        self.starts[first:last], self.ends[first:last] = [low], [high]
+
+
 def dedupe_boxes(cells: list[CellBox]) -> list[CellBox]:
-    """Smallest first, the cells of which at least a quarter isn't covered by those kept before; areas are exact."""
+    """Smallest first, the cells of which at least a quarter isn't covered by those kept before; areas are exact.
+
+    The page is cut into strips at the cells' edges, across the axis on which cells span fewer of them; each strip knows what is covered
+    of it as intervals. So memory grows with the cells and the strips they span, not with the area of the page.
+    """
     own = [c for c in sorted(set(cells), key=lambda c: ((c[2] - c[0]) * (c[3] - c[1]), c)) if c[2] > max(0, c[0]) and c[3] > max(0, c[1])]
-    xs, ys = sorted({x for c in own for x in (max(0, c[0]), c[2])}), sorted({y for c in own for y in (max(0, c[1]), c[3])})
-    areas = np.outer(np.diff(ys), np.diff(xs)) if own else np.zeros((0, 0))
-    free, kept = np.ones(areas.shape, bool), []
+    edges = [np.unique([max(0, c[side]) for c in own for side in (axis, axis + 2)]) for axis in (0, 1)]
+    spanned = [sum(np.searchsorted(e, [c[axis + 2] for c in own]) - np.searchsorted(e, [max(0, c[axis]) for c in own])) if own else 0 for axis, e in enumerate(edges)]
+    axis = 1 if spanned[1] <= spanned[0] else 0
+    cuts, kept = edges[axis].tolist(), []
+    strips: list[Covered | None] = [None] * len(cuts)
     for c in own:
-        part = slice(bisect_left(ys, max(0, c[1])), bisect_left(ys, c[3])), slice(bisect_left(xs, max(0, c[0])), bisect_left(xs, c[2]))
-        if areas[part][free[part]].sum() >= 0.25 * (c[2] - c[0]) * (c[3] - c[1]):
+        low, high = max(0, c[1 - axis]), c[3 - axis]
+        reach = range(bisect_left(cuts, max(0, c[axis])), bisect_left(cuts, c[axis + 2]))
+        free, wanted = 0, 0.25 * (c[2] - c[0]) * (c[3] - c[1])
+        for k in reach:
+            strip = strips[k]
+            free += (cuts[k + 1] - cuts[k]) * (high - low if strip is None else strip.free(low, high))
+            if free >= wanted:
+                break
+        if free >= wanted:
             kept.append(c)
-            free[part] = False
+            for k in reach:
+                if strips[k] is None:
+                    strips[k] = Covered()
+                strips[k].add(low, high)
     return kept
 
 

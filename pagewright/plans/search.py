@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +12,20 @@ from pagewright.functions.geometry import anchor_point, corner, place_of, point_
 from pagewright.functions.text import ascii_lower, weighted_char_ratio
 from pagewright.operators.aggregates import ordered_concat
 from pagewright.operators.filters import PAGE, matches_text
+from pagewright.operators.lines import let
+from pagewright.sources.shared import shared_table
+
+try:
+    import ahocorasick
+except ImportError:  # then all queries go by their grams
+    ahocorasick = None
 
-#: Query tables of at most so many rows are broadcast; larger ones are joined by a shuffle on their first characters.
+#: Query tables of at most so many rows are broadcast, as one automaton; larger ones are joined by a shuffle on a gram of theirs.
 BROADCAST_QUERIES = 10_000
-#: So many of them; a shorter query is joined on all it has.
+#: Characters of a gram; a shorter query is its own.
 GRAM = 3
+#: Size of the map that tells which grams are asked for.
+GRAM_BITS = 1 << 16
 
 
 def list_blocks(blocks: DataFrame) -> DataFrame:
@@ -57,17 +69,72 @@ def _located(hits: DataFrame, query: Column, loc: Column, segments: DataFrame |
     return hits.withColumn("x", F.when(seen, sx).otherwise(x)).withColumn("y", F.when(seen, sy).otherwise(y)).drop("_start", "_last", "_mids")
 
 
-def _holding(blocks: DataFrame, asked: DataFrame) -> DataFrame:
-    """Each block with each query that it holds, by an equi join of the distinct pieces of the text and the beginning of the query."""
+@cache
+def _automaton(patterns: tuple[str, ...]):
+    """Finds all patterns in one pass over a text. One is made in each Python worker."""
+    found = ahocorasick.Automaton()
+    for k, pattern in enumerate(patterns):
+        found.add_word(pattern, k)
+    found.make_automaton()
+    return found
+
+
+def _scanned(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each block with each query that it holds: a text is read once, whatever the number of queries, which has been counted to be small."""
+    named = asked.withColumn("_pattern", ascii_lower(F.col("q")))
+    patterns = blocks.sparkSession.sparkContext.broadcast(tuple(sorted(r[0] for r in named.select("_pattern").distinct().collect())))
+
+    @F.pandas_udf("array<int>")
+    def held(texts: pd.Series) -> pd.Series:
+        scan = _automaton(patterns.value).iter if patterns.value else lambda _: ()
+        return texts.map(lambda t: sorted({k for _, k in scan(t)}))
+
+    numbers = blocks.sparkSession.createDataFrame(list(enumerate(patterns.value)), "_at int, _pattern string")
+    queries = F.broadcast(named.join(numbers, "_pattern").drop("_pattern"))
+    found = blocks.withColumn("_at", F.explode(held(F.coalesce(ascii_lower(F.col("text")), F.lit("")))))
+    return found.join(queries, "_at").drop("_at")
+
+
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """The distinct stretches of so many characters in a text."""
+
+    def pieces(chars: Column, n: int) -> Column:
+        at = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.concat(*[F.get(chars, i + k) for k in range(n)]))
 
-    def pieces(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.char_length("_low") - (n - 1)), lambda i: F.substring(F.col("_low"), i, F.lit(n)))
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return let(chars, lambda c: F.array_distinct(F.concat(*[pieces(c, n) for n in sizes])))
 
-    none = F.array().cast("array<string>")
-    grams = F.array_distinct(F.concat(*[F.when(F.char_length("_low") >= n, pieces(n)).otherwise(none) for n in range(1, GRAM + 1)]))
-    own = blocks.withColumn("_low", ascii_lower(F.col("text"))).withColumn("_gram", F.explode(grams)).drop("_low")
-    beginning = F.substring(ascii_lower(F.col("q")), 1, GRAM)
-    return own.join(asked.withColumn("_gram", beginning), "_gram").filter(matches_text(F.col("text"), F.col("q"))).drop("_gram")
+
+def _bit(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(GRAM_BITS)).cast("int")
+
+
+def _with_grams(blocks: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
+    """Blocks with `_gram`: those of their grams that may be among `grams`, told by a map of GRAM_BITS bits, however many there are."""
+    words = [0] * (GRAM_BITS // 64)
+    for row in grams.groupBy(F.shiftright(_bit(F.col("_gram")), 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_gram), {GRAM_BITS}) & 63 as int))")).alias("bits")).collect():
+        words[row.word] = row.bits
+    held = F.expr("array(" + ", ".join(f"{w}L" if w > -(1 << 63) else "bigint(-9223372036854775808)" for w in words) + ")")
+    asked = lambda g: let(_bit(g), lambda h: F.get(held, F.shiftright(h, 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))) != 0)
+    return blocks.withColumn("_gram", F.explode(F.filter(_grams(ascii_lower(F.col("text")), sizes), asked)))
+
+
+def _holding(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """Each block with each query that it holds, by an equi join on the query's rarest gram.
+
+    The grams of the queries are counted over all blocks first; a query with a gram that no block has finds nothing.
+    """
+    size = F.least(F.char_length("q"), F.lit(GRAM))
+    sizes = sorted(r.n for r in asked.select(size.alias("n")).distinct().collect())
+    own = asked.withColumn("_gram", F.explode(F.filter(_grams(ascii_lower(F.col("q")), sizes), lambda g: F.char_length(g) == size)))
+    grams = own.select("_gram").distinct()
+    seen = _with_grams(blocks.select("text"), grams, sizes).groupBy("_gram").agg(F.count("*").alias("_n"))
+    counted = own.join(seen, "_gram", "left")
+    rarest = counted.groupBy("query_id", "q", "n", "loc").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_least")).filter("_least.n > 0")
+    rarest = shared_table(rarest.select("query_id", "q", "n", "loc", F.col("_least._gram").alias("_gram")))
+    near = _with_grams(blocks, rarest, sizes)
+    return near.join(rarest, "_gram").filter(matches_text(F.col("text"), F.col("q"))).drop("_gram")
 
 
 def find_text_many(blocks: DataFrame, queries: DataFrame, segments: DataFrame | None = None, broadcast_queries: int = BROADCAST_QUERIES) -> DataFrame:
@@ -78,14 +145,20 @@ def find_text_many(blocks: DataFrame, queries: DataFrame, segments: DataFrame |
     located by them, others by the widths of characters. Empty queries find nothing.
     """
     asked = queries.filter("q <> ''")
-    few = asked.count() <= broadcast_queries
-    hits = blocks.join(F.broadcast(asked), matches_text(F.col("text"), F.col("q"))) if few else _holding(blocks, asked)
-    at = F.row_number().over(Window.partitionBy("query_id", *PAGE).orderBy("block_id"))
+    asked = asked.select("query_id", "q", "n", "loc").distinct()
+    few = ahocorasick is not None and asked.count() <= broadcast_queries
+    hits = _scanned(blocks, asked) if few else _holding(blocks, asked)
+    return _nth_located(hits, ("query_id", *PAGE), segments)
+
+
+def _nth_located(hits: DataFrame, keys: tuple[str, ...], segments: DataFrame | None) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy("block_id"))
     hits = hits.withColumn("_at", at).filter(F.col("_at") == F.greatest("n", F.lit(1))).drop("_at")
-    return _located(hits, F.col("q"), F.col("loc"), segments).select("query_id", *PAGE, "block_id", "x", "y")
+    return _located(hits, F.col("q"), F.col("loc"), segments).select(*keys, "block_id", "x", "y")
 
 
 def find_text(blocks: DataFrame, query: str, n: int = 1, loc: str = "center", segments: DataFrame | None = None) -> DataFrame:
-    """(doc_id, page, block_id, x, y): as find_text_many, for one query."""
-    one = blocks.sparkSession.createDataFrame([(1, query, n, loc)], "query_id int, q string, n int, loc string")
-    return find_text_many(blocks, one, segments).drop("query_id")
+    """(doc_id, page, block_id, x, y): as find_text_many, for one query, which is a filter."""
+    asked = {"q": F.lit(query), "n": F.lit(n), "loc": F.lit(loc)}
+    hits = blocks.filter(matches_text(F.col("text"), F.lit(query)) & (F.lit(query) != "")).withColumns(asked)
+    return _nth_located(hits, PAGE, segments)

@@ -23,7 +23,7 @@ def cells_from_lines(lines: DataFrame) -> DataFrame:
     """(page_id, cell_id, x1, y1, x2, y2) of the cells between ruled lines (page_id, x1, y1, x2, y2)."""
     snapped = lines.select("page_id", *[c.alias(n) for c, n in zip(snap_line(*(F.col(c) for c in J.CELL)), J.CELL, strict=True)])
     straight = FL.straight_lines(snapped)
-    candidates = W.dedupe_adjacent(J.candidate_cells(straight.filter("orient = 'h'")))
+    candidates = J.next_candidates(straight.filter("orient = 'h'"))
     return P.dedupe_cells(W.cells_from_dividers(J.dividers(candidates, straight.filter("orient = 'v'"))))
 
 
