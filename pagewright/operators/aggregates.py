@@ -174,10 +174,12 @@ def size_shares(slots: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id"
 def max_effective_columns(raw: DataFrame, key: str = "page_id") -> DataFrame:
     """(page_id, row, own, before, columns): of each row its colspans, the columns that earlier rowspans take, and the table's largest sum.
 
-    `raw` holds cells (row, idx, colspan, rowspan).
+    `raw` holds cells (row, idx, colspan, rowspan); a span ends with the table's last row.
     """
     rows = raw.groupBy(key, "row").agg(F.sum("colspan").alias("own"))
-    spans = raw.filter("rowspan > 1").select(key, F.col("colspan").alias("_cs"), F.explode(F.sequence(F.col("row") + 1, F.col("row") + F.col("rowspan") - 1)).alias("row"))
+    last = F.max("row").over(Window.partitionBy(key))
+    spans = raw.withColumn("_end", F.least(F.col("row") + F.col("rowspan").cast("long") - 1, last).cast("int")).filter("_end > row")
+    spans = spans.select(key, F.col("colspan").alias("_cs"), F.explode(F.sequence(F.col("row") + 1, F.col("_end"))).alias("row"))
     taken = spans.groupBy(key, "row").agg(F.sum("_cs").alias("before"))
     joined = rows.join(taken, [key, "row"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
     return joined.withColumn("columns", F.max(F.col("own") + F.col("before")).over(Window.partitionBy(key)))

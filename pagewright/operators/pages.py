@@ -16,12 +16,13 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import UPRIGHT_DEG, Rect, aabb, block_angle, rotate_box, rotate_box_ccw90, spacing_match
 from pagewright.functions.text import separator_of
 from pagewright.operators.filters import PAGE, non_empty
+from pagewright.operators.lines import let
 
 #: What the layout operators return, one row per block.
 LAID_OUT = "seq int, region_id int, block_id int, text string, score double, box array<int>, end string, code int, msg string"
@@ -563,28 +564,6 @@ def spans_of(rows: list[list[CellBox]]) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def place_cells(rows: list[list[tuple[int, int]]]) -> tuple[list[tuple[int, int, int]], int]:
-    """(row, idx, col) of each cell, given (colspan, rowspan) by row, at the next free column; and the number of columns.
-
-    There are at most eight columns for every row; cells beyond them have no place.
-    """
-    limit = 8 * len(rows)
-    taken: list[set[int]] = [set() for _ in rows]
-    out = []
-    for i, row in enumerate(rows):
-        at = 0
-        for k, (wide, tall) in enumerate(row):
-            while at in taken[i]:
-                at += 1
-            if at >= limit:
-                break
-            out.append((i, k, at))
-            for y in range(i, min(len(rows), i + tall)):
-                taken[y].update(range(at, min(limit, at + wide)))
-            at += wide if wide > 0 else 1
-    return out, max((max(t) + 1 for t in taken if t), default=0)
-
-
 def by_group(groups: DataFrame, rule: Callable[[Any], list[tuple]], keys: tuple[str, ...], schema: str) -> DataFrame:
     """The keys and `schema`: `rule` turns the list in the column `items` into rows."""
     head = ", ".join(f"{k} {groups.schema[k].dataType.simpleString()}" for k in keys)
@@ -624,15 +603,39 @@ def spans(slots: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id")) ->
 
 
 def place_grid(raw: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page_id, row, idx, col, columns) of the raw cells (row, idx, colspan, rowspan) of each table."""
-    groups = raw.groupBy(key).agg(F.array_sort(F.collect_list(F.array("row", "idx", "colspan", "rowspan"))).alias("items"))
+    """(page_id, row, idx, col, columns) of the raw cells (row, idx, colspan, rowspan) of each table: each at the next free column of its row.
 
-    def rule(items: list[list[int]]) -> list[tuple]:
-        rows: dict[int, list[tuple[int, int]]] = {}
-        for row, _, wide, tall in items:
-            rows.setdefault(row, []).append((wide, tall))
-        names = sorted(rows)
-        placed, columns = place_cells([rows[r] for r in names])
-        return [(names[r], k, col, columns) for r, k, col in placed]
-
-    return by_group(groups, rule, (key,), "row int, idx int, col int, columns int")
+    idx counts a row's cells from 0 in their order. There are at most eight columns for every row; cells beyond them have no place, and
+    spans end with the table, whatever their attributes say. A fold over the table's cells keeps, for each column, from which row on it is free.
+    """
+    cell = F.struct("row", "idx", F.coalesce("colspan", F.lit(1)).cast("int").alias("wide"), F.coalesce("rowspan", F.lit(1)).cast("int").alias("tall"))
+    tables = raw.filter("row is not null and idx is not null").groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    tables = tables.withColumn("n", F.size(F.array_distinct("cells.row")))
+    start = F.expr("named_struct('free', cast(array() as array<int>), 'row', cast(null as int), 'at', 0, 'i', -1, 'k', -1, 'placed', cast(array() as array<struct<row:int,idx:int,col:int>>))")
+    limit = F.col("n") * 8
+
+    def step(s: Column, c: Column) -> Column:
+        goes_on = c["row"].eqNullSafe(s["row"])
+        i, k, after = F.when(goes_on, s["i"]).otherwise(s["i"] + 1), F.when(goes_on, s["k"] + 1).otherwise(0), F.when(goes_on, s["at"]).otherwise(0)
+        until = lambda x: F.coalesce(F.get(s["free"], x), F.lit(0))
+        first = F.get(F.filter(F.sequence(after, F.greatest(after, F.size(s["free"]))), lambda x: until(x) <= i), F.lit(0))
+
+        def put(at: Column) -> Column:
+            wide = F.greatest(F.least(c["wide"], limit - at), F.lit(0))
+            tall = F.greatest(F.least(c["tall"], F.col("n") - i), F.lit(0))
+            end = F.greatest(F.size(s["free"]), at + wide)
+            taken = F.transform(F.sequence(F.lit(0), F.greatest(end - 1, F.lit(0))), lambda x: F.when((x >= at) & (x < at + wide), F.greatest(until(x), i + tall)).otherwise(until(x)))
+            there = at < limit
+            return F.struct(
+                F.when(there & (wide > 0) & (tall > 0), taken).otherwise(s["free"]).alias("free"),
+                c["row"].cast("int").alias("row"),
+                F.when(there, at + F.greatest(c["wide"].cast("long"), F.lit(1)).cast("long")).otherwise(at).cast("long").alias("next"),
+                i.alias("i"),
+                k.alias("k"),
+                F.when(there, F.array_append(s["placed"], F.struct(c["row"].cast("int").alias("row"), k.alias("idx"), at.alias("col")))).otherwise(s["placed"]).alias("placed"),
+            )
+
+        return let(let(first, put), lambda t: F.struct(t["free"].alias("free"), t["row"].alias("row"), F.least(t["next"], limit).cast("int").alias("at"), t["i"].alias("i"), t["k"].alias("k"), t["placed"].alias("placed")))
+
+    tables = tables.select(key, F.aggregate("cells", start, step).alias("grid"))
+    return tables.select(key, F.size("grid.free").alias("columns"), F.explode("grid.placed").alias("p")).select(key, "p.row", "p.idx", "p.col", "columns")

@@ -125,13 +125,19 @@ def fill_placeholders(structures: DataFrame, cells: DataFrame, texts: DataFrame)
     return rows.select("page_id", F.array_join(glued, "").alias("html"))
 
 
+#: Wider and taller cells count as these, as in the HTML standard.
+MAX_COLSPAN, MAX_ROWSPAN = 1_000, 65_534
+#: A table with more columns is an error record: no spreadsheet holds it.
+MAX_COLUMNS = 16_384
+
+
 def _cells_by_row(html: Column) -> Column:
     """The (colspan, rowspan) of the `<td ...>` tags before each `</tr>`; what follows the last row end is no row."""
     pieces = F.split(html, "</tr>")
     rows = F.slice(pieces, 1, F.size(pieces) - 1)
     tags = lambda piece: F.regexp_extract_all(piece, F.lit(r"(<td[^>]*>)"), F.lit(1))
     span = lambda tag, name: F.when(tag == "<td>", 1).otherwise(H.int_attr(tag, name, 1))  # noqa: E731  (most cells have no attributes to search)
-    return F.transform(rows, lambda p: F.transform(tags(p), lambda tag: F.struct(span(tag, "colspan").alias("wide"), span(tag, "rowspan").alias("tall"))))
+    return F.transform(rows, lambda p: F.transform(tags(p), lambda tag: F.struct(F.least(span(tag, "colspan"), F.lit(MAX_COLSPAN)).alias("wide"), F.least(span(tag, "rowspan"), F.lit(MAX_ROWSPAN)).alias("tall"))))
 
 
 def _total(items: Column, value) -> Column:
@@ -247,7 +253,7 @@ def grid_sizes(raw: DataFrame, placed: DataFrame, tables: DataFrame, key: str =
     page = tables.select(key, pcts.alias("pcts"), F.coalesce(ratio, F.lit(1.35)).alias("aspect")).join(columns, key)
     page = page.withColumn("by_pct", F.size("pcts") == F.col("columns"))
     wide = raw.withColumn("start", F.coalesce(F.sum("colspan").over(Window.partitionBy(key, "row").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wide = wide.filter("width_px > 0 and colspan > 0").select(key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("colspan") - 1)).alias("col"), F.expr("width_px div colspan").alias("px"))
+    wide = wide.join(columns, key).filter("width_px > 0 and colspan > 0 and start < columns").select(key, "columns", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + F.col("colspan"), F.col("columns")) - 1)).alias("col"), F.expr("width_px div colspan").alias("px"))
     cols = page.select(key, "pcts", "by_pct", "columns", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("col"))
     cols = cols.join(wide.groupBy(key, "col").agg(F.max("px").alias("px")), [key, "col"], "left")
     own = Window.partitionBy(key)
@@ -267,18 +273,49 @@ def grid_sizes(raw: DataFrame, placed: DataFrame, tables: DataFrame, key: str =
 
 
 def html_to_grid(tables: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page_id, row, col, rowspan, colspan, text, width, height): the placed cells of each table's grid."""
+    """(page_id, row, col, rowspan, colspan, text, width, height): the placed cells of each table's grid; their spans end with the table.
+
+    Pages without a table or without cells have no rows; `grid_records` tells of them.
+    """
     raw = shared_table(parse_html_table(tables, key))
     placed = shared_table(P.place_grid(raw, key))
     widths, heights = grid_sizes(raw, placed, tables, key)
-    cells = raw.join(placed, [key, "row", "idx"]).join(widths, [key, "col"]).join(heights, [key, "row"])
+    rows = F.max("row").over(Window.partitionBy(key)) + 1
+    cells = raw.join(placed, [key, "row", "idx"]).withColumn("n", rows).join(widths, [key, "col"]).join(heights, [key, "row"])
+    cells = cells.withColumns({"rowspan": within(F.col("rowspan"), F.col("n") - F.col("row")), "colspan": within(F.col("colspan"), F.col("columns") - F.col("col"))})
     return cells.select(key, "row", "col", "rowspan", "colspan", "text", "width", "height")
 
 
+def within(span: Column, room: Column) -> Column:
+    """A span of one place at least and of what room there is at most."""
+    return F.greatest(F.least(span, room), F.lit(1)).cast("int")
+
+
+def grid_records(tables: DataFrame, key: str = "page_id") -> DataFrame:
+    """(page_id, code, msg, rows, columns, cells): one record for each table. Code 0 with the grid's size and its cells in order; or code 1 with what is
+    wrong (no table, no cells, more than MAX_COLUMNS columns) and nulls, so that a bad table stops no others."""
+    cell = F.struct("row", "col", "rowspan", "colspan", "text")
+    raw = shared_table(parse_html_table(tables, key))
+    placed = P.place_grid(raw, key)
+    n = F.max("row").over(Window.partitionBy(key)) + 1
+    grid = raw.join(placed, [key, "row", "idx"]).withColumn("n", n)
+    grid = grid.withColumns({"rowspan": within(F.col("rowspan"), F.col("n") - F.col("row")), "colspan": within(F.col("colspan"), F.col("columns") - F.col("col"))})
+    grids = grid.groupBy(key).agg(F.max("n").alias("rows"), F.max("columns").alias("columns"), F.array_sort(F.collect_list(cell)).alias("cells"))
+    told = tables.select(key, (F.coalesce(H.first_table(F.col("html")), F.lit("")) == "").alias("_none")).join(grids, key, "left")
+    msg = F.when(F.col("_none"), "no table").when(F.col("cells").isNull(), "no cells").when(F.col("columns") > MAX_COLUMNS, F.format_string("a table of %d columns", "columns"))
+    told = told.withColumn("msg", msg).withColumn("code", F.when(F.col("msg").isNull(), 0).otherwise(1))
+    return told.select(key, "code", "msg", *[F.when(F.col("code") == 0, F.col(c)).alias(c) for c in ("rows", "columns", "cells")])
+
+
 def grid_slots(grid: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page_id, row, col, text, anchor_row, anchor_col): every place of a grid, merged ones with their anchor and an empty text."""
-    down = F.explode(F.sequence(F.lit(0), F.col("rowspan") - 1))
-    rows = grid.select(key, F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col"), "colspan", "text", down.alias("dy"))
+    """(page_id, row, col, text, anchor_row, anchor_col): every place of a grid, merged ones with their anchor and an empty text.
+
+    Spans end with the last row, and with eight columns for every row, which is all that a grid has.
+    """
+    n = F.max("row").over(Window.partitionBy(key)) + 1
+    grid = grid.withColumn("_n", n)
+    tall, wide = within(F.col("rowspan"), F.col("_n") - F.col("row")), within(F.col("colspan"), F.greatest(F.col("_n") * 8, F.col("col") + 1) - F.col("col"))
+    rows = grid.select(key, F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col"), wide.alias("colspan"), "text", F.explode(F.sequence(F.lit(0), tall - 1)).alias("dy"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("colspan") - 1)).alias("dx"))
     first = (F.col("dy") == 0) & (F.col("dx") == 0)
     return rows.select(key, (F.col("anchor_row") + F.col("dy")).alias("row"), (F.col("anchor_col") + F.col("dx")).alias("col"), F.when(first, F.col("text")).otherwise("").alias("text"), "anchor_row", "anchor_col")

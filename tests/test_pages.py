@@ -112,11 +112,3 @@ def test_spans():
     a, b, c = (0, 0, 10, 20), (10, 0, 30, 10), (10, 10, 20, 20)
     d = (20, 10, 30, 20)
     assert P.spans_of([[a, b, b], [a, c, d]]) == [(0, 0, 2, 1), (0, 1, 1, 2), (1, 1, 1, 1), (1, 2, 1, 1)]
-
-
-def test_place_cells():
-    placed, columns = P.place_cells([[(1, 2), (2, 1)], [(1, 1), (1, 1)]])
-    assert placed == [(0, 0, 0), (0, 1, 1), (1, 0, 1), (1, 1, 2)] and columns == 3
-    placed, columns = P.place_cells([[(9, 1), (1, 1)]])
-    assert placed == [(0, 0, 0)] and columns == 8
-    assert P.place_cells([]) == ([], 0)
