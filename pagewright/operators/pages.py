@@ -602,17 +602,15 @@ def spans(slots: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id")) ->
     return by_group(groups, rule, keys, "row int, col int, rowspan int, colspan int")
 
 
-def place_grid(raw: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page_id, row, idx, col, columns) of the raw cells (row, idx, colspan, rowspan) of each table: each at the next free column of its row.
+def grid_of(cells: Column, n: Column) -> Column:
+    """struct(free, placed) of a table's cells (row, idx, wide, tall), in order, of n rows: each at the next free column of its row.
 
-    idx counts a row's cells from 0 in their order. There are at most eight columns for every row; cells beyond them have no place, and
-    spans end with the table, whatever their attributes say. A fold over the table's cells keeps, for each column, from which row on it is free.
+    `placed` has (row, idx, col), idx counting a row's cells from 0; `free` as many entries as the grid has columns. There are at most eight columns for
+    every row; cells beyond them have a null for col, and spans end with the table, whatever they say. A fold that keeps, for each column, from which row
+    on it is free.
     """
-    cell = F.struct("row", "idx", F.coalesce("colspan", F.lit(1)).cast("int").alias("wide"), F.coalesce("rowspan", F.lit(1)).cast("int").alias("tall"))
-    tables = raw.filter("row is not null and idx is not null").groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    tables = tables.withColumn("n", F.size(F.array_distinct("cells.row")))
     start = F.expr("named_struct('free', cast(array() as array<int>), 'row', cast(null as int), 'at', 0, 'i', -1, 'k', -1, 'placed', cast(array() as array<struct<row:int,idx:int,col:int>>))")
-    limit = F.col("n") * 8
+    limit = n * 8
 
     def step(s: Column, c: Column) -> Column:
         goes_on = c["row"].eqNullSafe(s["row"])
@@ -622,20 +620,28 @@ def place_grid(raw: DataFrame, key: str = "page_id") -> DataFrame:
 
         def put(at: Column) -> Column:
             wide = F.greatest(F.least(c["wide"], limit - at), F.lit(0))
-            tall = F.greatest(F.least(c["tall"], F.col("n") - i), F.lit(0))
+            tall = F.greatest(F.least(c["tall"], n - i), F.lit(0))
             end = F.greatest(F.size(s["free"]), at + wide)
             taken = F.transform(F.sequence(F.lit(0), F.greatest(end - 1, F.lit(0))), lambda x: F.when((x >= at) & (x < at + wide), F.greatest(until(x), i + tall)).otherwise(until(x)))
             there = at < limit
+            further = F.least(at + F.greatest(c["wide"].cast("long"), F.lit(1)), limit.cast("long")).cast("int")
             return F.struct(
                 F.when(there & (wide > 0) & (tall > 0), taken).otherwise(s["free"]).alias("free"),
                 c["row"].cast("int").alias("row"),
-                F.when(there, at + F.greatest(c["wide"].cast("long"), F.lit(1)).cast("long")).otherwise(at).cast("long").alias("next"),
+                F.when(there, further).otherwise(at).alias("at"),
                 i.alias("i"),
                 k.alias("k"),
-                F.when(there, F.array_append(s["placed"], F.struct(c["row"].cast("int").alias("row"), k.alias("idx"), at.alias("col")))).otherwise(s["placed"]).alias("placed"),
+                F.array_append(s["placed"], F.struct(c["row"].cast("int").alias("row"), k.alias("idx"), F.when(there, at).alias("col"))).alias("placed"),
             )
 
-        return let(let(first, put), lambda t: F.struct(t["free"].alias("free"), t["row"].alias("row"), F.least(t["next"], limit).cast("int").alias("at"), t["i"].alias("i"), t["k"].alias("k"), t["placed"].alias("placed")))
+        return let(first, put)
+
+    return F.aggregate(cells, start, step, lambda s: F.struct(s["free"].alias("free"), s["placed"].alias("placed")))
 
-    tables = tables.select(key, F.aggregate("cells", start, step).alias("grid"))
-    return tables.select(key, F.size("grid.free").alias("columns"), F.explode("grid.placed").alias("p")).select(key, "p.row", "p.idx", "p.col", "columns")
+
+def place_grid(raw: DataFrame, key: str = "page_id") -> DataFrame:
+    """(page_id, row, idx, col, columns) of the raw cells (row, idx, colspan, rowspan) of each table; see `grid_of`. Cells without a row or an idx have no place."""
+    cell = F.struct("row", "idx", F.coalesce("colspan", F.lit(1)).cast("int").alias("wide"), F.coalesce("rowspan", F.lit(1)).cast("int").alias("tall"))
+    tables = raw.filter("row is not null and idx is not null").groupBy(key).agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    tables = tables.select(key, grid_of(F.col("cells"), F.size(F.array_distinct("cells.row"))).alias("grid"))
+    return tables.select(key, F.size("grid.free").alias("columns"), F.explode("grid.placed").alias("p")).select(key, "p.row", "p.idx", "p.col", "columns").filter("col is not null")

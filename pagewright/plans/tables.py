@@ -213,31 +213,53 @@ def structured_tables(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
 # ---- HTML to grids ----
 
 
+def _with_rows(tables: DataFrame, key: str) -> DataFrame:
+    """(key, rows): of the first table its rows with cells, as array<struct<tag, tds: array<struct<tag, body>>>>, within the table's own row."""
+    trs = F.transform(H.tag_pairs(H.first_table(F.col("html")), "tr"), lambda t: F.struct(t["tag"].alias("tag"), H.tag_pairs(t["body"], "td").alias("tds")))
+    return tables.select(key, F.filter(trs, lambda t: F.size(t["tds"]) > 0).alias("rows"))
+
+
+def _read_cell(td: Column, row_tag: Column) -> list[Column]:
+    """What a cell's tag, body and row say: colspan, rowspan, text, and sizes."""
+    tag, plain = td["tag"], F.lower(td["tag"]) == "<td>"  # most cells have no attributes to search, and most texts no entities
+    style = H.html_attr(tag, "style")
+    row_pct = F.when(F.lower(row_tag) == "<tr>", 0.0).otherwise(H.style_pct(row_tag, "height"))
+    body = F.regexp_replace(td["body"], r"^[ \t\r\n]+|[ \t\r\n]+$", "")
+    unless = lambda none, value: F.when(plain, none).otherwise(value)
+    return [
+        unless(1, H.int_attr(tag, "colspan", 1)).alias("colspan"),
+        unless(1, H.int_attr(tag, "rowspan", 1)).alias("rowspan"),
+        F.when(F.contains(body, F.lit("&")), H.html_unescape(body)).otherwise(body).alias("text"),
+        unless(0, H.style_px(style, "width")).alias("width_px"),
+        unless(0, H.style_px(style, "height")).alias("height_px"),
+        unless(0.0, H.style_pct(style, "width")).alias("width_pct"),
+        F.when(row_pct > 0, row_pct).otherwise(unless(0.0, H.style_pct(style, "height"))).alias("height_pct"),
+    ]
+
+
 def parse_html_table(tables: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page_id, row, idx, colspan, rowspan, text, width_px, height_px, width_pct, height_pct) of the first table's cells; rows without cells don't count."""
-    rows = _rows(tables, key)
-    tag, style = F.col("td.tag"), H.html_attr(F.col("td.tag"), "style")
-    row_pct = H.style_pct(F.col("row_tag"), "height")
-    text = H.html_unescape(F.regexp_replace("td.body", r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
-    return rows.select(
-        key,
-        "row",
-        "idx",
-        H.int_attr(tag, "colspan", 1).alias("colspan"),
-        H.int_attr(tag, "rowspan", 1).alias("rowspan"),
-        text.alias("text"),
-        H.style_px(style, "width").alias("width_px"),
-        H.style_px(style, "height").alias("height_px"),
-        H.style_pct(style, "width").alias("width_pct"),
-        F.when(row_pct > 0, row_pct).otherwise(H.style_pct(style, "height")).alias("height_pct"),
-    )
+    """(page_id, row, idx, colspan, rowspan, text, width_px, height_px, width_pct, height_pct) of the first table's cells; rows without cells don't count. Nothing is shuffled."""
+    # Outer, as Spark would else work out the rows once more to leave out tables that have none.
+    rows = _with_rows(tables, key).select(key, F.posexplode_outer("rows").alias("row", "tr"))
+    rows = rows.select(key, "row", F.col("tr.tag").alias("row_tag"), F.posexplode_outer("tr.tds").alias("idx", "td")).filter("idx is not null")
+    return rows.select(key, "row", "idx", *_read_cell(F.col("td"), F.col("row_tag")))
+
 
+def placed_cells(tables: DataFrame, key: str = "page_id") -> DataFrame:
+    """(page_id, row, idx, col, n, columns, colspan, rowspan, text, ...): the cells of each table, read and placed in its grid of n rows within the table's own row; col is
+    null for cells that have no place."""
 
-def _rows(tables: DataFrame, key: str) -> DataFrame:
-    trs = tables.select(key, F.posexplode(H.tag_pairs(H.first_table(F.col("html")), "tr")).alias("tr_no", "tr"))
-    trs = trs.select(key, "tr_no", F.col("tr.tag").alias("row_tag"), H.tag_pairs(F.col("tr.body"), "td").alias("tds")).filter(F.size("tds") > 0)
-    trs = trs.withColumn("row", F.row_number().over(Window.partitionBy(key).orderBy("tr_no")) - 1)
-    return trs.select(key, "row", "row_tag", F.posexplode("tds").alias("idx", "td"))
+    def spans(td: Column, i: Column, j: Column) -> Column:
+        plain = F.lower(td["tag"]) == "<td>"  # most cells have no attributes to search
+        wide, tall = (F.when(plain, 1).otherwise(H.int_attr(td["tag"], name, 1)) for name in ("colspan", "rowspan"))
+        return F.struct(i.alias("row"), j.alias("idx"), wide.alias("wide"), tall.alias("tall"))
+
+    rows = _with_rows(tables, key).withColumn("cells", F.flatten(F.transform("rows", lambda r, i: F.transform(r["tds"], lambda td, j: spans(td, i, j)))))
+    rows = rows.withColumn("grid", P.grid_of(F.col("cells"), F.size("rows")))
+    rows = rows.select(key, "rows", F.size("rows").alias("n"), F.size("grid.free").alias("columns"), F.explode_outer("grid.placed").alias("p")).filter("p is not null")
+    tr = F.get("rows", F.col("p.row"))
+    rows = rows.select(key, "p.row", "p.idx", "p.col", "n", "columns", tr["tag"].alias("row_tag"), F.get(tr["tds"], F.col("p.idx")).alias("td"))
+    return rows.select(key, "row", "idx", "col", "n", "columns", *_read_cell(F.col("td"), F.col("row_tag")))
 
 
 def grid_sizes(raw: DataFrame, placed: DataFrame, tables: DataFrame, key: str = "page_id") -> tuple[DataFrame, DataFrame]:
@@ -253,7 +275,7 @@ def grid_sizes(raw: DataFrame, placed: DataFrame, tables: DataFrame, key: str =
     page = tables.select(key, pcts.alias("pcts"), F.coalesce(ratio, F.lit(1.35)).alias("aspect")).join(columns, key)
     page = page.withColumn("by_pct", F.size("pcts") == F.col("columns"))
     wide = raw.withColumn("start", F.coalesce(F.sum("colspan").over(Window.partitionBy(key, "row").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wide = wide.join(columns, key).filter("width_px > 0 and colspan > 0 and start < columns").select(key, "columns", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + F.col("colspan"), F.col("columns")) - 1)).alias("col"), F.expr("width_px div colspan").alias("px"))
+    wide = wide.drop("columns").join(columns, key).filter("width_px > 0 and colspan > 0 and start < columns").select(key, "columns", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + F.col("colspan"), F.col("columns")) - 1)).alias("col"), F.expr("width_px div colspan").alias("px"))
     cols = page.select(key, "pcts", "by_pct", "columns", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("col"))
     cols = cols.join(wide.groupBy(key, "col").agg(F.max("px").alias("px")), [key, "col"], "left")
     own = Window.partitionBy(key)
@@ -277,13 +299,14 @@ def html_to_grid(tables: DataFrame, key: str = "page_id") -> DataFrame:
 
     Pages without a table or without cells have no rows; `grid_records` tells of them.
     """
-    raw = shared_table(parse_html_table(tables, key))
-    placed = shared_table(P.place_grid(raw, key))
-    widths, heights = grid_sizes(raw, placed, tables, key)
-    rows = F.max("row").over(Window.partitionBy(key)) + 1
-    cells = raw.join(placed, [key, "row", "idx"]).withColumn("n", rows).join(widths, [key, "col"]).join(heights, [key, "row"])
-    cells = cells.withColumns({"rowspan": within(F.col("rowspan"), F.col("n") - F.col("row")), "colspan": within(F.col("colspan"), F.col("columns") - F.col("col"))})
-    return cells.select(key, "row", "col", "rowspan", "colspan", "text", "width", "height")
+    cells = shared_table(placed_cells(tables, key))
+    widths, heights = grid_sizes(cells, cells, tables, key)
+    sized = _clipped(cells.filter("col is not null")).join(widths, [key, "col"]).join(heights, [key, "row"])
+    return sized.select(key, "row", "col", "rowspan", "colspan", "text", "width", "height")
+
+
+def _clipped(cells: DataFrame) -> DataFrame:
+    return cells.withColumns({"rowspan": within(F.col("rowspan"), F.col("n") - F.col("row")), "colspan": within(F.col("colspan"), F.col("columns") - F.col("col"))})
 
 
 def within(span: Column, room: Column) -> Column:
@@ -295,11 +318,7 @@ def grid_records(tables: DataFrame, key: str = "page_id") -> DataFrame:
     """(page_id, code, msg, rows, columns, cells): one record for each table. Code 0 with the grid's size and its cells in order; or code 1 with what is
     wrong (no table, no cells, more than MAX_COLUMNS columns) and nulls, so that a bad table stops no others."""
     cell = F.struct("row", "col", "rowspan", "colspan", "text")
-    raw = shared_table(parse_html_table(tables, key))
-    placed = P.place_grid(raw, key)
-    n = F.max("row").over(Window.partitionBy(key)) + 1
-    grid = raw.join(placed, [key, "row", "idx"]).withColumn("n", n)
-    grid = grid.withColumns({"rowspan": within(F.col("rowspan"), F.col("n") - F.col("row")), "colspan": within(F.col("colspan"), F.col("columns") - F.col("col"))})
+    grid = _clipped(placed_cells(tables, key).filter("col is not null"))
     grids = grid.groupBy(key).agg(F.max("n").alias("rows"), F.max("columns").alias("columns"), F.array_sort(F.collect_list(cell)).alias("cells"))
     told = tables.select(key, (F.coalesce(H.first_table(F.col("html")), F.lit("")) == "").alias("_none")).join(grids, key, "left")
     msg = F.when(F.col("_none"), "no table").when(F.col("cells").isNull(), "no cells").when(F.col("columns") > MAX_COLUMNS, F.format_string("a table of %d columns", "columns"))
