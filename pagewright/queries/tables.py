@@ -46,9 +46,12 @@ def _candidates(spark, sf_dir):
     return J.candidate_cells(_hlines(spark, sf_dir))
 
 
-_CAND = RULED + """, h AS (SELECT * FROM ruled_lines WHERE y1 = y2), cand AS (
-    SELECT a.page_id, greatest(a.x1, b.x1) AS x1, least(a.x2, b.x2) AS x2, a.y1 AS y1, b.y1 AS y2 FROM h a JOIN h b ON a.page_id = b.page_id AND a.y1 < b.y1
-    WHERE (abs(a.x1 - b.x1) / (a.x2 - a.x1) <= 0.02 OR b.x1 BETWEEN a.x1 AND a.x2 OR a.x1 BETWEEN b.x1 AND b.x2) AND (abs(a.x2 - b.x2) / (a.x2 - a.x1) <= 0.02 OR b.x2 BETWEEN a.x1 AND a.x2 OR a.x2 BETWEEN b.x1 AND b.x2))"""
+#: Lines meet by page and band of x, a pair once.
+_CAND = RULED + """, h AS (SELECT *, unnest(range(x1 // 256, x2 // 256 + 1)) AS band FROM ruled_lines WHERE y1 = y2), met AS (
+    SELECT DISTINCT a.page_id, a.line_id AS la, b.line_id AS lb, a.x1 AS ax1, a.x2 AS ax2, a.y1 AS ya, b.x1 AS bx1, b.x2 AS bx2, b.y1 AS yb
+    FROM h a JOIN h b ON a.page_id = b.page_id AND a.band = b.band WHERE a.y1 < b.y1), cand AS (
+    SELECT page_id, greatest(ax1, bx1) AS x1, least(ax2, bx2) AS x2, ya AS y1, yb AS y2 FROM met
+    WHERE (abs(ax1 - bx1) / (ax2 - ax1) <= 0.02 OR bx1 BETWEEN ax1 AND ax2 OR ax1 BETWEEN bx1 AND bx2) AND (abs(ax2 - bx2) / (ax2 - ax1) <= 0.02 OR bx2 BETWEEN ax1 AND ax2 OR ax2 BETWEEN bx1 AND bx2))"""
 _NEAR = _CAND + """, up AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY page_id, x1, x2, y1 ORDER BY y2) = 1),
 near AS (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY page_id, x1, x2, y2 ORDER BY y1 DESC) = 1)"""
 _DIV = _NEAR + """, div AS (SELECT c.page_id, c.x1, c.x2, c.y1, c.y2, v.x1 AS x FROM near c JOIN ruled_lines v ON c.page_id = v.page_id AND v.x1 = v.x2
@@ -84,13 +87,16 @@ def _jon02(spark, sf_dir):
     return J.match_cells_to_block(cells, D.grid_blocks(spark, sf_dir)).select("page_id", "cell_id", "content")
 
 
-_JON02 = BOTH + f""", p AS (SELECT c.page_id, c.cell_id, k.text, k.block_id, {_iou_sql(30)} AS iou FROM grid_cells c JOIN grid_blocks k ON k.page_id = c.page_id),
+_JON02 = BOTH + f""", p AS (SELECT c.page_id, c.cell_id, k.text, k.block_id, {_iou_sql(30)} AS iou FROM grid_cells c JOIN grid_blocks k ON k.page_id = c.page_id AND k.t // 30 = c.y1 // 30),
 b AS (SELECT page_id, cell_id, text FROM p WHERE iou > 0.1 QUALIFY row_number() OVER (PARTITION BY page_id, cell_id ORDER BY iou DESC, block_id) = 1)
 SELECT c.page_id, c.cell_id, coalesce(b.text, '') AS content FROM grid_cells c LEFT JOIN b USING (page_id, cell_id)"""
 
-_JON05 = """, pairs AS (SELECT a.page_id, a.cell_id AS a, b.cell_id AS b FROM {t} a JOIN {t} b ON a.page_id = b.page_id AND a.cell_id < b.cell_id WHERE
+#: Cells of one table are 30 high, so neighbours are in one row or in the next.
+_JON05 = """, near AS (SELECT *, y1 // 30 AS y, unnest([y1 // 30 - 1, y1 // 30, y1 // 30 + 1]) AS at FROM {t}),
+own AS (SELECT *, y1 // 30 AS y FROM {t}),
+pairs AS (SELECT a.page_id, a.cell_id AS a, b.cell_id AS b FROM near a JOIN own b ON a.page_id = b.page_id AND a.at = b.y WHERE a.cell_id < b.cell_id AND (
     (least(a.y2, b.y2) - greatest(a.y1, b.y1) > 5 AND least(abs(a.x1 - b.x1), abs(a.x1 - b.x2), abs(a.x2 - b.x1), abs(a.x2 - b.x2)) <= least(5.0, 0.05 * least(a.x2 - a.x1, b.x2 - b.x1)))
-    OR (least(a.x2, b.x2) - greatest(a.x1, b.x1) > 5 AND least(abs(a.y1 - b.y1), abs(a.y1 - b.y2), abs(a.y2 - b.y1), abs(a.y2 - b.y2)) <= least(5.0, 0.05 * least(a.y2 - a.y1, b.y2 - b.y1))))"""
+    OR (least(a.x2, b.x2) - greatest(a.x1, b.x1) > 5 AND least(abs(a.y1 - b.y1), abs(a.y1 - b.y2), abs(a.y2 - b.y1), abs(a.y2 - b.y2)) <= least(5.0, 0.05 * least(a.y2 - a.y1, b.y2 - b.y1)))))"""
 
 
 def _jon06(spark, sf_dir):
