@@ -78,8 +78,8 @@ TEXTS = (
 FIELDS = (
     ("\\bthis (library|software|file|package|module) is (free software|distributed in the hope)", "this program is $2"),
     ("conditions are met [0-9a]$", "conditions are met"),
-    ("neither the names? of .{1,120}? nor the names of (its|their|any|the) contributors", "neither the name of the copyright holder nor the names of its contributors"),
-    ("this software is provided by .{1,120}? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
+    ("^neither the names? of .+? nor the names of (its|their|any|the) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    ("^this software is provided by .+? as is and any express", "this software is provided by the copyright holders and contributors as is and any express"),
 )
 
 

@@ -223,6 +223,16 @@ def test_published_licences_in_every_dress(spark):
     assert spark.createDataFrame([("Hello. You may do, as you like!",)], "t string").select(licences.identifiers(F.col("t"), own)).first()[0] == ["Free"]
 
 
+def test_licence_of_a_holder_with_a_long_name(spark):
+    name = "The Regents " + "of the Very Long University " * 12 + "and its Friends"
+    flat = " ".join(PUBLISHED["BSD-3-Clause"].split())
+    text = re.sub("(?<=SOFTWARE IS PROVIDED BY ).*?(?= .AS IS)", name, re.sub("(?<=Neither the name of ).*?(?= nor the names)", name, flat))
+    assert text.count(name) == 2
+    long = "neither the name of x " * 20_000  # a sentence that never comes to its end
+    got = licences.scan_licences(documents(spark, [(1, text, "en", "a"), (2, long, "en", "a")])).collect()
+    assert {r.doc_id: r.licences for r in got} == {1: "BSD-3-Clause", 2: ""}
+
+
 # ---- 3 ----
 
 
