@@ -2,7 +2,8 @@
 
 Every version of every path is addressed by the SHA-256 of its text. A ledger table holds one row for each blob and rule
 version that was scanned, with what was found. A run scans only blobs that the ledger doesn't have under the present
-rule version, one copy of each, appends what it finds, and joins the ledger back to all paths and versions.
+rule version, for each the rows of one path (rows equal in path and text are scanned as often as they occur), appends what it finds, and
+joins the ledger back to all paths and versions.
 """
 
 from __future__ import annotations
