@@ -69,7 +69,7 @@ def in_lines(blocks: Column) -> Column:
     return let(sided, lambda own: let(_assigned(own), lambda lines: ordered(own, lines)))
 
 
-def _with_ends(placed: Column, end: Callable[[Column, Column], Column]) -> Column:
+def with_ends(placed: Column, end: Callable[[Column, Column], Column]) -> Column:
     """What layouts give, from blocks in lines; `end` takes a block and the next one, or null."""
 
     def row(x: Column, y: Column) -> Column:
@@ -78,7 +78,7 @@ def _with_ends(placed: Column, end: Callable[[Column, Column], Column]) -> Colum
     return let(placed, lambda p: F.transform(p, lambda x, i: let(F.get(p, i + 1), lambda y: row(x, y))))
 
 
-def _in_line_end(x: Column, y: Column) -> Column:
+def in_line_end(x: Column, y: Column) -> Column:
     """A space after a wide gap, else by the characters. The height takes the next block's left edge for its top, as it always has."""
     height = (x["b"] + y["b"] - x["t"] - y["l"]) / 2
     return F.when(y["l"] - x["r"] > height * 1.5, F.lit(" ")).otherwise(text_separator(x["text"], y["text"]))
@@ -86,13 +86,13 @@ def _in_line_end(x: Column, y: Column) -> Column:
 
 def single_line(blocks: Column) -> Column:
     """Lines that end in line breaks."""
-    return _with_ends(in_lines(blocks), lambda x, y: F.when(y.isNull() | (y["line"] != x["line"]), F.lit("\n")).otherwise(_in_line_end(x, y)))
+    return with_ends(in_lines(blocks), lambda x, y: F.when(y.isNull() | (y["line"] != x["line"]), F.lit("\n")).otherwise(in_line_end(x, y)))
 
 
 def single_none(blocks: Column) -> Column:
     """Lines joined by what their characters ask for; a line break only at the end of the page."""
-    joined = lambda x, y: F.when(y["line"] != x["line"], text_separator(x["text"], y["text"])).otherwise(_in_line_end(x, y))
-    return _with_ends(in_lines(blocks), lambda x, y: F.when(y.isNull(), F.lit("\n")).otherwise(joined(x, y)))
+    joined = lambda x, y: F.when(y["line"] != x["line"], text_separator(x["text"], y["text"])).otherwise(in_line_end(x, y))
+    return with_ends(in_lines(blocks), lambda x, y: F.when(y.isNull(), F.lit("\n")).otherwise(joined(x, y)))
 
 
 def _merged(line: Column) -> Column:

@@ -1,16 +1,15 @@
 """Page operators: rules that depend on the order within one page or one table.
 
 Each takes the page's own list and is spread over pages by Spark. `preprocess` and the columns before it stay in the
-JVM; the functions below work on small lists in Arrow batches. Those of blocks (`by_page`) give one record per block, or
-an error record for a page that fails, so that one page never stops the others; those of cells (`by_group`) take numbers
-that Spark has made and have no error records.
+JVM, as do lines, regions and paragraphs (`lines`, `regions`). The order within a region (`fine_order`) and the functions of
+cells (`by_group`) take numbers that Spark has made, in Arrow batches. `by_page` runs a rule over one page's list, with an
+error record for a page that fails: the plain second version that tests hold the columns against.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any, NamedTuple
 
@@ -131,74 +130,6 @@ def ends_in_line(line: list[Block], fix_gap_height: bool = False) -> list[str]:
     return [*ends, "\n"]
 
 
-def paragraphs(units: list[Block]) -> list[tuple[int, str]]:
-    """(index of a unit, what follows it): units are lines or blocks, taken from top to bottom; paragraphs end in line breaks.
-
-    A paragraph goes on while left and right edges stay within 1.2 heights of their running means and the spacing doesn't
-    grow by half a height. Single units are then given, from the last, to the paragraph above or below that they fit.
-    """
-    if not units:
-        return []
-    slack = 1.2
-    order = sorted(range(len(units)), key=lambda i: units[i].t)
-    first = units[order[0]]
-    left, right, height, bottom, spacing = first.l, first.r, first.h, first.b, None
-    groups, spacings, own = [], [], [order[0]]
-    for i in order[1:]:
-        u = units[i]
-        gap = u.t - bottom
-        if abs(left - u.l) <= height * slack and abs(right - u.r) <= height * slack and (spacing is None or gap < spacing + height / 2):
-            left, right, height = (left + u.l) / 2, (right + u.r) / 2, (height + u.h) / 2
-            spacing = gap if spacing is None else (spacing + gap) / 2
-            own.append(i)
-        else:
-            groups.append(own)
-            spacings.append(spacing)
-            left, right, height, spacing, own = u.l, u.r, u.h, None, [i]
-        bottom = u.b
-    groups.append(own)
-    spacings.append(spacing)
-
-    for k in range(len(groups) - 1, -1, -1):
-        if len(groups[k]) != 1:
-            continue
-        u, up, down = units[groups[k][0]], None, None
-        if k > 0:
-            v = units[groups[k - 1][-1]]
-            fits = abs(v.l - u.l) <= v.h * slack and u.r <= v.r + v.h * slack
-            far = spacings[k - 1] is not None and u.t - v.b > spacings[k - 1] + v.h / 2
-            up = v if fits and not far else None
-        if k + 1 < len(groups):
-            v = units[groups[k + 1][0]]
-            starts = v.l - v.h * slack <= u.l <= v.l + v.h * (1 + slack)
-            reaches = abs(v.r - u.r) <= v.h * slack if len(groups[k + 1]) > 1 else v.r - v.h * slack < u.r
-            far = spacings[k + 1] is not None and v.t - u.b > spacings[k + 1] + v.h / 2
-            down = v if starts and reaches and not far else None
-        if up and (not down or u.t - up.b < down.t - u.b):
-            groups[k - 1].append(groups[k][0])
-        elif down:
-            groups[k + 1].insert(0, groups[k][0])
-        if up or down:
-            del groups[k], spacings[k]
-    out = []
-    for own in groups:
-        out += [(i, separator_of(units[i].text, units[j].text)) for i, j in zip(own, own[1:], strict=False)]
-        out.append((own[-1], "\n"))
-    return out
-
-
-def line_units(lines: list[list[Block]]) -> list[Block]:
-    """One unit per line. Its right and bottom edges are the larger of its top and those of its last block, as they always have been."""
-    out = []
-    for line in lines:
-        top, right, bottom = line[0].t, line[0].r, line[0].b
-        for b in line[1:]:
-            top = min(top, b.t)
-            right, bottom = max(top, b.r), max(top, b.b)
-        out.append(Block(line[0].l, top, right, bottom, line[0].text[:1] + line[-1].text[-1:]))
-    return out
-
-
 # ---- code ----
 
 
@@ -239,126 +170,6 @@ def indent_lines(lines: list[Block]) -> list[Block]:
     return out
 
 
-# ---- regions of several columns ----
-
-
-@dataclass
-class Region:
-    """A column of a page: from x `left` to `right`, and from row `top` to `bottom`."""
-
-    left: float
-    right: float
-    top: int
-    bottom: int
-    blocks: list[Block] = field(default_factory=list)
-    inner: list[Region] = field(default_factory=list)
-
-
-def bands(blocks: list[Block]) -> list[list[Block]]:
-    """Rows of a page: all blocks that begin no lower than the bottom of the row's first block, from left to right."""
-    rows: list[list[Block]] = []
-    limit = 0.0
-    for b in sorted(blocks, key=lambda b: b.t):
-        if rows and b.t <= limit:
-            rows[-1].append(b)
-        else:
-            rows.append([b])
-            limit = b.b
-    return [sorted(row, key=lambda b: (b.l, b.r)) for row in rows]
-
-
-def free_stretches(row: list[Block], left: float, right: float) -> list[tuple[float, float]]:
-    """The parts of `left` to `right` that no block of the row covers; the last one always, even if it is empty."""
-    out, at = [], left
-    for b in row:
-        if b.l > at:
-            out.append((at, b.l))
-        at = max(at, b.r)
-    return [*out, (at, right)]
-
-
-def column_cuts(rows: list[list[Block]]) -> list[list[tuple[float, float]]]:
-    """For each row the cuts that run through it, from left to right.
-
-    A cut is a free stretch that is carried from row to row, narrowed to what they share; it has its last, narrowest
-    extent in all its rows.
-    """
-    left, right = min(b.l for row in rows for b in row) - 1, max(b.r for row in rows for b in row) + 1
-    carried: list[tuple[float, float, int]] = []
-    done: list[tuple[float, float, int, int]] = []
-    for i, row in enumerate(rows):
-        free = free_stretches(row, left, right)
-        shared, met_old, met_new = [], set(), set()
-        for a, (lo, hi, start) in enumerate(carried):
-            for c, (x, y) in enumerate(free):
-                if max(lo, x) <= min(hi, y):
-                    shared.append((max(lo, x), min(hi, y), start))
-                    met_old.add(a)
-                    met_new.add(c)
-        done += [(lo, hi, start, i - 1) for a, (lo, hi, start) in enumerate(carried) if a not in met_old]
-        carried = shared + [(x, y, i) for c, (x, y) in enumerate(free) if c not in met_new]
-    done += [(lo, hi, start, len(rows) - 1) for lo, hi, start in carried]
-    done.sort(key=lambda c: c[0])
-    return [[(lo, hi) for lo, hi, a, b in done if a <= i <= b] for i in range(len(rows))]
-
-
-def regions(blocks: list[Block]) -> list[list[Block]]:
-    """The blocks in columns, in reading order of the columns.
-
-    A column runs down while cuts go on along both its sides and none begins inside it. It hangs below the lowest, then
-    rightmost, column above its right edge; columns are read before those below them, and those from left to right.
-    """
-    if not blocks:
-        return []
-    rows = bands(blocks)
-    cuts = column_cuts(rows)
-    ends = [c for row in cuts for c in row]
-    last = max(ends, key=lambda c: c[0])
-    root = Region(min(c[0] for c in ends) - 1, last[1] + 1, -1, -1)
-    closed, running = [root], []
-
-    def close(region: Region) -> None:
-        edge = region.right - 2
-        above = [c for c in closed if c.left <= edge <= c.right + 1e-4 and c.bottom < region.top]
-        lowest = max((c.bottom for c in above), default=-1)
-        parent = max((c for c in above if c.bottom == lowest), key=lambda c: c.right, default=root)
-        parent.inner.append(region)
-        closed.append(region)
-
-    for i, (row, gaps) in enumerate(zip(rows, cuts, strict=True)):
-        still = []
-        for region in running:
-            sided = any(g[1] == region.left for g in gaps) and any(g[0] == region.right for g in gaps)
-            cut = any(region.left < x < region.right for g in gaps for x in g)
-            if sided and not cut:
-                region.bottom = i
-                still.append(region)
-            else:
-                close(region)
-        running = still
-        g = 0
-        for b in row:
-            while g + 2 < len(gaps) and b.l + 1e-4 > gaps[g + 1][0]:
-                g += 1
-            side = gaps[g][1], gaps[min(g + 1, len(gaps) - 1)][0]
-            for region in running:
-                if (region.left, region.right) == side:
-                    region.blocks.append(b)
-                    break
-            else:
-                running.append(Region(*side, i, i, [b]))
-    for region in running:
-        close(region)
-
-    out, stack = [], [root]
-    while stack:
-        region = stack.pop()
-        if region.blocks:
-            out.append(sorted(region.blocks, key=lambda b: b.t))
-        stack += sorted(region.inner, key=lambda c: c.left)[::-1]
-    return out
-
-
 # ---- order within a region ----
 
 #: The linking rounds, as (below or right, gap, alignment). A gap of 0 is replaced by a tenth of the font
@@ -439,18 +250,17 @@ def aligned(a0, a1, b0, b1) -> np.ndarray:
     return (np.minimum(a1, b1) - np.maximum(a0, b0)) / np.maximum(np.maximum(a1 - a0, b1 - b0), 0.01)
 
 
-def fine_sort(region: list[Block]) -> list[Block]:
+def reading_order(boxes: Rect, size: np.ndarray) -> list[int]:
     """A region's blocks in reading order: chained below and to the right in seven rounds, then chain after chain by position.
 
-    A link isn't made if its chain then shuts a free block in: between above and left, above and right, or left and
-    below of it. Each chain keeps, for all blocks, on which of its sides they lie, so a link costs one pass over the region.
+    `size` is the length of each block's text in bytes. A link isn't made if its chain then shuts a free block in: between
+    above and left, above and right, or left and below of it. Each chain keeps, for all blocks, on which of its sides they
+    lie, so a link costs one pass over the region.
     """
-    n = len(region)
+    n = len(size)
     if n < 2:
-        return list(region)
-    boxes = Rect(*(np.array([getattr(b, c) for b in region], float) for c in "ltrb"))
+        return list(range(n))
     high, wide = boxes.bottom - boxes.top, boxes.right - boxes.left
-    size = np.array([len(b.text.encode()) for b in region])
     written = (wide > 0) & (size > 0)
     usual = {"below": 0.1 * (high[high > 0].mean() if (high > 0).any() else 0.15), "right": 10 * ((wide[written] / size[written]).mean() if written.any() else 0.1)}
     chains, start = Chains(boxes), earliest(boxes, np.arange(n))
@@ -472,13 +282,39 @@ def fine_sort(region: list[Block]) -> list[Block]:
         order.append(at)
         waiting[at] = False
         if not waiting.any():
-            return [region[i] for i in order]
+            return order
         at = chains.after.get(at, -1)
         if at < 0 or not waiting[at]:
             heads = np.flatnonzero(waiting & chains.free)
             at = earliest(boxes, heads if len(heads) else np.flatnonzero(waiting))
 
 
+def fine_sort(region: list[Block]) -> list[Block]:
+    """`reading_order` of a list of blocks."""
+    boxes = Rect(*(np.array([getattr(b, c) for b in region], float) for c in "ltrb"))
+    return [region[i] for i in reading_order(boxes, np.array([len(b.text.encode()) for b in region]))]
+
+
+def _region_orders(region: pa.Array, left: pa.Array, top: pa.Array, right: pa.Array, bottom: pa.Array, size: pa.Array) -> pa.Array:
+    out: list[list[int] | None] = []
+    for page in zip(*(side.to_pylist() for side in (region, left, top, right, bottom, size)), strict=True):
+        if not page[0]:
+            out.append(page[0])
+            continue
+        numbers, *sides, sizes = (np.array(side) for side in page)
+        starts = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+        order: list[int] = []
+        for a, b in zip(starts, [*starts[1:], len(numbers)], strict=True):
+            order += [int(a) + i for i in reading_order(Rect(*(side[a:b].astype(float) for side in sides)), sizes[a:b])]
+        out.append(order)
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def fine_order(blocks: Column) -> Column:
+    """The places of a page's blocks (region, l, t, r, b, text), region after region, each in reading order; null for null. Only numbers reach Python."""
+    return F.arrow_udf(_region_orders, "array<int>")(blocks["region"], *[blocks[c] for c in "ltrb"], F.transform(blocks, lambda b: F.octet_length(b["text"])))
+
+
 # ---- vertical text ----
 
 

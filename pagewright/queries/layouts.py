@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.operators import pages as P
-from pagewright.plans.layout import layout
+from pagewright.operators.regions import in_regions, one_region
+from pagewright.plans.layout import layout, multi_line, placed_rows, read_regions
 from pagewright.queries import Query
 from pagewright.queries.scalars import PB, text_separator_sql
 from pagewright.sources import derived as D
@@ -81,13 +82,15 @@ def _para(strategy: str):
 def _regions(spark, sf_dir):
     """The columns of each page and their blocks, before their order within columns."""
     ready = P.page_lists(P.preprocess(D.page_blocks(spark, sf_dir)))
-    return P.by_page(ready, lambda blocks: [(b, k, "\n") for k, region in enumerate(P.regions(blocks)) for b in region]).select("doc_id", "page", "seq", "region_id", "block_id", "code")
+    rows = placed_rows(ready.withColumn("laid", multi_line(in_regions(F.col("blocks")))))
+    return rows.select("doc_id", "page", "seq", "region_id", "block_id", "code")
 
 
 def _fine(spark, sf_dir):
     """Every page taken as one region."""
     ready = P.page_lists(P.preprocess(D.page_blocks(spark, sf_dir)))
-    return P.by_page(ready, lambda blocks: [(b, 0, "\n") for b in P.fine_sort(blocks)]).select("doc_id", "page", "seq", "block_id", "code")
+    rows = placed_rows(read_regions(ready, one_region).withColumn("laid", multi_line(F.col("read"))))
+    return rows.select("doc_id", "page", "seq", "block_id", "code")
 
 
 QUERIES = {

@@ -3,19 +3,16 @@ tokens come in parts is kept until it is whole."""
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.functions.geometry import UPRIGHT_DEG, aabb, block_angle, rotate_box, rotate_box_ccw90
-from pagewright.operators import pages as P
 from pagewright.operators.lines import unplaced
-from pagewright.plans.layout import IN_COLUMNS, STRATEGIES
+from pagewright.plans.layout import laid_out
 from pagewright.sources.records import PAGE_RECORD
 from pagewright.sources.shared import intermediate, remove
 
@@ -55,43 +52,16 @@ def layout_records(pages: DataFrame, strategy: str) -> DataFrame:
         turned = F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), b["block_id"].alias("block_id"), b["score"].alias("score"), rotate_box_ccw90(b["box"], F.col("cx"), F.col("cy")).alias("box")))
         rows = _upright(rows.withColumns(half).withColumn("own", turned))
     rows = rows.select("doc_id", "page", "code", "msg", "bad", "blocks")
-    return _records_in_columns(rows, strategy) if strategy in IN_COLUMNS else _records(rows, strategy)
-
-
-def _records_in_columns(rows: DataFrame, strategy: str) -> DataFrame:
     none = F.array().cast(rows.schema["blocks"].dataType)
     told, lost = F.col("bad") | (F.col("code") != 0), unplaced(F.col("blocks"))
     rows = rows.select("doc_id", "page", F.when(told, F.coalesce("msg", F.lit("failed page"))).when(lost, "a block has no place").alias("msg"), F.coalesce("blocks", none).alias("blocks"))
-    rows = rows.withColumn("laid", F.when(F.col("msg").isNull(), IN_COLUMNS[strategy](F.col("blocks"))))
+    rows = laid_out(rows.withColumn("blocks", F.when(F.col("msg").isNull(), F.col("blocks"))), strategy)
     text = F.array_join(F.transform("laid", lambda x: F.concat(x["text"], x["end"])), "")
     count = F.when(F.col("laid").isNotNull(), F.size("laid"))
     said = F.struct("doc_id", "page", F.col("msg").isNotNull().cast("int").alias("code"), text.alias("text"), count.alias("blockCount"), "msg")
     return rows.select("doc_id", "page", F.to_json(said).alias("record"))
 
 
-def _records(rows: DataFrame, strategy: str) -> DataFrame:
-    rule: Callable = STRATEGIES[strategy]
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                own = {"doc_id": row["doc_id"], "page": row["page"]}
-                try:
-                    if row["bad"] or row["code"]:
-                        raise ValueError(row["msg"] or "failed page")
-                    blocks = [P.Block(x["l"], x["t"], x["r"], x["b"], x["text"], x["block_id"], x["score"], tuple(x["box"])) for x in row["blocks"] or []]
-                    laid = rule(blocks)
-                    record = own | {"code": 0, "text": "".join(b.text + end for b, _, end in laid), "blockCount": len(laid)}
-                except (ValueError, ArithmeticError, LookupError, TypeError) as e:
-                    record = own | {"code": 1, "msg": str(e)}
-                out.append((row["doc_id"], row["page"], json.dumps(record, ensure_ascii=False)))
-            columns = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.string())], ["doc_id", "page", "record"])
-
-    return rows.mapInArrow(run, "doc_id long, page int, record string")
-
-
 def stream_layout(spark: SparkSession, path_in: str, path_out: str, strategy: str, checkpoint: str) -> StreamingQuery:
     """Page records in, one result or error record per page out, as text files; takes what is there and ends."""
     pages = spark.readStream.schema(PAGE_RECORD).option("columnNameOfCorruptRecord", "_corrupt_record").json(path_in)

@@ -24,7 +24,7 @@ def pages(seed):
     return rows
 
 
-@pytest.mark.parametrize("strategy", sorted(L.IN_COLUMNS))
+@pytest.mark.parametrize("strategy", sorted(L.STRATEGIES))
 def test_columns_give_what_lists_give(spark, strategy):
     blocks = spark.createDataFrame(pages(3), BLOCKS)
     ready = P.preprocess(blocks)
@@ -45,7 +45,13 @@ def test_no_python_in_the_plan_and_one_exchange(spark, strategy):
     assert plan.count("Exchange") == 1
 
 
-@pytest.mark.parametrize("strategy", sorted(set(L.IN_COLUMNS) - {"single_vertical"}))
+@pytest.mark.parametrize("strategy", sorted(L.IN_REGIONS))
+def test_columns_of_text_take_one_exchange_and_hand_numbers_to_python(spark, strategy):
+    plan = L.layout(spark.createDataFrame(pages(4), BLOCKS), strategy)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("ArrowEvalPython") == 1 and "InArrow" not in plan
+
+
+@pytest.mark.parametrize("strategy", sorted({*L.IN_COLUMNS, *L.IN_REGIONS} - {"single_vertical"}))
 def test_page_without_a_place_is_one_error_and_empty_tables_stay_empty(spark, strategy):
     rows = [r for r in pages(5) if r[1] in (0, 3)] + [(1, 9, 0, "x", 0.5, None, 0, 0.0, "\n"), (1, 9, 1, "y", 0.5, [0, 0, 9, 0, 9, 9, 0, 9], 0, 0.0, "\n")]
     out = L.layout(spark.createDataFrame(rows, BLOCKS), strategy)
