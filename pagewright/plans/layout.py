@@ -113,7 +113,7 @@ def laid_out(pages: DataFrame, strategy: str) -> DataFrame:
     if strategy in IN_COLUMNS:
         return pages.withColumn("laid", F.when(F.col("blocks").isNotNull() & ~unplaced(F.col("blocks")), IN_COLUMNS[strategy](F.col("blocks"))))
     rows = read_regions(pages)
-    return rows.withColumn("laid", IN_REGIONS[strategy](F.col("read"))).drop("read")
+    return rows.withColumn("laid", let(F.col("read"), IN_REGIONS[strategy])).drop("read")
 
 
 def placed_rows(pages: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagewright.operators import pages as P
+from pagewright.operators.lines import let
 from pagewright.operators.regions import in_regions, one_region
 from pagewright.plans.layout import layout, multi_line, placed_rows, read_regions
 from pagewright.queries import Query
@@ -82,14 +83,14 @@ def _para(strategy: str):
 def _regions(spark, sf_dir):
     """The columns of each page and their blocks, before their order within columns."""
     ready = P.page_lists(P.preprocess(D.page_blocks(spark, sf_dir)))
-    rows = placed_rows(ready.withColumn("laid", multi_line(in_regions(F.col("blocks")))))
+    rows = placed_rows(ready.withColumn("laid", let(in_regions(F.col("blocks")), multi_line)))
     return rows.select("doc_id", "page", "seq", "region_id", "block_id", "code")
 
 
 def _fine(spark, sf_dir):
     """Every page taken as one region."""
     ready = P.page_lists(P.preprocess(D.page_blocks(spark, sf_dir)))
-    rows = placed_rows(read_regions(ready, one_region).withColumn("laid", multi_line(F.col("read"))))
+    rows = placed_rows(read_regions(ready, one_region).withColumn("laid", let(F.col("read"), multi_line)))
     return rows.select("doc_id", "page", "seq", "block_id", "code")
 
 
