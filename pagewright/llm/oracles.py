@@ -95,9 +95,14 @@ FROM placed LEFT JOIN sums USING (text)
 
 def urls_sql() -> str:
     """With the whole closure over alias edges; components are closed by repeated steps to the smallest node."""
-    edges = []
-    for pattern in [*urls.CANONICAL, *urls.REFRESH]:
-        edges.append(f"SELECT url, regexp_extract(replace(html, '&amp;', '&'), '{pattern.replace(chr(39), chr(39) * 2)}', 1) AS target FROM pages")
+    value = """\\s*=\\s*("[^"]*"|'[^']*'|[^\\s"'>][^\\s>]*)"""
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    inner = quoted(r"""(?s)^["'](.*)["']$""")
+    attr = lambda name: f"regexp_replace(regexp_extract(tag, {quoted(f'(?is)[\\s/]{name}{value}')}, 1), {inner}, '\\1')"
+    hidden = quoted(r"(?is)<!--.*?(?:-->|\z)|<script\b.*?</script|<style\b.*?</style|<title\b.*?</title|<textarea\b.*?</textarea")
+    whole_tag = quoted(r"""(?is)<(?:link|meta|base)[\s/](?:[^"'>]|"[^"]*"|'[^']*')*>""")
+    after = quoted(r"(?is)^\s*[0-9.]+\s*[;,\s]\s*(?:url\s*=\s*)?[\"']?([^\"']*)")
+    plain = lambda c: f"replace(replace(replace({c}, '&#38;', '&'), '&#x26;', '&'), '&amp;', '&')"
     when = []
     for r in sorted(urls.RULES, key=lambda r: (-len(r.name), -len(r.host))):
         when.append(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.verdict} {r.name}'")
@@ -106,11 +111,19 @@ def urls_sql() -> str:
     head = "regexp_extract({0}, '(?s)^([^#]*?://[^/?#]*)', 1)"
     node = f"translate({head}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || substr(regexp_extract({{0}}, '(?s)^([^#]*)', 1), length({head}) + 1)"
     return f"""
-WITH RECURSIVE named AS (SELECT * FROM ({" UNION ALL ".join(edges)}) WHERE target <> '' AND url IS NOT NULL),
+WITH RECURSIVE tags AS (
+    SELECT page_id, url, unnest(t) AS tag, generate_subscripts(t, 1) AS i
+    FROM (SELECT page_id, url, regexp_extract_all(regexp_replace(html, {hidden}, ' ', 'g'), {whole_tag}) AS t FROM pages WHERE url IS NOT NULL)),
+attributes AS (SELECT page_id, url, i, lower(tag[2:5]) AS kind, lower({attr("rel")}) AS rel, {plain(attr("href"))} AS href, lower({attr("http-equiv")}) AS equiv, {plain(attr("content"))} AS content FROM tags),
+bases AS (SELECT page_id, arg_min(href, i) AS base FROM attributes WHERE kind = 'base' AND href <> '' GROUP BY 1),
+named AS (
+    SELECT coalesce(base, url) AS base, url, CASE WHEN kind = 'link' AND list_contains(regexp_split_to_array(rel, '\\s+'), 'canonical') THEN href
+        WHEN kind = 'meta' AND equiv = 'refresh' THEN regexp_extract(content, {after}, 1) END AS target
+    FROM attributes LEFT JOIN bases USING (page_id)),
 whole AS (
     SELECT url, CASE WHEN contains(target, '://') THEN target
-        WHEN starts_with(target, '//') AND contains(url, ':/') THEN regexp_extract(url, '(?s)^(.*?):/', 1) || ':' || target
-        WHEN starts_with(target, '/') AND contains(url, '://') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || target END AS target FROM named),
+        WHEN starts_with(target, '//') AND contains(base, ':/') THEN regexp_extract(base, '(?s)^(.*?):/', 1) || ':' || target
+        WHEN starts_with(target, '/') AND contains(base, '://') THEN regexp_extract(base, '(?s)^(.*?://[^/?#]*)', 1) || target END AS target FROM named WHERE target <> ''),
 edges AS (SELECT {node.format("url")} AS a, {node.format("target")} AS b FROM whole WHERE target IS NOT NULL),
 sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 reach(a, b) AS (SELECT a, a FROM sides UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a),

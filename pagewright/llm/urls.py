@@ -37,21 +37,16 @@ RULES = (
     Rule("block", "com", "/de/"),
 )
 
-#: Where a page names another address of itself. Attributes may come in either order and any quotes.
-_QUOTED = r"""["']?([^"'\s>]+)"""
-CANONICAL = [
-    rf"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*\bhref\s*=\s*{_QUOTED}""",
-    rf"""(?is)<link\b[^>]*\bhref\s*=\s*{_QUOTED}[^>]*\brel\s*=\s*["']?canonical\b""",
-]
-REFRESH = [r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*\burl\s*=\s*["']?([^"'\s>]+)"""]
-
-
-#: The same redirect with its content first. Apart, as the given SQL is made of the patterns above.
-REFRESH_FIRST = [
-    r"""(?is)<meta\b[^>]*\bcontent\s*=\s*"[^">]*?\burl\s*=\s*'?([^"'\s>]+)[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
-    r"""(?is)<meta\b[^>]*\bcontent\s*=\s*'[^'>]*?\burl\s*=\s*"?([^"'\s>]+)[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
-    r"""(?is)<meta\b[^>]*\bcontent\s*=\s*[^"'\s>]*?\burl\s*=\s*([^"'\s>]+)[^>]*\bhttp-equiv\s*=\s*["']?refresh\b""",
-]
+#: What isn't markup: comments (an open one runs to the end) and what elements of raw text hold.
+_NO_MARKUP = r"(?is)<!--.*?(?:-->|\z)|<(script|style|title|textarea)\b.*?</\1"
+#: A name with its value, quoted up to the same quote or bare up to a blank.
+_ATTRIBUTE = r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+"""
+#: A tag up to its end, `>` inside quotes not being one, or to the text's end, so that no text is searched twice; the latter is none.
+_TAG = rf"(?i)<(?:link|meta|base)(?=[\s/>])(?:[\s/=]++|{_ATTRIBUTE})*+(?:>|\z)"
+#: What a refresh names: after its seconds and a separator, with or without `url=`.
+_REFRESH = r"(?is)^\s*+[0-9.][0-9.]*+(?=[;,\s])\s*+[;,]?+\s*+(?:url\s*+=\s*+)?+(.*)$"
+#: The named references that a URL may hold.
+_REFERENCES = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "apos;": "'"}
 
 
 def lower_ascii(c: Column) -> Column:
@@ -121,13 +116,84 @@ def without_dots(path: Column) -> Column:
     return F.when(F.concat(F.lit("/"), path, F.lit("/")).rlike(r"/\.\.?/"), F.concat(F.lit("/"), F.array_join(done, "/"), end)).otherwise(path)
 
 
+def decoded(value: Column) -> Column:
+    """An attribute's value with its character references replaced, each once: decimal, hexadecimal and five named ones.
+
+    Numbers that stand for no character become U+FFFD, as in browsers; other references stay as they are.
+    """
+
+    def part(p: Column, i: Column) -> Column:
+        hexadecimal = F.regexp_extract(p, r"^#[xX]0*+([0-9A-Fa-f]+);?", 1)
+        decimal = F.regexp_extract(p, r"^#0*+([0-9]+);?", 1)
+        code = (
+            F.when(F.length(hexadecimal) > 6, F.lit(-1))
+            .when(hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("int"))
+            .when(F.length(decimal) > 7, F.lit(-1))
+            .otherwise(decimal.try_cast("int"))
+        )
+        known = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        number = F.lpad(F.hex(F.when(known, code).otherwise(F.lit(0xFFFD)).cast("long")), 8, "0")
+        out = F.when(F.lit(False), p)
+        for name, char in _REFERENCES.items():
+            out = out.when(p.startswith(name), F.concat(F.lit(char), F.substring(p, len(name) + 1, 1 << 30)))
+        numbered = F.concat(F.decode(F.unhex(number), "UTF-32"), F.regexp_replace(p, r"^#(?:[xX][0-9A-Fa-f]+|[0-9]+);?", ""))
+        out = out.when(code.isNotNull(), numbered)
+        return F.when(i == 0, p).otherwise(out.otherwise(F.concat(F.lit("&"), p)))
+
+    return F.when(value.contains("&"), F.array_join(F.transform(F.split(value, "&", -1), part), "")).otherwise(value)
+
+
+def _address(value: Column) -> Column:
+    """A value as an address: without blanks around and line breaks inside; other blanks are written as %20."""
+    return F.replace(F.trim(F.regexp_replace(value, r"[\t\n\r\f]", "")), F.lit(" "), F.lit("%20"))
+
+
+def _attributes(tags: Column) -> Column:
+    """Array of struct(kind, rel, href, equiv, content), one for each tag; of a repeated attribute the first counts, one that is missing is null.
+
+    In steps, as what a step has worked out is only referred to in the next one.
+    """
+    names = {"rel": "rel", "href": "href", "equiv": "http-equiv", "content": "content"}
+
+    def each(rule):
+        return lambda t: F.struct(t["kind"].alias("kind"), *[rule(t[n]).alias(n) for n in names])
+
+    def parted(tag: Column) -> Column:
+        found = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1))
+        return F.struct(F.transform(found, lower_ascii).alias("names"), F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2)).alias("values"))
+
+    def picked(t: Column) -> Column:
+        place = lambda name: F.array_position(t["names"], name).cast("int") - 1
+        return F.struct(F.substring(F.get(t["names"], F.lit(0)), 2, 4).alias("kind"), *[F.get(t["values"], place(name)).alias(n) for n, name in names.items()])
+
+    def bare(value: Column) -> Column:
+        return F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+    whole = F.filter(tags, lambda tag: tag.endswith(">"))
+    return F.transform(F.transform(F.transform(F.transform(whole, parted), picked), each(bare)), each(decoded))
+
+
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(url, target): all canonical links and redirects that the pages' HTML names, relative ones resolved against the page's URL."""
-    html = F.regexp_replace(F.col(html_col), "&amp;", "&")
-    wanted = F.col(html_col).rlike(r"(?i)canonical|http-equiv")
-    targets = F.flatten(F.array(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in [*CANONICAL, *REFRESH, *REFRESH_FIRST]]))
-    rows = pages.filter(wanted & F.col(url_col).isNotNull()).select(F.col(url_col).alias("url"), F.explode(targets).alias("target"))
-    return rows.filter("target <> ''").select("url", absolute(F.col("url"), F.col("target")).alias("target")).dropna()
+    """(url, target): all canonical links and refreshes that the pages' HTML names, resolved against its first `<base href>` or the page's URL.
+
+    Tags are read as browsers read them: comments, scripts, styles and titles hold none, quoted values end at the same quote,
+    character references are decoded, `rel` is a list of words. What doesn't lead to a host (`javascript:`, `mailto:`) is no alias.
+    """
+    rows = pages.filter(F.col(html_col).rlike(r"(?i)canonical|http-equiv") & F.col(url_col).isNotNull())
+    markup = F.regexp_replace(F.col(html_col), _NO_MARKUP, " ")
+    tags = _attributes(F.regexp_extract_all(markup, F.lit(_TAG), F.lit(0)))
+    rows = rows.select(F.col(url_col).alias("url"), tags.alias("tags"))
+    based = F.get(F.filter("tags", lambda t: (t["kind"] == "base") & t["href"].isNotNull()), F.lit(0))["href"]
+    rows = rows.select("url", F.coalesce(absolute(F.col("url"), _address(based)), "url").alias("base"), F.explode("tags").alias("tag"))
+    words = F.split(lower_ascii(F.col("tag.rel")), r"\s+")
+    refreshed = F.regexp_extract("tag.content", _REFRESH, 1)
+    for quote in "\"'":
+        refreshed = F.when(refreshed.startswith(quote), F.regexp_extract(refreshed, f"(?s)^{quote}([^{quote}]*)", 1)).otherwise(refreshed)
+    target = F.when((F.col("tag.kind") == "link") & F.array_contains(words, "canonical"), F.col("tag.href")).when(
+        (F.col("tag.kind") == "meta") & (lower_ascii(F.trim("tag.equiv")) == "refresh"), refreshed
+    )
+    rows = rows.select("url", "base", _address(target).alias("target")).filter("target <> ''")
+    return rows.select("url", absolute(F.col("base"), F.col("target")).alias("target")).filter(F.col("target").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"))
 
 
 def judge(

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pagewright.llm import chats, common, decontaminate, language, licences, mixing, neardup, neighbours, secrets, shards, urls
+from pagewright.llm import chats, common, decontaminate, language, licences, mixing, neardup, neighbours, oracles, secrets, shards, urls
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, hash long, row string, shard string, path string"
 LONG = "wort " * 30_000
@@ -619,6 +619,63 @@ def test_urls_follow_every_form_of_alias(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
 
 
+#: Pages that name an alias (block: through it), and pages that only seem to.
+FORMS = [
+    ("<link rel=\"canonical\" href=\"https://shop.com/de/o'brien\">", "https://shop.com/de/o'brien"),
+    ("<link rel='canonical' href='https://b.net/\"x\"'>", 'https://b.net/"x"'),
+    ('<link rel="canonical" href="https://b.net/?a=1&#38;b=2">', "https://b.net/?a=1&b=2"),
+    ('<link rel="canonical" href="https://b.net/?a=1&#x26;b=&amp;#38;">', "https://b.net/?a=1&b=&#38;"),
+    ('<link rel="alternate canonical" href="https://b.net/1">', "https://b.net/1"),
+    ('<LINK\ndata-x="a>b" href=https://b.net/2 rel=Canonical>', "https://b.net/2"),
+    ('<meta http-equiv="refresh" content="0; https://b.net/3">', "https://b.net/3"),
+    ("<meta content=\"5;URL='https://b.net/4'\" http-equiv=refresh>", "https://b.net/4"),
+    ('<base href="https://b.net/k/l"><link rel="canonical" href="/m">', "https://b.net/m"),
+    ('<!-- <link rel="canonical" href="https://b.net/5"> -->', None),
+    ('<!-- open <link rel="canonical" href="https://b.net/6">', None),
+    ('<script>var t = \'<link rel="canonical" href="https://b.net/7">\'</script>', None),
+    ('<link rel="canonical-x" href="https://b.net/8">', None),
+    ('<link rel="x" title=\'rel="canonical"\' href="https://b.net/9">', None),
+    ('<linker rel="canonical" href="https://b.net/10">', None),
+    ('<link rel="canonical" href="javascript:void(0)">', None),
+    ('<link rel="canonical" href="">', None),
+    ('<link rel="canonical">', None),
+    ('<link rel="canonical" href="https://b.net/11', None),
+    ('<meta http-equiv="refresh" content="30">', None),
+    ('<meta name="refresh" content="0; url=https://b.net/12"><i>http-equiv</i>', None),
+]
+
+
+def test_urls_read_tags_as_browsers_do(spark):
+    pages = [(i, f"http://a{i}.net/p", html) for i, (html, _) in enumerate(FORMS)]
+    more = [  # beyond what the SQL reads
+        ("<link rel=canonical href=https://b.net/o'b>", "https://b.net/o'b"),
+        ('<link rel=canonical href=" https://b.net/a b\n ">', "https://b.net/a%20b"),
+        ('<link rel=canonical href="https://b.net/&#228;&#x1F600;&#xD800;&#99999999;&eacute;&">', "https://b.net/\u00e4\U0001f600\ufffd\ufffd&eacute;&"),
+        ('<base target=x><base href="../k/"><base href="/n/"><link rel=canonical href=m>', "http://a24.net/k/m"),
+        ("<link " + "x='>' " * 50_000 + "rel=canonical href=https://b.net/long>", "https://b.net/long"),
+        ("<link " * 20_000 + "rel=canonical", None),
+    ]
+    pages += [(i, f"http://a{i}.net/p", html) for i, (html, _) in enumerate(more, len(pages))]
+    df = spark.createDataFrame([*pages, (99, None, FORMS[0][0])], "page_id long, url string, html string")
+    got = {r.url: r.target for r in urls.alias_edges(df).collect()}
+    want = {url: (FORMS + more)[i][1] for i, url, _ in pages if (FORMS + more)[i][1]}
+    assert got == want
+
+
+def test_urls_and_sql_agree_on_planted_aliases(spark):
+    import duckdb
+
+    pages = [(i, f"http://a{i}.net/p", html) for i, (html, _) in enumerate(FORMS)]
+    targets = [want for _, want in FORMS if want] + [f"https://b.net/{k}" for k in range(5, 13)]
+    pages += [(100 + k, target, f'<link rel="canonical" href="http://shop.com/{"de" if k % 2 else "fr"}/{k}">') for k, target in enumerate(targets)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in urls.judge(df).select("page_id", "host", "path", "rule", "verdict").collect())
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    assert got == sorted(con.sql(oracles.urls_sql()).fetchall())
+    assert {v for *_, v in got} == {"allow", "block"}
+
+
 # ---- 10 ----
 
 
