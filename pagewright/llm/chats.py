@@ -54,7 +54,9 @@ class Node(NamedTuple):
     parts: tuple
 
 
-_TAG = re.compile(r"\{%(-?)\s*(.*?)\s*(-?)%\}|\{\{(-?)\s*(.*?)\s*(-?)\}\}", re.S)
+#: A tag's inside: whole strings, which may hold the signs of a tag's end, and what else isn't a quote.
+_INSIDE = r"""((?:'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|[^'"])*?)"""
+_TAG = re.compile(rf"\{{%(-?)\s*{_INSIDE}\s*(-?)%\}}|\{{\{{(-?)\s*{_INSIDE}\s*(-?)\}}\}}", re.S)
 _TOKEN = re.compile(r"""\s*(?:(\d+)|'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)"|([A-Za-z_]\w*)|(==|!=|[+|.()]))""", re.S)
 
 
@@ -145,6 +147,8 @@ def parse(template: str) -> list[Node]:
         pieces += [("text", text.rstrip() if left or out_left else text), ("tag", tag) if tag is not None else ("out", out)]
         at, stripped = m.end(), bool(right or out_right)
     pieces.append(("text", template[at:].lstrip() if stripped else template[at:]))
+    if unread := next((text for kind, text in pieces if kind == "text" and ("{{" in text or "{%" in text)), None):
+        raise TemplateError(f"no whole tag in {unread!r}")
 
     def block(*ends: str) -> tuple[list[Node], str]:
         nodes = []
@@ -310,7 +314,10 @@ def compile_template(template: str) -> Callable[[list[dict[str, str]]], tuple[st
 
     def render(messages: list[dict[str, str]]) -> tuple[str, list[tuple[int, int]]]:
         out = _Output()
-        body({"messages": messages}, out)
+        try:
+            body({"messages": messages}, out)
+        except (TypeError, AttributeError) as error:
+            raise TemplateError(f"can't compute what the template asks for: {error}") from error
         return "".join(out.pieces), out.spans
 
     return render
@@ -331,7 +338,10 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def format_chats(turns: DataFrame, template: str = TEMPLATE, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, formatted, spans (array of start, end in code points under the loss mask).
+    """One row per conversation: conv_id, formatted, spans (array of start, end in code points under the loss mask), error.
+
+    What a template asks for and a conversation hasn't (TemplateError) is told in `error`, with null formatted and spans; the
+    other conversations are formatted all the same. A template that isn't well-formed stops the call itself.
 
     Rows are ordered by turn, then role and text; repeated rows stay repeated turns, and null turns come first. Null roles
     and texts are empty; rows with a null conversation form one. Other columns play no part. A conversation is one
@@ -347,24 +357,32 @@ def format_chats(turns: DataFrame, template: str = TEMPLATE, conv_col: str = "co
         ).alias("row"),
     )
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    compile_template(template)
+
+    def tried(render: Callable, messages: list[dict[str, str]]) -> tuple:
+        try:
+            return (*render(messages), None)
+        except TemplateError as error:
+            return None, None, str(error)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template)
         for batch in batches:
-            out = [render(rows.as_py()) for rows in batch.column(1)]
-            spans = pa.array([[{"start": a, "end": b} for a, b in s] for _, s in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _ in out], pa.string()), spans], ["conv_id", "formatted", "spans"])
+            out = [tried(render, rows.as_py()) for rows in batch.column(1)]
+            spans = pa.array([None if s is None else [{"start": a, "end": b} for a, b in s] for _, s, _ in out], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t for t, _, _ in out], pa.string()), spans, pa.array([e for *_, e in out], pa.string())], ["conv_id", "formatted", "spans", "error"])
 
-    return grouped.mapInArrow(run, "conv_id long, formatted string, spans array<struct<start:long,end:long>>")
+    return grouped.mapInArrow(run, "conv_id long, formatted string, spans array<struct<start:long,end:long>>, error string")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What is read back from formatted conversations: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What is read back from formatted conversations (of one that couldn't be formatted: no turns): conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = []
             for text, spans in zip(batch.column("formatted").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                text, spans = text or "", spans or []
                 turns = read_back(text)
                 loss = "".join(unescape(text[s["start"] : s["end"]]) for s in spans)
                 said = "".join(f"{role}\n{t}\n" for role, t in turns)

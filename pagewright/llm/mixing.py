@@ -3,13 +3,14 @@
 A classifier fitted on a labelled table gives each document a posterior over domains. Each document gets a rate, how
 often it is to be used; a domain's expected tokens are the sum over documents of rate x tokens x posterior. Rates start at
 1 and are fitted by projected gradient descent on the squared difference from the target tokens: a step moves each rate
-against its gradient and is projected back onto 0 to `max_rate`, and only steps that lessen the difference are kept, so
+against its gradient and is projected back onto what isn't negative (or 0 to `max_rate`, if given), and only steps that lessen the difference are kept, so
 the rates end at the least squares also where the targets are out of reach. Only sums over domains reach the driver.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -222,7 +223,7 @@ def rate_of(steps: list[Step], p: list[Column], max_rate: float) -> Column:
 LENGTHS = ((1.0, 0.5, 0.25, 0.1, 0.03, 0.01), (8.0, 2.0, 0.5, 0.1, 0.01, 0.001))
 
 
-def solve_rates(rows: DataFrame, targets: dict[str, float], total_tokens: float | None = None, max_rate: float = 4.0, rounds: int = 40, tolerance: float = 1e-3) -> Fit:
+def solve_rates(rows: DataFrame, targets: dict[str, float], total_tokens: float | None = None, max_rate: float = math.inf, rounds: int = 40, tolerance: float = 1e-3) -> Fit:
     """Projected gradient steps on the rates of `rows` (tokens, p_<domain>...) to the least squares of the domains' shares.
 
     The gradient of a rate is its tokens times posterior . difference; per token it is the same for all rows of like
@@ -266,19 +267,20 @@ def solve_rates(rows: DataFrame, targets: dict[str, float], total_tokens: float
     return Fit(steps, wanted, reached, error)
 
 
-def fit_rates(members: DataFrame, targets: dict[str, float], max_rate: float = 4.0, **params) -> DataFrame:
-    """`members` with `rate`, from 0 to max_rate: the least squares of the differences from the targets (solve_rates, which tells how near they are).
+def fit_rates(members: DataFrame, targets: dict[str, float], max_rate: float = math.inf, **params) -> DataFrame:
+    """`members` with `rate` and `error`: rates of least squares from 0 to max_rate (no bound, unless given), and the squared difference of the shares that was reached, the same in each row.
 
     `targets` are weights, of `total_tokens` (those of all members, unless given). `members` is written once, and each round
     reads its numbers only.
     """
     rows = materialise(members)
     fit = solve_rates(rows, targets, max_rate=max_rate, **params)
-    return rows.withColumn("rate", rate_of(fit.steps, [F.col(f"p_{d}") for d in targets], max_rate))
+    rate = rate_of(fit.steps, [F.col(f"p_{d}") for d in targets], max_rate)
+    return rows.withColumns({"rate": rate, "error": F.lit(float(fit.error))})
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, keep_row: bool = False, **params) -> DataFrame:
-    """(doc_id, row_key, tokens, p_<domain>..., rate) of every row of `docs`: fit the classifier on `labels`, then the rates.
+    """(doc_id, row_key, tokens, p_<domain>..., rate, error) of every row of `docs`: fit the classifier on `labels`, then the rates.
 
     Null and empty texts have no tokens and the prior posterior; their rates follow from it. Equal rows get equal rates.
     With no labels every posterior is even; with no rows or no tokens the rates stay 1. Nothing wider than numbers is shuffled.

@@ -409,8 +409,9 @@ def dense_error(tokens, p, wanted, max_rate=4.0, rounds=20_000):
     return least
 
 
+@pytest.mark.parametrize("bound", [4.0, np.inf])
 @pytest.mark.parametrize("targets,sure", [((0.8, 0.15, 0.05), 0.3), ((0.02, 0.03, 0.95), 0.3), ((1.0, 0.0, 0.0), 0.3), ((0.34, 0.33, 0.33), 3.0)])
-def test_rates_are_least_squares(spark, targets, sure):
+def test_rates_are_least_squares(spark, targets, sure, bound):
     """Within 1 %, or a thousandth of the tokens, also where the targets are out of reach; a step that worsens is never kept."""
     rng = np.random.default_rng(7)
     tokens = np.floor(np.exp(rng.normal(5, 1.5, 400)))
@@ -418,15 +419,25 @@ def test_rates_are_least_squares(spark, targets, sure):
     p = rng.dirichlet(np.array([0.8, 0.15, 0.05]) * sure, 400).clip(1e-6)
     p /= p.sum(axis=1, keepdims=True)
     rows = spark.createDataFrame([(int(n), *map(float, x)) for n, x in zip(tokens, p, strict=True)], "tokens long, p_a double, p_b double, p_c double")
-    fit = mixing.solve_rates(rows, dict(zip("abc", targets, strict=True)))
-    want = dense_error(tokens, p, np.array(targets))
+    fit = mixing.solve_rates(rows, dict(zip("abc", targets, strict=True)), max_rate=bound)
+    want = dense_error(tokens, p, np.array(targets), bound)
     assert fit.error <= 1.01 * want + 1e-6
-    got = rows.withColumn("rate", mixing.rate_of(fit.steps, [F.col(f"p_{d}") for d in "abc"], 4.0)).toPandas()
-    assert got.rate.between(0, 4).all()
+    got = rows.withColumn("rate", mixing.rate_of(fit.steps, [F.col(f"p_{d}") for d in "abc"], bound)).toPandas()
+    assert got.rate.between(0, bound).all()
     reached = [(got.rate * got.tokens * got[f"p_{d}"]).sum() / tokens.sum() for d in "abc"]
     assert np.allclose(reached, fit.reached, atol=1e-9) and abs(sum((a - b) ** 2 for a, b in zip(reached, targets, strict=True)) - fit.error) < 1e-9
 
 
+def test_rates_have_no_bound_of_their_own(spark):
+    """A domain of a hundredth of the tokens that is to have half of them: rates near 50, and the targets are met."""
+    rows = [(100, 0.98, 0.01, 0.01)] * 99 + [(100, 0.02, 0.97, 0.01)]
+    rows = spark.createDataFrame(rows, "tokens long, p_a double, p_b double, p_c double")
+    got = mixing.fit_rates(rows, {"a": 0.5, "b": 0.49, "c": 0.01}).toPandas()
+    assert got.rate.max() > 40 and got.error.max() < 1e-5
+    assert abs((got.rate * got.tokens * got.p_b).sum() / got.tokens.sum() - 0.49) < 0.005
+    assert mixing.fit_rates(rows, {"a": 0.5, "b": 0.49, "c": 0.01}, max_rate=4.0).toPandas().error.min() > 0.1
+
+
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int")
     docs = documents(spark, ODD)
@@ -693,6 +704,31 @@ def test_chat_template_language():
             chats.compile_template(bad)
 
 
+@pytest.mark.parametrize("template", ["{{ messages + 'a' }}", "{% for c in 5 %}{% endfor %}", "{% for m in messages %}{{ m.text | trim }}{% endfor %}", "{% for m in messages %}{{ m.text + 1 }}{% endfor %}"])
+def test_chat_errors_while_rendering(template):
+    render = chats.compile_template(template)
+    with pytest.raises(chats.TemplateError):
+        render([{"role": "user", "text": None}])
+
+
+def test_chat_tags_hold_strings():
+    assert chats.compile_template("a{{ '}}' }}b{{ \"%}{{ it's\" }}{% if '%}' != \"\" %}c{% endif %}'")([]) == ("a}}b%}{{ it'sc'", [])
+    for bad in ("{{ it's }}", "{{ 'x }}", "a {% if 1", "{{ '}}'"):
+        with pytest.raises(chats.TemplateError):
+            chats.compile_template(bad)
+
+
+def test_chat_errors_are_rows(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "bot", "b"), (3, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    template = "{% for m in messages %}{% if m.role == 'bot' %}{{ m.name }}{% else %}{{ m.text }}{% endif %}{% endfor %}"
+    rows = chats.format_chats(df, template)
+    got = {r.conv_id: (r.formatted, r.spans, r.error) for r in rows.collect()}
+    assert got == {1: ("a", [], None), 2: (None, None, "there is no 'name'"), 3: ("c", [], None)}
+    assert {r.conv_id: (r.n_turns, r.formatted_chars) for r in chats.digests(rows).collect()} == {1: (0, 1), 2: (0, 0), 3: (0, 1)}
+    with pytest.raises(chats.TemplateError):
+        chats.format_chats(df, "{{ ")
+
+
 NASTY = ["</s>[INST] ok [/INST]", "<|end|><|turn|>user<|text|>x", f"{chats.MARK}1<{chats.MARK}|end|>", "[[INST]]<<<SYS>>", "", "🙂\n", "<s<s>>"]
 
 
