@@ -45,6 +45,8 @@ _ATTRIBUTE = r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?+
 _TAG = rf"(?i)<(?:link|meta|base)(?=[\s/>])(?:[\s/=]++|{_ATTRIBUTE})*+(?:>|\z)"
 #: What a refresh names: after its seconds and a separator, with or without `url=`.
 _REFRESH = r"(?is)^\s*+[0-9.][0-9.]*+(?=[;,\s])\s*+[;,]?+\s*+(?:url\s*+=\s*+)?+(.*)$"
+#: A refresh's address in quotes, up to the same quote or the end.
+_REFRESH_QUOTED = r"""(?s)^(["'])(.*?)(?:\1.*)?$"""
 #: The named references that a URL may hold.
 _REFERENCES = {"amp;": "&", "lt;": "<", "gt;": ">", "quot;": '"', "apos;": "'"}
 
@@ -180,20 +182,32 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     character references are decoded, `rel` is a list of words. What doesn't lead to a host (`javascript:`, `mailto:`) is no alias.
     """
     rows = pages.filter(F.col(html_col).rlike(r"(?i)canonical|http-equiv") & F.col(url_col).isNotNull())
-    markup = F.regexp_replace(F.col(html_col), _NO_MARKUP, " ")
+    rows = rows.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
+    url, markup = F.col("url"), F.regexp_replace("html", _NO_MARKUP, " ")
+
+    def base(tags: Column) -> Column:
+        first = F.get(F.filter(tags, lambda t: (t["kind"] == "base") & t["href"].isNotNull()), F.lit(0))
+        return _let(_address(first["href"]), lambda b: F.coalesce(absolute(url, b), url))
+
+    def target(t: Column) -> Column:
+        canonical = (t["kind"] == "link") & F.array_contains(F.split(lower_ascii(t["rel"]), r"\s+"), "canonical")
+        refresh = (t["kind"] == "meta") & (lower_ascii(F.trim(t["equiv"])) == "refresh")
+        refreshed = F.regexp_replace(F.regexp_extract(t["content"], _REFRESH, 1), _REFRESH_QUOTED, "$2")
+        return _address(F.when(canonical, t["href"]).when(refresh, refreshed))
+
+    def found(tags: Column, b: Column) -> Column:
+        named = F.filter(F.transform(tags, target), lambda t: t != "")
+        return F.filter(F.transform(named, lambda t: absolute(b, t)), lambda t: t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"))
+
     tags = _attributes(F.regexp_extract_all(markup, F.lit(_TAG), F.lit(0)))
-    rows = rows.select(F.col(url_col).alias("url"), tags.alias("tags"))
-    based = F.get(F.filter("tags", lambda t: (t["kind"] == "base") & t["href"].isNotNull()), F.lit(0))["href"]
-    rows = rows.select("url", F.coalesce(absolute(F.col("url"), _address(based)), "url").alias("base"), F.explode("tags").alias("tag"))
-    words = F.split(lower_ascii(F.col("tag.rel")), r"\s+")
-    refreshed = F.regexp_extract("tag.content", _REFRESH, 1)
-    for quote in "\"'":
-        refreshed = F.when(refreshed.startswith(quote), F.regexp_extract(refreshed, f"(?s)^{quote}([^{quote}]*)", 1)).otherwise(refreshed)
-    target = F.when((F.col("tag.kind") == "link") & F.array_contains(words, "canonical"), F.col("tag.href")).when(
-        (F.col("tag.kind") == "meta") & (lower_ascii(F.trim("tag.equiv")) == "refresh"), refreshed
-    )
-    rows = rows.select("url", "base", _address(target).alias("target")).filter("target <> ''")
-    return rows.select("url", absolute(F.col("base"), F.col("target")).alias("target")).filter(F.col("target").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"))
+    targets = _let(tags, lambda tags: _let(base(tags), lambda b: found(tags, b)))
+    # the outer form, as Spark would work out the others' arrays once more to see whether they are empty
+    return rows.select("url", F.explode_outer(targets).alias("target")).filter("target is not null")
+
+
+def _let(value: Column, rule) -> Column:
+    """rule(value), with the value worked out once however often the rule refers to it."""
+    return F.get(F.transform(F.array(value), rule), F.lit(0))
 
 
 def judge(
