@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import connected_components, materialise
+from pagewright.operators.lines import let
 
 
 @dataclass(frozen=True)
@@ -187,7 +188,7 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 
     def base(tags: Column) -> Column:
         first = F.get(F.filter(tags, lambda t: (t["kind"] == "base") & t["href"].isNotNull()), F.lit(0))
-        return _let(_address(first["href"]), lambda b: F.coalesce(absolute(url, b), url))
+        return let(_address(first["href"]), lambda b: F.coalesce(absolute(url, b), url))
 
     def target(t: Column) -> Column:
         canonical = (t["kind"] == "link") & F.array_contains(F.split(lower_ascii(t["rel"]), r"\s+"), "canonical")
@@ -200,16 +201,11 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         return F.filter(F.transform(named, lambda t: absolute(b, t)), lambda t: t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"))
 
     tags = _attributes(F.regexp_extract_all(markup, F.lit(_TAG), F.lit(0)))
-    targets = _let(tags, lambda tags: _let(base(tags), lambda b: found(tags, b)))
+    targets = let(tags, lambda tags: let(base(tags), lambda b: found(tags, b)))
     # the outer form, as Spark would work out the others' arrays once more to see whether they are empty
     return rows.select("url", F.explode_outer(targets).alias("target")).filter("target is not null")
 
 
-def _let(value: Column, rule) -> Column:
-    """rule(value), with the value worked out once however often the rule refers to it."""
-    return F.get(F.transform(F.array(value), rule), F.lit(0))
-
-
 def judge(
     pages: DataFrame,
     redirects: DataFrame | None = None,
