@@ -72,6 +72,37 @@ TEXTS = (
     ("Licensed under CC BY-SA 4.0", "CCBYSA4"),
     ("This work is dedicated to the public domain under CC0 1.0", "CC0"),
     ("This is free and unencumbered software released into the public domain", "Unlicense"),
+    ("SPDX-License-Identifier: GPL-3.0", "GPLv3"),
+    ("SPDX-License-Identifier: LGPL-2.1-only", "LGPLv2.1"),
+    ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPLv2.1+"),
+    ("SPDX-License-Identifier: LGPL-3.0-only", "LGPLv3"),
+    ("SPDX-License-Identifier: LGPL-3.0-or-later", "LGPLv3+"),
+    ("SPDX-License-Identifier: AGPL-3.0-only", "AGPLv3"),
+    ("SPDX-License-Identifier: AGPL-3.0-or-later", "AGPLv3+"),
+    ("SPDX-License-Identifier: CC-BY-4.0", "CCBY4"),
+    ("SPDX-License-Identifier: CC-BY-SA-4.0", "CCBYSA4"),
+    ("SPDX-License-Identifier: CC-BY-NC-4.0", "CCBYNC4"),
+    ("SPDX-License-Identifier: CC0-1.0", "CC0"),
+    ("SPDX-License-Identifier: Unlicense", "Unlicense"),
+    ("SPDX-License-Identifier: BSL-1.0", "BSL1"),
+    ("SPDX-License-Identifier: Zlib", "Zlib"),
+    ("SPDX-License-Identifier: EPL-2.0", "EPLv2"),
+    ("License: MIT", "MITName"),
+    ("License: Apache-2.0", "ApacheLic2"),
+    ("License: BSD-3-Clause", "BSD3Name"),
+    ("License: MPL-2.0", "MPLv2"),
+    ("Licensed under the Apache License 2.0", "ApacheLic2"),
+    ("This project is licensed under the Apache License 2.0", "ApacheLic2"),
+    ("This project is licensed under the Apache License, Version 2.0", "ApacheLic2"),
+    ("This project is licensed under the MIT License - see the LICENSE file for details", "MITName"),
+    ("This project is licensed under the MIT License - see the LICENSE.md file for details", "MITName"),
+    ("Distributed under the Boost Software License, Version 1.0", "BSL1"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "EPLv2"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0", "EPLv2"),
+    ("Licensed under a Creative Commons Attribution 4.0 International License", "CCBY4"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "CCBY4"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "CCBYSA4"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "CCBYNC4"),
 )
 
 #: What may vary in a normalised sentence -> how it stands in the table.
@@ -140,6 +171,12 @@ RULES = (
     LicenceRule("CC-BY-4.0", ("CCBY4",)),
     LicenceRule("CC0-1.0", ("CC0",)),
     LicenceRule("Unlicense", ("Unlicense",)),
+    LicenceRule("LGPL-2.1-only", ("LGPLv2.1",)),
+    LicenceRule("LGPL-3.0-only", ("LGPLv3",)),
+    LicenceRule("AGPL-3.0-only", ("AGPLv3",)),
+    LicenceRule("BSL-1.0", ("BSL1",)),
+    LicenceRule("Zlib", ("Zlib",)),
+    LicenceRule("EPL-2.0", ("EPLv2",)),
 )
 
 #: Fixed value: words of which every sentence of TEXTS has one, so that other sentences needn't be normalised.

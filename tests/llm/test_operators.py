@@ -630,6 +630,27 @@ def test_urls_follow_every_form_of_alias(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
 
 
+def test_licences_in_tags_and_notices(spark):
+    wanted = {
+        "// SPDX-License-Identifier: LGPL-2.1-or-later\nint x;": "LGPL-2.1-or-later",
+        "# SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0-only",
+        "SPDX-License-Identifier: CC-BY-4.0": "CC-BY-4.0",
+        "SPDX-License-Identifier: Zlib": "Zlib",
+        "# Readme\n\nThis project is licensed under the Apache License 2.0.": "Apache-2.0",
+        "Intro. This project is licensed under the MIT License - see the [LICENSE.md](LICENSE.md) file for details": "",
+        "This project is licensed under the MIT License - see the LICENSE.md file for details.": "MIT",
+        "License: MIT": "MIT",
+        "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+        "This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License v2.0": "EPL-2.0",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.": "CC-BY-4.0",
+        "It is not licensed under the MIT License.": "",
+        "It is not licensed under a Creative Commons Attribution 4.0 International License.": "",
+    }
+    df = spark.createDataFrame(list(enumerate(wanted)), "doc_id long, text string")
+    got = {r.doc_id: r.licences for r in licences.scan_licences(df).collect()}
+    assert got == dict(enumerate(wanted.values()))
+
+
 #: Pages that name an alias (block: through it), and pages that only seem to.
 FORMS = [
     ("<link rel=\"canonical\" href=\"https://shop.com/de/o'brien\">", "https://shop.com/de/o'brien"),
