@@ -104,9 +104,11 @@ def pair_overlap(cells: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id
     units wide, or wider where a table would have more than `bands` of them: a cell is cut in as many pieces at most.
     """
     own = cells.select(*keys, *[F.col(c).cast("long").alias(n) for c, n in zip(("x1", "y1", "x2", "y2"), "ltrb", strict=True)]).distinct()
-    tables = own.groupBy(*keys).agg(F.greatest(F.lit(band), F.ceil((F.max("r") - F.min("l")) / bands)).alias("_wide"))
-    sums = area_by_depth(own.join(tables, list(keys)), keys, lambda depth: F.shiftright(depth * (depth - 1), 1), "overlap", F.col("_wide"))
-    return tables.select(*keys).join(sums, list(keys), "left").select(*keys, F.coalesce("overlap", F.lit(0)).alias("overlap"))
+    table = Window.partitionBy(*keys)
+    own = own.withColumn("_wide", F.greatest(F.lit(band), F.ceil((F.max("r").over(table) - F.min("l").over(table)) / bands)))
+    sums = area_by_depth(own, keys, lambda depth: F.shiftright(depth * (depth - 1), 1), "overlap", F.col("_wide"))
+    none = own.select(*keys, F.lit(0).cast("long").alias("overlap"))
+    return sums.unionByName(none).groupBy(*keys).agg(F.sum("overlap").alias("overlap"))
 
 
 def valid_tables(slots: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id")) -> DataFrame:
@@ -124,7 +126,7 @@ def valid_tables(slots: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id
         ((F.max("x2") - F.min("x1")).cast("long") * (F.max("y2") - F.min("y1"))).alias("_area"),
     )
     shape = (F.col("_rows") >= 2) & (F.col("_cols") >= 2) & (F.col("_cells") >= 4) & (F.col("_xs") <= F.col("_cols") + 1) & (F.col("_ys") <= F.col("_rows") + 1)
-    good = stats.join(pair_overlap(slots, keys), list(keys)).filter(shape & (2 * F.col("overlap") < F.expr("_area div 5")))
-    return slots.join(good.select(*keys), list(keys), "left_semi")
+    good = stats.join(pair_overlap(slots, keys).hint("merge"), list(keys)).filter(shape & (2 * F.col("overlap") < F.expr("_area div 5")))
+    return slots.join(good.select(*keys).hint("shuffle_hash"), list(keys), "left_semi")
 
 

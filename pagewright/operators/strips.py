@@ -20,7 +20,21 @@ def in_bands(rows: DataFrame, band: Column | int) -> DataFrame:
 
 
 def in_strips(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pieces (keys, _band, l, t, r, b) once for each strip of their band that they cover: (keys, _band, x, width, t, b)."""
+    """Pieces (keys, _band, l, t, r, b) once for each strip of their band that they cover: (keys, _band, x, width, t, b).
+
+    A band's edges reach its pieces by a window: where the pieces lie together by page nothing is shuffled.
+    """
+    own = [*keys, "_band"]
+    band = Window.partitionBy(*own)
+    edges = F.array_sort(F.array_union(F.collect_set("l").over(band), F.collect_set("r").over(band)))
+    strips = F.zip_with("_edges", F.slice("_edges", 2, F.greatest(F.size("_edges") - 1, F.lit(1))), lambda x, y: F.struct(x.alias("x"), (y - x).alias("width")))
+    rows = pieces.select(*own, *"ltrb").withColumn("_edges", edges)
+    covered = F.filter(strips, lambda s: (F.col("l") <= s["x"]) & (s["x"] < F.col("r")))
+    return rows.select(*own, "t", "b", F.explode(covered).alias("s")).select(*own, "s.x", "s.width", "t", "b")
+
+
+def in_met_strips(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """What `in_strips` gives, for very many keys of few pieces each: a window for every key would cost more than a join."""
     own = [*keys, "_band"]
     edges = pieces.select(*own, F.explode(F.array("l", "r")).alias("x")).distinct()
     edges = edges.withColumn("width", F.lead("x").over(Window.partitionBy(*own).orderBy("x")) - F.col("x")).filter("width is not null")
@@ -32,13 +46,17 @@ def area_by_depth(rows: DataFrame, keys: Sequence[str], weight, out: str, band:
 
     In a strip the depth is a running sum of the tops and bottoms passed; between two of them it stands still.
     """
-    strips = in_strips(in_bands(rows, band), keys)
+    return depth_in_strips(in_strips(in_bands(rows, band), keys), keys, weight, out)
+
+
+def depth_in_strips(strips: DataFrame, keys: Sequence[str], weight, out: str) -> DataFrame:
+    """`area_by_depth` of rectangles that are cut in strips."""
     strip = [*keys, "_band", "x", "width"]
     ends = F.explode(F.array(F.struct(F.col("t").alias("y"), F.lit(1).alias("step")), F.struct(F.col("b").alias("y"), F.lit(-1).alias("step")))).alias("e")
     steps = strips.select(*strip, ends).groupBy(*strip, F.col("e.y").alias("y")).agg(F.sum("e.step").alias("step"))
     order = Window.partitionBy(*strip).orderBy("y")
     steps = steps.withColumn("depth", F.sum("step").over(order)).withColumn("high", F.lead("y").over(order) - F.col("y"))
-    area = (F.col("width") * F.col("high")).cast(rows.schema["l"].dataType if rows.schema["l"].dataType.simpleString() in ("float", "double") else "long")
+    area = (F.col("width") * F.col("high")).cast(rows.schema["l"].dataType if strips.schema["x"].dataType.simpleString() in ("float", "double") else "long")
     return steps.filter("high is not null and depth > 0").groupBy(*keys).agg(F.sum(area * weight(F.col("depth"))).alias(out))
 
 
@@ -53,4 +71,4 @@ def covered_area(areas: DataFrame, covers: DataFrame, key: str, ids: Sequence[st
     low = {c: F.greatest(c, f"a_{c}").alias(c) for c in "lt"}
     high = {c: F.least(c, f"a_{c}").alias(c) for c in "rb"}
     pieces = pairs.select(*own, *low.values(), *high.values()).filter("l < r and t < b").distinct()
-    return area_by_depth(pieces, own, lambda depth: F.lit(1), out, band)
+    return depth_in_strips(in_met_strips(in_bands(pieces, band), own), own, lambda depth: F.lit(1), out)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+from pagewright.operators import filters as FL
+from pagewright.queries import all_queries
 from pagewright.sources import derived as D
 
 SF = "/root/testdata/sf0.001"
@@ -19,3 +21,14 @@ def test_derived_tables_shuffle_once_for_each_reading_of_the_orders(spark, name)
     assert said.count("Exchange hashpartitioning") == said.count("FileScan") <= 2
     assert name == "html_tables" or "Sort [" not in said  # only html_tables reads values, which need an order
     assert "Join" not in said
+
+
+def test_overlap_shuffles_nothing_but_the_orders_keys(spark):
+    said = plan(all_queries()["agg_09_pair_overlap"].run(spark, SF))
+    assert said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM")
+    assert "Join" not in said
+
+
+def test_valid_tables_send_no_table_to_the_driver(spark):
+    cells = D.grid_cells(spark, SF).selectExpr("page_id", "0 as table_id", "r as row", "c as col", "x1", "y1", "x2", "y2")
+    assert "BroadcastExchange" not in plan(FL.valid_tables(cells))
