@@ -54,7 +54,7 @@ def mode_row_separation(separations: DataFrame, key: str = "page_id") -> DataFra
 def page_char_length(components: DataFrame, key: str = "page_id") -> DataFrame:
     """(page_id, char_length): the mode of the widths, or their mean if that is much larger."""
     mean = components.groupBy(key).agg(F.avg(F.col("r") - F.col("l")).alias("_mean"))
-    joined = mode_width(components, key).join(mean, key)
+    joined = mode_width(components, key).join(mean.hint("merge"), key)
     return joined.select(key, char_length_choice(F.col("mode_width").cast("double"), F.col("_mean")).alias("char_length"))
 
 
@@ -98,7 +98,7 @@ def dotted_line_areas(components: DataFrame, key: str = "page_id") -> DataFrame:
         covered = interval_union_length(banded, lo, hi, (key, "band"))
         areas = banded.groupBy(key, "band").agg(F.count("*").alias("_n"), *[(F.min if c in "lt" else F.max)(c).alias(c) for c in "ltrb"])
         span = F.greatest(F.col(hi) - F.col(lo), F.lit(1))
-        kept = areas.join(covered, [key, "band"]).filter((F.col("_n") >= 5) & (F.col("union_length") / span >= 0.66))
+        kept = areas.join(covered.hint("merge"), [key, "band"]).filter((F.col("_n") >= 5) & (F.col("union_length") / span >= 0.66))
         out.append(kept.select(key, F.lit(orient).alias("orient"), *"ltrb"))
     return out[0].unionByName(out[1])
 
@@ -125,7 +125,7 @@ def table_clusters(cells: DataFrame, pairs: DataFrame, key: str = "page_id") ->
     kind = cells.schema["cell_id"].dataType.simpleString()
     groups = pairs.groupBy(key).agg(F.collect_list(F.array(F.col("a").cast(kind), F.col("b").cast(kind))).alias("items"))
     labels = by_group(groups, rule, (key,), f"cell_id {kind}, table_id {kind}")
-    joined = cells.join(labels, [key, "cell_id"], "left")
+    joined = cells.join(labels.hint("merge"), [key, "cell_id"], "left")
     return joined.withColumn("table_id", F.coalesce("table_id", "cell_id"))
 
 
@@ -181,7 +181,7 @@ def max_effective_columns(raw: DataFrame, key: str = "page_id") -> DataFrame:
     spans = raw.withColumn("_end", F.least(F.col("row") + F.col("rowspan").cast("long") - 1, last).cast("int")).filter("_end > row")
     spans = spans.select(key, F.col("colspan").alias("_cs"), F.explode(F.sequence(F.col("row") + 1, F.col("_end"))).alias("row"))
     taken = spans.groupBy(key, "row").agg(F.sum("_cs").alias("before"))
-    joined = rows.join(taken, [key, "row"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    joined = rows.join(taken.hint("merge"), [key, "row"], "left").withColumn("before", F.coalesce("before", F.lit(0)))
     return joined.withColumn("columns", F.max(F.col("own") + F.col("before")).over(Window.partitionBy(key)))
 
 

@@ -40,7 +40,7 @@ def top_candidates(blocks: DataFrame, k: int = 1000, keys: tuple[str, ...] = PAG
 def below_table_top(blocks: DataFrame, cells: DataFrame, key: str = "page_id") -> DataFrame:
     """Blocks (l, t, r, b) whose bottom isn't above the topmost cell (y1) of their page; those of pages without cells go."""
     top = cells.groupBy(key).agg(F.min("y1").alias("_top"))
-    return blocks.join(top, key).filter(F.col("b") >= F.col("_top")).drop("_top")
+    return blocks.join(top.hint("merge"), key).filter(F.col("b") >= F.col("_top")).drop("_top")
 
 
 def contains_text(blocks: DataFrame, query: str) -> DataFrame:

@@ -38,7 +38,7 @@ def in_met_strips(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     own = [*keys, "_band"]
     edges = pieces.select(*own, F.explode(F.array("l", "r")).alias("x")).distinct()
     edges = edges.withColumn("width", F.lead("x").over(Window.partitionBy(*own).orderBy("x")) - F.col("x")).filter("width is not null")
-    return pieces.join(edges, own).filter("l <= x and x < r").select(*own, "x", "width", "t", "b")
+    return pieces.join(edges.hint("merge"), own).filter("l <= x and x < r").select(*own, "x", "width", "t", "b")
 
 
 def area_by_depth(rows: DataFrame, keys: Sequence[str], weight, out: str, band: Column | int = 256) -> DataFrame:
@@ -67,7 +67,7 @@ def covered_area(areas: DataFrame, covers: DataFrame, key: str, ids: Sequence[st
     """
     own = [key, *ids]
     a = in_bands(areas.select(*own, *"ltrb"), band).select(*own, "_band", *[F.col(c).alias(f"a_{c}") for c in "ltrb"])
-    pairs = a.join(in_bands(covers.select(key, *"ltrb"), band), [key, "_band"])
+    pairs = a.join(in_bands(covers.select(key, *"ltrb"), band).hint("merge"), [key, "_band"])
     low = {c: F.greatest(c, f"a_{c}").alias(c) for c in "lt"}
     high = {c: F.least(c, f"a_{c}").alias(c) for c in "rb"}
     pieces = pairs.select(*own, *low.values(), *high.values()).filter("l < r and t < b").distinct()

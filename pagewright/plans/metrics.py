@@ -32,10 +32,10 @@ def page_metrics(components: DataFrame, blockers: DataFrame | None = None) -> Da
     sized = shared_table(FL.component_size(FL.component_shape(without_dotted_lines(components))))
     kept, left = sized.filter("kept"), sized.filter("not kept")
     chars = A.page_char_length(kept)
-    kept = kept.join(chars, "page_id")
-    back = J.attach_discarded(kept, left, F.col("char_length")).join(chars, "page_id")
+    kept = kept.join(chars.hint("merge"), "page_id")
+    back = J.attach_discarded(kept, left, F.col("char_length")).join(chars.hint("merge"), "page_id")
     both = shared_table(kept.unionByName(back))
     boxes = shared_table(merged_boxes(both, blockers if blockers is not None else both.select("page_id", *"ltrb").filter("false")))
-    seps = J.row_separation(boxes.join(chars, "page_id"), F.col("char_length"), "label")
+    seps = J.row_separation(boxes.join(chars.hint("merge"), "page_id"), F.col("char_length"), "label")
     counted = boxes.groupBy("page_id").agg(F.count("*").alias("boxes"))
-    return chars.join(A.mode_row_separation(seps), "page_id", "left").join(counted, "page_id").select("page_id", "char_length", F.coalesce("line_sep", F.lit(0)).alias("line_sep"), "boxes")
+    return chars.join(A.mode_row_separation(seps), "page_id", "left").join(counted.hint("merge"), "page_id").select("page_id", "char_length", F.coalesce("line_sep", F.lit(0)).alias("line_sep"), "boxes")

@@ -36,7 +36,7 @@ def normalised(cells: DataFrame, char_length: float) -> DataFrame:
         near = J.nearest_delimiter(edges, delims, TABLE)
         for side in ("1", "2"):
             name = axis + side
-            out = out.join(near.withColumnRenamed("v", name).withColumnRenamed("d", f"_{name}"), [*TABLE, name])
+            out = out.join(near.withColumnRenamed("v", name).withColumnRenamed("d", f"_{name}").hint("merge"), [*TABLE, name])
             out = out.drop(name).withColumnRenamed(f"_{name}", f"n_{name}")
     return FL.with_area(out.select(*TABLE, "cell_id", *[F.col(f"n_{c}").alias(c) for c in J.CELL]))
 
@@ -44,18 +44,18 @@ def normalised(cells: DataFrame, char_length: float) -> DataFrame:
 def table_html(slots: DataFrame, keys: tuple[str, ...] = TABLE) -> DataFrame:
     """(keys, html) of slots (row, col, x1, y1, x2, y2, content): widths and heights in percent, spans, and no empty cells."""
     heights, widths = A.size_shares(slots, keys)
-    starts = P.spans(slots, keys).join(slots.select(*keys, "row", "col", "content"), [*keys, "row", "col"])
+    starts = P.spans(slots, keys).join(slots.select(*keys, "row", "col", "content").hint("merge"), [*keys, "row", "col"])
     span = F.concat(
         F.when(F.col("rowspan") > 1, F.format_string(' rowspan="%d"', "rowspan")).otherwise(""),
         F.when(F.col("colspan") > 1, F.format_string(' colspan="%d"', "colspan")).otherwise(""),
     )
     text = F.when(F.col("content") != "", F.col("content")).otherwise("&nbsp;")
     rows = starts.groupBy(*keys, "row").agg(A.ordered_concat("col", F.concat(F.lit("    <td"), span, F.lit(">"), text, F.lit("</td>\n"))).alias("tds"))
-    rows = heights.join(rows, [*keys, "row"], "left")
+    rows = heights.join(rows.hint("merge"), [*keys, "row"], "left")
     line = F.concat(F.format_string("  <tr style='height:%.2f%%'>\n", "pct"), F.coalesce("tds", F.lit("")), F.lit("  </tr>\n"))
     body = rows.groupBy(*keys).agg(A.ordered_concat("row", line).alias("body"))
     cols = widths.groupBy(*keys).agg(A.ordered_concat("at", F.format_string("    <col style='width:%.2f%%'>\n", "pct")).alias("cols"))
-    out = body.join(cols, list(keys), "left")
+    out = body.join(cols.hint("merge"), list(keys), "left")
     group = F.when(F.col("cols").isNotNull(), F.concat(F.lit("  <colgroup>\n"), "cols", F.lit("  </colgroup>\n"))).otherwise("")
     return out.select(*keys, F.concat(F.lit(STYLE + "\n"), group, "body", F.lit("</table>\n")).alias("html"))
 
@@ -115,11 +115,11 @@ def structure_cells(tokens: DataFrame) -> DataFrame:
 
 def fill_placeholders(structures: DataFrame, cells: DataFrame, texts: DataFrame) -> DataFrame:
     """(page_id, html): the k-th placeholder with the k-th cell's spans and text; placeholders beyond the cells stay."""
-    full = cells.join(texts, ["page_id", "cell_id"], "left")
+    full = cells.join(texts.hint("merge"), ["page_id", "cell_id"], "left")
     span = F.concat(*[F.when(F.col(c) > 1, F.format_string(f" {c}='%d'", c)).otherwise("") for c in ("colspan", "rowspan")])
     td = F.concat(F.lit("<td"), span, F.lit(">"), F.coalesce("text", F.lit("")), F.lit("</td>"))
     lists = full.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_id", td.alias("td")))), lambda c: c["td"]).alias("tds"))
-    rows = structures.join(lists, "page_id", "left").withColumn("parts", F.split("html", "<td></td>"))
+    rows = structures.join(lists.hint("merge"), "page_id", "left").withColumn("parts", F.split("html", "<td></td>"))
     tds = F.coalesce("tds", F.array().cast("array<string>"))
     glued = F.transform("parts", lambda p, i: F.concat(p, F.when(i == F.size("parts") - 1, "").otherwise(F.coalesce(F.get(tds, i), F.lit("<td></td>")))))
     return rows.select("page_id", F.array_join(glued, "").alias("html"))
@@ -176,7 +176,7 @@ def size_rows(tables: DataFrame, cells: DataFrame) -> DataFrame:
     A table without any cell tag gets a null. One grouping of the cells by page; the rest is within each table's row.
     """
     lists = cells.groupBy("page_id").agg(F.collect_list(F.struct("cell_id", "y1", "y2")).alias("_cells"))
-    rows = tables.join(lists, "page_id", "left").withColumn("_rows", _cells_by_row(F.col("html")))
+    rows = tables.join(lists.hint("merge"), "page_id", "left").withColumn("_rows", _cells_by_row(F.col("html")))
     columns = F.array_max(F.transform("_rows", lambda row: F.when(F.size(row) > 0, _total(row, lambda c: c["wide"]))))
     rows = rows.select("page_id", "html", "_cells", F.transform("_rows", lambda row: F.size(row)).alias("_n"), columns.alias("_columns"))
 
@@ -204,7 +204,7 @@ def structured_tables(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
     structures, cells = shared_table(decode_structure(tokens)), shared_table(structure_cells(tokens))
     texts = A.cell_texts(J.match_blocks_to_cells(FL.below_table_top(blocks, cells), cells))
     full = cells.select("page_id").distinct().join(blocks.select("page_id").distinct(), "page_id", "left_semi")
-    filled = fill_placeholders(structures.join(full, "page_id", "left_semi"), cells, texts)
+    filled = fill_placeholders(structures.join(full.hint("merge"), "page_id", "left_semi"), cells, texts)
     sized = size_rows(pad_rows(filled), cells)
     out = structures.join(sized.withColumnRenamed("html", "_full"), "page_id", "left")
     return out.select("page_id", F.coalesce("_full", "html").alias("html"), "structure_score")
@@ -272,10 +272,10 @@ def grid_sizes(raw: DataFrame, placed: DataFrame, tables: DataFrame, key: str =
     group = F.regexp_extract("html", r"(?is)(<colgroup.*?)</colgroup>", 1)
     pcts = F.filter(F.transform(F.regexp_extract_all(group, F.lit(r"(<col [^>]*>)"), F.lit(1)), lambda c: H.style_pct(c, "width")), lambda p: p > 0)
     ratio = F.regexp_extract("html", r"aspect-ratio *: *([0-9.]+) */ *([0-9.]+)", 2).try_cast("double") / F.nullif(F.regexp_extract("html", r"aspect-ratio *: *([0-9.]+) */ *([0-9.]+)", 1).try_cast("double"), F.lit(0.0))
-    page = tables.select(key, pcts.alias("pcts"), F.coalesce(ratio, F.lit(1.35)).alias("aspect")).join(columns, key)
+    page = tables.select(key, pcts.alias("pcts"), F.coalesce(ratio, F.lit(1.35)).alias("aspect")).join(columns.hint("merge"), key)
     page = page.withColumn("by_pct", F.size("pcts") == F.col("columns"))
     wide = raw.withColumn("start", F.coalesce(F.sum("colspan").over(Window.partitionBy(key, "row").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    wide = wide.drop("columns").join(columns, key).filter("width_px > 0 and colspan > 0 and start < columns").select(key, "columns", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + F.col("colspan"), F.col("columns")) - 1)).alias("col"), F.expr("width_px div colspan").alias("px"))
+    wide = wide.drop("columns").join(columns.hint("merge"), key).filter("width_px > 0 and colspan > 0 and start < columns").select(key, "columns", F.explode(F.sequence(F.col("start"), F.least(F.col("start") + F.col("colspan"), F.col("columns")) - 1)).alias("col"), F.expr("width_px div colspan").alias("px"))
     cols = page.select(key, "pcts", "by_pct", "columns", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("col"))
     cols = cols.join(wide.groupBy(key, "col").agg(F.max("px").alias("px")), [key, "col"], "left")
     own = Window.partitionBy(key)
@@ -285,7 +285,7 @@ def grid_sizes(raw: DataFrame, placed: DataFrame, tables: DataFrame, key: str =
     widths = cols.select(key, F.col("col").cast("int").alias("col"), F.when(F.col("by_pct"), F.get("pcts", F.col("col").cast("int")) / 100.0 * 80.0).otherwise(F.col("px") / F.col("total") * 80.0).alias("width"))
     totals = cols.groupBy(key).agg(F.first(F.when(F.col("by_pct"), 0).otherwise(F.col("total"))).alias("total"))
     rows = raw.groupBy(key, "row").agg(F.max("height_pct").alias("pct"), F.max("height_px").alias("px"))
-    rows = rows.join(page.select(key, "aspect"), key).join(totals, key)
+    rows = rows.join(page.select(key, "aspect"), key).join(totals.hint("merge"), key)
     n, any_pct, any_px = F.count("*").over(own), F.max("pct").over(own) > 0, F.max("px").over(own) > 0
     even = F.greatest(F.expr("cast(total * aspect as int)").cast("int") / n, F.lit(30)).cast("int")
     rows = rows.withColumn("px", F.when(any_px, F.col("px")).otherwise(even)).withColumn("n", n).withColumn("any_pct", any_pct)
@@ -301,7 +301,7 @@ def html_to_grid(tables: DataFrame, key: str = "page_id") -> DataFrame:
     """
     cells = shared_table(placed_cells(tables, key))
     widths, heights = grid_sizes(cells, cells, tables, key)
-    sized = _clipped(cells.filter("col is not null")).join(widths, [key, "col"]).join(heights, [key, "row"])
+    sized = _clipped(cells.filter("col is not null")).join(widths.hint("merge"), [key, "col"]).join(heights.hint("merge"), [key, "row"])
     return sized.select(key, "row", "col", "rowspan", "colspan", "text", "width", "height")
 
 

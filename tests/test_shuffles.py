@@ -32,3 +32,8 @@ def test_overlap_shuffles_nothing_but_the_orders_keys(spark):
 def test_valid_tables_send_no_table_to_the_driver(spark):
     cells = D.grid_cells(spark, SF).selectExpr("page_id", "0 as table_id", "r as row", "c as col", "x1", "y1", "x2", "y2")
     assert "BroadcastExchange" not in plan(FL.valid_tables(cells))
+
+
+@pytest.mark.parametrize("name", ["pag_13_fill_placeholders", "jon_01_blocks_to_cells", "jon_02_cells_to_block", "jon_05_adjacent_cells", "agg_12_table_clusters", "pag_15_size_rows"])
+def test_joins_by_page_send_no_table_to_the_driver(spark, name):
+    assert "BroadcastExchange" not in plan(all_queries()[name].run(spark, SF))
