@@ -11,6 +11,7 @@ from pagewright.operators import aggregates as A
 from pagewright.operators import filters as FL
 from pagewright.operators import joins as J
 from pagewright.operators import pages as P
+from pagewright.operators import sweeps as S
 from pagewright.operators import windows as W
 from pagewright.operators.lines import let
 from pagewright.sources.shared import shared_table
@@ -63,7 +64,7 @@ def table_html(slots: DataFrame, keys: tuple[str, ...] = TABLE) -> DataFrame:
 def bordered_slots(lines: DataFrame, blocks: DataFrame, char_length: float = 8.0) -> DataFrame:
     """(page_id, table_id, row, col, x1, y1, x2, y2, content) of every valid table between ruled lines."""
     cells = shared_table(cells_from_lines(lines))
-    clustered = FL.cluster_size(A.table_clusters(cells, J.adjacent_cells(cells)))
+    clustered = FL.cluster_size(S.adjacent_clusters(cells))
     slots = FL.valid_tables(shared_table(J.slot_cells(normalised(shared_table(clustered), char_length))))
     return shared_table(J.backfill_merged(J.match_cells_to_block(slots, blocks)))
 
