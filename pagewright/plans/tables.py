@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from functools import lru_cache
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,23 +48,50 @@ def normalised(cells: DataFrame, char_length: float) -> DataFrame:
     return FL.with_area(out.select(*TABLE, "cell_id", *[F.col(f"n_{c}").alias(c) for c in J.CELL]))
 
 
+@lru_cache(4096)
+def _percent(share: float) -> str:
+    """Two decimals, halves up, as `format_string` writes them."""
+    return str(Decimal(repr(share)).quantize(Decimal("0.01"), ROUND_HALF_UP))
+
+
+def _html_of(slots: list[tuple]) -> str:
+    """The HTML of one table's slots (row, col, x1, y1, x2, y2, content)."""
+    slots = sorted(slots, key=lambda s: s[:6])
+    rows: dict[int, list[tuple]] = {}
+    contents: dict[tuple[int, int], list[str]] = {}
+    for row, col, *box, content in slots:
+        rows.setdefault(row, []).append(tuple(box))
+        contents.setdefault((row, col), []).append(content or "&nbsp;")
+    tds: dict[int, list[tuple[int, str]]] = {}
+    for row, col, tall, wide in P.spans_of(list(rows.values())):
+        span = f' rowspan="{tall}"' * (tall > 1) + f' colspan="{wide}"' * (wide > 1)
+        tds.setdefault(row, []).extend((col, f"    <td{span}>{text}</td>\n") for text in contents.get((row, col), ()))
+    xs = sorted({x for boxes in rows.values() for b in boxes for x in (b[0], b[2])})
+    ends = {row: (min(b[1] for b in boxes), max(b[3] for b in boxes)) for row, boxes in rows.items()}
+    high = max(max(b for _, b in ends.values()) - min(a for a, _ in ends.values()), 1)
+    out = [STYLE + "\n"]
+    if len(xs) > 1:
+        cols = (f"    <col style='width:{_percent((b - a) / (xs[-1] - xs[0]) * 100.0)}%'>\n" for a, b in zip(xs, xs[1:], strict=False))
+        out += ["  <colgroup>\n", *cols, "  </colgroup>\n"]
+    for row, (a, b) in ends.items():
+        out += [f"  <tr style='height:{_percent((b - a) / high * 100.0)}%'>\n", *(td for _, td in sorted(tds.get(row, ()))), "  </tr>\n"]
+    return "".join([*out, "</table>\n"])
+
+
 def table_html(slots: DataFrame, keys: tuple[str, ...] = TABLE) -> DataFrame:
-    """(keys, html) of slots (row, col, x1, y1, x2, y2, content): widths and heights in percent, spans, and no empty cells."""
-    heights, widths = A.size_shares(slots, keys)
-    starts = P.spans(slots, keys).join(slots.select(*keys, "row", "col", "content").hint("merge"), [*keys, "row", "col"])
-    span = F.concat(
-        F.when(F.col("rowspan") > 1, F.format_string(' rowspan="%d"', "rowspan")).otherwise(""),
-        F.when(F.col("colspan") > 1, F.format_string(' colspan="%d"', "colspan")).otherwise(""),
-    )
-    text = F.when(F.col("content") != "", F.col("content")).otherwise("&nbsp;")
-    rows = starts.groupBy(*keys, "row").agg(A.ordered_concat("col", F.concat(F.lit("    <td"), span, F.lit(">"), text, F.lit("</td>\n"))).alias("tds"))
-    rows = heights.join(rows.hint("merge"), [*keys, "row"], "left")
-    line = F.concat(F.format_string("  <tr style='height:%.2f%%'>\n", "pct"), F.coalesce("tds", F.lit("")), F.lit("  </tr>\n"))
-    body = rows.groupBy(*keys).agg(A.ordered_concat("row", line).alias("body"))
-    cols = widths.groupBy(*keys).agg(A.ordered_concat("at", F.format_string("    <col style='width:%.2f%%'>\n", "pct")).alias("cols"))
-    out = body.join(cols.hint("merge"), list(keys), "left")
-    group = F.when(F.col("cols").isNotNull(), F.concat(F.lit("  <colgroup>\n"), "cols", F.lit("  </colgroup>\n"))).otherwise("")
-    return out.select(*keys, F.concat(F.lit(STYLE + "\n"), group, "body", F.lit("</table>\n")).alias("html"))
+    """(keys, html) of slots (row, col, x1, y1, x2, y2, content): widths and heights in percent, spans, and no empty cells. One grouping by table, and no join."""
+    names = ("row", "col", *J.CELL, "content")
+    tables = slots.groupBy(*keys).agg(F.collect_list(F.struct(*names)).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            ends = pc.list_value_length(lists).to_numpy().cumsum().tolist()
+            rows = list(zip(*(lists.flatten().field(n).to_pylist() for n in names), strict=True))
+            htmls = [_html_of(rows[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(htmls, pa.string())], [*keys, "html"])
+
+    return tables.mapInArrow(run, ", ".join(f"{k} {slots.schema[k].dataType.simpleString()}" for k in keys) + ", html string")
 
 
 def bordered_slots(lines: DataFrame, blocks: DataFrame, char_length: float = 8.0) -> DataFrame:

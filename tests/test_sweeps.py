@@ -6,11 +6,11 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from pagewright.operators import aggregates as A
 from pagewright.operators import joins as J
 from pagewright.operators import sweeps as S
+from pagewright.plans import tables as TB
 from pagewright.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
@@ -60,8 +60,34 @@ def test_clusters_of_cells_are_those_of_the_adjacent_pairs(spark):
     assert got == want and 1 < len(set(got.values())) < len(got)
 
 
-@pytest.mark.parametrize("name", ["agg_12_table_clusters", "jon_09_close_components"])
+@pytest.mark.parametrize("band", [1, 64])
+def test_cells_take_the_text_of_the_block_of_the_largest_iou(spark, band):
+    rng = random.Random(3)
+    box = lambda: ((x := rng.randrange(-20, 90)), (y := rng.randrange(-20, 90)), x + rng.choice([0, 10, 25]), y + rng.choice([10, 25]))
+    cells = [(p, i, *box()) for p in range(3) for i in range(40)] + [(2, 99, None, 0, 5, 5), (8, 0, 0, 0, 5, 5)]
+    blocks = [(p, i, f"b{i}" if i % 9 else None, *box()) for p in range(3) for i in range(40)]
+
+    def content(p, x1, y1, x2, y2):
+        best = []
+        for q, i, text, l, t, r, b in blocks if x1 is not None else ():  # noqa: E741
+            w, h = min(r, x2) - max(l, x1), min(b, y2) - max(t, y1)
+            if p == q and w > 0 and h > 0 and (iou := w * h / ((r - l) * (b - t) + (x2 - x1) * (y2 - y1) - w * h + 1e-8)) > 0.1:
+                best.append((-iou, i, text))
+        return (min(best, key=lambda x: x[:2])[2] if best else None) or ""
+
+    frames = spark.createDataFrame(cells, "page_id long, cell_id int, x1 int, y1 int, x2 int, y2 int"), spark.createDataFrame(blocks, "page_id long, block_id int, text string, l int, t int, r int, b int")
+    got = {(r.page_id, r.cell_id): r.content for r in J.match_cells_to_block(*frames, band=band).collect()}
+    assert got == {(p, i): content(p, *b) for p, i, *b in cells} and len(set(got.values())) > 10
+
+
+def test_html_percentages_round_halves_up_and_repeated_slots_share_a_span(spark):
+    rows = [(1, 0, r, c, 10 * c, 100 * r, 10 * c + 10, 100 * r + 100, "" if c else f"t{r}") for r in range(32) for c in range(2)]
+    html = TB.table_html(spark.createDataFrame(rows, "page_id long, table_id int, row int, col int, x1 int, y1 int, x2 int, y2 int, content string")).first().html
+    assert html.count("<tr style='height:3.13%'>\n    <td>t") == 32 and html.count("<col style='width:50.00%'>") == 2 and html.count("<td>&nbsp;</td>") == 32
+
+
+@pytest.mark.parametrize("name", ["agg_12_table_clusters", "jon_09_close_components", "jon_02_cells_to_block", "pag_12_table_html"])
 def test_neighbours_take_no_join(spark, name):
     said = plan(all_queries()[name].run(spark, SF))
     assert "Join" not in said
-    assert said.count("Exchange hashpartitioning") <= said.count("FileScan") + 1
+    assert said.count("Exchange hashpartitioning") <= said.count("FileScan") + 1 + (name == "pag_12_table_html")
