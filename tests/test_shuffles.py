@@ -37,3 +37,13 @@ def test_valid_tables_send_no_table_to_the_driver(spark):
 @pytest.mark.parametrize("name", ["pag_13_fill_placeholders", "jon_01_blocks_to_cells", "jon_02_cells_to_block", "jon_05_adjacent_cells", "agg_12_table_clusters", "pag_15_size_rows"])
 def test_joins_by_page_send_no_table_to_the_driver(spark, name):
     assert "BroadcastExchange" not in plan(all_queries()[name].run(spark, SF))
+
+
+@pytest.mark.parametrize("name", ["tokens", "grid_cells", "grid_blocks", "ruled_lines"])
+def test_partitions_grow_with_the_rows_of_the_orders(spark, monkeypatch, name):
+    few = getattr(D, name)(spark, SF)
+    monkeypatch.setattr(D, "ROWS_A_PARTITION", 500)
+    many = getattr(D, name)(spark, SF)
+    parts = -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 500)
+    assert f", {parts}), REPARTITION_BY_NUM" in plan(many) and f", {parts})" not in plan(few)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
