@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.geometry import UPRIGHT_DEG, Rect, aabb, block_angle, rotate_box, rotate_box_ccw90, spacing_match
 from pagewright.functions.text import separator_of
+from pagewright.operators import cells as C
+from pagewright.operators import sweeps as S
 from pagewright.operators.filters import PAGE, non_empty
 from pagewright.operators.lines import let
 
@@ -419,10 +421,19 @@ def by_group(groups: DataFrame, rule: Callable[[Any], list[tuple]], keys: tuple[
 
 
 def dedupe_cells(cells: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page_id, cell_id, x1, y1, x2, y2): the kept cells of each page, numbered by (y1, x1, y2, x2)."""
-    groups = cells.groupBy(key).agg(F.collect_list(F.array("x1", "y1", "x2", "y2")).alias("items"))
-    kept = by_group(groups, lambda items: [(k, *c) for k, c in enumerate(sorted(dedupe_boxes([tuple(i) for i in items]), key=lambda c: (c[1], c[0], c[3], c[2])))], (key,), "cell_id int, x1 int, y1 int, x2 int, y2 int")
-    return kept
+    """(page_id, cell_id, x1, y1, x2, y2): the kept cells of each page, numbered by (y1, x1, y2, x2). Those with an unknown edge are left out."""
+    names = ("x1", "y1", "x2", "y2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, _ = S.in_order(*S.flat(batch, "items"), names)
+            own = own.at(C.deduped(own.page, own, dedupe_boxes))
+            own = own.at(np.lexsort((own.r, own.b, own.l, own.t, own.page)))
+            ids = C.places(own.page)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own.page)), *(pa.array(side.astype(np.int32)) for side in (ids, *own[1:]))], [key, "cell_id", *names])
+
+    lists = cells.groupBy(key).agg(F.collect_set(F.struct(*names)).alias("items"))
+    return lists.mapInArrow(run, f"{key} {cells.schema[key].dataType.simpleString()}, cell_id int, x1 int, y1 int, x2 int, y2 int")
 
 
 def spans(slots: DataFrame, keys: tuple[str, ...] = ("page_id", "table_id")) -> DataFrame:

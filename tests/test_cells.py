@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
+from pagewright.operators import cells as C
 from pagewright.operators import joins as J
+from pagewright.operators import pages as P
+from pagewright.operators import sweeps as S
 from pagewright.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +58,19 @@ def test_a_row_between_cells_keeps_its_own_box(spark):
 def test_steps_on_cells_shuffle_the_orders_keys_and_no_more(spark, name):
     said = plan(all_queries()[name].run(spark, SF))
     assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM")
+
+
+@pytest.mark.parametrize("most", [1, 300, 1 << 20])
+def test_cells_of_all_pages_at_once_are_kept_as_one_by_one(most):
+    for seed in range(20):
+        rows = sorted(((p, *box) for p, _, *box in some_cells(seed, 5, 40)), key=lambda r: (r[0], r[2]))
+        rects = S.Rects(*(np.array(side, float if k else int) for k, side in enumerate(zip(*rows, strict=True))))
+        alone = []
+        got = sorted(rows[i] for i in C.deduped(rects.page, rects, lambda boxes: alone.append(1) or P.dedupe_boxes(boxes), most))
+        assert got == sorted((p, *c) for p in range(5) for c in P.dedupe_boxes([r[1:] for r in rows if r[0] == p]))
+        assert bool(alone) == (most == 1) or most == 300
+
+
+def test_kept_cells_are_numbered_and_unknown_edges_left_out(spark):
+    cells = spark.createDataFrame([(1, 0, 0, 0, 20, 20), (1, 0, 0, 0, 10, 20), (1, 0, 10, 0, 20, 20), (1, 0, None, 0, 5, 5), (2, 0, 5, 5, 9, 9)], TABLES)
+    assert sorted(map(tuple, P.dedupe_cells(cells).collect())) == [(1, 0, 0, 0, 10, 20), (1, 1, 10, 0, 20, 20), (2, 0, 5, 5, 9, 9)]
