@@ -6,11 +6,13 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pagewright.operators import cells as C
 from pagewright.operators import joins as J
 from pagewright.operators import pages as P
 from pagewright.operators import sweeps as S
+from pagewright.operators import windows as W
 from pagewright.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
@@ -54,7 +56,7 @@ def test_a_row_between_cells_keeps_its_own_box(spark):
     assert [tuple(r)[2:] for r in J.slot_cells(cells).orderBy("row").collect()] == [(0, 0, 0, 0, 10, 10), (1, 0, 0, 10, 10, 30), (2, 0, 0, 30, 10, 40)]
 
 
-@pytest.mark.parametrize("name", ["jon_07_slot_cells"])
+@pytest.mark.parametrize("name", ["jon_07_slot_cells", "pag_08_dedupe_cells", "agg_14_axis_delimiters"])
 def test_steps_on_cells_shuffle_the_orders_keys_and_no_more(spark, name):
     said = plan(all_queries()[name].run(spark, SF))
     assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM")
@@ -74,3 +76,21 @@ def test_cells_of_all_pages_at_once_are_kept_as_one_by_one(most):
 def test_kept_cells_are_numbered_and_unknown_edges_left_out(spark):
     cells = spark.createDataFrame([(1, 0, 0, 0, 20, 20), (1, 0, 0, 0, 10, 20), (1, 0, 10, 0, 20, 20), (1, 0, None, 0, 5, 5), (2, 0, 5, 5, 9, 9)], TABLES)
     assert sorted(map(tuple, P.dedupe_cells(cells).collect())) == [(1, 0, 0, 0, 10, 20), (1, 1, 10, 0, 20, 20), (2, 0, 5, 5, 9, 9)]
+
+
+def test_delimiters_of_clusters_are_means_of_near_edges(spark):
+    cells = spark.createDataFrame([(1, 4, 0, 0, 50, 20), (1, 5, 51, 0, 100, 20), (1, 7, 0, 21, 50, 40), (1, 9, 500, 500, 520, 520)], "page_id long, cell_id int, x1 int, y1 int, x2 int, y2 int")
+    rows = sorted(map(tuple, J.axis_delimiters(cells, {"x": 8.0, "y": 4.0}).collect()))
+    assert rows == [(1, 4, "x", d) for d in (0, 51, 100)] + [(1, 4, "y", d) for d in (0, 21, 40)] + [(1, 9, a, d) for a in "xy" for d in (500, 520)]
+
+
+@pytest.mark.parametrize("gap", [2.0, 9.0])
+def test_delimiters_and_nearest_ones_are_those_of_the_windows(spark, gap):
+    rows = [(p, v) for p, _, *box in some_cells(8) for v in box]
+    frame = spark.createDataFrame(rows, "page_id long, v int")
+    clusters = W.cluster_values(frame, "v", 0.1, gap, ("page_id",)).groupBy("page_id", "cluster").agg(F.round(F.avg("v")).cast("int").alias("d"))
+    table, values = (np.array(side) for side in zip(*rows, strict=True))
+    owner, d = C.delimiters(table, values.astype(float), 0.1, gap)
+    assert sorted(zip(owner, d, strict=True)) == sorted((r.page_id, r.d) for r in clusters.collect())
+    want = {(r.page_id, r.v): r.d for r in J.nearest_delimiter(frame, clusters, ("page_id",)).collect()}
+    assert dict(zip(rows, C.nearest(table, values.astype(float), owner, d), strict=True)) == want
