@@ -196,3 +196,118 @@ def _decided(own: S.Rects, rank: np.ndarray, wanted: np.ndarray, most: int) -> n
         covered[whose] = S.union_areas(place, cut.at(use[over]), len(whose), most)
         state[ready] = np.where(covered[ready] <= allowed[ready], 1, 2)
     return state
+
+
+def _meets(a: S.Rects, b: S.Rects) -> np.ndarray:
+    """Pairs of stretches (l, r) whose ends correspond (2 % of the first one's width) or contain one another's."""
+    wide = np.where(a.r == a.l, 1.0, a.r - a.l)
+
+    def ends(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (np.abs((x - y) / wide) <= 0.02) | ((a.l <= y) & (y <= a.r)) | ((b.l <= x) & (x <= b.r))
+
+    return ends(a.l, b.l) & ends(a.r, b.r)
+
+
+def next_lines(page: np.ndarray, left: np.ndarray, right: np.ndarray, y: np.ndarray, most: int = S.PAIRS) -> S.Rects:
+    """The candidate cells of horizontal lines: see `joins.next_candidates`. Only stretches of a page that lie near one another are compared, in runs."""
+    order = np.lexsort((y, right, left, page))
+    order = order[firsts(page[order], left[order], right[order], y[order])]
+    page, left, right, y = page[order], left[order], right[order], y[order]
+    first = firsts(page, left, right)
+    last = np.append(first[1:], len(page))
+    stretch = np.repeat(np.arange(len(first)), last - first)
+    own = S.Rects(page[first], left[first], left[first], right[first], right[first])
+    slack = np.zeros(int(page.max()) + 1 if len(page) else 0)
+    np.maximum.at(slack, own.page, 0.02 * np.abs(np.where(own.r == own.l, 1.0, own.r - own.l)))
+    places = S.Places(y)
+    at = places.of(stretch, y)
+    found = [np.zeros((0, 5))]
+
+    def nearest_below(rows: np.ndarray) -> np.ndarray:
+        rows = rows[np.lexsort(rows.T[::-1])]
+        return rows[firsts(*rows.T[:4])]
+
+    def both_ways():
+        yield np.arange(len(first)), np.arange(len(first))
+        for i, j in S.near_pairs(own, slack[own.page], most):
+            yield np.concatenate([i, j]), np.concatenate([j, i])
+
+    for a, b in both_ways():
+        met = np.flatnonzero(_meets(own.at(a), own.at(b)))
+        a, b = a[met], b[met]
+        for part in S.runs(last[a] - first[a], most):
+            pair, line = S.ranges(first[a[part]], last[a[part]])
+            over, under = a[part][pair], b[part][pair]
+            to = np.searchsorted(at, places.of(under, y[line]), "right")
+            good = np.flatnonzero(to < last[under])
+            over, under, line, to = over[good], under[good], line[good], to[good]
+            found.append(nearest_below(np.stack([page[line], np.maximum(own.l[over], own.l[under]), np.minimum(own.r[over], own.r[under]), y[line], y[to]], 1)))
+    rows = nearest_below(np.concatenate(found))
+    rows = rows[np.lexsort((-rows[:, 3], rows[:, 4], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    rows = rows[firsts(rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 4])]
+    return S.Rects(rows[:, 0].astype(np.int64), rows[:, 1], rows[:, 3], rows[:, 2], rows[:, 4])
+
+
+def between_lines(lines: S.Rects, most: int = S.PAIRS) -> S.Rects:
+    """The cells between straight lines, before repeated ones go: see `joins.dividers` and `windows.cells_from_dividers`."""
+    flat = np.flatnonzero((lines.t == lines.b) & (lines.l != lines.r))
+    up = np.flatnonzero((lines.l == lines.r) & (lines.t != lines.b))
+    area = next_lines(lines.page[flat], lines.l[flat], lines.r[flat], lines.t[flat], most)
+    up = up[np.lexsort((lines.l[up], lines.page[up]))]
+    bars = lines.at(up)
+    margin = np.maximum(5.0, np.trunc((area.r - area.l) * 0.025))
+    high = area.b - area.t
+    allowed = np.maximum(5.0, np.minimum(10.0, np.trunc(high * 0.1)))
+    places = S.Places(bars.l, area.l - margin, area.r + margin)
+    at = places.of(bars.page, bars.l)
+    start, end = np.searchsorted(at, places.of(area.page, area.l - margin), "left"), np.searchsorted(at, places.of(area.page, area.r + margin), "right")
+    out = []
+    for part in S.runs(np.maximum(end - start, 0), most):
+        c, v = S.ranges(start[part], end[part])
+        c += part.start
+        near = high[c] - (np.minimum(area.b[c], bars.b[v]) - np.maximum(area.t[c], bars.t[v])) <= allowed[c]
+        c, x = c[near], bars.l[v[near]]
+        keep = firsts(c, x)
+        c, x = c[keep], x[keep]
+        k = np.flatnonzero(c[1:] == c[:-1])
+        out.append(S.Rects(area.page[c[k]], x[k], area.t[c[k]], x[k + 1], area.b[c[k]]))
+    return S.Rects(*(np.concatenate(side) for side in zip(*out, strict=True))) if out else area
+
+
+def valid(slots: Slots, boxes: S.Rects, most: int = S.PAIRS) -> np.ndarray:
+    """Which tables have a valid shape: see `filters.valid_tables`. Pairs are made for tables only whose boxes lie over one another."""
+    n = len(slots.base) - 1
+    rows, cols = slots.sides[0][4], slots.sides[1][4]
+    order = np.lexsort((boxes.b, boxes.r, boxes.l, boxes.t, boxes.page))
+    own = boxes.at(order[firsts(*(side[order] for side in boxes))])
+    edges = [np.bincount(coded(np.concatenate([own.page] * 2), np.concatenate(pair))[0], minlength=n) for pair in ((own.l, own.r), (own.t, own.b))]
+    shape = (rows >= 2) & (cols >= 2) & (np.bincount(own.page, minlength=n) >= 4) & (edges[0] <= cols + 1) & (edges[1] <= rows + 1)
+    solid = own.at(np.flatnonzero((own.l < own.r) & (own.t < own.b)))
+    sizes = np.bincount(solid.page, weights=(solid.r - solid.l) * (solid.b - solid.t), minlength=n)
+    over = S.union_areas(solid.page, solid, n, most) < sizes
+    solid = solid.at(np.flatnonzero(over[solid.page]))
+    overlap = np.zeros(n)
+    for i, j in S.near_pairs(solid, np.zeros(len(solid.t)), most):
+        common = np.maximum(np.minimum(solid.r[i], solid.r[j]) - np.maximum(solid.l[i], solid.l[j]), 0) * np.maximum(np.minimum(solid.b[i], solid.b[j]) - np.maximum(solid.t[i], solid.t[j]), 0)
+        overlap += np.bincount(solid.page[i], weights=common, minlength=n)
+    ends = []
+    for side, least in ((boxes.l, True), (boxes.t, True), (boxes.r, False), (boxes.b, False)):
+        end = np.full(n, np.inf if least else -np.inf)
+        (np.minimum if least else np.maximum).at(end, boxes.page, side)
+        ends.append(end)
+    with np.errstate(invalid="ignore"):
+        area = (ends[2] - ends[0]) * (ends[3] - ends[1])
+    return shape & (2 * overlap < np.floor(np.where(np.isfinite(area), area, 0.0) / 5))
+
+
+def backfilled(slots: Slots, boxes: S.Rects, text: np.ndarray) -> np.ndarray:
+    """Of each slot the number of its text (-1 for none), or that of the first later row's slot of the same column and box."""
+    order = np.lexsort((slots.row, boxes.b, boxes.r, boxes.t, boxes.l, slots.col, boxes.page))
+    starts = firsts(slots.col[order], *(side[order] for side in boxes))
+    end = np.repeat(np.append(starts[1:], len(order)), np.diff(np.append(starts, len(order))))
+    own = text[order]
+    there = np.where(own >= 0, np.arange(len(own)), len(own))
+    after = np.minimum.accumulate(there[::-1])[::-1]
+    out = text.copy()
+    out[order] = np.where(after < end, own[np.minimum(after, max(len(own) - 1, 0))], -1)
+    return out

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -14,11 +16,11 @@ from pyspark.sql import functions as F
 from pagewright.functions import html as H
 from pagewright.functions.geometry import snap_line
 from pagewright.operators import aggregates as A
+from pagewright.operators import cells as C
 from pagewright.operators import filters as FL
 from pagewright.operators import joins as J
 from pagewright.operators import pages as P
 from pagewright.operators import sweeps as S
-from pagewright.operators import windows as W
 from pagewright.operators.lines import let
 from pagewright.sources.shared import shared_table
 
@@ -26,28 +28,6 @@ TABLE = ("page_id", "table_id")
 STYLE = "<table style='table-layout:fixed;width:100%'>"
 
 
-def cells_from_lines(lines: DataFrame) -> DataFrame:
-    """(page_id, cell_id, x1, y1, x2, y2) of the cells between ruled lines (page_id, x1, y1, x2, y2)."""
-    snapped = lines.select("page_id", *[c.alias(n) for c, n in zip(snap_line(*(F.col(c) for c in J.CELL)), J.CELL, strict=True)])
-    straight = FL.straight_lines(snapped)
-    candidates = J.next_candidates(straight.filter("orient = 'h'"))
-    return P.dedupe_cells(W.cells_from_dividers(J.dividers(candidates, straight.filter("orient = 'v'"))))
-
-
-def normalised(cells: DataFrame, char_length: float) -> DataFrame:
-    """Cells with their edges on the table's delimiters; cells that collapse go."""
-    out = cells
-    for axis, gap in (("x", char_length), ("y", 0.5 * char_length)):
-        delims = J.axis_delimiters(cells, axis, gap)
-        edges = cells.select(*TABLE, F.explode(F.array(F.col(f"{axis}1"), F.col(f"{axis}2"))).alias("v"))
-        near = J.nearest_delimiter(edges, delims, TABLE)
-        for side in ("1", "2"):
-            name = axis + side
-            out = out.join(near.withColumnRenamed("v", name).withColumnRenamed("d", f"_{name}").hint("merge"), [*TABLE, name])
-            out = out.drop(name).withColumnRenamed(f"_{name}", f"n_{name}")
-    return FL.with_area(out.select(*TABLE, "cell_id", *[F.col(f"n_{c}").alias(c) for c in J.CELL]))
-
-
 @lru_cache(4096)
 def _percent(share: float) -> str:
     """Two decimals, halves up, as `format_string` writes them."""
@@ -94,17 +74,87 @@ def table_html(slots: DataFrame, keys: tuple[str, ...] = TABLE) -> DataFrame:
     return tables.mapInArrow(run, ", ".join(f"{k} {slots.schema[k].dataType.simpleString()}" for k in keys) + ", html string")
 
 
+class Bordered(NamedTuple):
+    """The valid tables of a batch: of each its page (place in the batch) and least cell; of each slot its table, place, box and text."""
+
+    page: np.ndarray
+    label: np.ndarray
+    table: np.ndarray
+    row: np.ndarray
+    col: np.ndarray
+    box: list[np.ndarray]
+    content: pa.Array
+
+
+def _bordered(batch: pa.RecordBatch, char_length: float) -> Bordered:
+    """From the lines and blocks of each page to its tables: cells, clusters of them, edges on delimiters, slots, texts."""
+    lines, _ = S.in_order(*S.flat(batch, "items"), J.CELL)
+    cells = C.between_lines(lines)
+    cells = cells.at(C.deduped(cells.page, cells, P.dedupe_boxes))
+    cells = cells.at(np.lexsort((cells.r, cells.b, cells.l, cells.t, cells.page)))
+    labels = S.cluster_ids(cells.page, cells, np.arange(len(cells.t)), C.places(cells.page))
+    page, label, table = C.coded(cells.page, labels)
+    big = np.flatnonzero(np.bincount(table, minlength=len(page))[table] >= 2)
+    cells, table = cells.at(big), table[big]
+    sides = {}
+    for axis, (low, high), gap in (("x", (cells.l, cells.r), char_length), ("y", (cells.t, cells.b), 0.5 * char_length)):
+        delims = C.delimiters(np.concatenate([table, table]), np.concatenate([low, high]), 0.1, gap)
+        sides[axis] = [C.nearest(table, side, *delims) for side in (low, high)]
+    (x1, x2), (y1, y2) = sides["x"], sides["y"]
+    solid = np.flatnonzero((x2 > x1) & (y2 > y1))
+    slots, boxes = C.slot_cells(table[solid], S.Rects(*(side[solid] for side in (table, x1, y1, x2, y2))), len(page))
+    kept = np.flatnonzero(C.valid(slots, boxes)[slots.table])
+    block_page, found = S.flat(batch, "blocks")
+    own = S.Rects(page[slots.table[kept]], *(side[kept] for side in boxes[1:]))
+    order = np.lexsort((own.t, own.page))
+    texts = np.full(len(slots.table), -1)
+    texts[kept] = S.best_covers(own.at(order), order, *S.in_order(block_page, found, "ltrb"), len(kept), S.ids_of(found, "block_id"), 0.1)
+    empty = pc.equal(pc.fill_null(found.field("text"), ""), "").to_numpy(zero_copy_only=False)
+    texts[np.flatnonzero(texts >= 0)[empty[texts[texts >= 0]]]] = -1
+    texts = C.backfilled(slots, boxes, texts)[kept]
+    content = pc.fill_null(found.field("text").take(pa.array(texts, pa.int64(), mask=texts < 0)), "")
+    return Bordered(page, label, slots.table[kept], slots.row[kept], slots.col[kept], [side[kept].astype(np.int32) for side in boxes[1:]], content)
+
+
+def _with_blocks(lines: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(page_id, items, blocks): the snapped lines that are straight and the blocks of each page, in one grouping."""
+    snapped = lines.select("page_id", *[c.alias(n) for c, n in zip(snap_line(*(F.col(c) for c in J.CELL)), J.CELL, strict=True)])
+    own = FL.straight_lines(snapped).select("page_id", F.struct(*J.CELL).alias("_own"))
+    others = blocks.select("page_id", F.struct("block_id", "text", *"ltrb").alias("_other"))
+    return own.unionByName(others, allowMissingColumns=True).groupBy("page_id").agg(F.collect_list("_own").alias("items"), F.collect_list("_other").alias("blocks"))
+
+
 def bordered_slots(lines: DataFrame, blocks: DataFrame, char_length: float = 8.0) -> DataFrame:
     """(page_id, table_id, row, col, x1, y1, x2, y2, content) of every valid table between ruled lines."""
-    cells = shared_table(cells_from_lines(lines))
-    clustered = FL.cluster_size(S.adjacent_clusters(cells))
-    slots = FL.valid_tables(shared_table(J.slot_cells(normalised(shared_table(clustered), char_length))))
-    return shared_table(J.backfill_merged(J.match_cells_to_block(slots, blocks)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _bordered(batch, char_length)
+            sides = [batch.column(0).take(pa.array(b.page[b.table])), *(pa.array(side.astype(np.int32)) for side in (b.label[b.table], b.row, b.col, *b.box)), b.content]
+            yield pa.RecordBatch.from_arrays(sides, [*TABLE, "row", "col", *J.CELL, "content"])
+
+    key = lines.schema["page_id"].dataType.simpleString()
+    return _with_blocks(lines, blocks).mapInArrow(run, f"page_id {key}, table_id int, row int, col int, x1 int, y1 int, x2 int, y2 int, content string")
 
 
 def bordered_tables(lines: DataFrame, blocks: DataFrame, char_length: float = 8.0) -> DataFrame:
-    """(page_id, table_id, html): tables from ruled lines (page_id, x1, y1, x2, y2) and text blocks (page_id, block_id, text, l, t, r, b)."""
-    return table_html(bordered_slots(lines, blocks, char_length))
+    """(page_id, table_id, html): tables from ruled lines (page_id, x1, y1, x2, y2) and text blocks (page_id, block_id, text, l, t, r, b).
+
+    A page's lines and blocks come together in one grouping; a batch of pages goes from lines to HTML without a further shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = _bordered(batch, char_length)
+            starts = C.firsts(b.table)
+            rows = list(zip(b.row.tolist(), b.col.tolist(), *(side.tolist() for side in b.box), b.content.to_pylist(), strict=True))
+            ends = [*starts[1:].tolist(), len(rows)]
+            tables = b.table[starts]
+            htmls = [_html_of(rows[i:j]) for i, j in zip(starts.tolist(), ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(b.page[tables])), pa.array(b.label[tables].astype(np.int32)), pa.array(htmls, pa.string())], [*TABLE, "html"])
+
+    key = lines.schema["page_id"].dataType.simpleString()
+    return _with_blocks(lines, blocks).mapInArrow(run, f"page_id {key}, table_id int, html string")
 
 
 # ---- structure tokens ----

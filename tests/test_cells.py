@@ -9,11 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import cells as C
+from pagewright.operators import filters as FL
 from pagewright.operators import joins as J
 from pagewright.operators import pages as P
 from pagewright.operators import sweeps as S
 from pagewright.operators import windows as W
 from pagewright.queries import all_queries
+from pagewright.sources import shared
 
 SF = "/root/testdata/sf0.001"
 TABLES = "page_id long, table_id int, x1 int, y1 int, x2 int, y2 int"
@@ -79,9 +81,9 @@ def test_kept_cells_are_numbered_and_unknown_edges_left_out(spark):
 
 
 def test_delimiters_of_clusters_are_means_of_near_edges(spark):
-    cells = spark.createDataFrame([(1, 4, 0, 0, 50, 20), (1, 5, 51, 0, 100, 20), (1, 7, 0, 21, 50, 40), (1, 9, 500, 500, 520, 520)], "page_id long, cell_id int, x1 int, y1 int, x2 int, y2 int")
+    cells = spark.createDataFrame([(1, 4, 0, 0, 50, 20), (1, 5, 51, 0, 100, 20), (1, 7, 0, 20, 50, 40), (1, 9, 500, 500, 520, 520)], "page_id long, cell_id int, x1 int, y1 int, x2 int, y2 int")
     rows = sorted(map(tuple, J.axis_delimiters(cells, {"x": 8.0, "y": 4.0}).collect()))
-    assert rows == [(1, 4, "x", d) for d in (0, 51, 100)] + [(1, 4, "y", d) for d in (0, 21, 40)] + [(1, 9, a, d) for a in "xy" for d in (500, 520)]
+    assert rows == [(1, 4, "x", d) for d in (0, 51, 100)] + [(1, 4, "y", d) for d in (0, 20, 40)] + [(1, 9, a, d) for a in "xy" for d in (500, 520)]
 
 
 @pytest.mark.parametrize("gap", [2.0, 9.0])
@@ -94,3 +96,44 @@ def test_delimiters_and_nearest_ones_are_those_of_the_windows(spark, gap):
     assert sorted(zip(owner, d, strict=True)) == sorted((r.page_id, r.d) for r in clusters.collect())
     want = {(r.page_id, r.v): r.d for r in J.nearest_delimiter(frame, clusters, ("page_id",)).collect()}
     assert dict(zip(rows, C.nearest(table, values.astype(float), owner, d), strict=True)) == want
+
+
+def some_lines(seed, pages=40):
+    """Ruled tables with lines that jut out, are cut short or lie a little aside."""
+    rng, rows = random.Random(seed), []
+    for p in range(pages):
+        step, n, m = rng.choice([12, 40]), rng.randrange(2, 6), rng.randrange(2, 6)
+        aside = lambda: rng.choice([0, 0, 0, 1, -1, 3])
+        for flat, k in [(True, k) for k in range(n + 1)] + [(False, k) for k in range(m + 1)]:
+            long = m if flat else n
+            a, b = (0, long) if rng.random() < 0.7 else sorted(rng.sample(range(long + 1), 2))
+            at, ends = k * step + aside(), (a * step + aside(), b * step + aside())
+            rows.append((p, ends[0], at, ends[1], at) if flat else (p, at, ends[0], at, ends[1]))
+    return rows
+
+
+def test_cells_between_lines_are_those_of_the_joins(spark):
+    rows = some_lines(4)
+    lines = spark.createDataFrame(rows, "page_id long, x1 int, y1 int, x2 int, y2 int")
+    straight = FL.straight_lines(lines)
+    want = W.cells_from_dividers(J.dividers(J.next_candidates(straight.filter("orient = 'h'")), straight.filter("orient = 'v'"))).filter("x1 < x2")
+    for most in (1, 1 << 20):
+        got = C.between_lines(S.Rects(*(np.array(side, float if k else int) for k, side in enumerate(zip(*sorted(rows, key=lambda r: (r[0], r[2])), strict=True)))), most)
+        assert {tuple(map(int, r)) for r in zip(*got, strict=True)} == {(r.page_id, r.x1, r.y1, r.x2, r.y2) for r in want.collect()} and len(got.t)
+
+
+def test_tables_of_a_valid_shape_are_those_of_the_filter(spark):
+    rows = sorted(some_cells(21, pages=200, most=9, least=1), key=lambda r: r[0])
+    cells = S.Rects(*(np.array(side, float if k else int) for k, side in enumerate(zip(*[(r[0], *r[2:]) for r in rows], strict=True))))
+    slots, boxes = C.slot_cells(cells.page, cells, 200)
+    frame = spark.createDataFrame([tuple(map(int, r)) for r in zip(slots.table, slots.row, slots.col, *boxes[1:], strict=True)], "page_id long, row int, col int, x1 int, y1 int, x2 int, y2 int")
+    want = {r.page_id for r in FL.valid_tables(frame, ("page_id",)).select("page_id").distinct().collect()}
+    for most in (1, 1 << 20):
+        assert set(np.flatnonzero(C.valid(slots, boxes, most)).tolist()) == want
+    assert 0 < len(want) < 200
+
+
+def test_ruled_tables_take_one_grouping_and_write_nothing(spark, monkeypatch):
+    monkeypatch.setattr(shared, "shared_table", None)
+    said = plan(all_queries()["tab_01_bordered_tables"].run(spark, SF))
+    assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM") and said.count("MapInArrow") == 1
