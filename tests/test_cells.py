@@ -8,14 +8,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright.operators import aggregates as A
 from pagewright.operators import cells as C
 from pagewright.operators import filters as FL
 from pagewright.operators import joins as J
 from pagewright.operators import pages as P
 from pagewright.operators import sweeps as S
 from pagewright.operators import windows as W
+from pagewright.plans import metrics as M
 from pagewright.queries import all_queries
-from pagewright.sources import shared
 
 SF = "/root/testdata/sf0.001"
 TABLES = "page_id long, table_id int, x1 int, y1 int, x2 int, y2 int"
@@ -133,7 +134,39 @@ def test_tables_of_a_valid_shape_are_those_of_the_filter(spark):
     assert 0 < len(want) < 200
 
 
-def test_ruled_tables_take_one_grouping_and_write_nothing(spark, monkeypatch):
-    monkeypatch.setattr(shared, "shared_table", None)
+def test_ruled_tables_take_one_grouping_and_write_nothing(spark):
     said = plan(all_queries()["tab_01_bordered_tables"].run(spark, SF))
-    assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM") and said.count("MapInArrow") == 1
+    assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM") and said.count("MapInArrow") == 1 and "pagewright-" not in said
+
+
+def test_page_metrics_are_those_of_the_joins(spark):
+    rng, rows, bars = random.Random(9), [], []
+    for p in range(60):
+        for r in range(rng.randrange(1, 6)):
+            x = 10
+            for _ in range(rng.randrange(1, 12)):
+                w, h = rng.choice([8, 10, 10, 12, 40, 3]), rng.choice([12, 14, 14, 5, 30])
+                x, y = x + w + rng.choice([2, 4, 15, 40]), 20 + r * rng.choice([22, 30]) + rng.randrange(3)
+                rows.append((p, len(rows), x - w, y, x, y + h, rng.choice([w * h // 2, w * h, w * h // 20, 3])))
+                if rng.random() < 0.1:
+                    bars.append((p, x, y, x + rng.randrange(0, 8), y + rng.randrange(0, 20)))
+        rows += [(p, len(rows) + k, *((20 + 9 * k, 5, 26 + 9 * k, 7) if p % 2 else (5, 20 + 9 * k, 7, 26 + 9 * k)), 12) for k in range(rng.randrange(3, 9))]
+    comps = spark.createDataFrame(rows, "page_id long, comp_id int, l int, t int, r int, b int, area int")
+    inked = comps.filter("area > 5")
+    sized = FL.component_size(FL.component_shape(J.area_hit_ratio(inked, A.dotted_line_areas(inked))))
+    kept, left = sized.filter("kept"), sized.filter("not kept")
+    chars = A.page_char_length(kept)
+    kept = kept.join(chars, "page_id")
+    both = kept.unionByName(J.attach_discarded(kept, left, F.col("char_length")).join(chars, "page_id")).withColumn("cell_id", F.col("comp_id"))
+    blockers = spark.createDataFrame(bars, "page_id long, l int, t int, r int, b int")
+    labelled = A.table_clusters(both, J.close_components(both, blockers, F.col("char_length"))).withColumnRenamed("table_id", "label")
+    boxes = A.component_boxes(labelled)
+    seps = A.mode_row_separation(J.row_separation(boxes.join(chars, "page_id"), F.col("char_length"), "label"))
+    counted = boxes.groupBy("page_id").agg(F.count("*").alias("boxes")).join(chars, "page_id").join(seps, "page_id", "left")
+    want = {r.page_id: (round(r.char_length, 6), r.line_sep or 0, r.boxes) for r in counted.collect()}
+    assert {r.page_id: (round(r.char_length, 6), r.line_sep, r.boxes) for r in M.page_metrics(comps, blockers).collect()} == want and len(want) > 50
+
+
+def test_page_metrics_take_one_grouping_and_write_nothing(spark):
+    said = plan(all_queries()["tab_04_page_metrics"].run(spark, SF))
+    assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM") <= 3 and "pagewright-" not in said
