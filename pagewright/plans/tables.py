@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 from typing import NamedTuple
@@ -215,22 +216,60 @@ MAX_COLSPAN, MAX_ROWSPAN = 1_000, 65_534
 MAX_COLUMNS = 16_384
 
 
-def _cells_by_row(html: Column) -> Column:
-    """The (colspan, rowspan) of the `<td ...>` tags before each `</tr>`; what follows the last row end is no row."""
-    pieces = F.split(html, "</tr>")
-    rows = F.slice(pieces, 1, F.size(pieces) - 1)
-    tags = lambda piece: F.regexp_extract_all(piece, F.lit(r"(<td[^>]*>)"), F.lit(1))
-    span = lambda tag, name: F.when(tag == "<td>", 1).otherwise(H.int_attr(tag, name, 1))  # noqa: E731  (most cells have no attributes to search)
-    return F.transform(rows, lambda p: F.transform(tags(p), lambda tag: F.struct(F.least(span(tag, "colspan"), F.lit(MAX_COLSPAN)).alias("wide"), F.least(span(tag, "rowspan"), F.lit(MAX_ROWSPAN)).alias("tall"))))
+TD = re.compile("<td[^>]*>")
+ATTRIBUTE = {name: re.compile(rf"""{name}[ =]*('[^']*|"[^"]*|[^\s'">][^\s>]*)""", re.I | re.A) for name in ("colspan", "rowspan")}
+DIGITS = re.compile(r"['\"]?\s*([+-]?\d+)", re.A)
 
 
-def _total(items: Column, value) -> Column:
-    return F.aggregate(items, F.lit(0), lambda s, x: s + value(x))
+@lru_cache(4096)
+def _span(tag: str, name: str) -> int:
+    """The leading digits of an attribute, 1 if there are none: `html.int_attr` of one text."""
+    value = ATTRIBUTE[name].search(tag)
+    digits = DIGITS.match(value[1]) if value else None
+    return n if digits and -(1 << 31) <= (n := int(digits[1])) < 1 << 31 else 1
 
 
-def _each_row(html: Column, change) -> Column:
-    """`html` with `change(piece, i)` in place of each row i; what follows the last row end stays."""
-    return let(F.split(html, "</tr>"), lambda p: F.array_join(F.transform(p, lambda piece, i: F.when(i == F.size(p) - 1, piece).otherwise(F.concat(change(piece, i), F.lit("</tr>")))), ""))
+@lru_cache(4096)
+def _spans(tag: str) -> tuple[int, int]:
+    """(colspan, rowspan) of a `<td ...>` tag."""
+    return min(_span(tag, "colspan"), MAX_COLSPAN), min(_span(tag, "rowspan"), MAX_ROWSPAN)
+
+
+def _spans_by_row(pieces: list[str]) -> list[list[tuple[int, int]]]:
+    """The spans of the cell tags before each `</tr>`; what follows the last row end is no row."""
+    return [[_spans(tag) for tag in TD.findall(piece)] for piece in pieces[:-1]]
+
+
+def _padded(html: str) -> str:
+    pieces = html.split("</tr>")
+    rows = _spans_by_row(pieces)
+    tall = [(i, wide, i + high) for i, row in enumerate(rows) for wide, high in row if high > 1]
+    totals = [sum(wide for wide, _ in row) + sum(wide for a, wide, b in tall if a < i < b) if row else None for i, row in enumerate(rows)]
+    most = max((n for n in totals if n is not None), default=0)
+    return "</tr>".join([*(p if n is None else p + "<td>&nbsp;</td>" * (most - n) for p, n in zip(pieces, totals, strict=False)), pieces[-1]])
+
+
+def _sized(html: str, cells: Iterable[tuple[int, int | None, int | None]]) -> str | None:
+    pieces = html.split("</tr>")
+    rows = _spans_by_row(pieces)
+    columns = max((sum(wide for wide, _ in row) for row in rows if row), default=0)
+    if not columns:
+        return None
+    tops: dict[int, list[int]] = {}
+    lows: dict[int, list[int]] = {}
+    for at, y1, y2 in cells:
+        for known, y in ((tops, y1), (lows, y2)):
+            if y is not None:
+                known.setdefault(at, []).append(y)
+    heights, first = [], 0
+    for row in rows:
+        top, low = ([y for k in range(first, first + len(row)) for y in known.get(k, ())] for known in (tops, lows))
+        heights.append(float(max(low) - min(top)) if top and low else 0.0)
+        first += len(row)
+    whole = sum(heights)
+    styles = (f"<tr style='height:{_percent(h / whole * 100.0 if whole else 0.0)}%'>" for h in heights)
+    body = "</tr>".join([*(p.replace("<tr>", style) for p, style in zip(pieces, styles, strict=False)), pieces[-1]])
+    return f"{STYLE}\n  <colgroup>\n" + f"    <col style='width:{_percent(100.0 / columns)}%'>\n" * columns + "  </colgroup>\n" + body[len("<table>") :]
 
 
 def pad_rows(tables: DataFrame) -> DataFrame:
@@ -239,19 +278,12 @@ def pad_rows(tables: DataFrame) -> DataFrame:
     Each table is changed within its own row: nothing is shuffled.
     """
 
-    def missing(rows: Column) -> Column:
-        tall = F.flatten(F.transform(rows, lambda row, r: F.transform(F.filter(row, lambda c: c["tall"] > 1), lambda c: F.struct(r.alias("row"), c["wide"].alias("wide"), c["tall"].alias("tall")))))
-
-        def short(spans: Column) -> Column:
-            above = lambda i: _total(F.filter(spans, lambda c: (c["row"] < i) & (i < c["row"] + c["tall"])), lambda c: c["wide"])
-            totals = F.transform(rows, lambda row, i: F.when(F.size(row) > 0, _total(row, lambda c: c["wide"]) + above(i)))
-            return let(totals, lambda t: let(F.array_max(t), lambda most: F.transform(t, lambda n: F.coalesce(most - n, F.lit(0)))))
-
-        return let(tall, short)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            htmls = [None if html is None else _padded(html) for html in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(htmls, pa.string())], ["page_id", "html"])
 
-    pad = lambda m, i: F.repeat(F.lit("<td>&nbsp;</td>"), F.get(m, i))
-    html = let(let(_cells_by_row(F.col("html")), missing), lambda m: _each_row(F.col("html"), lambda piece, i: F.concat(piece, pad(m, i))))
-    return tables.select("page_id", html.alias("html"))
+    return tables.select("page_id", "html").mapInArrow(run, f"page_id {tables.schema['page_id'].dataType.simpleString()}, html string")
 
 
 def size_rows(tables: DataFrame, cells: DataFrame) -> DataFrame:
@@ -259,39 +291,141 @@ def size_rows(tables: DataFrame, cells: DataFrame) -> DataFrame:
 
     A table without any cell tag gets a null. One grouping of the cells by page; the rest is within each table's row.
     """
-    lists = cells.groupBy("page_id").agg(F.collect_list(F.struct("cell_id", "y1", "y2")).alias("_cells"))
-    rows = tables.join(lists.hint("merge"), "page_id", "left").withColumn("_rows", _cells_by_row(F.col("html")))
-    columns = F.array_max(F.transform("_rows", lambda row: F.when(F.size(row) > 0, _total(row, lambda c: c["wide"]))))
-    rows = rows.select("page_id", "html", "_cells", F.transform("_rows", lambda row: F.size(row)).alias("_n"), columns.alias("_columns"))
-
-    def height(first: Column, n: Column) -> Column:
-        dealt = F.filter("_cells", lambda c: (c["cell_id"] >= first) & (c["cell_id"] < first + n))
-        return let(dealt, lambda own: F.coalesce(F.array_max(F.transform(own, lambda c: c["y2"])) - F.array_min(F.transform(own, lambda c: c["y1"])), F.lit(0)).cast("double"))
+    lists = cells.groupBy("page_id").agg(F.collect_list(F.struct("cell_id", "y1", "y2")).alias("items"))
+    rows = tables.join(lists.hint("merge"), "page_id", "left").select("page_id", "html", "items")
 
-    def shares(heights: Column) -> Column:
-        return let(F.nullif(F.aggregate(heights, F.lit(0.0), lambda s, h: s + h), F.lit(0.0)), lambda whole: F.transform(heights, lambda h: F.coalesce(h / whole * 100.0, F.lit(0.0))))
-
-    heights = let(F.col("_n"), lambda counts: F.transform(counts, lambda n, i: let(_total(F.slice(counts, 1, i), lambda k: k), lambda first: height(first, n))))
-    style = lambda pct, i: F.format_string("<tr style='height:%.2f%%'>", F.get(pct, i))
-    body = let(let(heights, shares), lambda pct: _each_row(F.col("html"), lambda piece, i: F.replace(piece, F.lit("<tr>"), style(pct, i))))
-    col = F.format_string("    <col style='width:%.2f%%'>\n", F.lit(100.0) / F.col("_columns"))
-    head = F.concat(F.lit(STYLE + "\n  <colgroup>\n"), F.repeat(col, F.col("_columns")), F.lit("  </colgroup>\n"))
-    return rows.select("page_id", F.concat(head, F.substring(body, len("<table>") + 1, 1 << 30)).alias("html"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, items = S.flat(batch, "items")
+            own = list(zip(*(items.field(n).to_pylist() for n in ("cell_id", "y1", "y2")), strict=True))
+            ends = np.searchsorted(page, np.arange(batch.num_rows + 1)).tolist()
+            htmls = [None if html is None else _sized(html, own[a:b]) for html, a, b in zip(batch.column(1).to_pylist(), ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(htmls, pa.string())], ["page_id", "html"])
+
+    return rows.mapInArrow(run, f"page_id {tables.schema['page_id'].dataType.simpleString()}, html string")
+
+
+class Structure(NamedTuple):
+    """The structure tokens of a batch, in order: of each page that has some its place in the batch, HTML and score; and the cells of all pages."""
+
+    pages: np.ndarray
+    htmls: list[str]
+    scores: np.ndarray
+    cells: S.Rects
+    ids: np.ndarray
+    spans: list[tuple[int, int]]
+
+
+def _structures(page: np.ndarray, tokens: pa.StructArray, start: str = "sos", end: str = "eos") -> Structure:
+    """`decode_structure` and `structure_cells` over arrays."""
+    t = S.numbers(tokens, "t")
+    order = np.lexsort((t, page))
+    page, t = page[order], t[order]
+    coded = tokens.field("token").dictionary_encode()
+    words = [*coded.dictionary.to_pylist(), None]
+    code = coded.indices.fill_null(len(words) - 1).to_numpy(zero_copy_only=False)[order]
+    has = lambda test: np.array([w is not None and test(w) for w in words])[code]
+    over = np.cumsum(has(lambda w: w == end) & (t > 0))
+    first = np.searchsorted(page, page, "left")
+    own = np.flatnonzero((over == np.where(first > 0, over[first - 1], 0)) & has(lambda w: w not in (start, end)))
+    page, code, order = page[own], code[own], order[own]
+
+    plain = [None if w is None else re.sub(r"\s", "", w, flags=re.A) for w in words]
+    named = lambda test: np.array([w is not None and test(w) for w in plain])[code]
+    first, at = np.searchsorted(page, page, "left"), np.arange(len(page))
+    opened, closed = (np.append(-1, np.maximum.accumulate(np.where(named(lambda w, s=sign: w == s), at, -1))[:-1])[: len(at)] for sign in ("<td", ">"))
+    inside = (opened >= first) & (opened > closed)
+    orphan = lambda w: w in (">", "", "</td>") or 'colspan="' in w or 'rowspan="' in w
+    silent = ~named(lambda w: w in CELL_TOKENS) & (inside | named(orphan))
+    said = np.array(["<td></td>" if w in CELL_TOKENS else w for w in plain], object)[code]
+    said[silent] = ""
+    starts = C.firsts(page)
+    ends, pieces = [*starts[1:].tolist(), len(page)], said.tolist()
+    htmls = ["<table>" + "".join(pieces[a:b]) + "</table>" for a, b in zip(starts.tolist(), ends, strict=False)]
+    score = S.numbers(tokens, "score")[order]
+    known, place = ~np.isnan(score), np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(page))))
+    with np.errstate(invalid="ignore"):
+        scores = np.bincount(place[known], weights=score[known], minlength=len(starts)) / np.bincount(place[known], minlength=len(starts))
+
+    cell = np.flatnonzero(has_cell := np.array([w is not None and w.strip(" ") in CELL_TOKENS for w in words])[code])
+    spans = [(1, 1)] * len(cell)
+    last = np.searchsorted(page, page, "right")
+    for k in np.flatnonzero(np.array([w is not None and w.strip(" ") == "<td" for w in words])[code[cell]]).tolist():
+        i = cell[k]
+        near = "".join(words[c] for c in code[i + 1 : min(i + 4, last[i])])
+        found = (re.search(rf'{name}="(\d+)"', near, re.A) for name in ("colspan", "rowspan"))
+        spans[k] = tuple(int(n[1]) if n and int(n[1]) < 1 << 31 else 1 for n in found)
+    rects = S.Rects(page[has_cell], *(S.numbers(tokens, n)[order[cell]] for n in J.CELL))
+    return Structure(page[starts], htmls, scores, rects, C.places(rects.page), spans)
+
+
+def _texts_of(cells: S.Rects, ids: np.ndarray, page: np.ndarray, blocks: pa.StructArray) -> dict[int, str]:
+    """Of each cell (by its place) the texts of the blocks whose best cell it is, in block order: `match_blocks_to_cells` and `cell_texts` over arrays.
+    Blocks above a page's topmost cell are left out."""
+    n = int(max(cells.page.max(initial=-1), page.max(initial=-1))) + 1
+    top = np.full(n, np.nan)
+    np.fmin.at(top, cells.page, cells.t)
+    own, at = S.in_order(page, blocks, "ltrb")
+    low = np.flatnonzero(own.b >= top[own.page])
+    own, at = own.at(low), at[low]
+    known = np.flatnonzero(~np.isnan(cells.l + cells.t + cells.r + cells.b))
+    known = known[np.lexsort((cells.t[known], cells.page[known]))]
+    best = np.full(len(at), -1)
+    for i, k in S.meeting(own, cells.at(known)):
+        k = known[k]
+        a, b = own.at(i), cells.at(k)
+        common = (np.minimum(a.r, b.r) - np.maximum(a.l, b.l)) * (np.minimum(a.b, b.b) - np.maximum(a.t, b.t))
+        iou = common / ((a.r - a.l) * (a.b - a.t) + (b.r - b.l) * (b.b - b.t) - common + 1e-8)
+        near, far = np.abs(a.l - b.l) + np.abs(a.t - b.t), np.abs(a.r - b.r) + np.abs(a.b - b.b)
+        good = np.flatnonzero(iou > 1e-8)
+        good = good[np.lexsort((ids[k[good]], (near + far + np.minimum(near, far))[good], -np.round(iou[good], 8), i[good]))]
+        good = good[C.firsts(i[good])]
+        best[i[good]] = k[good]
+    found = np.flatnonzero(best >= 0)
+    found = found[np.lexsort((S.ids_of(blocks, "block_id")[at[found]], best[found]))]
+    texts: dict[int, list[str]] = {}
+    for k, text in zip(best[found].tolist(), blocks.field("text").take(pa.array(at[found])).to_pylist(), strict=True):
+        texts.setdefault(k, []).extend([] if text is None else [text])
+    return {k: " ".join(words) for k, words in texts.items()}
 
 
 def structured_tables(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
     """(page_id, html, structure_score): tables from structure tokens (page_id, t, token, score, box) and text blocks.
 
     Blocks above the table are left out, each other goes to its best cell. Pages without cells or without blocks keep
-    their bare structure.
+    their bare structure. Tokens and blocks come together by page in one grouping, and nothing is joined or written.
     """
-    structures, cells = shared_table(decode_structure(tokens)), shared_table(structure_cells(tokens))
-    texts = A.cell_texts(J.match_blocks_to_cells(FL.below_table_top(blocks, cells), cells))
-    full = cells.select("page_id").distinct().join(blocks.select("page_id").distinct(), "page_id", "left_semi")
-    filled = fill_placeholders(structures.join(full.hint("merge"), "page_id", "left_semi"), cells, texts)
-    sized = size_rows(pad_rows(filled), cells)
-    out = structures.join(sized.withColumnRenamed("html", "_full"), "page_id", "left")
-    return out.select("page_id", F.coalesce("_full", "html").alias("html"), "structure_score")
+    own = tokens.select("page_id", F.struct("t", "token", F.col("score").cast("double").alias("score"), *J.CELL).alias("_own"))
+    others = blocks.select("page_id", F.struct("block_id", "text", *"ltrb").alias("_other"))
+    both = own.unionByName(others, allowMissingColumns=True)
+    lists = both.groupBy("page_id").agg(F.collect_list("_own").alias("items"), F.collect_list("_other").alias("blocks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = _structures(*S.flat(batch, "items"))
+            block_page, found = S.flat(batch, "blocks")
+            texts = _texts_of(s.cells, s.ids, block_page, found)
+            filled = np.bincount(block_page, minlength=batch.num_rows) > 0
+            first, last = (np.searchsorted(s.cells.page, s.pages, side).tolist() for side in ("left", "right"))
+            tops, lows = ([None if y != y else y for y in side.tolist()] for side in (s.cells.t, s.cells.b))
+            htmls = []
+            for html, a, b, blocked in zip(s.htmls, first, last, filled[s.pages].tolist(), strict=True):
+                full = None
+                if a < b and blocked:
+                    parts = html.split("<td></td>")
+                    tds = [_td(*s.spans[k], texts.get(k, "")) for k in range(a, b)][: len(parts) - 1]
+                    tds += ["<td></td>"] * (len(parts) - 1 - len(tds))
+                    full = "".join(x for pair in zip(parts, [*tds, ""], strict=True) for x in pair)
+                    full = _sized(_padded(full), ((k, tops[a + k], lows[a + k]) for k in range(b - a)))
+                htmls.append(html if full is None else full)
+            scores = pa.array(s.scores, pa.float64(), mask=np.isnan(s.scores))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(s.pages)), pa.array(htmls, pa.string()), scores], ["page_id", "html", "structure_score"])
+
+    return lists.mapInArrow(run, f"page_id {tokens.schema['page_id'].dataType.simpleString()}, html string, structure_score double")
+
+
+def _td(wide: int, tall: int, text: str) -> str:
+    return "<td" + (f" colspan='{wide}'" if wide > 1 else "") + (f" rowspan='{tall}'" if tall > 1 else "") + f">{text}</td>"
 
 
 # ---- HTML to grids ----

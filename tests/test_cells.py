@@ -16,6 +16,7 @@ from pagewright.operators import pages as P
 from pagewright.operators import sweeps as S
 from pagewright.operators import windows as W
 from pagewright.plans import metrics as M
+from pagewright.plans import tables as TB
 from pagewright.queries import all_queries
 
 SF = "/root/testdata/sf0.001"
@@ -170,3 +171,35 @@ def test_page_metrics_are_those_of_the_joins(spark):
 def test_page_metrics_take_one_grouping_and_write_nothing(spark):
     said = plan(all_queries()["tab_04_page_metrics"].run(spark, SF))
     assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM") <= 3 and "pagewright-" not in said
+
+
+def test_structured_tables_are_those_of_their_steps(spark):
+    rng, tokens, blocks = random.Random(2), [], []
+    for p in range(60):
+        said = [("sos", None)] * (p % 2) + rng.choice([[], [("<thead>", None)], [("eos", None)], [(None, None)]])
+        for r in range(rng.randrange(0, 5)):
+            said.append((rng.choice(["<tr>", " <tr> "]), None))
+            for c in range(rng.randrange(0, 5)):
+                box = (c * 40 + rng.randrange(3), r * 20, c * 40 + rng.choice([38, 78]), r * 20 + rng.choice([18, 38])) if rng.random() < 0.9 else None
+                spans = rng.choice([None, [' colspan="2"'], [' colspan="1"', ' rowspan="3"'], [' rowspan="99999999999"']])
+                said += [("<td", box), *((x, None) for x in spans), (">", None), ("</td>", None)] if spans else [(rng.choice(["<td></td>", "<td>", " <td></td>"]), box)]
+            said.append(("</tr>", None))
+        said += [("eos", None), ("<td></td>", (0, 0, 10, 10))] * (rng.random() < 0.7)
+        tokens += [(p, t, token, rng.choice([0.5, 0.9, None]), *(box or (None,) * 4)) for t, (token, box) in enumerate(said)]
+        for i in range(rng.randrange(0, 12) if p % 7 else 0):
+            x, y = rng.randrange(-5, 160), rng.randrange(-25, 90)
+            blocks.append((p, 100 - i, rng.choice([f"a{i}", "b", None, ""]), x, y, x + rng.choice([0, 20, 45]), y + rng.choice([10, 25])))
+    toks = spark.createDataFrame(tokens, "page_id long, t int, token string, score double, x1 int, y1 int, x2 int, y2 int")
+    texts = spark.createDataFrame(blocks, "page_id long, block_id int, text string, l int, t int, r int, b int")
+    plain, cells = TB.decode_structure(toks), TB.structure_cells(toks)
+    full = plain.join(cells.select("page_id").distinct(), "page_id", "left_semi").join(texts.select("page_id").distinct(), "page_id", "left_semi")
+    filled = TB.fill_placeholders(full, cells, A.cell_texts(J.match_blocks_to_cells(FL.below_table_top(texts, cells), cells)))
+    sized = {r.page_id: r.html for r in TB.size_rows(TB.pad_rows(filled), cells).collect()}
+    want = {r.page_id: (sized.get(r.page_id) or r.html, r.structure_score and round(r.structure_score, 9)) for r in plain.collect()}
+    got = {r.page_id: (r.html, r.structure_score and round(r.structure_score, 9)) for r in TB.structured_tables(toks, texts).collect()}
+    assert got == want and len({h for h, _ in got.values() if "colgroup" in h}) > 20
+
+
+def test_structured_tables_take_one_grouping_and_write_nothing(spark):
+    said = plan(all_queries()["tab_02_structured_tables"].run(spark, SF))
+    assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM") and "pagewright-" not in said
