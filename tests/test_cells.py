@@ -203,3 +203,15 @@ def test_structured_tables_are_those_of_their_steps(spark):
 def test_structured_tables_take_one_grouping_and_write_nothing(spark):
     said = plan(all_queries()["tab_02_structured_tables"].run(spark, SF))
     assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM") and "pagewright-" not in said
+
+
+def test_rows_are_padded_and_sized_by_plain_functions_of_one_table(spark):
+    """Lambdas over arrays of tags took most of the time."""
+    tables = spark.createDataFrame([(1, "<table><tr><td colspan='x2'></td><td COLSPAN=3></td></tr><tr></tr><tr><td></td></tr></table>"), (2, "<table></table>"), (3, None)], "page_id long, html string")
+    padded = TB.pad_rows(tables)
+    cells = spark.createDataFrame([(1, 0, 0, 10), (1, 2, None, 40), (2, 0, 0, 5)], "page_id long, cell_id int, y1 int, y2 int")
+    sized = {r.page_id: r.html for r in TB.size_rows(padded, cells).collect()}
+    assert "lambdafunction" not in plan(padded) + plan(TB.size_rows(padded, cells))
+    assert sized[2] is None and sized[3] is None
+    assert sized[1].count("<col style='width:25.00%'>") == 4 and sized[1].count("height:100.00%") == 1 and sized[1].count("height:0.00%") == 2
+    assert sized[1].endswith("<tr style='height:0.00%'><td></td>" + "<td>&nbsp;</td>" * 3 + "</tr></table>")
