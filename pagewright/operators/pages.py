@@ -182,6 +182,9 @@ ROUNDS = (("below", -1.0, 1.0), ("below", 0.0, 1.0), ("right", 0.0, 0.98), ("bel
 #: Gaps that differ by no more count as equal, and so much of a side's length may stick out of what faces it.
 EQUAL_GAPS, INSET = 0.1, 0.2
 
+#: Of so many blocks at most it is worked out once how each lies to all others; of more, block by block.
+AT_ONCE = 256
+
 
 def earliest(boxes: Rect, among: np.ndarray) -> int:
     """Which of the blocks is read first, each compared with the first so far.
@@ -210,6 +213,15 @@ class Chains:
         self.free = np.ones(n, bool)  # nothing leads to them yet
         self.chain = np.arange(n)  # named by one of its blocks
         self._sides: dict[int, np.ndarray] = {}
+        self._all = self._ahead(np.arange(n)[:, None]) if n <= AT_ONCE else None
+
+    def _ahead(self, i) -> tuple[np.ndarray, ...]:
+        """How block i, or each of a column of blocks, lies to all blocks: their alignment in x and in y, the gaps, and which are ahead below and to the right."""
+        l, t, r, b = self.boxes  # noqa: E741
+        columns, rows = aligned(l[i], r[i], l, r), aligned(t[i], b[i], t, b)
+        gap = np.where(columns > 0, t - b[i], l - r[i])
+        ahead = (gap >= 0) & (np.arange(len(l)) != i)
+        return columns, rows, gap, ahead & (columns > 0), ahead & (rows > 0)
 
     def sides(self, chain: int) -> np.ndarray:
         """Four rows: which blocks lie above, left, right and below of any block of the chain, facing most of its side."""
@@ -223,15 +235,14 @@ class Chains:
 
     def follower(self, i: int, below: bool) -> tuple[int, float, float] | None:
         """The nearest free block below or to the right of block i, its alignment with it and its gap; of equal gaps the leftmost."""
-        l, t, r, b = self.boxes  # noqa: E741
-        columns, rows = aligned(l[i], r[i], l, r), aligned(t[i], b[i], t, b)
-        gap, along = np.where(columns > 0, t - b[i], l - r[i]), columns if below else rows
-        fit = np.flatnonzero(self.free & (gap >= 0) & (along > 0) & (np.arange(len(l)) != i))
+        columns, rows, gap, under, beside = (side[i] for side in self._all) if self._all else self._ahead(i)
+        fit = np.flatnonzero(self.free & (under if below else beside))
         if not len(fit):
             return None
-        near = fit[gap[fit] <= gap[fit].min() + EQUAL_GAPS]
-        j = int(near[l[near].argmin()])
-        return j, float(along[j]), float(gap[j])
+        gaps = gap[fit]
+        near = fit[gaps <= gaps.min() + EQUAL_GAPS]
+        j = int(near[self.boxes.left[near].argmin()])
+        return j, float((columns if below else rows)[j]), float(gap[j])
 
     def join(self, i: int, j: int) -> None:
         """Let j follow i, unless they are of one chain or the two chains together shut a free block in."""
