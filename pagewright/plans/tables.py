@@ -22,7 +22,6 @@ from pagewright.operators import filters as FL
 from pagewright.operators import joins as J
 from pagewright.operators import pages as P
 from pagewright.operators import sweeps as S
-from pagewright.operators.lines import let
 from pagewright.sources.shared import shared_table
 
 TABLE = ("page_id", "table_id")
