@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 from typing import NamedTuple
@@ -13,12 +13,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pagewright.functions import html as H
 from pagewright.functions.geometry import snap_line
 from pagewright.operators import aggregates as A
 from pagewright.operators import cells as C
 from pagewright.operators import filters as FL
+from pagewright.operators import grids as G
 from pagewright.operators import joins as J
 from pagewright.operators import pages as P
 from pagewright.operators import sweeps as S
@@ -522,6 +524,44 @@ def html_to_grid(tables: DataFrame, key: str = "page_id") -> DataFrame:
     return sized.select(key, "row", "col", "rowspan", "colspan", "text", "width", "height")
 
 
+#: So many cells go to a batch at most, but for one table of more.
+CELLS_A_BATCH = 50_000
+
+
+def _in_pieces(batches: Iterable[pa.RecordBatch], read: Callable[[str | None], list[tuple]]) -> Iterator[tuple[list, list[list[tuple]]]]:
+    """The keys and the cells of the tables (key, html) that have any, in pieces of a bounded number of cells."""
+    for batch in batches:
+        keys, lists, held = [], [], 0
+        for key, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own := read(html):
+                keys.append(key)
+                lists.append(own)
+                held += len(own)
+            if held >= CELLS_A_BATCH:
+                yield keys, lists
+                keys, lists, held = [], [], 0
+        if keys:
+            yield keys, lists
+
+
+def table_cells(tables: DataFrame, key: str = "page_id") -> DataFrame:
+    """(page_id, cells): one row for each table with cells (row, col, text, colspan) that have a place in its grid; the spans are those that the cells name. Nothing is
+    shuffled."""
+
+    def read(html: str | None) -> list[tuple]:
+        return [(row, col, text, cell.colspan) for row, _, col, cell, text in G.placed(html)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, lists in _in_pieces(batches, read):
+            row, col, text, colspan = zip(*(cell for own in lists for cell in own), strict=True)
+            cells = pa.StructArray.from_arrays([pa.array(row, pa.int32()), pa.array(col, pa.int32()), pa.array(text, pa.string()), pa.array(colspan, pa.int32())], ["row", "col", "text", "colspan"])
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.ListArray.from_arrays(pa.array(ends), cells)], [key, "cells"])
+
+    kind = to_arrow_type(tables.schema[key].dataType)
+    return tables.select(key, "html").mapInArrow(run, f"{key} {tables.schema[key].dataType.simpleString()}, cells array<struct<row: int, col: int, text: string, colspan: int>>")
+
+
 def _clipped(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"rowspan": within(F.col("rowspan"), F.col("n") - F.col("row")), "colspan": within(F.col("colspan"), F.col("columns") - F.col("col"))})
 

@@ -55,9 +55,7 @@ _SNK03 = HTML + """ SELECT page_id, '<!DOCTYPE html>' || chr(10) || '<html>' ||
 
 def _set02(spark, sf_dir):
     """Ten orders to a document; every third table has no title."""
-    raw = _raw(spark, sf_dir)
-    placed = P.place_grid(raw)
-    cells = raw.join(placed.hint("merge"), ["page_id", "row", "idx"]).groupBy("page_id").agg(F.collect_list(F.struct("row", "col", "text", "colspan")).alias("cells"))
+    cells = TB.table_cells(D.html_tables(spark, sf_dir))
     title = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("Table "), F.col("page_id")))
     tables = cells.select(F.expr("page_id div 10").alias("doc_id"), F.col("page_id").alias("table_no"), title.alias("title"), "cells")
     return ST.union_tables_with_titles(tables).select("doc_id", F.col("out_row").cast("long").alias("out_row"), "kind", "table_no", "col", "text", "colspan")
