@@ -24,7 +24,6 @@ from pagewright.operators import grids as G
 from pagewright.operators import joins as J
 from pagewright.operators import pages as P
 from pagewright.operators import sweeps as S
-from pagewright.sources.shared import shared_table
 
 TABLE = ("page_id", "table_id")
 STYLE = "<table style='table-layout:fixed;width:100%'>"
@@ -513,17 +512,6 @@ def grid_sizes(raw: DataFrame, placed: DataFrame, tables: DataFrame, key: str =
     return widths, rows.select(key, "row", points.alias("height"))
 
 
-def html_to_grid(tables: DataFrame, key: str = "page_id") -> DataFrame:
-    """(page_id, row, col, rowspan, colspan, text, width, height): the placed cells of each table's grid; their spans end with the table.
-
-    Pages without a table or without cells have no rows; `grid_records` tells of them.
-    """
-    cells = shared_table(placed_cells(tables, key))
-    widths, heights = grid_sizes(cells, cells, tables, key)
-    sized = _clipped(cells.filter("col is not null")).join(widths.hint("merge"), [key, "col"]).join(heights.hint("merge"), [key, "row"])
-    return sized.select(key, "row", "col", "rowspan", "colspan", "text", "width", "height")
-
-
 #: So many cells go to a batch at most, but for one table of more.
 CELLS_A_BATCH = 50_000
 
@@ -544,6 +532,27 @@ def _in_pieces(batches: Iterable[pa.RecordBatch], read: Callable[[str | None], l
             yield keys, lists
 
 
+def html_to_grid(tables: DataFrame, key: str = "page_id", sized: bool = False) -> DataFrame:
+    """(page_id, row, col, rowspan, colspan, text, width, height): the placed cells of each table's grid; their spans end with the table. If `sized`, also n, the rows
+    of the grid that have cells, which `grid_slots` then needn't count.
+
+    Pages without a table or without cells have no rows; `grid_records` tells of them. A table is read, placed and sized (see `grid_sizes`) within its own row, and
+    nothing is shuffled or written.
+    """
+    names = ("row", "col", "rowspan", "colspan", "text", "width", "height", "n")
+    kinds = (*(pa.int32(),) * 4, pa.string(), pa.float64(), pa.float64(), pa.int32())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, lists in _in_pieces(batches, G.sized):
+            repeated = pa.array(keys, kind).take(pa.array(np.repeat(np.arange(len(lists)), [len(own) for own in lists])))
+            columns = zip(*(cell for own in lists for cell in own), strict=True)
+            yield pa.RecordBatch.from_arrays([repeated, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [key, *names])
+
+    kind = to_arrow_type(tables.schema[key].dataType)
+    grid = tables.select(key, "html").mapInArrow(run, f"{key} {tables.schema[key].dataType.simpleString()}, row int, col int, rowspan int, colspan int, text string, width double, height double, n int")
+    return grid if sized else grid.drop("n")
+
+
 def table_cells(tables: DataFrame, key: str = "page_id") -> DataFrame:
     """(page_id, cells): one row for each table with cells (row, col, text, colspan) that have a place in its grid; the spans are those that the cells name. Nothing is
     shuffled."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import sets as ST
@@ -77,3 +78,28 @@ def test_documents_of_random_tables(spark):
 def test_documents_of_tables_take_one_grouping_and_no_join(spark):
     said = plan(all_queries()["set_02_union_tables"].run(spark, SF))
     assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM") + 1
+
+
+def test_grids_are_those_of_the_columns(spark):
+    tables = html_frame(spark, 5)
+    cells = TB.placed_cells(tables).cache()
+    widths, heights = TB.grid_sizes(cells, cells, tables)
+    span = lambda name, room: F.greatest(F.least(name, room), F.lit(1)).alias(name)
+    want = cells.filter("col is not null").join(widths, ["page_id", "col"]).join(heights, ["page_id", "row"])
+    sizes = [F.round(c, 9).alias(c) for c in ("width", "height")]
+    want = want.select("page_id", "row", "col", span("rowspan", F.col("n") - F.col("row")), span("colspan", F.col("columns") - F.col("col")), "text", *sizes)
+    got = TB.html_to_grid(tables)
+    assert got.count() == want.count() > 500 and want.exceptAll(got.select("page_id", "row", "col", "rowspan", "colspan", "text", *sizes)).isEmpty()
+    assert got.select("width").distinct().count() > 10 < got.select("height").distinct().count()
+
+
+def test_columns_narrower_than_a_pixel_are_even(spark):
+    """They were a division by nought, which ended the whole job."""
+    rows = TB.html_to_grid(spark.createDataFrame([(1, "<table><tr><td colspan=8 style='width:5px'>a</td></tr></table>")], "page_id long, html string")).collect()
+    assert [(r.col, r.colspan, r.text, r.width, r.height) for r in rows] == [(0, 8, "a", 10.0, 16.0)]
+
+
+@pytest.mark.parametrize("name", ["tab_03_html_to_grid"])
+def test_grids_shuffle_and_write_nothing_but_the_orders(spark, name):
+    said = plan(all_queries()[name].run(spark, SF))
+    assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM") == 1 and "pagewright-" not in said
