@@ -595,9 +595,10 @@ def grid_records(tables: DataFrame, key: str = "page_id") -> DataFrame:
 def grid_slots(grid: DataFrame, key: str = "page_id") -> DataFrame:
     """(page_id, row, col, text, anchor_row, anchor_col): every place of a grid, merged ones with their anchor and an empty text.
 
-    Spans end with the last row, and with eight columns for every row, which is all that a grid has.
+    Spans end with the last row, and with eight columns for every row, which is all that a grid has. The rows are counted over the page, unless the grid has their
+    number, n.
     """
-    n = F.max("row").over(Window.partitionBy(key)) + 1
+    n = F.col("n") if "n" in grid.columns else F.max("row").over(Window.partitionBy(key)) + 1
     grid = grid.withColumn("_n", n)
     tall, wide = within(F.col("rowspan"), F.col("_n") - F.col("row")), within(F.col("colspan"), F.greatest(F.col("_n") * 8, F.col("col") + 1) - F.col("col"))
     rows = grid.select(key, F.col("row").alias("anchor_row"), F.col("col").alias("anchor_col"), wide.alias("colspan"), "text", F.explode(F.sequence(F.lit(0), tall - 1)).alias("dy"))

@@ -40,7 +40,7 @@ def _tab03(spark, sf_dir):
 
 
 def _snk04(spark, sf_dir):
-    return TB.grid_slots(TB.html_to_grid(D.html_tables(spark, sf_dir)))
+    return TB.grid_slots(TB.html_to_grid(D.html_tables(spark, sf_dir), sized=True))
 
 
 _SNK04 = _RAW + """ SELECT page_id, CAST(r AS INTEGER) AS "row", CAST(c + d AS INTEGER) AS "col", CASE WHEN d = 0 THEN text ELSE '' END AS text, CAST(r AS INTEGER) AS anchor_row, CAST(c AS INTEGER) AS anchor_col FROM raw, range(2) t(d) WHERE d < colspan"""

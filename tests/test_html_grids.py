@@ -91,6 +91,8 @@ def test_grids_are_those_of_the_columns(spark):
     got = TB.html_to_grid(tables)
     assert got.count() == want.count() > 500 and want.exceptAll(got.select("page_id", "row", "col", "rowspan", "colspan", "text", *sizes)).isEmpty()
     assert got.select("width").distinct().count() > 10 < got.select("height").distinct().count()
+    slots = TB.grid_slots(TB.html_to_grid(tables, sized=True))
+    assert slots.count() > 500 and slots.exceptAll(TB.grid_slots(got)).isEmpty()
 
 
 def test_columns_narrower_than_a_pixel_are_even(spark):
@@ -99,7 +101,7 @@ def test_columns_narrower_than_a_pixel_are_even(spark):
     assert [(r.col, r.colspan, r.text, r.width, r.height) for r in rows] == [(0, 8, "a", 10.0, 16.0)]
 
 
-@pytest.mark.parametrize("name", ["tab_03_html_to_grid"])
+@pytest.mark.parametrize("name", ["tab_03_html_to_grid", "snk_04_grid_slots"])
 def test_grids_shuffle_and_write_nothing_but_the_orders(spark, name):
     said = plan(all_queries()[name].run(spark, SF))
     assert "Join" not in said and said.count("Exchange hashpartitioning") == said.count("REPARTITION_BY_NUM") == 1 and "pagewright-" not in said
