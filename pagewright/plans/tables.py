@@ -359,15 +359,15 @@ def _structures(page: np.ndarray, tokens: pa.StructArray, start: str = "sos", en
     return Structure(page[starts], htmls, scores, rects, C.places(rects.page), spans)
 
 
-def _texts_of(cells: S.Rects, ids: np.ndarray, page: np.ndarray, blocks: pa.StructArray) -> dict[int, str]:
+def _texts_of(cells: S.Rects, ids: np.ndarray, page: np.ndarray, blocks: pa.StructArray, below_top: bool) -> dict[int, str]:
     """Of each cell (by its place) the texts of the blocks whose best cell it is, in block order: `match_blocks_to_cells` and `cell_texts` over arrays.
-    Blocks above a page's topmost cell are left out."""
-    n = int(max(cells.page.max(initial=-1), page.max(initial=-1))) + 1
-    top = np.full(n, np.nan)
-    np.fmin.at(top, cells.page, cells.t)
+    If `below_top`, blocks above a page's topmost cell are left out."""
     own, at = S.in_order(page, blocks, "ltrb")
-    low = np.flatnonzero(own.b >= top[own.page])
-    own, at = own.at(low), at[low]
+    if below_top:
+        top = np.full(int(max(cells.page.max(initial=-1), page.max(initial=-1))) + 1, np.nan)
+        np.fmin.at(top, cells.page, cells.t)
+        low = np.flatnonzero(own.b >= top[own.page])
+        own, at = own.at(low), at[low]
     known = np.flatnonzero(~np.isnan(cells.l + cells.t + cells.r + cells.b))
     known = known[np.lexsort((cells.t[known], cells.page[known]))]
     best = np.full(len(at), -1)
@@ -389,39 +389,73 @@ def _texts_of(cells: S.Rects, ids: np.ndarray, page: np.ndarray, blocks: pa.Stru
     return {k: " ".join(words) for k, words in texts.items()}
 
 
+class Filled(NamedTuple):
+    """The structures of a batch with their cells' texts in them; where each one's cells begin and end, and whether its page has blocks."""
+
+    structure: Structure
+    htmls: list[str]
+    first: list[int]
+    last: list[int]
+    blocked: list[bool]
+
+
+def _filled(batch: pa.RecordBatch, below_top: bool) -> Filled:
+    s = _structures(*S.flat(batch, "items"))
+    block_page, found = S.flat(batch, "blocks")
+    texts = _texts_of(s.cells, s.ids, block_page, found, below_top)
+    first, last = (np.searchsorted(s.cells.page, s.pages, side).tolist() for side in ("left", "right"))
+    htmls = []
+    for html, a, b in zip(s.htmls, first, last, strict=True):
+        parts = html.split("<td></td>")
+        tds = [_td(*s.spans[k], texts.get(k, "")) for k in range(a, b)][: len(parts) - 1]
+        tds += ["<td></td>"] * (len(parts) - 1 - len(tds))
+        htmls.append("".join(x for pair in zip(parts, [*tds, ""], strict=True) for x in pair))
+    blocked = np.bincount(block_page, minlength=batch.num_rows)[s.pages] > 0
+    return Filled(s, htmls, first, last, blocked.tolist())
+
+
+def _tokens_with_blocks(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(page_id, items, blocks): the tokens and the blocks of each page, in one grouping."""
+    own = tokens.select("page_id", F.struct("t", "token", F.col("score").cast("double").alias("score"), *J.CELL).alias("_own"))
+    others = blocks.select("page_id", F.struct("block_id", "text", *"ltrb").alias("_other"))
+    both = own.unionByName(others, allowMissingColumns=True)
+    return both.groupBy("page_id").agg(F.collect_list("_own").alias("items"), F.collect_list("_other").alias("blocks"))
+
+
+def filled_structures(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(page_id, html): each page's structure with its cells' spans and texts; placeholders beyond the cells stay.
+
+    `fill_placeholders` of `decode_structure`, `structure_cells` and the texts of the blocks matched to them, over arrays: tokens and blocks come together by
+    page in one grouping, and nothing is joined.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            filled = _filled(batch, below_top=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(filled.structure.pages)), pa.array(filled.htmls, pa.string())], ["page_id", "html"])
+
+    return _tokens_with_blocks(tokens, blocks).mapInArrow(run, f"page_id {tokens.schema['page_id'].dataType.simpleString()}, html string")
+
+
 def structured_tables(tokens: DataFrame, blocks: DataFrame) -> DataFrame:
     """(page_id, html, structure_score): tables from structure tokens (page_id, t, token, score, box) and text blocks.
 
     Blocks above the table are left out, each other goes to its best cell. Pages without cells or without blocks keep
     their bare structure. Tokens and blocks come together by page in one grouping, and nothing is joined or written.
     """
-    own = tokens.select("page_id", F.struct("t", "token", F.col("score").cast("double").alias("score"), *J.CELL).alias("_own"))
-    others = blocks.select("page_id", F.struct("block_id", "text", *"ltrb").alias("_other"))
-    both = own.unionByName(others, allowMissingColumns=True)
-    lists = both.groupBy("page_id").agg(F.collect_list("_own").alias("items"), F.collect_list("_other").alias("blocks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = _structures(*S.flat(batch, "items"))
-            block_page, found = S.flat(batch, "blocks")
-            texts = _texts_of(s.cells, s.ids, block_page, found)
-            filled = np.bincount(block_page, minlength=batch.num_rows) > 0
-            first, last = (np.searchsorted(s.cells.page, s.pages, side).tolist() for side in ("left", "right"))
+            s, fulls, first, last, blocked = _filled(batch, below_top=True)
             tops, lows = ([None if y != y else y for y in side.tolist()] for side in (s.cells.t, s.cells.b))
             htmls = []
-            for html, a, b, blocked in zip(s.htmls, first, last, filled[s.pages].tolist(), strict=True):
-                full = None
-                if a < b and blocked:
-                    parts = html.split("<td></td>")
-                    tds = [_td(*s.spans[k], texts.get(k, "")) for k in range(a, b)][: len(parts) - 1]
-                    tds += ["<td></td>"] * (len(parts) - 1 - len(tds))
-                    full = "".join(x for pair in zip(parts, [*tds, ""], strict=True) for x in pair)
-                    full = _sized(_padded(full), ((k, tops[a + k], lows[a + k]) for k in range(b - a)))
-                htmls.append(html if full is None else full)
+            for html, full, a, b, has_blocks in zip(s.htmls, fulls, first, last, blocked, strict=True):
+                sized = _sized(_padded(full), ((k, tops[a + k], lows[a + k]) for k in range(b - a))) if a < b and has_blocks else None
+                htmls.append(html if sized is None else sized)
             scores = pa.array(s.scores, pa.float64(), mask=np.isnan(s.scores))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(s.pages)), pa.array(htmls, pa.string()), scores], ["page_id", "html", "structure_score"])
 
-    return lists.mapInArrow(run, f"page_id {tokens.schema['page_id'].dataType.simpleString()}, html string, structure_score double")
+    return _tokens_with_blocks(tokens, blocks).mapInArrow(run, f"page_id {tokens.schema['page_id'].dataType.simpleString()}, html string, structure_score double")
 
 
 def _td(wide: int, tall: int, text: str) -> str:
