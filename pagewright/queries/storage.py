@@ -56,14 +56,15 @@ _SNK05 = PB + """ SELECT doc_id, page, string_agg(text || "end", '' ORDER BY blo
 
 def _str02(spark, sf_dir):
     """Tables from a stream of structure tokens whose pages come in three parts, each in files, and so a batch, of its own."""
-    tokens, blocks = D.tokens(spark, sf_dir), D.grid_blocks(spark, sf_dir)
-    ends = tokens.groupBy("page_id").agg((F.max("t") + 1).alias("t")).withColumns({"token": F.lit("eos"), "score": F.lit(1.0), **{c: F.lit(None).cast("int") for c in ("x1", "y1", "x2", "y2")}})
-    path_in, parts = new_path(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = tokens.unionByName(ends)
+    tokens, blocks = D.tokens(spark, sf_dir, ended=True), D.grid_blocks(spark, sf_dir)
+    path_in, parts = new_path(spark), D.order_partitions(spark, sf_dir)
     for part in range(3):  # as many files each, one part after the other, as a stream takes files in order of time
-        both.filter(F.col("t") % 3 == part).repartition(parts, "page_id").write.mode("append").parquet(path_in)
+        tokens.filter(F.col("t") % 3 == part).write.mode("append").parquet(path_in)
+        files = len(spark.read.parquet(path_in).inputFiles()) if part == 0 else files
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tokens.schema)
-    stream_tables(spark, path_in, path_out := new_path(spark), lambda t: TB.structured_tables(t, blocks), schema, new_path(spark), files_per_batch=parts).awaitTermination()
+    # Dealt as the blocks are, tokens meet them without a further shuffle of blocks.
+    tables = lambda t: TB.structured_tables(t.repartition(parts, "page_id"), blocks)
+    stream_tables(spark, path_in, path_out := new_path(spark), tables, schema, new_path(spark), files_per_batch=files).awaitTermination()
     return spark.read.parquet(path_out).select("page_id", "html", F.round("structure_score", 9).alias("structure_score"))
 
 

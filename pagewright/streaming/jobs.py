@@ -69,8 +69,8 @@ def stream_layout(spark: SparkSession, path_in: str, path_out: str, strategy: st
     return records.writeStream.format("text").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path_out)
 
 
-#: What a page is in a batch: its end token and all before it are there; it is waited for; it was waited for too long.
-WHOLE, OPEN, LATE = "whole", "open", "late"
+#: What a page is in a batch: its end token and all before it are there; it is waited for; it was waited for too long; it has been told before.
+WHOLE, OPEN, LATE, TOLD = "whole", "open", "late", "told"
 
 
 def page_states(tokens: DataFrame, now: float, timeout: float, end: str = "eos") -> DataFrame:
@@ -105,7 +105,8 @@ def stream_tables(
     row with code 1. Tokens of a page that has been told already are dropped for as long as the time-out, then they are a new page's.
 
     What is kept lies as Parquet beside the query's own checkpoint, under the number of the batch: a batch reads what the one before it left, and
-    writes its own, and its tables, over what a failed attempt may have left. So every page is told once, whatever is lost and run again.
+    writes its own, and its tables, over what a failed attempt may have left. So every page is told once, whatever is lost and run again. Of a batch's
+    tokens only those of open pages are written; the batch itself is read again from its files.
     """
 
     def at(number: int, part: str) -> str:
@@ -113,27 +114,37 @@ def stream_tables(
 
     def write(batch: DataFrame, number: int) -> None:
         session, now = batch.sparkSession, clock()
-        came = batch.withColumn("_seen", F.lit(now))
+        came = batch.filter("page_id is not null").withColumn("_seen", F.lit(now))
         kind = came.schema
         told = session.createDataFrame([], "page_id long, told_at double")
         if number > 0:
             told = session.read.schema(told.schema).parquet(at(number - 1, "told")).filter(F.col("told_at") >= now - timeout)
-            came = came.join(told, "page_id", "left_anti").select(*kind.names).unionByName(session.read.schema(kind).parquet(at(number - 1, "tokens")))
-        came.write.mode("overwrite").parquet(at(number, "came"))
-        came = session.read.schema(kind).parquet(at(number, "came"))
-        page_states(came, now, timeout, end).write.mode("overwrite").parquet(at(number, "states"))
+            came = came.unionByName(session.read.schema(kind).parquet(at(number - 1, "tokens")))
+        states = page_states(came, now, timeout, end).join(told, "page_id", "left")
+        states.select("page_id", F.when(F.col("told_at").isNotNull(), TOLD).otherwise(F.col("state")).alias("state")).write.mode("overwrite").parquet(at(number, "states"))
         states = session.read.parquet(at(number, "states"))
         own = lambda state: states.filter(F.col("state") == state).select("page_id")
-        came.join(own(OPEN), "page_id", "left_semi").write.mode("overwrite").parquet(at(number, "tokens"))
-        done = states.filter(F.col("state") != OPEN).select(F.col("page_id").cast("long").alias("page_id"), F.lit(now).alias("told_at"))
+        there = {r.state for r in states.select("state").distinct().collect()}
+
+        def tokens_of(state: str) -> DataFrame:
+            """The tokens of the pages of a state; where all pages have it, nothing needs to be joined for that, and nothing shuffled."""
+            if there <= {state}:
+                return came
+            return came.join(own(state), "page_id", "left_semi") if state in there else session.createDataFrame([], kind)
+
+        tokens_of(OPEN).write.mode("overwrite").parquet(at(number, "tokens"))
+        done = states.filter(F.col("state").isin(WHOLE, LATE)).select(F.col("page_id").cast("long").alias("page_id"), F.lit(now).alias("told_at"))
         told.unionByName(done).write.mode("overwrite").parquet(at(number, "told"))
-        if number == 0 or not done.isEmpty():
+        ended = bool(there & {WHOLE, LATE})
+        if number == 0 or ended:
             with intermediate(session):
-                found = tables(came.join(own(WHOLE), "page_id", "left_semi").select(*batch.columns)).withColumns({"code": F.lit(0), "msg": F.lit(None).cast("string")})
+                found = tables(tokens_of(WHOLE).select(*batch.columns)).withColumns({"code": F.lit(0), "msg": F.lit(None).cast("string")})
                 lost = own(LATE).withColumns({"code": F.lit(1), "msg": F.lit(f"the page's end didn't come within {timeout:g} seconds")})
-                found.unionByName(lost, allowMissingColumns=True).write.mode("overwrite").parquet(f"{path_out}/batch={number}")
-        for part in ("came", "states"):
-            remove(session, at(number, part))
+                found = found.unionByName(lost, allowMissingColumns=True)
+                if not ended:  # the columns alone, so that there is something to read
+                    found = session.createDataFrame([], found.schema)
+                found.write.mode("overwrite").parquet(f"{path_out}/batch={number}")
+        remove(session, at(number, "states"))
         if number > 1:
             remove(session, f"{checkpoint}/pages/batch={number - 2}")
 
